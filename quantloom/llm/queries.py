@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quantloom.llm import best_fit_packing, chat_format, secret_scan, sentencepiece_codec, simhash_dedup
+from quantloom.llm import best_fit_packing, chat_format, secret_scan, sentencepiece_codec, simhash_dedup, suffix_dedup
 from quantloom.llm.common import table
 
 PROBE = [(-1, turn, role, "<|im_end|><|im_start|>assistant ok") for turn, role in enumerate(("user", "assistant"))]
@@ -21,6 +21,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digests(secret_scan.scan(table(spark, sf_dir, "documents")))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(suffix_dedup.cut_repeats(table(spark, sf_dir, "documents")))
+
+
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -36,7 +40,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_secret_scan, op4_sentencepiece_codec, op5_simhash_dedup, op10_chat_format)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_secret_scan, op3_suffix_dedup, op4_sentencepiece_codec, op5_simhash_dedup, op10_chat_format)}
 
 
 OP10_SQL = r"""
