@@ -44,6 +44,7 @@ LEFT, RIGHT = LENGTH - GRAM, LENGTH  # bytes of a context before and from its an
 HOT = 50_000
 BLOCK_BYTES = 16 << 20
 _SLICE = 1 << 19
+_HOT_ROWS = 10_000
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 CUT = "doc_id long, n_bytes long, kept binary, removed array<struct<start:long,end:long>>"
 _PARCELS = "dest long, kind int, block long, body binary"
@@ -184,26 +185,56 @@ def _count_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield from _parcel(rows).to_batches()
 
 
-def _contexts(block: Block, place: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Rows of 80 bytes (76 of context, zero outside the document; bytes left and right; 2 unused) with their places.
+def _contexts(block: Block, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which places have a string of LENGTH bytes around them, and rows of 80 bytes for those.
 
-    A hot anchor's row is dealt out into one row for each string of LENGTH bytes that holds it.
+    A row has 76 bytes of context, zero outside the document, how many there are left and right
+    of the place, and two bytes without use.
     """
     doc = block.documents_of(place)
     left = np.minimum(LEFT, place - block.starts[doc])
     right = np.minimum(RIGHT, block.ends[doc] - place)
-    ok = left + right >= LENGTH
-    place, left, right, hot = place[ok], left[ok], right[ok], hot[ok]
-    if hot.any():
-        each = [(place[hot], np.full(hot.sum(), LEFT - s), np.full(hot.sum(), LENGTH - LEFT + s)) for s in range(LEFT + 1)]
-        each = [(p, a, b) for s, (p, a, b) in enumerate(each) for fits in [(left[hot] >= a) & (right[hot] >= b)] for p, a, b in [(p[fits], a[fits], b[fits])]]
-        place, left, right = (np.concatenate([own[~hot], *(x[i] for x in each)]) for i, own in enumerate((place, left, right)))
+    ok = np.flatnonzero(left + right >= LENGTH)
+    place, left, right = place[ok], left[ok], right[ok]
     padded = np.concatenate([np.zeros(LEFT, np.uint8), block.data, np.zeros(RIGHT, np.uint8)])
     rows = np.zeros((len(place), 80), np.uint8)
     for k in range(LEFT + RIGHT):
         rows[:, k] = np.where((k >= LEFT - left) & (k < LEFT + right), padded[place + k], 0)
     rows[:, 76], rows[:, 77] = left, right
-    return rows, place
+    return ok, rows
+
+
+def _classes(rows: np.ndarray, doc_id: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order by row and doc_id, where a new row begins in it, and the number of each one's distinct row."""
+    words = rows.view("<u8")
+    order = np.lexsort((doc_id, *words.T))
+    new = np.r_[True, (words[order[1:]] != words[order[:-1]]).any(1)]
+    return order, new, np.cumsum(new) - 1
+
+
+def _strings(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows dealt out into one for each string of LENGTH bytes: row, its origin, its start."""
+    out, origin, start = [], [], []
+    for s in range(LEFT + 1):
+        own = np.flatnonzero((rows[:, 76] >= LEFT - s) & (rows[:, 77] >= LENGTH - LEFT + s))
+        one = np.zeros((len(own), 80), np.uint8)
+        one[:, s : s + LENGTH] = rows[own, s : s + LENGTH]
+        one[:, 76], one[:, 77] = LEFT - s, LENGTH - LEFT + s
+        out.append(one)
+        origin.append(own)
+        start.append(np.full(len(own), s, np.int64))
+    return np.concatenate(out), np.concatenate(origin), np.concatenate(start)
+
+
+def _destination(rows: np.ndarray, parts: int) -> np.ndarray:
+    """By the anchor; rows that hold a single string go by that string."""
+    words = rows.view("<u8")
+    anchor = rows[:, LEFT : LEFT + GRAM].copy().view("<u8")
+    key = anchor[:, 0] * np.uint64(_MIX[0]) ^ (anchor[:, 1] * np.uint64(_MIX[1]) + anchor[:, 2] * np.uint64(_MIX[2]))
+    single = rows[:, 76].astype(int) + rows[:, 77] == LENGTH
+    for i in range(10):
+        key[single] = (key[single] ^ (key[single] >> np.uint64(29))) * np.uint64(_MIX[3]) + words[single, i] * np.uint64(_MIX[i % 3])
+    return ((key ^ (key >> np.uint64(32))) % np.uint64(parts)).astype(np.int64)
 
 
 def _send_contexts(number: int, docs: pa.Table, masks: pa.Table, parts: int) -> pa.Table:
@@ -216,31 +247,43 @@ def _send_contexts(number: int, docs: pa.Table, masks: pa.Table, parts: int) ->
     for part, body in zip(masks.column("dest").to_pylist(), masks.column("body").to_pylist()):
         mark[dest == part] = _unpacked(body, np.uint8)[0]
     marked = mark[np.searchsorted(values, h)]
-    rows, place = _contexts(block, place[marked > 0], marked[marked > 0] == 2)
-    if not len(rows):
+    place, marked = place[marked > 0], marked[marked > 0]
+    ok, rows = _contexts(block, place)
+    if not len(ok):
         return _parcel([])
+    place, hot = place[ok], marked[ok] == 2
     doc_id = block.doc_ids[block.documents_of(place)]
-    words = rows.view("<u8")
-    order = np.lexsort((doc_id, *words.T))
-    new = np.r_[True, (words[order[1:]] != words[order[:-1]]).any(1)]
-    kind_of = np.cumsum(new) - 1
-    first = doc_id[order[new]]
-    theirs = doc_id[order] == first[kind_of]
-    # the windows of documents that have a context with a smaller doc_id of the same block
+    order, new, row_of = _classes(rows, doc_id)
+    rows_sent, first, hot = rows[order[new]], doc_id[order[new]], hot[order[new]]
+    theirs = doc_id[order] == first[row_of]
+    # strings of documents whose context also stands in a document with a smaller doc_id here
     gone, left, right = order[~theirs], rows[:, 76].astype(np.int64), rows[:, 77].astype(np.int64)
-    begins, ends = place[gone] - left[gone], place[gone] + right[gone] - LENGTH + 1
-    sent = rows[order[new]]
-    anchor = sent[:, LEFT : LEFT + GRAM].copy().view("<u8")
-    key = anchor[:, 0] * np.uint64(_MIX[0]) ^ (anchor[:, 1] * np.uint64(_MIX[1]) + anchor[:, 2] * np.uint64(_MIX[2]))
-    single = sent[:, 76].astype(int) + sent[:, 77] == LENGTH  # holds one string: goes by that string
-    whole = sent.view("<u8")[single]
-    for i in range(10):
-        key[single] = (key[single] ^ (key[single] >> np.uint64(29))) * np.uint64(_MIX[3]) + whole[:, i] * np.uint64(_MIX[i % 3])
-    to = ((key ^ (key >> np.uint64(32))) % np.uint64(parts)).astype(np.int64)
-    out = [(number, 1, number, _packed(_merged(begins, ends), place[order[theirs]].astype("<i8"), kind_of[theirs].astype("<i8"), left[order[theirs]].astype("<i8")))]
-    by = np.argsort(to, kind="stable")
-    for own in np.split(by, np.flatnonzero(np.diff(to[by])) + 1):
-        out.append((int(to[own[0]]), 0, number, _packed(sent[own], first[own].astype("<i8"), own.astype("<i8"))))
+    local = _merged(place[gone] - left[gone], place[gone] + right[gone] - LENGTH + 1)
+    out: list[tuple[int, int, int, bytes]] = []
+
+    def send(sent: np.ndarray, ids: np.ndarray, numbers: np.ndarray) -> None:
+        to = _destination(sent, parts)
+        by = np.argsort(to, kind="stable")
+        for own in np.split(by, np.flatnonzero(np.diff(to[by])) + 1) if len(by) else []:
+            out.append((int(to[own[0]]), 0, number, _packed(sent[own], ids[own].astype("<i8"), numbers[own].astype("<i8"))))
+
+    calm = np.flatnonzero(~hot)
+    send(rows_sent[calm], first[calm], calm)
+    at, decided, asked = len(rows_sent), [], []  # (row, start) known to go; (row, start, number asked under)
+    for some in np.split(h := np.flatnonzero(hot), range(_HOT_ROWS, len(h), _HOT_ROWS)):
+        strings, origin, start = _strings(rows_sent[some])
+        if not len(strings):
+            continue
+        order_s, new_s, string_of = _classes(strings, first[some][origin])
+        ids = first[some][origin][order_s]
+        least = ids[new_s]
+        mine = ids == least[string_of]
+        decided.append(np.stack([some[origin[order_s[~mine]]], start[order_s[~mine]]]))
+        asked.append(np.stack([some[origin[order_s[mine]]], start[order_s[mine]], at + string_of[mine]]))
+        send(strings[order_s[new_s]], least, at + np.arange(len(least)))
+        at += len(least)
+    known = [np.concatenate(x, axis=1).ravel() if x else np.zeros(0) for x in (decided, asked)]
+    out.append((number, 1, number, _packed(local, place[order[theirs]].astype("<i8"), row_of[theirs].astype("<i8"), np.array([at], "<i8"), *(x.astype("<i8") for x in known))))
     return _parcel(out)
 
 
@@ -309,22 +352,26 @@ def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _cut(docs: pa.Table, verdicts: pa.Table) -> pa.Table:
     block = Block(docs.column("doc_id").to_pylist(), docs.column("data").to_pylist())
     begins = np.zeros(len(block.data) + LENGTH + 1, np.int32)
-    places = None
+    own = None
     masks: list[tuple[np.ndarray, np.ndarray]] = []
     for kind, body in zip(verdicts.column("kind").to_pylist(), verdicts.column("body").to_pylist()):
         if kind == 1:
-            local, *places = _unpacked(body, "<i8", "<i8", "<i8", "<i8")
+            local, place, row, (count,), decided, asked = _unpacked(body, *["<i8"] * 6)
+            own = (place, row, int(count), decided.reshape(2, -1), asked.reshape(3, -1))
             begins[local[::2]] += 1
             begins[local[1::2]] -= 1
         else:
             masks.append(tuple(_unpacked(body, "<i8", "<u4")))
     starts_here = np.cumsum(begins) > 0  # a string that goes starts here
-    if masks:
-        place, number, _ = places
-        mask_of = np.zeros(int(number.max()) + 1, np.uint32)
-        for own, mask in masks:
-            mask_of[own] = mask
-        mine = mask_of[number]
+    if own is not None:
+        place, row, count, decided, asked = own
+        mask_of = np.zeros(count, np.uint32)
+        for numbers, mask in masks:
+            mask_of[numbers] = mask
+        yes = mask_of[asked[2]] > 0
+        for rows, starts in (decided, asked[:2, yes]):
+            np.bitwise_or.at(mask_of, rows, np.uint32(1) << starts.astype(np.uint32))
+        mine = mask_of[row]
         for s in range(LEFT + 1):
             starts_here[place[(mine >> np.uint32(s) & np.uint32(1)) > 0] - LEFT + s] = True
     ids, sizes, kept, removed = [], [], [], []
