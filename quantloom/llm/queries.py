@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quantloom.llm import best_fit_packing, chat_format, secret_scan, sentencepiece_codec, simhash_dedup, suffix_dedup
+from quantloom.llm import best_fit_packing, chat_format, exact_topk, secret_scan, sentencepiece_codec, simhash_dedup, suffix_dedup, vp_search
 from quantloom.llm.common import table
 
 PROBE = [(-1, turn, role, "<|im_end|><|im_start|>assistant ok") for turn, role in enumerate(("user", "assistant"))]
@@ -33,6 +33,14 @@ def op4_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.sentencepiece_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk.exact_topk(table(spark, sf_dir, "embeddings"), "id % 100 = 0")
+
+
+def op8_vp_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vp_search.nearest(table(spark, sf_dir, "embeddings"), "id % 20 = 0")
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.createDataFrame(PROBE, "conv_id long, turn long, role string, text string")
@@ -40,7 +48,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_secret_scan, op3_suffix_dedup, op4_sentencepiece_codec, op5_simhash_dedup, op10_chat_format)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_secret_scan, op3_suffix_dedup, op4_sentencepiece_codec, op5_simhash_dedup, op7_exact_topk, op8_vp_search, op10_chat_format)}
 
 
 OP10_SQL = r"""
@@ -64,5 +72,19 @@ FROM turns GROUP BY conv_id
 """
 
 
+OP7_SQL = """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM whole q JOIN whole c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op10_chat_format": OP10_SQL}
+    return {"op7_exact_topk": OP7_SQL, "op10_chat_format": OP10_SQL}
