@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,18 +13,24 @@ def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def durable(frame: DataFrame) -> DataFrame:
-    """Cut the lineage with a copy in the folder all executors share.
-
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only where none is
-    named (local tests) a temporary one of this machine is taken.
-    """
-    sc = frame.sparkSession.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir")
+def _checkpoint_dir(spark: SparkSession) -> str:
+    """The folder named in ``spark.checkpoint.dir``; only where none is named (local tests) a temporary one of this machine."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def durable(frame: DataFrame) -> DataFrame:
+    """Cut the lineage with a copy in the folder all executors share."""
+    _checkpoint_dir(frame.sparkSession)
     return frame.checkpoint()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new path in the folder all executors share."""
+    return f"{_checkpoint_dir(spark)}/{uuid.uuid4().hex}"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -31,6 +31,9 @@ from quantloom.llm.components import components, forest
 
 SEED = 42
 _ROWS = 1 << 16
+_PRINT_ROWS = 1 << 12
+_SMALL = 16
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def fingerprint(text: str, shingle: int = 3) -> int:
@@ -181,8 +184,156 @@ def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataF
     return printed.join(classes, "fingerprint").select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataFrame:
-    """The rows that stand for their group: that of the smallest doc_id, and all with a null doc_id."""
-    classes = near_duplicates(docs.where("doc_id IS NOT NULL"), radius, shingle)
-    gone = classes.where("doc_id <> component_id").select("doc_id").distinct()
+def word_print(text: str, words: int) -> bytes:
+    """A long fingerprint of the distinct words of a text: 64 bits times ``words``, one bit wherever half of them set it."""
+    import xxhash
+
+    found = list({*text.encode("utf-8", "surrogatepass").lower().split()})
+    if not found:
+        return bytes(8 * words)
+    ones = np.zeros(64 * words, np.int64)
+    for at in range(0, len(found), _PRINT_ROWS):
+        h = np.array(list(map(xxhash.xxh64_intdigest, found[at : at + _PRINT_ROWS])), np.uint64)[:, None] + _STEP * np.arange(1, words + 1, dtype=np.uint64)
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        h ^= h >> np.uint64(31)
+        ones += np.unpackbits(h.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(2 * ones > len(found), bitorder="little").tobytes()
+
+
+def shingle_similarity(a: str, b: str, shingle: int) -> float:
+    """Jaccard similarity of the sets of word shingles; a text of fewer words is one shingle, none at all."""
+    sets = []
+    for text in (a, b):
+        words = text.encode("utf-8", "surrogatepass").lower().split()
+        sets.append({*zip(*(words[i:] for i in range(min(shingle, len(words)))))})
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1]) if sets[0] or sets[1] else 1.0
+
+
+def _near_one(planes: np.ndarray, item: int, radius: int) -> np.ndarray:
+    """Rows of the bit planes within the radius of one item, bit-sliced."""
+    at = np.arange(planes.shape[1])
+    counters, over = np.zeros((int(radius + 1).bit_length(), len(at)), np.uint64), np.zeros(len(at), np.uint64)
+    for bit in range(64):
+        carry = ~planes[bit, at] if item >> bit & 1 else planes[bit, at].copy()
+        for level in counters:
+            carry, level[:] = level & carry, level ^ carry
+        over |= carry
+        if bit % 8 == 7:
+            keep = ~(over | _above(counters, radius)) != 0
+            if not keep.all():
+                at, over, counters = at[keep], over[keep], counters[:, keep]
+                if not len(at):
+                    break
+    near = np.zeros(planes.shape[1], np.uint64)
+    near[at] = ~(over | _above(counters, radius))
+    return np.flatnonzero(np.unpackbits(near.view(np.uint8), bitorder="little"))
+
+
+def _leaders(items: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """(member, leader) for a large bucket: again and again the row nearest to the majority of those
+    left takes all within the radius, so a group meets its most central member, not all pairs."""
+    left, a, b = np.arange(len(items)), [], []
+    while len(left) > 1:
+        bits = np.unpackbits(items[left].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        middle = bits.sum(0, dtype=np.int64) * 2 > len(left)
+        leader = int(np.argmin((bits != middle).sum(1)))
+        near = _near_one(_planes(items[left]), int(items[left[leader]]), radius)
+        near = near[near < len(left)]
+        a.append(left[near[near != leader]])
+        b.append(np.full(len(a[-1]), left[leader]))
+        gone = np.zeros(len(left), bool)
+        gone[near] = gone[leader] = True
+        left = left[~gone]
+    return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64),) * 2
+
+
+def _candidates(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by band and bucket. Small buckets give all pairs within the radius, others their leaders' pairs."""
+    names = ["band", "bucket", "item", "print"]
+
+    def pairs(bucket: np.ndarray, item: np.ndarray, printed: np.ndarray) -> pa.RecordBatch:
+        number = np.cumsum(np.r_[True, bucket[1:] != bucket[:-1]])
+        size = np.bincount(number)[number]
+        small, a, b = np.flatnonzero((size > 1) & (size <= _SMALL)), [], []
+        i, j = close_pairs(number[small], printed[small], radius)
+        a.append(small[i])
+        b.append(small[j])
+        large = np.flatnonzero(size > _SMALL)
+        for own in np.split(large, np.flatnonzero(np.diff(number[large])) + 1) if len(large) else []:
+            i, j = _leaders(printed[own], radius)
+            a.append(own[i])
+            b.append(own[j])
+        a, b = item[np.concatenate(a)], item[np.concatenate(b)]
+        return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
+
+    held = [np.zeros(0, np.int64)] * 4
+    for batch in batches:
+        held = [np.concatenate([h, batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64)]) for h, c in zip(held, names)]
+        if len(held[0]) >= _ROWS:
+            key = held[0] << 32 | held[1]
+            last = np.flatnonzero(key != key[-1])
+            cut = last[-1] + 1 if len(last) else len(key) if len(key) >= 8 * _ROWS else 0  # a huge bucket goes in parts, which other bands cut elsewhere
+            if cut:
+                yield pairs(key[:cut], held[2][:cut], held[3][:cut].view(np.uint64))
+                held = [h[cut:] for h in held]
+    if len(held[0]):
+        yield pairs(held[0] << 32 | held[1], held[2], held[3].view(np.uint64))
+
+
+def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, bands: int = 32, radius: int = 14) -> DataFrame:
+    """doc_id, component_id of all rows with a doc_id; texts whose shingle sets reach the similarity are linked.
+
+    Such texts differ in so few bits of a SimHash over 5-word shingles that no block of useful
+    size need agree, so candidates come from a long SimHash over distinct words, in which they
+    are much closer: ``bands`` buckets of 24 bits each, compared bit-sliced on 64 further bits.
+    Every candidate pair is then verified on its whole shingle sets. Equal texts are one item
+    all the way.
+    """
+    words = -(-bands * 24 // 64) + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [word_print(t.as_py(), words) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(found, pa.binary())], ["doc_id", "key", "bits"])
+
+    def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            bits = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint8).reshape(n, 8 * words)
+            parts = np.zeros((n, bands, 4), np.uint8)
+            parts[:, :, :3] = bits[:, : 3 * bands].reshape(n, bands, 3)
+            last = np.ascontiguousarray(bits[:, -8:]).view("<i8").ravel()
+            item = batch.column("item").to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(bands, dtype=np.int32), n)), pa.array(parts.view("<i4").ravel()), pa.array(np.repeat(item, bands)), pa.array(np.repeat(last, bands))], ["band", "bucket", "item", "print"])
+
+    spark = docs.sparkSession
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.unhex(F.sha2(text, 256)).alias("key"))
+    printed = durable(rows.mapInArrow(run, "doc_id long, key binary, bits binary"))
+    items = durable(printed.groupBy("key").agg(F.min("doc_id").alias("item"), F.first("bits").alias("bits")))
+    dealt = items.select("item", "bits").mapInArrow(banded, "band int, bucket int, item long, print long").repartition(shuffle_width(spark), "band", "bucket").sortWithinPartitions("band", "bucket", "item")
+    pairs = durable(dealt.mapInArrow(lambda batches: _candidates(batches, radius), "a long, b long").where("a <> b").distinct())
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = [shingle_similarity(a, b, shingle) >= similarity for a, b in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist())]
+            yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
+
+    named = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "item")
+    texts = rows.join(items.select("key", "item").join(named, "item"), (rows["doc_id"] == F.col("item")) & (rows["key"] == items["key"])).select("item", "text")
+    both = pairs.join(texts.select(F.col("item").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("item").alias("b"), F.col("text").alias("text_b")), "b")
+    linked = components(both.select("a", "b", "text_a", "text_b").mapInArrow(verified, "a long, b long"))
+    classes = items.select("key", "item").join(linked.withColumnRenamed("node", "item"), "item", "left").select("key", F.coalesce("component", "item").alias("component_id"))
+    return printed.select("doc_id", "key").join(classes, "key").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
+    """The rows that stand for their group of similar texts: that of the smallest doc_id, and all with a null doc_id.
+
+    Rows that share a doc_id with different texts go only if all of them have a smaller similar one.
+    """
+    classes = similar_documents(docs, similarity, shingle)
+    least = classes.groupBy("doc_id").agg(F.max("component_id").alias("component_id"))
+    gone = least.where("doc_id <> component_id").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti")

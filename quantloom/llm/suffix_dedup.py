@@ -36,6 +36,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quantloom.llm.common import shuffle_width
 
@@ -76,12 +77,12 @@ class Block:
     """The documents of a block in one buffer, ordered by doc_id and bytes."""
 
     def __init__(self, doc_ids: list[int], texts: list[bytes]):
-        rows = sorted(zip(doc_ids, texts))
-        self.doc_ids = np.array([d for d, _ in rows], np.int64)
-        sizes = np.array([len(t) for _, t in rows], np.int64)
+        self.order = sorted(range(len(texts)), key=lambda i: (doc_ids[i], texts[i]))
+        self.doc_ids = np.array([doc_ids[i] for i in self.order], np.int64)
+        sizes = np.array([len(texts[i]) for i in self.order], np.int64)
         self.ends = np.cumsum(sizes)
         self.starts = self.ends - sizes
-        self.data = np.frombuffer(b"".join(t for _, t in rows), np.uint8)
+        self.data = np.frombuffer(b"".join(texts[i] for i in self.order), np.uint8)
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
         """Places and hashes of the q-grams that strings of LENGTH bytes choose; no string spans two documents."""
@@ -389,13 +390,16 @@ def _cut(docs: pa.Table, verdicts: pa.Table) -> pa.Table:
         sizes.append(b - a)
         kept.append(data.tobytes())
         removed.append(spans)
-    return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_bytes": pa.array(sizes, pa.int64()), "kept": pa.array(kept, pa.binary()), "removed": pa.array(removed, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))})
+    rest = docs.drop_columns(["block", "doc_id", "data"]).take(block.order)
+    runs = pa.array(removed, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
+    return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_bytes": pa.array(sizes, pa.int64()), "kept": pa.array(kept, pa.binary()), "removed": runs} | {c: rest.column(c) for c in rest.column_names})
 
 
-def cut_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Per row: doc_id, n_bytes, the bytes kept, and the removed runs."""
+def cut_repeats(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per row: doc_id, n_bytes, the bytes kept, the removed runs, and the columns to carry as _0, _1 ..."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("data"))
+    rest = [F.col(c).alias(f"_{i}") for i, c in enumerate(carry)]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("data"), *rest)
     size = rows.agg(F.sum(F.length("data"))).first()[0] or 0
     parts = max(shuffle_width(spark), -(-size // BLOCK_BYTES))
     known = rows.where("doc_id IS NOT NULL")
@@ -409,9 +413,31 @@ def cut_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     by_block = blocks.groupBy("block")
     sent = by_block.cogroup(masks.groupBy("block")).applyInArrow(contexts, _PARCELS)
     verdicts = sent.repartition(parts, "dest").mapInArrow(_decide, _PARCELS)
-    cut = by_block.cogroup(verdicts.groupBy("block")).applyInArrow(_cut, CUT)
-    unknown = rows.where("doc_id IS NULL").select("doc_id", F.length("data").cast("long").alias("n_bytes"), F.col("data").alias("kept"), F.from_json(F.lit("[]"), "array<struct<start:long,end:long>>").alias("removed"))
-    return cut.unionByName(unknown)
+    schema = T.StructType(T.StructType.fromDDL(CUT).fields + rows.select([c for c in rows.columns if c not in ("doc_id", "data")]).schema.fields)
+    cut = by_block.cogroup(verdicts.groupBy("block")).applyInArrow(_cut, schema)
+    whole = {"n_bytes": F.length("data").cast("long"), "kept": F.col("data"), "removed": F.from_json(F.lit("[]"), "array<struct<start:long,end:long>>")}
+    return cut.unionByName(rows.where("doc_id IS NULL").withColumns(whole).drop("data"))
+
+
+def dedup(docs: DataFrame) -> DataFrame:
+    """The rows and columns of ``docs`` with repeats cut out of the text, and n_chars, where there is one, as the new length.
+
+    A character that loses some of its bytes goes whole; a null text stays null.
+    """
+    names = docs.columns
+    flagged = docs.withColumn("_text_missing", F.col("text").isNull())
+    carried = [*(c for c in names if c != "text"), "_text_missing"]
+
+    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [None if missing else kept.decode("utf-8", "ignore") for kept, missing in zip(batch.column("kept").to_pylist(), batch.column(f"_{len(names) - 1}").to_pylist())]
+            columns = [pa.array(texts, pa.string()) if c == "text" else batch.column(f"_{carried.index(c)}") for c in names]
+            if "n_chars" in names:
+                columns[names.index("n_chars")] = pa.array([None if t is None else len(t) for t in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    schema = T.StructType([T.StructField(f.name, T.StringType() if f.name == "text" else T.LongType() if f.name == "n_chars" else f.dataType) for f in docs.schema])
+    return cut_repeats(flagged, carry=tuple(carried)).mapInArrow(decoded, schema)
 
 
 def digests(cut: DataFrame) -> DataFrame:
