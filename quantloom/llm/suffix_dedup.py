@@ -43,7 +43,7 @@ from quantloom.llm.common import shuffle_width
 LENGTH, GRAM = 50, 24
 LEFT, RIGHT = LENGTH - GRAM, LENGTH  # bytes of a context before and from its anchor
 HOT = 50_000
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 6 << 20
 _SLICE = 1 << 19
 _HOT_ROWS = 10_000
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
