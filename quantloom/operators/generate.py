@@ -10,8 +10,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.operators.backtest import BacktestConfig, execute
-from quantloom.operators.metrics import performance
+from quantloom.operators.backtest import BacktestConfig, evaluate
 from quantloom.operators.registry import Registry, default_registry
 from quantloom.operators.rules import RuleChain
 from quantloom.plans.ir import Edge, Node, StrategyIR
@@ -25,20 +24,17 @@ def evaluate_all(strategies: list[StrategyIR], bars: DataFrame, config: Backtest
     registry = registry or default_registry()
     wide, signals, seen = RuleChain().apply(bars), [], {}
     base = wide.columns
-    for i, ir in enumerate(strategies):
+    for ir in strategies:
         if (key := ir.fingerprint()) not in seen:
-            seen[key] = i
+            seen[key] = len(signals)
             before = wide.columns
             bound, columns = bind(ir, wide, registry)
-            new = [c for c in bound.columns if c not in before]
-            names = {c: f"_x{i}_{n}" for n, c in enumerate(new)}
+            names = {c: f"_x{len(signals)}_{n}" for n, c in enumerate(c for c in bound.columns if c not in before)}
             wide = bound.withColumnsRenamed(names)
-            signals.append((i, compile_signal(ir, {k: names.get(v, v) for k, v in columns.items()})))
-    runs = wide.withColumns({f"_s{i}": s for i, s in signals})
-    exploded = runs.withColumn("_run", F.explode(F.array(*(F.struct(F.lit(i).alias("run_id"), F.col(f"_s{i}").alias("signal")) for i, _ in signals)))).select("_run.*", *base)
-    figures = performance(execute(exploded, config, ("run_id", "symbol")), ["run_id", "symbol"])
-    copies = bars.sparkSession.createDataFrame([(i, seen[ir.fingerprint()]) for i, ir in enumerate(strategies)], "wanted int, run_id int")
-    return figures.join(copies, "run_id").drop("run_id").withColumnRenamed("wanted", "run_id")
+            signals.append(compile_signal(ir, {k: names.get(v, v) for k, v in columns.items()}))
+    figures = evaluate(wide.withColumn("signals", F.array(*signals)).select(*base, "signals"), config)
+    wanted = F.create_map(*(F.lit(x) for at in range(len(signals)) for x in (at, [i for i, ir in enumerate(strategies) if seen[ir.fingerprint()] == at])))
+    return figures.withColumn("run_id", F.explode(wanted[F.col("combo_idx")])).drop("combo_idx")
 
 
 def mean_metric(strategies: list[StrategyIR], bars: DataFrame, metric: str = "sharpe_ratio", config: BacktestConfig = BacktestConfig()) -> list[float]:

@@ -29,13 +29,16 @@ def drawdowns(equity: DataFrame, keys: list[str], order: str = "bar_seq") -> Dat
     return staged.withColumn("under_bars", F.when(under, lasted).otherwise(0)).drop("_start", "_final", "_seq")
 
 
-def equity_metrics(equity: DataFrame, keys: list[str], order: str = "bar_seq") -> DataFrame:
-    """One row per run: return, risk and drawdown figures; zeros where there are fewer than two bars."""
+def equity_metrics(equity: DataFrame, keys: list[str], order: str = "bar_seq", more: dict[str, Column] | None = None) -> DataFrame:
+    """One row per run: return, risk and drawdown figures; zeros where there are fewer than two bars.
+
+    ``more`` aggregates further columns of the curve on the way.
+    """
     d = drawdowns(equity, keys, order)
     negative = F.when(F.col("ret") < 0, F.col("ret"))
     one = d.groupBy(*keys).agg(
         F.count("*").alias("n"), F.min_by("equity", order).alias("first"), F.max_by("equity", order).alias("last"),
-        F.stddev_samp("ret").alias("sd"), F.stddev_samp(negative).alias("down"), F.min("drawdown").alias("mdd"), F.max("under_bars").alias("max_drawdown_duration"),
+        F.stddev_samp("ret").alias("sd"), F.stddev_samp(negative).alias("down"), F.min("drawdown").alias("mdd"), F.max("under_bars").alias("max_drawdown_duration"), *(x.alias(c) for c, x in (more or {}).items()),
     )
     total = F.col("last") / F.col("first") - 1
     annual = F.when(1 + F.col("total") > 0, F.pow(1 + F.col("total"), PERIODS / F.col("n")) - 1).otherwise(F.col("total") * PERIODS / F.col("n"))
@@ -55,7 +58,7 @@ def equity_metrics(equity: DataFrame, keys: list[str], order: str = "bar_seq") -
         "calmar_ratio": F.when(F.col("mdd") != 0, F.col("annual") / F.abs("mdd")),
         "return_on_drawdown": F.when(F.col("mdd") != 0, (F.col("last") - F.col("first")) / (F.abs("mdd") * F.col("first"))),
     }
-    return out.select(*keys, *(F.when(few, 0.0).otherwise(_or_zero(x)).alias(c) for c, x in figures.items()))
+    return out.select(*keys, *(F.when(few, 0.0).otherwise(_or_zero(x)).alias(c) for c, x in figures.items()), *(more or {}))
 
 
 def fifo_round_trips(trades: DataFrame, keys: list[str]) -> DataFrame:
@@ -99,12 +102,14 @@ def trade_metrics(trades: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def performance(steps: DataFrame, keys: list[str]) -> DataFrame:
-    """All figures of executed runs (rows of ``execute``)."""
-    from quantloom.operators.backtest import trades_of
-
-    trade_figures = ("win_rate", "profit_factor", "avg_win", "avg_loss", "expectancy", "total_trades")
-    joined = equity_metrics(steps, keys).join(trade_metrics(trades_of(steps), keys), keys, "left")
-    return joined.withColumns({c: _or_zero(F.col(c)) for c in trade_figures})
+    """All figures of executed runs (rows of ``execute``, whose sells carry their round trips), in one pass."""
+    won, lost, n_won, n_lost = (F.coalesce(F.sum(c), F.lit(0)) for c in ("won", "lost", "n_won", "n_lost"))
+    sums = {"_won": won, "_lost": lost, "_nw": n_won, "_nl": n_lost, "_fills": F.count("side")}
+    one = equity_metrics(steps, keys, more={k: v for k, v in sums.items()})
+    rate = _or_zero(F.try_divide(F.col("_nw"), F.col("_nw") + F.col("_nl")))
+    mean_won, mean_lost = _or_zero(F.try_divide(F.col("_won"), F.col("_nw"))), _or_zero(F.try_divide(F.col("_lost"), F.col("_nl")))
+    figures = {"win_rate": rate, "profit_factor": F.when(F.col("_lost") > 0, F.col("_won") / F.col("_lost")).otherwise(0.0), "avg_win": mean_won, "avg_loss": mean_lost, "expectancy": rate * mean_won - (1 - rate) * mean_lost, "total_trades": F.col("_fills").cast("double")}
+    return one.withColumns(figures).drop(*sums)
 
 
 def pnl_histogram(trips: DataFrame, keys: list[str], bins: int = 20) -> DataFrame:

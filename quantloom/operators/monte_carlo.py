@@ -14,8 +14,11 @@ RATES = (0.1, 0.2, 0.3)  # fixed values: rates a simulation draws from
 
 
 def simulations(trades: DataFrame, n: int) -> DataFrame:
-    """Every trade once for each simulation 0 to n - 1. ``n`` is a parameter, so no join is needed."""
-    return trades.withColumn("sim_id", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    """Every trade once for each simulation 0 to n - 1, dealt out by simulation so that what follows needs no other shuffle.
+
+    ``n`` is a parameter, so no join is needed.
+    """
+    return trades.withColumn("sim_id", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).repartition("run_id", "sim_id")
 
 
 def perturb(trades: DataFrame, method: str, n: int, seed: int = 42) -> DataFrame:
@@ -44,9 +47,10 @@ def perturb(trades: DataFrame, method: str, n: int, seed: int = 42) -> DataFrame
 def rebuild(simulated: DataFrame, initial: float = 1_000_000.0) -> DataFrame:
     """Equity curves of simulations: a first point, then the running sum of pnl."""
     w = Window.partitionBy("run_id", "sim_id").orderBy("place", "trade_seq")
-    points = simulated.select("run_id", "sim_id", F.row_number().over(w).alias("bar_seq"), (initial + F.sum("pnl").over(w.rowsBetween(Window.unboundedPreceding, 0))).alias("equity"))
-    first = simulated.select("run_id", "sim_id").distinct().select("run_id", "sim_id", F.lit(0).alias("bar_seq"), F.lit(initial).alias("equity"))
-    return first.unionByName(points)
+    numbered = simulated.select("run_id", "sim_id", F.row_number().over(w).alias("_n"), (initial + F.sum("pnl").over(w.rowsBetween(Window.unboundedPreceding, 0))).alias("_e"))
+    point = F.struct(F.col("_n").alias("bar_seq"), F.col("_e").alias("equity"))
+    start = F.struct(F.lit(0).alias("bar_seq"), F.lit(initial).alias("equity"))
+    return numbered.select("run_id", "sim_id", F.when(F.col("_n") == 1, F.array(start, point)).otherwise(F.array(point)).alias("_p")).select("run_id", "sim_id", F.inline("_p"))
 
 
 def summarize(figures: DataFrame, keys: list[str], threshold: float = 0.8) -> DataFrame:

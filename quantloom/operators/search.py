@@ -9,8 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions.windows import roll
-from quantloom.operators.backtest import BacktestConfig, execute
-from quantloom.operators.metrics import equity_metrics
+from quantloom.operators.backtest import BacktestConfig, evaluate
 from quantloom.operators.rules import RuleChain
 
 Space = dict[str, tuple]
@@ -42,23 +41,24 @@ def detect_space(params: dict[str, float]) -> Space:
     return {k: ("int", max(1, v // 2), 2 * v + 1) if isinstance(v, int) else ("float", v * 0.5, v * 2 + 1) for k, v in params.items() if isinstance(v, (int, float)) and not isinstance(v, bool)}
 
 
-def cross_runs(bars: DataFrame, pairs: list[tuple[int, int]]) -> DataFrame:
-    """Signals of many moving-average pairs at once: each distinct average is computed once, then every bar is
-    exploded into one row per pair. Rows: run_id, fast, slow, the bar, signal."""
+def cross_signals(bars: DataFrame, pairs: list[tuple[int, int]]) -> DataFrame:
+    """Bars with rule flags and ``signals``, an entry for each moving-average pair; each distinct average is computed once."""
     checked = RuleChain().apply(bars)
     periods = sorted({p for pair in pairs for p in pair})
     averaged = checked.withColumns({f"_sma{p}": roll(F.avg, F.col("close"), p) for p in periods})
-    runs = [F.struct(F.lit(i).alias("combo_idx"), F.lit(f).alias("fast"), F.lit(s).alias("slow"), F.when(F.coalesce(F.col(f"_sma{f}") > F.col(f"_sma{s}"), F.lit(False)), 1).otherwise(-1).alias("signal")) for i, (f, s) in enumerate(pairs)]
-    exploded = averaged.withColumn("_run", F.explode(F.array(*runs))).drop(*(f"_sma{p}" for p in periods))
-    return exploded.select("_run.*", *(c for c in checked.columns))
+    signals = F.array(*(F.when(F.coalesce(F.col(f"_sma{f}") > F.col(f"_sma{s}"), F.lit(False)), 1).otherwise(-1) for f, s in pairs))
+    return averaged.withColumn("signals", signals).drop(*(f"_sma{p}" for p in periods))
+
+
+def _named(figures: DataFrame, pairs: list[tuple[int, int]]) -> DataFrame:
+    fast, slow = (F.element_at(F.array(*(F.lit(p[i]) for p in pairs)), F.col("combo_idx") + 1) for i in (0, 1))
+    return figures.withColumns({"fast": fast, "slow": slow})
 
 
 def grid_search(bars: DataFrame, pairs: list[tuple[int, int]], metric: str = "sharpe_ratio", config: BacktestConfig = BacktestConfig()) -> DataFrame:
     """Every pair's figures per symbol, with its rank; of equals the first combination wins."""
-    steps = execute(cross_runs(bars, pairs), config, ("combo_idx", "fast", "slow", "symbol"))
-    figures = equity_metrics(steps, ["symbol", "combo_idx", "fast", "slow"])
     best = Window.partitionBy("symbol").orderBy(F.desc(F.round(metric, 10)), "combo_idx")
-    return figures.withColumn("rank", F.row_number().over(best))
+    return _named(evaluate(cross_signals(bars, pairs), config), pairs).withColumn("rank", F.row_number().over(best))
 
 
 def wfo_windows(bars: DataFrame, in_sample: int, out_sample: int, step: int) -> DataFrame:
@@ -74,19 +74,16 @@ def walk_forward(bars: DataFrame, pairs: list[tuple[int, int]], in_sample: int,
     """Per symbol and window: the pair that was best in sample, both total returns and their efficiency.
 
     Bars know their windows by arithmetic on their position (no range join); in-sample and
-    out-of-sample parts of all windows and pairs are executed as one set of runs.
+    out-of-sample parts are groups in which all pairs are executed.
     """
-    signals = cross_runs(bars, pairs)
-    at = F.row_number().over(Window.partitionBy("symbol", "combo_idx").orderBy("ts")) - 1
-    count = F.count("*").over(Window.partitionBy("symbol", "combo_idx"))
-    placed = signals.withColumns({"_at": at, "_n": count})
+    w = Window.partitionBy("symbol")
+    placed = cross_signals(bars, pairs).withColumns({"_at": F.row_number().over(w.orderBy("ts")) - 1, "_n": F.count("*").over(w)})
     size = in_sample + out_sample
     first = F.greatest(F.lit(0), F.ceil((F.col("_at") - size + 1) / step)).cast("int")
     final = F.least(F.floor(F.col("_at") / step), F.floor((F.col("_n") - size) / step)).cast("int")
     windowed = placed.where((F.col("_n") >= size) & (first <= final)).withColumn("window_idx", F.explode(F.sequence(first, final)))
     parts = windowed.withColumn("part", F.when(F.col("_at") - F.col("window_idx") * step < in_sample, "is").otherwise("oos")).drop("_at", "_n")
-    keys = ("symbol", "window_idx", "part", "combo_idx", "fast", "slow")
-    figures = equity_metrics(execute(parts, config, keys), list(keys)).select(*keys, "total_return_pct")
+    figures = _named(evaluate(parts, config, ("symbol", "window_idx", "part"), chunk=len(pairs)), pairs)
     wide = figures.groupBy("symbol", "window_idx", "combo_idx", "fast", "slow").agg(F.max(F.when(F.col("part") == "is", F.col("total_return_pct"))).alias("is_return"), F.max(F.when(F.col("part") == "oos", F.col("total_return_pct"))).alias("oos_return"))
     best = Window.partitionBy("symbol", "window_idx").orderBy(F.desc(F.round("is_return", 10)), "combo_idx")
     chosen = wide.withColumn("_r", F.row_number().over(best)).where("_r = 1").drop("_r")

@@ -341,7 +341,7 @@ tm AS (SELECT {keys}, coalesce(wr, 0.0) AS win_rate, CASE WHEN lost > 0 THEN won
 TRADE_FIGURES = ("win_rate", "profit_factor", "avg_win", "avg_loss", "expectancy", "total_trades")
 CURVE = f"WITH {DAILY}, curve AS (SELECT symbol, ts, row_number() OVER ({S}) - 1 AS bar_seq, close AS equity FROM bars)"
 ORACLES["equity_metrics"] = CURVE + metric_tables("curve", "symbol") + f"SELECT symbol, {', '.join(map(r, FIGURES))} FROM mx"
-ORACLES["drawdown_islands"] = CURVE + metric_tables("curve", "symbol") + f"SELECT symbol, bar_seq, {r('peak')}, {r('drawdown')}, under_bars FROM m3"
+ORACLES["drawdown_islands"] = CURVE + metric_tables("curve", "symbol") + f"SELECT symbol, bar_seq::INT AS bar_seq, {r('peak')}, {r('drawdown')}, under_bars::INT AS under_bars FROM m3"
 ORACLES["flat_run"] = CURVE + f""", h AS (SELECT *, coalesce(equity > max(equity) OVER ({S} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS high FROM curve),
 g AS (SELECT *, bar_seq - last_value(CASE WHEN high THEN bar_seq END IGNORE NULLS) OVER ({S} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS since FROM h) SELECT symbol, max(since)::INT AS flat_run FROM g GROUP BY symbol"""
 ORACLES["multi_oos"] = CURVE + f", c AS (SELECT *, ntile(3) OVER ({S}) AS part FROM curve) SELECT symbol, part::INT AS part, {r('arg_max(equity, bar_seq) / arg_min(equity, bar_seq) - 1', 'total_return')}, count(*) AS n FROM c GROUP BY symbol, part"
@@ -353,7 +353,7 @@ ORACLES["backtest_metrics"] = (
 )
 FILLS = """WITH t AS (SELECT l_returnflag || l_linestatus AS symbol, l_shipdate AS ts, l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, CASE WHEN l_orderkey % 3 = 0 THEN -1 ELSE 1 END AS signal, (l_quantity * 100)::BIGINT AS shares, round(l_extendedprice / l_quantity / 100 + 3.7e-8, 4) AS price, l_tax AS commission, l_discount AS slippage FROM lineitem),
 fills AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts, l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, price) AS trade_seq, symbol AS run_id FROM t)"""
-ORACLES["fifo_round_trips"] = FILLS + fifo_tables("fills", "") + f"SELECT symbol, buy_trade_seq, sell_trade_seq, shares, {r('cost', digits=4)}, {r('proceeds', digits=4)}, {r('pnl', digits=4)} FROM tp"
+ORACLES["fifo_round_trips"] = FILLS + fifo_tables("fills", "") + f"SELECT symbol, buy_trade_seq::INT AS buy_trade_seq, sell_trade_seq::INT AS sell_trade_seq, shares, {r('cost', digits=4)}, {r('proceeds', digits=4)}, {r('pnl', digits=4)} FROM tp"
 ORACLES["trade_metrics"] = FILLS + fifo_tables("fills", "run_id") + trade_figures("run_id", "fills") + f"SELECT run_id, {', '.join(r(c, digits=4) for c in TRADE_FIGURES)} FROM tm"
 ORACLES["pnl_histogram"] = FILLS + fifo_tables("fills", "") + f""", p AS (SELECT symbol, round(pnl + 3.7e-8, 4) AS pnl FROM tp), e AS (SELECT symbol, min(pnl) AS lo, max(pnl) AS hi FROM p GROUP BY symbol)
 SELECT symbol, coalesce(least(floor((pnl - lo) / nullif((hi - lo) / 20, 0)), 19), 0)::INT AS bin, count(*) AS n, {r('sum(pnl)', 'pnl', 2)} FROM p JOIN e USING (symbol) GROUP BY ALL"""
@@ -385,7 +385,7 @@ def simulated(method: str) -> str:
 
 METHODS = ("shuffle_trades", "skip_trades", "randomize_trades_order", "position_size", "delete_trades")
 for _m in METHODS:
-    ORACLES[f"mc_{_m}"] = OUTCOMES + f", sim AS ({simulated(_m)}) SELECT run_id, sim_id, trade_seq, {r('pnl')}, row_number() OVER (PARTITION BY run_id, sim_id ORDER BY place, trade_seq)::INT AS at FROM sim".replace(" AS at", ' AS "at"')
+    ORACLES[f"mc_{_m}"] = OUTCOMES + f", sim AS ({simulated(_m)}) SELECT run_id, sim_id, trade_seq::INT AS trade_seq, {r('pnl')}, row_number() OVER (PARTITION BY run_id, sim_id ORDER BY place, trade_seq)::INT AS at FROM sim".replace(" AS at", ' AS "at"')
 ORACLES["mc_summary"] = OUTCOMES + ", sim AS (" + " UNION ALL ".join(f"SELECT '{m}' AS method, run_id, sim_id, trade_seq, pnl, place FROM ({simulated(m)})" for m in METHODS) + """),
 curve AS (SELECT method, run_id, sim_id, row_number() OVER p AS bar_seq, 1000000.0::DOUBLE + sum(pnl) OVER (p ROWS UNBOUNDED PRECEDING) AS equity FROM sim WINDOW p AS (PARTITION BY method, run_id, sim_id ORDER BY place, trade_seq) UNION ALL SELECT DISTINCT method, run_id, sim_id, 0, 1000000.0::DOUBLE FROM sim)""" + metric_tables("curve", "method, run_id, sim_id") + f"""
 SELECT run_id, method, count(*) AS n_simulations, {r("avg((total_return_pct > 0)::INT)", "profitable_pct", 4)}, {r("quantile_cont(total_return_pct / 100, 0.5)", "profit_median", 4)}, {r("quantile_cont(total_return_pct / 100, 0.05)", "profit_pct5", 4)}, {r("quantile_cont(total_return_pct / 100, 0.95)", "profit_pct95", 4)}, {r("stddev_samp(total_return_pct / 100)", "profit_std", 4)},

@@ -6,15 +6,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BARS = T.StructType.fromDDL(
-    "symbol string, ts timestamp_ntz, open double, high double, low double, close double, volume double, amount double, "
-    "turnover_rate double, board string, prev_close double, limit_up boolean, limit_down boolean, is_suspended boolean, adjustment_factor double"
+_TYPES = {"string": T.StringType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "int": T.IntegerType(), "long": T.LongType(), "timestamp_ntz": T.TimestampNTZType()}
+
+
+def _table(**columns: str) -> T.StructType:
+    """Columns by type, without a session."""
+    return T.StructType([T.StructField(name, _TYPES[kind]) for kind, names in columns.items() for name in names.split()])
+
+
+def _ordered(schema: T.StructType, names: str) -> T.StructType:
+    return T.StructType([schema[name] for name in names.split()])
+
+
+BARS = _ordered(
+    _table(string="symbol board", timestamp_ntz="ts", double="open high low close volume amount turnover_rate prev_close adjustment_factor", boolean="limit_up limit_down is_suspended"),
+    "symbol ts open high low close volume amount turnover_rate board prev_close limit_up limit_down is_suspended adjustment_factor",
 )
-TRADES = T.StructType.fromDDL(
-    "run_id string, trade_seq int, trade_id string, ts timestamp_ntz, symbol string, signal int, price double, shares long, "
-    "commission double, slippage double, reason string, pnl double"
+TRADES = _ordered(
+    _table(string="run_id trade_id symbol reason", int="trade_seq signal", timestamp_ntz="ts", double="price commission slippage pnl", long="shares"),
+    "run_id trade_seq trade_id ts symbol signal price shares commission slippage reason pnl",
 )
-EQUITY = T.StructType.fromDDL("run_id string, symbol string, bar_seq int, ts timestamp_ntz, equity double, cash double, market_value double")
+EQUITY = _ordered(_table(string="run_id symbol", int="bar_seq", timestamp_ntz="ts", double="equity cash market_value"), "run_id symbol bar_seq ts equity cash market_value")
 
 # Other names under which a column may come.
 ALIASES = {
