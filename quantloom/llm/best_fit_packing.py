@@ -87,11 +87,12 @@ def plan(counts: dict[int, int], capacity: int) -> Slots:
 
 
 def pack(pieces: DataFrame, capacity: int) -> DataFrame:
-    """The pieces with sequence_id and offset; ``length`` (1 to capacity) is all that counts.
+    """The pieces with sequence_id and offset, in place of columns so named; ``length`` (1 to capacity) is all that counts.
 
     The pieces are cut off from their lineage first, so ranks stay the same whenever a task is
     run again.
     """
+    pieces = pieces.drop("sequence_id", "offset", "_task", "_rank", "_base")
     schema = pieces.schema
     names = pieces.columns
 

@@ -32,5 +32,13 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{_checkpoint_dir(spark)}/{uuid.uuid4().hex}"
 
 
+def fresh(taken: list[str], wanted: str) -> str:
+    """A column name that isn't taken, whatever its case."""
+    low = {c.lower() for c in taken}
+    while wanted.lower() in low:
+        wanted = f"_{wanted}"
+    return wanted
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

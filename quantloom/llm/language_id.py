@@ -118,7 +118,8 @@ def predict(model: Model, text: str | None) -> tuple[str, float, float]:
 
 
 def identify(docs: DataFrame, model: Model, ambiguity: float = 0.1, text: str = "text") -> DataFrame:
-    """The rows with lang_pred, score and ambiguous (the next codeword is within ``ambiguity``)."""
+    """The rows with lang_pred, score and ambiguous (the next codeword is within ``ambiguity``), in place of columns so named."""
+    docs = docs.drop("lang_pred", "score", "ambiguous")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
 

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quantloom.llm.common import fresh
+
 KINDS = ("assign", "access", "hex")
 RULES = "1"  # goes up whenever a pattern below changes
 MASK = "[secret]"
@@ -57,8 +59,8 @@ def _scan_blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("blob"), pa.array([RULES] * len(spans), pa.string()), *(pa.array(counts[k], pa.int64()) for k in KINDS), pa.array(spans, pa.string())], names)
 
 
-def _addressed(docs: DataFrame, text: str) -> DataFrame:
-    return docs.withColumn("_blob", F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256))
+def _addressed(docs: DataFrame, text: str, key: str = "_blob") -> DataFrame:
+    return docs.withColumn(key, F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256))
 
 
 def blob_findings(docs: DataFrame, ledger: DataFrame | None = None, text: str = "text") -> DataFrame:
@@ -93,13 +95,14 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, text: str = "text", p
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """The same rows and columns with every secret in the text masked."""
-    found = blob_findings(docs, None, text).where("spans <> ''").select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
     names = docs.columns
+    key, marks = fresh(names, "_blob"), fresh(names, "_spans")
+    found = blob_findings(docs, None, text).where("spans <> ''").select(F.col("blob").alias(key), F.col("spans").alias(marks))
 
     def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for whole, spans in zip(batch.column(text).to_pylist(), batch.column("_spans").to_pylist()):
+            for whole, spans in zip(batch.column(text).to_pylist(), batch.column(marks).to_pylist()):
                 if spans:
                     out, at = [], 0
                     for start, end in ((int(a), int(b)) for _, a, b in (s.split(":") for s in spans.split(","))):
@@ -110,7 +113,7 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
                 texts.append(whole)
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == text else batch.column(c) for c in names], names)
 
-    joined = _addressed(docs, text).join(found, "_blob", "left").drop("_blob")
+    joined = _addressed(docs, text, key).join(found, key, "left").drop(key)
     return joined.mapInArrow(mask, docs.schema)
 
 

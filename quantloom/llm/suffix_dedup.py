@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quantloom.llm.common import shuffle_width
+from quantloom.llm.common import fresh, shuffle_width
 
 LENGTH, GRAM = 50, 24
 LEFT, RIGHT = LENGTH - GRAM, LENGTH  # bytes of a context before and from its anchor
@@ -400,7 +400,7 @@ def cut_repeats(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ()
     spark = docs.sparkSession
     rest = [F.col(c).alias(f"_{i}") for i, c in enumerate(carry)]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("data"), *rest)
-    size = rows.agg(F.sum(F.length("data"))).first()[0] or 0
+    size = rows.agg(F.sum(F.length("data").cast("long"))).first()[0] or 0
     parts = max(shuffle_width(spark), -(-size // BLOCK_BYTES))
     known = rows.where("doc_id IS NOT NULL")
     blocks = known.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(parts))).repartition(parts, "block")
@@ -425,8 +425,9 @@ def dedup(docs: DataFrame) -> DataFrame:
     A character that loses some of its bytes goes whole; a null text stays null.
     """
     names = docs.columns
-    flagged = docs.withColumn("_text_missing", F.col("text").isNull())
-    carried = [*(c for c in names if c != "text"), "_text_missing"]
+    missing_text = fresh(names, "_text_missing")
+    flagged = docs.withColumn(missing_text, F.col("text").isNull())
+    carried = [*(c for c in names if c != "text"), missing_text]
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
