@@ -76,6 +76,11 @@ def run_trade_methods(trades: DataFrame, methods: tuple[str, ...] = TRADE_METHOD
     return out
 
 
+def overall(summary: DataFrame) -> DataFrame:
+    """Per run, whether all methods pass, and the worst of them."""
+    return summary.groupBy("run_id").agg(F.bool_and("pass_status").alias("pass_status"), F.min("profitable_pct").alias("least_profitable"), F.min("worst_drawdown").alias("worst_drawdown"), F.count("*").alias("n_methods"))
+
+
 def noisy_bars(bars: DataFrame, n: int, rate: float = 0.01, seed: int = 42) -> DataFrame:
     """Every bar once per simulation with normal noise of ``rate`` standard deviations on its prices; high and low hold the others."""
     whole = Window.partitionBy("symbol")

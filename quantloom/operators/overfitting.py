@@ -65,5 +65,7 @@ def dsr(returns: DataFrame, sharpe: float | None = None, benchmark: float = 0.0)
 
 def detect_all(returns: DataFrame, n_splits: int = 4, sharpe: float | None = None) -> DataFrame:
     """One row: pbo, psr, dsr, the verdict and how sure it is."""
-    whole = pbo(returns, n_splits).select("pbo", "logit_pbo").join(psr(returns, sharpe).select("psr"), F.lit(True)).join(dsr(returns, sharpe).select("dsr"), F.lit(True))
+    parts = (pbo(returns, n_splits).select("pbo", "logit_pbo"), psr(returns, sharpe).select("psr"), dsr(returns, sharpe).select("dsr"))  # a row each
+    stacked = parts[0].unionByName(parts[1], allowMissingColumns=True).unionByName(parts[2], allowMissingColumns=True)
+    whole = stacked.agg(*(F.max(c).alias(c) for c in ("pbo", "logit_pbo", "psr", "dsr")))
     return whole.withColumns({"is_overfitted": (F.col("pbo") > 0.5) | (F.col("dsr") < 0.05) | (F.col("psr") < 0.95), "confidence": (1 - F.col("pbo") + F.col("dsr") + F.col("psr")) / 3})

@@ -64,8 +64,21 @@ WITH days AS (SELECT i, d::TIMESTAMP AS ts, datediff('day', DATE '2020-01-01', d
 bars AS (SELECT 'S' || lpad(i::VARCHAR, 3, '0') AS symbol, ts, 10.0::DOUBLE + i + n * 0.05::DOUBLE AS base, n FROM days)
 SELECT symbol, ts, round(base + 3.7e-8, 6) AS open, round(base + 0.5 + 3.7e-8, 6) AS high, round(base - 0.5 + 3.7e-8, 6) AS low, round(base + 0.1 + 3.7e-8, 6) AS close, 1000.0::DOUBLE + n * 10 AS volume FROM bars"""
 
+ORACLES["bar_feed"] = ORACLES["synthetic_bars"]
+ORACLES["stock_list"] = "SELECT s_name AS symbol, NULL::VARCHAR AS name, n_name AS area, NULL::VARCHAR AS industry, NULL::VARCHAR AS market, NULL::VARCHAR AS list_date, 'L' AS list_status FROM supplier JOIN nation ON s_nationkey = n_nationkey"
+CALENDAR = """SELECT d::DATE AS day, isodow(d) <= 5 AND d::DATE NOT IN (SELECT day FROM off) AS is_open FROM generate_series(DATE '{}', DATE '{}', INTERVAL 1 DAY) g(d)"""
+ORACLES["trade_calendar"] = f"WITH off AS (SELECT DISTINCT o_orderdate::DATE AS day FROM orders WHERE o_orderkey % 97 = 0), c AS ({CALENDAR.format('1996-01-01', '1997-12-31')}) SELECT day, is_open, last_value(CASE WHEN is_open THEN day END IGNORE NULLS) OVER (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS open_before FROM c"
+ORACLES["suspended_days"] = f"""WITH {DAILY}, off AS (SELECT NULL::DATE AS day WHERE false), c AS ({CALENDAR.format('1992-01-01', '2003-12-31')}), e AS (SELECT symbol, min(ts)::DATE AS a, max(ts)::DATE AS b FROM bars GROUP BY symbol)
+SELECT symbol, day FROM e JOIN c ON day BETWEEN a AND b AND is_open WHERE NOT EXISTS (SELECT 1 FROM bars x WHERE x.symbol = e.symbol AND x.ts::DATE = c.day)"""
+ORACLES["limit_prices"] = f"WITH {DAILY} SELECT symbol, ts, {r(f'{lag("close")} * 1.1::DOUBLE', 'up_limit')}, {r(f'{lag("close")} * 0.9::DOUBLE', 'down_limit')} FROM bars"
+ORACLES["code_list"] = "SELECT s_suppkey, lpad(s_suppkey::VARCHAR, 6, '0') || CASE WHEN lpad((s_suppkey * 7919)::VARCHAR, 6, '9') <> lpad(s_suppkey::VARCHAR, 6, '0') THEN ' ' || lpad((s_suppkey * 7919)::VARCHAR, 6, '9') ELSE '' END AS codes FROM supplier"
+
 # -- preparation
 
+ORACLES["bar_quality"] = f"""WITH {DAILY}, c AS (SELECT *, abs({div('close', lag('close'))} - 1) AS ch, count(*) OVER (PARTITION BY symbol, ts) AS k FROM bars)
+SELECT symbol, count(*) AS n_bars, count(*) FILTER (high < greatest(open, close, low)) AS low_high, count(*) FILTER (low > least(open, close, high)) AS high_low, count(*) FILTER (least(open, high, low, close) <= 0) AS not_positive, count(*) FILTER (volume <= 0) AS no_volume, count(*) FILTER (ch > 0.5) AS jumps, count(*) FILTER (k > 1) AS repeated FROM c GROUP BY symbol"""
+ORACLES["asof_join"] = f"WITH {HOURLY}, board AS (SELECT ts, close AS board_close FROM bars WHERE symbol = 'purchase' AND hour(ts) % 5 = 0) SELECT symbol, b.ts, {r('close')}, {r('board_close')} FROM bars b ASOF LEFT JOIN board o ON b.ts >= o.ts WHERE symbol <> 'purchase'"
+
 FACTORED = DAILY + """, factors AS (SELECT symbol, ts, CASE WHEN day(ts) > 15 THEN 1.1::DOUBLE ELSE 1.0::DOUBLE END AS factor FROM bars WHERE day(ts) <= 20),
 factored AS (SELECT bars.*, coalesce(factor, 1.0::DOUBLE) AS factor FROM bars LEFT JOIN factors USING (symbol, ts))"""
 ORACLES["factor_left_join"] = f"WITH {FACTORED} SELECT symbol, ts, {r('close')}, {r('factor')} FROM factored"
@@ -392,6 +405,13 @@ SELECT run_id, method, count(*) AS n_simulations, {r("avg((total_return_pct > 0)
   {r("quantile_cont(sharpe_ratio, 0.5)", "sharpe_median", 4)}, {r("stddev_samp(sharpe_ratio)", "sharpe_std", 4)}, {r("min(max_drawdown_pct / 100)", "worst_drawdown", 4)}, avg((total_return_pct > 0)::INT) >= 0.8 AS pass_status FROM mx GROUP BY run_id, method"""
 
 
+ORACLES["mc_overall"] = f"WITH one AS ({ORACLES['mc_summary']}) SELECT run_id, bool_and(pass_status) AS pass_status, min(profitable_pct) AS least_profitable, min(worst_drawdown) AS worst_drawdown, count(*) AS n_methods FROM one GROUP BY run_id"
+ORACLES["mc_block_shuffle"] = f"""WITH {DAILY}, n AS (SELECT symbol, close, row_number() OVER ({S}) AS n, ln({div('close', lag('close'))}) AS step FROM bars), rows AS (SELECT *, i::INT AS sim_id, floor((n - 2) / 20)::BIGINT AS block FROM n, range(3) g(i)),
+u AS (SELECT *, {u("'block'", "sim_id", "symbol", "block")} AS x FROM rows), p AS (SELECT symbol, sim_id, row_number() OVER o AS place, first_value(close) OVER o * exp(sum(coalesce(step, 0.0)) OVER (o ROWS UNBOUNDED PRECEDING)) AS c FROM u WINDOW o AS (PARTITION BY symbol, sim_id ORDER BY n > 1, x, block, n))
+SELECT symbol, sim_id, place::INT AS place, {r('c', 'close', 4)} FROM p"""
+ORACLES["regime_returns"] = staged([{"change": f"{div('close', lag('close', 20))} - 1"}, {"rg": "CASE WHEN change > 0.1 THEN 'rising' WHEN change < -0.1 THEN 'falling' ELSE 'flat' END"}, {"regime": lag("rg"), "ret": f"{div('close', lag('close'))} - 1"}]) + f"SELECT symbol, regime, {r('avg(ret)', 'mean_ret')}, count(*) AS n FROM last WHERE regime IS NOT NULL GROUP BY symbol, regime"
+
+
 def normal(column: str) -> str:
     key = (f"'{column}'", "sim_id", "symbol", "epoch_us(ts)")
     return f"(sqrt(-2 * ln({u(*key, chr(39) + 'u' + chr(39))} + 1e-12)) * cos(2 * pi() * {u(*key, chr(39) + 'v' + chr(39))}))"

@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions import math as fm
-from quantloom.operators import ashare, backtest, catalog, codegen, formula, fuzzy, generate, indicators, metrics, monte_carlo, overfitting, portfolio, prep, report, rules, search
+from quantloom.functions import text
+from quantloom.operators import align, ashare, backtest, catalog, codegen, formula, fuzzy, generate, indicators, metrics, monte_carlo, overfitting, portfolio, prep, report, rules, search
 from quantloom.oracles import ORACLES
 from quantloom.plans.ir import Edge, Node, StrategyIR, cross_strategy, threshold_strategy
 from quantloom.plans.signals import with_signal
 from quantloom.sources import bars as bar_sources
-from quantloom.sources import store
+from quantloom.sources import connector, reference, store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -81,9 +82,61 @@ def synthetic_bars(spark, d):
     return rounded(bar_sources.synthetic_bars(spark, 3, "2020-01-01", 60))
 
 
+@query
+def bar_feed(spark, d):
+    """The same bars delivered symbol by symbol through the data source."""
+    spark.dataSource.register(connector.BarFeed)
+    read = spark.read.format("bar_feed").options(fetch="quantloom.sources.connector:ramp", symbols="S000,S001,S002,broken", start="2020-01-01", end="2020-02-29").load()
+    return rounded(read.withColumn("ts", F.col("ts").cast("timestamp_ntz")))
+
+
+@query
+def stock_list(spark, d):
+    s = bar_sources.read(spark, d, "supplier").join(bar_sources.read(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    return reference.stock_list(s.select(F.col("s_name").alias("symbol"), F.col("n_name").alias("area"), F.lit("L").alias("list_status")))
+
+
+@query
+def trade_calendar(spark, d):
+    holidays = bar_sources.read(spark, d, "orders").where("o_orderkey % 97 = 0").select(F.to_date("o_orderdate").alias("day"))
+    return reference.trade_calendar(spark, "1996-01-01", "1997-12-31", holidays)
+
+
+@query
+def suspended_days(spark, d):
+    calendar = reference.trade_calendar(spark, "1992-01-01", "2003-12-31")
+    return reference.suspended_days(daily(spark, d), calendar)
+
+
+@query
+def limit_prices(spark, d):
+    return rounded(reference.limit_prices(daily(spark, d)))
+
+
+@query
+def code_list(spark, d):
+    s = bar_sources.read(spark, d, "supplier")
+    key = F.col("s_suppkey")
+    listed = F.concat(F.lpad(key.cast("string"), 6, "0"), F.lit(", "), key.cast("string"), F.lit("  "), F.lpad((key * 7919).cast("string"), 6, "9"), F.lit(","), F.lpad(key.cast("string"), 6, "0"))
+    return s.select("s_suppkey", F.array_join(text.valid_codes(listed), " ").alias("codes"))
+
+
 # -- preparation
 
 
+@query
+def bar_quality(spark, d):
+    return align.quality(daily(spark, d))
+
+
+@query
+def asof_join(spark, d):
+    """Hourly bars with the latest purchase bar before them."""
+    b = hourly(spark, d).withColumn("k", F.lit(1))
+    board = b.where("symbol = 'purchase' AND hour(ts) % 5 = 0").select("k", "ts", F.col("close").alias("board_close"))
+    return rounded(align.asof_join(b.where("symbol <> 'purchase'").select("k", "symbol", "ts", "close"), board, ["k"], ["board_close"]).drop("k"))
+
+
 def factored(spark, d):
     b = daily(spark, d)
     return prep.join_factors(b, bar_sources.factors_daily(b))
@@ -391,6 +444,25 @@ def mc_summary(spark, d):
     return rounded(monte_carlo.run_trade_methods(outcomes(spark, d), n=20), 4)
 
 
+@query
+def mc_overall(spark, d):
+    return rounded(monte_carlo.overall(monte_carlo.run_trade_methods(outcomes(spark, d), n=20)), 4)
+
+
+@query
+def mc_block_shuffle(spark, d):
+    return rounded(align.block_shuffle(daily(spark, d), 3), 4)
+
+
+@query
+def regime_returns(spark, d):
+    """Mean and number of daily changes by regime of the day before."""
+    w = Window.partitionBy("symbol").orderBy("ts")
+    r = align.regimes(daily(spark, d), 20, 0.1)
+    changes = r.select("symbol", F.lag("regime").over(w).alias("regime"), (F.try_divide(F.col("close"), F.lag("close").over(w)) - 1).alias("ret")).where("regime IS NOT NULL")
+    return rounded(changes.groupBy("symbol", "regime").agg(F.avg("ret").alias("mean_ret"), F.count("*").alias("n")))
+
+
 @query
 def mc_data_noise(spark, d):
     return rounded(monte_carlo.noisy_bars(daily(spark, d), 3).select("symbol", "ts", "sim_id", "open", "high", "low", "close"), 4)
