@@ -7,7 +7,7 @@ import random
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.operators.backtest import BacktestConfig, evaluate
@@ -204,16 +204,15 @@ def evolve(evaluate: Evaluate, population: int = 12, generations: int = 3, keep:
 def pareto_front(figures: DataFrame, keys: list[str], high: tuple[str, ...]) -> DataFrame:
     """Rows that no other row of their keys reaches in all of the figures and beats in one.
 
-    Candidates are few (one row per strategy); they are compared within ``keys``.
+    Candidates are few (one row per strategy), so those of a key are compared in one array.
     """
-    names = ["_id", *high]
-    rows = figures.withColumn("_id", F.monotonically_increasing_id())
-    other = rows.select(*keys, *(F.col(c).alias(f"_o{c}") for c in names))
-    reach = F.lit(True)
-    beat = F.lit(False)
-    for c in high:
-        reach &= F.col(f"_o{c}") >= F.col(c)
-        beat |= F.col(f"_o{c}") > F.col(c)
-    on = [rows[k] == other[k] for k in keys]
-    beaten = rows.join(other, on).where(reach & beat).select("_id").distinct() if keys else rows.join(other, reach & beat).select("_id").distinct()
-    return rows.join(beaten, "_id", "left_anti").drop("_id")
+    others = F.collect_list(F.struct(*high)).over(Window.partitionBy(*(keys or [F.lit(1)])))
+
+    def beats(o):
+        reach, beat = F.lit(True), F.lit(False)
+        for c in high:
+            reach &= o[c] >= F.col(c)
+            beat |= o[c] > F.col(c)
+        return reach & beat
+
+    return figures.withColumn("_others", others).where(~F.exists("_others", beats)).drop("_others")
