@@ -9,7 +9,7 @@ The decisions depend on nothing but how many pieces there are of each length, an
 most ``capacity`` lengths. So Spark counts lengths over all pieces, ``plan`` decides on those
 counts (its work and its size are bounded by the capacity, whatever the input), and every piece
 finds its slot from its rank among the pieces of its length. Ranks come from counts per task and
-a running sum, so a length that a third of all pieces share stays spread over its tasks.
+a running sum, so a length that a third of all pieces share is ranked task by task.
 
 Defined cases: null and empty texts are one piece that holds only the end id; repeated rows are
 packed each; a null doc_id stays null; an empty table gives no rows; other columns are ignored.
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import durable
+from quantloom.llm.common import durable, small_batches
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -92,26 +92,10 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     The pieces are cut off from their lineage first, so ranks stay the same whenever a task is
     run again.
     """
-    pieces = pieces.drop("sequence_id", "offset", "_task", "_rank", "_base")
-    schema = pieces.schema
-    names = pieces.columns
-
-    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        task, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for batch in batches:
-            lengths = batch.column("length").to_numpy(zero_copy_only=False).astype(np.int64)
-            order = np.argsort(lengths, kind="stable")
-            values, first, n = np.unique(lengths[order], return_index=True, return_counts=True)
-            ranks = np.empty(len(lengths), np.int64)
-            ranks[order] = np.arange(len(lengths)) - np.repeat(first, n) + np.repeat(seen[values], n)
-            seen[values] += n
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(lengths), task, np.int64)), pa.array(ranks)], [*names, "_task", "_rank"])
-
-    ranked_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + ", _task long, _rank long"
-    ranked = durable(pieces.mapInArrow(rank, ranked_schema))
-    by_task = ranked.groupBy("_task", "length").agg(F.count("*").alias("n"))
+    pieces = pieces.drop("sequence_id", "offset", "_task", "_seq", "_rank", "_base")
+    schema, names = pieces.schema, pieces.columns
+    numbered = durable(pieces.withColumns({"_task": F.spark_partition_id(), "_seq": F.monotonically_increasing_id()}))
+    by_task = numbered.groupBy("_task", "length").agg(F.count("*").alias("n"))
     counts = {r["length"]: r["n"] for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
     slots = pieces.sparkSession.sparkContext.broadcast(plan(counts, capacity).by_length)
 
@@ -129,7 +113,9 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
 
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     bases = by_task.select("_task", "length", before.alias("_base"))
-    whole = ranked.join(bases, ["_task", "length"]).select(*names, (F.col("_rank") + F.col("_base")).alias("_rank"))
+    within = F.row_number().over(Window.partitionBy("_task", "length").orderBy("_seq")) - 1
+    ranked = numbered.withColumn("_rank", within).join(bases, ["_task", "length"])
+    whole = ranked.select(*names, (F.col("_rank") + F.col("_base")).alias("_rank"))
     placed_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + ", sequence_id long, offset long"
     return whole.mapInArrow(place, placed_schema)
 
@@ -181,6 +167,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: in
     Only documents longer than the capacity are cut, into pieces of the whole capacity with the
     remainder first.
     """
+    small_batches(docs)
     with open(tokenizer_path, encoding="utf-8") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())  # one vocabulary file, whatever the input
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids

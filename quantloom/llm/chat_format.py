@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quantloom.llm.common import small_batches
+
 START, END, TRAINED = "<|im_start|>", "<|im_end|>\n", "assistant"
 EXAMPLES = "conv_id long, example int, text string, loss_start long, loss_end long"
 DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long"
@@ -96,6 +98,7 @@ def prefix_target_examples(conversations: DataFrame) -> DataFrame:
     Partitions hold whole conversations in order, and tasks stream through them, so a very long
     conversation never sits in memory as a group.
     """
+    small_batches(conversations)
     rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
     return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(_expand, EXAMPLES)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -32,6 +33,18 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{_checkpoint_dir(spark)}/{uuid.uuid4().hex}"
 
 
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(frame: DataFrame) -> None:
+    """Have Spark hand texts to Python in batches of a few megabytes, however long they are, so that a worker's memory doesn't hang on their lengths."""
+    conf = frame.sparkSession.conf
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    number, unit = re.fullmatch(r"(-?\d+)([kmgtp]?)b?", conf.get(name).strip().lower()).groups()
+    if not 0 < int(number) << 10 * " kmgtp".index(unit or " ") <= BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+
+
 def fresh(taken: list[str], wanted: str) -> str:
     """A column name that isn't taken, whatever its case."""
     low = {c.lower() for c in taken}

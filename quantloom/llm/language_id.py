@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quantloom.llm.common import small_batches
+
 UNKNOWN = "und"
 BUCKETS = 1 << 16
 PER_LANGUAGE = 20_000
@@ -120,6 +122,7 @@ def predict(model: Model, text: str | None) -> tuple[str, float, float]:
 def identify(docs: DataFrame, model: Model, ambiguity: float = 0.1, text: str = "text") -> DataFrame:
     """The rows with lang_pred, score and ambiguous (the next codeword is within ``ambiguity``), in place of columns so named."""
     docs = docs.drop("lang_pred", "score", "ambiguous")
+    small_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
 

@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quantloom.llm.common import small_batches
+
 LEAST = 0.8
 FINDINGS = "doc_id long, license string, coverage double, start long, end long, n_words long"
 _WORD = re.compile(r"\w+")
@@ -160,6 +162,7 @@ def scan_text(text: str, templates: list[Template], least: float = LEAST) -> lis
 
 def license_findings(docs: DataFrame, notices: dict[str, str] = NOTICES, least: float = LEAST) -> DataFrame:
     """A row for every finding; documents without one have a row with a null license."""
+    small_batches(docs)
     templates = [t for t in (Template.of(*x) for x in notices.items()) if t.words]
     names = [f.split(" ")[0] for f in FINDINGS.split(", ")]
     types = [pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import fresh
+from quantloom.llm.common import fresh, small_batches
 
 KINDS = ("assign", "access", "hex")
 RULES = "1"  # goes up whenever a pattern below changes
@@ -65,6 +65,7 @@ def _addressed(docs: DataFrame, text: str, key: str = "_blob") -> DataFrame:
 
 def blob_findings(docs: DataFrame, ledger: DataFrame | None = None, text: str = "text") -> DataFrame:
     """Findings of the blobs in ``docs`` that the ledger lacks under the current rules."""
+    small_batches(docs)
     rows = _addressed(docs.select(F.col(text).alias("text")), "text")
     blobs = rows.groupBy(F.col("_blob").alias("blob")).agg(F.first(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text"))
     if ledger is not None:

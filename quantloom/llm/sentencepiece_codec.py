@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quantloom.llm.common import small_batches
+
 MARK = "▁"
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 _WORDS_KEPT = 800_000
@@ -293,6 +295,7 @@ def sentencepiece_encode(docs: DataFrame, model_path: str, text: str = "text") -
 
 def sentencepiece_digests(docs: DataFrame, model_path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document; ids stay inside the tasks."""
+    small_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.read(model_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import durable, shuffle_width
+from quantloom.llm.common import durable, shuffle_width, small_batches
 from quantloom.llm.components import components, forest
 
 SEED = 42
@@ -54,6 +54,7 @@ def fingerprint(text: str, shingle: int = 3) -> int:
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """doc_id and fingerprint (a long with the same bits) of every row."""
+    small_batches(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -290,6 +291,7 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5
     Every candidate pair is then verified on its whole shingle sets. Equal texts are one item
     all the way.
     """
+    small_batches(docs)
     words = -(-bands * 24 // 64) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -148,7 +148,9 @@ def _send_anchors(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.
             held[block][1].append(data)
     while held:
         number, (doc_ids, texts) = held.popitem()
-        _, _, values, counts = _distinct(Block(doc_ids, texts))
+        block = Block(doc_ids, texts)
+        del doc_ids, texts
+        _, _, values, counts = _distinct(block)
         dest = (values % np.uint64(parts)).astype(np.int64)
         rows = []
         for part in np.unique(dest):
@@ -395,28 +397,38 @@ def _cut(docs: pa.Table, verdicts: pa.Table) -> pa.Table:
     return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_bytes": pa.array(sizes, pa.int64()), "kept": pa.array(kept, pa.binary()), "removed": runs} | {c: rest.column(c) for c in rest.column_names})
 
 
-def cut_repeats(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """Per row: doc_id, n_bytes, the bytes kept, the removed runs, and the columns to carry as _0, _1 ..."""
-    spark = docs.sparkSession
+def _rows(docs: DataFrame, text: str, carry: tuple[str, ...] = ()) -> DataFrame:
     rest = [F.col(c).alias(f"_{i}") for i, c in enumerate(carry)]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("data"), *rest)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("data"), *rest)
+
+
+def _verdicts(docs: DataFrame, text: str, carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """The documents dealt into blocks, and what has been found out about each block."""
+    rows = _rows(docs, text, carry)
     size = rows.agg(F.sum(F.length("data").cast("long"))).first()[0] or 0
-    parts = max(shuffle_width(spark), -(-size // BLOCK_BYTES))
-    known = rows.where("doc_id IS NOT NULL")
-    blocks = known.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(parts))).repartition(parts, "block")
+    parts = max(shuffle_width(docs.sparkSession), -(-size // BLOCK_BYTES))
+    blocks = rows.where("doc_id IS NOT NULL").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(parts))).repartition(parts, "block")
     anchors = blocks.mapInArrow(lambda batches: _send_anchors(batches, parts), _PARCELS)
     masks = anchors.repartition(parts, "dest").mapInArrow(_count_anchors, _PARCELS)
 
     def contexts(key, left: pa.Table, right: pa.Table) -> pa.Table:
         return _send_contexts(key[0].as_py(), left, right, parts)
 
-    by_block = blocks.groupBy("block")
-    sent = by_block.cogroup(masks.groupBy("block")).applyInArrow(contexts, _PARCELS)
-    verdicts = sent.repartition(parts, "dest").mapInArrow(_decide, _PARCELS)
-    schema = T.StructType(T.StructType.fromDDL(CUT).fields + rows.select([c for c in rows.columns if c not in ("doc_id", "data")]).schema.fields)
-    cut = by_block.cogroup(verdicts.groupBy("block")).applyInArrow(_cut, schema)
+    sent = blocks.groupBy("block").cogroup(masks.groupBy("block")).applyInArrow(contexts, _PARCELS)
+    return blocks, sent.repartition(parts, "dest").mapInArrow(_decide, _PARCELS)
+
+
+def _by_block(blocks: DataFrame, verdicts: DataFrame, f, schema: T.StructType) -> DataFrame:
+    return blocks.groupBy("block").cogroup(verdicts.groupBy("block")).applyInArrow(lambda left, right: f(left, right), schema)
+
+
+def cut_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Per row: doc_id, n_bytes, the bytes kept, and the removed runs."""
+    blocks, verdicts = _verdicts(docs, text)
+    cut = _by_block(blocks, verdicts, _cut, T.StructType.fromDDL(CUT))
+    unknown = _rows(docs, text).where("doc_id IS NULL")
     whole = {"n_bytes": F.length("data").cast("long"), "kept": F.col("data"), "removed": F.from_json(F.lit("[]"), "array<struct<start:long,end:long>>")}
-    return cut.unionByName(rows.where("doc_id IS NULL").withColumns(whole).drop("data"))
+    return cut.unionByName(unknown.withColumns(whole).drop("data"))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -429,16 +441,18 @@ def dedup(docs: DataFrame) -> DataFrame:
     flagged = docs.withColumn(missing_text, F.col("text").isNull())
     carried = [*(c for c in names if c != "text"), missing_text]
 
-    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [None if missing else kept.decode("utf-8", "ignore") for kept, missing in zip(batch.column("kept").to_pylist(), batch.column(f"_{len(names) - 1}").to_pylist())]
-            columns = [pa.array(texts, pa.string()) if c == "text" else batch.column(f"_{carried.index(c)}") for c in names]
-            if "n_chars" in names:
-                columns[names.index("n_chars")] = pa.array([None if t is None else len(t) for t in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays(columns, names)
+    def decoded(cut: pa.Table) -> pa.Table:
+        texts = [None if missing else kept.decode("utf-8", "ignore") for kept, missing in zip(cut.column("kept").to_pylist(), cut.column(f"_{len(names) - 1}").to_pylist())]
+        columns = {c: pa.array(texts, pa.string()) if c == "text" else cut.column(f"_{carried.index(c)}") for c in names}
+        if "n_chars" in names:
+            columns["n_chars"] = pa.array([None if t is None else len(t) for t in texts], pa.int64())
+        return pa.table(columns)
 
     schema = T.StructType([T.StructField(f.name, T.StringType() if f.name == "text" else T.LongType() if f.name == "n_chars" else f.dataType) for f in docs.schema])
-    return cut_repeats(flagged, carry=tuple(carried)).mapInArrow(decoded, schema)
+    blocks, verdicts = _verdicts(flagged, "text", tuple(carried))
+    cut = _by_block(blocks, verdicts, lambda left, right: decoded(_cut(left, right)), schema)
+    unknown = docs.where("doc_id IS NULL")
+    return cut.unionByName(unknown.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in names else unknown)
 
 
 def digests(cut: DataFrame) -> DataFrame:
