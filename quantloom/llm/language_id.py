@@ -34,7 +34,7 @@ from quantloom.llm.common import small_batches
 UNKNOWN = "und"
 BUCKETS = 1 << 16
 PER_LANGUAGE = 20_000
-_WEIGHT, _LIMIT = 0.2, 8.0  # of a trigram, as those of one text aren't independent; of a bit
+_WEIGHT, _ENOUGH = 0.2, 100  # of a trigram, as those of one text aren't independent; trigrams from which more don't make it surer
 _SLICE = 1 << 20
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -111,12 +111,15 @@ def predict(model: Model, text: str | None) -> tuple[str, float, float]:
     """Language, score, and how much nearer its codeword is than the next (in loss)."""
     if not model.languages or text is None or not _LETTER.search(text):
         return UNKNOWN, 0.0, 0.0
-    evidence = sum(model.weights[grams].sum(0, dtype=np.float64) for grams in _grams(text)) * _WEIGHT
-    margins = model.code * np.clip(evidence, -_LIMIT, _LIMIT)
+    total, n = np.zeros(model.code.shape[1]), 0
+    for grams in _grams(text):
+        total += model.weights[grams].sum(0, dtype=np.float64)
+        n += len(grams)
+    margins = model.code * (total / n * min(n, _ENOUGH) * _WEIGHT)
     loss = np.logaddexp(0, -margins).sum(1)
     likely = np.exp(loss.min() - loss)
     order = np.argsort(loss, kind="stable")
-    return model.languages[order[0]], float(likely[order[0]] / likely.sum()), float(loss[order[1]] - loss[order[0]]) if len(loss) > 1 else _LIMIT
+    return model.languages[order[0]], float(likely[order[0]] / likely.sum()), float(loss[order[1]] - loss[order[0]]) if len(loss) > 1 else float(_ENOUGH)
 
 
 def identify(docs: DataFrame, model: Model, ambiguity: float = 0.1, text: str = "text") -> DataFrame:
