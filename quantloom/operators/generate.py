@@ -201,6 +201,22 @@ def evolve(evaluate: Evaluate, population: int = 12, generations: int = 3, keep:
     return sorted(hall.items(), key=lambda x: (-x[1], x[0].size(), repr(x[0])))[:keep]
 
 
+def fitness(figures: DataFrame, complexity, metric: str = "sharpe_ratio", cost: float = 0.001) -> DataFrame:
+    """Figures with fitness: the metric less a cost for the strategy's size (a column)."""
+    return figures.withColumn("fitness", F.col(metric) - cost * complexity)
+
+
+def generation_stats(rated: DataFrame, generation: str = "generation") -> DataFrame:
+    """Per generation: mean, population deviation and range of fitness."""
+    return rated.groupBy(generation).agg(F.count("*").alias("n"), F.avg("fitness").alias("avg"), F.stddev_pop("fitness").alias("std"), F.min("fitness").alias("min"), F.max("fitness").alias("max"))
+
+
+def hall_of_fame(rated: DataFrame, expression: str, keep: int) -> DataFrame:
+    """The best rows with different expressions. Keeping so many is the feature."""
+    best = rated.groupBy(expression).agg(F.max("fitness").alias("fitness"))
+    return best.orderBy(F.desc("fitness"), expression).limit(keep)
+
+
 def pareto_front(figures: DataFrame, keys: list[str], high: tuple[str, ...]) -> DataFrame:
     """Rows that no other row of their keys reaches in all of the figures and beats in one.
 

@@ -36,6 +36,21 @@ def grid(spark: SparkSession, values: dict[str, list], most: int | None = None)
     return table if most is None or len(rows) <= most else table.orderBy(F.md5(F.col("combo_idx").cast("string").cast("binary"))).limit(most)
 
 
+def latin_hypercube(space: Space, n: int, seed: int = 42) -> list[dict]:
+    """n parameter sets that use each of n strata of every parameter once."""
+    import random
+
+    rng, columns = random.Random(seed), {}
+    for name, (kind, *ends) in space.items():
+        strata = rng.sample(range(n), n)
+        if kind == "categorical":
+            columns[name] = [ends[0][s * len(ends[0]) // n] for s in strata]
+        else:
+            points = [ends[0] + (ends[1] - ends[0]) * (s + rng.random()) / n for s in strata]
+            columns[name] = [round(p) for p in points] if kind == "int" else points
+    return [dict(zip(columns, row)) for row in zip(*columns.values())]
+
+
 def detect_space(params: dict[str, float]) -> Space:
     """From half to twice and one more of every number."""
     return {k: ("int", max(1, v // 2), 2 * v + 1) if isinstance(v, int) else ("float", v * 0.5, v * 2 + 1) for k, v in params.items() if isinstance(v, (int, float)) and not isinstance(v, bool)}

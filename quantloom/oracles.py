@@ -64,6 +64,7 @@ WITH days AS (SELECT i, d::TIMESTAMP AS ts, datediff('day', DATE '2020-01-01', d
 bars AS (SELECT 'S' || lpad(i::VARCHAR, 3, '0') AS symbol, ts, 10.0::DOUBLE + i + n * 0.05::DOUBLE AS base, n FROM days)
 SELECT symbol, ts, round(base + 3.7e-8, 6) AS open, round(base + 0.5 + 3.7e-8, 6) AS high, round(base - 0.5 + 3.7e-8, 6) AS low, round(base + 0.1 + 3.7e-8, 6) AS close, 1000.0::DOUBLE + n * 10 AS volume FROM bars"""
 
+ORACLES["bar_slice"] = f"WITH {DAILY} SELECT symbol, ts, {', '.join(map(r, ALL))} FROM bars QUALIFY row_number() OVER ({S}) BETWEEN 51 AND 150"
 ORACLES["bar_feed"] = ORACLES["synthetic_bars"]
 ORACLES["stock_list"] = "SELECT s_name AS symbol, NULL::VARCHAR AS name, n_name AS area, NULL::VARCHAR AS industry, NULL::VARCHAR AS market, NULL::VARCHAR AS list_date, 'L' AS list_status FROM supplier JOIN nation ON s_nationkey = n_nationkey"
 CALENDAR = """SELECT d::DATE AS day, isodow(d) <= 5 AND d::DATE NOT IN (SELECT day FROM off) AS is_open FROM generate_series(DATE '{}', DATE '{}', INTERVAL 1 DAY) g(d)"""
@@ -417,6 +418,15 @@ def normal(column: str) -> str:
     return f"(sqrt(-2 * ln({u(*key, chr(39) + 'u' + chr(39))} + 1e-12)) * cos(2 * pi() * {u(*key, chr(39) + 'v' + chr(39))}))"
 
 
+_WALK = lambda what: u(f"'{what}'", "symbol", "n")
+_STEP = f"(sqrt(-2 * ln({u(chr(39) + 'step' + chr(39), 'symbol', 'n', chr(39) + 'u' + chr(39))} + 1e-12)) * cos(2 * pi() * {u(chr(39) + 'step' + chr(39), 'symbol', 'n', chr(39) + 'v' + chr(39))}))"
+ORACLES["random_walk_bars"] = f"""
+WITH days AS (SELECT 'S' || lpad(i::VARCHAR, 3, '0') AS symbol, d::TIMESTAMP AS ts FROM range(4) x(i), generate_series(DATE '2020-01-01', DATE '2020-01-01' + INTERVAL 147 DAY, INTERVAL 1 DAY) g(d) WHERE isodow(d) <= 5),
+n AS (SELECT *, row_number() OVER ({S}) AS n FROM days QUALIFY n <= 100),
+c AS (SELECT *, 100 * exp(sum(CASE WHEN n = 1 THEN 0.0 ELSE 0.02::DOUBLE * {_STEP} END) OVER ({S} ROWS UNBOUNDED PRECEDING)) AS close FROM n),
+o AS (SELECT *, close * (1 + 0.01::DOUBLE * ({_WALK('open')} - 0.5)) AS open FROM c),
+h AS (SELECT *, greatest(open, close) * (1 + 0.01::DOUBLE * {_WALK('high')}) AS high, least(open, close) * (1 - 0.01::DOUBLE * {_WALK('low')}) AS low, 1e6 + floor({_WALK('volume')} * 49e6) AS volume, {div('close', lag('close'))} - 1 AS ch FROM o)
+SELECT symbol, ts, {', '.join(r(x, digits=4) for x in ALL[:5])}, coalesce(ch >= 0.095, false) AS limit_up, coalesce(ch <= -0.095, false) AS limit_down, {_WALK('suspended')} < 0.01 AS is_suspended, 1.0::DOUBLE AS adjustment_factor FROM h"""
 _SPREAD = ", ".join(f"0.01::DOUBLE * coalesce(stddev_samp({c}) OVER (PARTITION BY symbol), 0.0) AS s_{c}" for c in ALL[:4])
 ORACLES["mc_data_noise"] = f"""WITH {DAILY}, s AS (SELECT *, {_SPREAD} FROM bars), rows AS (SELECT *, i::INT AS sim_id FROM s, range(3) g(i)),
 moved AS (SELECT symbol, ts, sim_id, {', '.join(f'{c} + s_{c} * {normal(c)} AS {c}' for c in ALL[:4])} FROM rows)
@@ -442,6 +452,10 @@ ORACLES["grid_search"] = _GRID + f" SELECT symbol, combo_idx, fast, slow, rank,
 ORACLES["grid_best"] = _GRID + f" SELECT symbol, fast, slow, {r('total_return_pct', digits=4)}, {r('sharpe_ratio', digits=4)} FROM ranked WHERE rank = 1"
 ORACLES["pareto_front"] = _GRID + f""", g AS (SELECT symbol, combo_idx, round(total_return_pct, 6) AS a, round(max_drawdown_pct, 6) AS d FROM ranked)
 SELECT symbol, combo_idx, {r('a', 'total_return_pct', 4)}, {r('d', 'max_drawdown_pct', 4)} FROM g WHERE NOT EXISTS (SELECT 1 FROM g o WHERE o.symbol = g.symbol AND o.a >= g.a AND o.d >= g.d AND (o.a > g.a OR o.d > g.d))"""
+_RATED = _GRID + ", rated AS (SELECT *, sharpe_ratio - 0.001::DOUBLE * (fast + slow) AS fitness, combo_idx % 2 AS generation FROM ranked)"
+ORACLES["gp_fitness"] = _RATED + f" SELECT symbol, combo_idx, {r('fitness', digits=4)} FROM rated"
+ORACLES["gp_generation_stats"] = _RATED + f" SELECT generation, count(*) AS n, {r('avg(fitness)', 'avg', 4)}, {r('stddev_pop(fitness)', 'std', 4)}, {r('min(fitness)', 'min', 4)}, {r('max(fitness)', 'max', 4)} FROM rated GROUP BY generation"
+ORACLES["hall_of_fame"] = _RATED + f", best AS (SELECT printf('SMA%d>SMA%d', fast, slow) AS expression, max(round(fitness, 6)) AS fitness FROM rated GROUP BY fast, slow) SELECT expression, {r('fitness', digits=4)} FROM best ORDER BY best.fitness DESC, expression LIMIT 3"
 ORACLES["wfo_windows"] = f"WITH {HOURLY}, n AS (SELECT symbol, count(*) AS n FROM bars GROUP BY symbol) SELECT symbol, i::INT AS window_idx, i * 100 AS is_start, i * 100 + 200 AS oos_start, i * 100 + 300 AS oos_end FROM n, range(1000) g(i) WHERE i * 100 + 300 <= n"
 
 

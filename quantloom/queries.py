@@ -82,6 +82,16 @@ def synthetic_bars(spark, d):
     return rounded(bar_sources.synthetic_bars(spark, 3, "2020-01-01", 60))
 
 
+@query
+def random_walk_bars(spark, d):
+    return rounded(bar_sources.random_walk_bars(spark, 4, 100), 4)
+
+
+@query
+def bar_slice(spark, d):
+    return rounded(bar_sources.slice_bars(daily(spark, d), 50, 150))
+
+
 @query
 def bar_feed(spark, d):
     """The same bars delivered symbol by symbol through the data source."""
@@ -667,6 +677,28 @@ def pareto_front(spark, d):
     return rounded(generate.pareto_front(figures.select("symbol", "combo_idx", *(F.round(c, 6).alias(c) for c in ("total_return_pct", "max_drawdown_pct"))), ["symbol"], ("total_return_pct", "max_drawdown_pct")), 4)
 
 
+def rated(spark, d):
+    """Fitness of the grid's pairs, in two generations."""
+    figures = search.grid_search(hourly(spark, d), PAIRS)
+    return generate.fitness(figures, F.col("fast") + F.col("slow")).withColumn("generation", F.col("combo_idx") % 2)
+
+
+@query
+def gp_fitness(spark, d):
+    return rounded(rated(spark, d).select("symbol", "combo_idx", "fitness"), 4)
+
+
+@query
+def gp_generation_stats(spark, d):
+    return rounded(generate.generation_stats(rated(spark, d)), 4)
+
+
+@query
+def hall_of_fame(spark, d):
+    named = rated(spark, d).withColumns({"fitness": F.round("fitness", 6), "expression": F.format_string("SMA%d>SMA%d", "fast", "slow")})
+    return rounded(generate.hall_of_fame(named, "expression", 3), 4)
+
+
 @query
 def codegen_sources(spark, d):
     ir = threshold_strategy("RSI", 30.0, 70.0, period=14)

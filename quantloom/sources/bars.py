@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quantloom.functions.math import hash_normal, hash_uniform
+
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -56,3 +58,25 @@ def synthetic_bars(spark: SparkSession, symbols: int, start: str, days: int) ->
     n = F.datediff("d", F.lit(start).cast("date"))
     base = 10.0 + F.col("id") + n * 0.05
     return rows.select("symbol", F.col("d").cast("timestamp_ntz").alias("ts"), base.alias("open"), (base + 0.5).alias("high"), (base - 0.5).alias("low"), (base + 0.1).alias("close"), (1000.0 + n * 10).alias("volume"))
+
+
+def random_walk_bars(spark: SparkSession, symbols: int, days: int, start: str = "2020-01-01", drift: float = 0.0, volatility: float = 0.02, seed: int = 42) -> DataFrame:
+    """Bars on a geometric random walk over business days; the same on any engine, as every number hangs on (seed, symbol, day) alone."""
+    last = f"date_add(DATE'{start}', {days * 7 // 5 + 7})"
+    day = F.explode(F.expr(f"sequence(DATE'{start}', {last}, INTERVAL 1 DAY)"))
+    rows = spark.range(symbols).select(F.format_string("S%03d", "id").alias("symbol"), day.alias("d")).where(F.dayofweek("d").between(2, 6))
+    w = Window.partitionBy("symbol").orderBy("d")
+    numbered = rows.withColumn("n", F.row_number().over(w)).where(F.col("n") <= days)
+    step = F.when(F.col("n") == 1, 0.0).otherwise(drift + volatility * hash_normal(seed, F.lit("step"), F.col("symbol"), F.col("n")))
+    walked = numbered.withColumn("close", 100 * F.exp(F.sum(step).over(w.rowsBetween(Window.unboundedPreceding, 0))))
+    u = lambda what: hash_uniform(seed, F.lit(what), F.col("symbol"), F.col("n"))
+    opened = walked.withColumn("open", F.col("close") * (1 + 0.01 * (u("open") - 0.5)))
+    ranged = opened.withColumns({"high": F.greatest("open", "close") * (1 + 0.01 * u("high")), "low": F.least("open", "close") * (1 - 0.01 * u("low")), "volume": 1e6 + F.floor(u("volume") * 49e6)})
+    change = F.try_divide(F.col("close"), F.lag("close").over(w)) - 1
+    return ranged.select("symbol", F.col("d").cast("timestamp_ntz").alias("ts"), "open", "high", "low", "close", F.col("volume").cast("double").alias("volume"), F.coalesce(change >= 0.095, F.lit(False)).alias("limit_up"), F.coalesce(change <= -0.095, F.lit(False)).alias("limit_down"), (u("suspended") < 0.01).alias("is_suspended"), F.lit(1.0).alias("adjustment_factor"))
+
+
+def slice_bars(bars: DataFrame, first: int, last: int) -> DataFrame:
+    """The bars of each symbol from position ``first`` up to, not including, ``last``; counted from 0."""
+    at = F.row_number().over(Window.partitionBy("symbol").orderBy("ts")) - 1
+    return bars.withColumn("_at", at).where((F.col("_at") >= first) & (F.col("_at") < last)).drop("_at")

@@ -11,6 +11,7 @@ from quantloom.operators import backtest, codegen, formula, fuzzy, generate, ind
 from quantloom.plans.ir import Edge, Node, StrategyError, StrategyIR, cross_strategy, threshold_strategy
 from quantloom.plans.signals import with_signal
 from quantloom.schema import BARS, normalize_bars
+from quantloom.sources.bars import random_walk_bars
 from quantloom.sources.store import BarStore, coverage
 
 DAY = dt.datetime(2020, 1, 1)
@@ -279,6 +280,17 @@ def test_optimizer_finds_a_peak():
     assert abs(best["x"] - 3) < 1 and best["k"] == "b" and len(history) == 144
 
 
+def test_latin_hypercube_uses_every_stratum():
+    rows = search.latin_hypercube({"x": ("float", 0.0, 1.0), "k": ("categorical", ["a", "b"]), "n": ("int", 0, 100)}, 10)
+    assert sorted(int(r["x"] * 10) for r in rows) == list(range(10)) and [r["k"] for r in rows].count("a") == 5 and len({r["n"] for r in rows}) >= 9
+
+
+def test_random_walks_differ_by_symbol_and_repeat(spark):
+    a, b = (sorted(map(tuple, random_walk_bars(spark, 2, 50).repartition(n).collect())) for n in (1, 5))
+    assert a == b and len(a) == 100 and {r[5] for r in a if r[0] == "S000"} != {r[5] for r in a if r[0] == "S001"}
+    assert all(r[3] >= max(r[2], r[5]) and r[4] <= min(r[2], r[5]) for r in a)
+
+
 def test_generation(spark):
     b = bars_of(spark, 100 + 10 * np.sin(np.arange(120) / 6))
     better, log = generate.improve(cross_strategy(5, 20), generate.evaluator(b, "total_return_pct"), "indicator_params", 2)
