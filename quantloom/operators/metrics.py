@@ -112,6 +112,16 @@ def performance(steps: DataFrame, keys: list[str]) -> DataFrame:
     return one.withColumns(figures).drop(*sums)
 
 
+def excursions(steps: DataFrame, keys: list[str]) -> DataFrame:
+    """One row for each time in the market: its bars, and how far equity rose above and fell below where it began."""
+    w = Window.partitionBy(*keys).orderBy("bar_seq")
+    held = F.col("market_value") > 0
+    begins = held & ~F.coalesce(F.lag(held).over(w), F.lit(False))
+    numbered = steps.withColumn("stay", F.sum(begins.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).where(held)
+    first = F.min_by("equity", "bar_seq")
+    return numbered.groupBy(*keys, "stay").agg(F.min("ts").alias("entry_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("n_bars"), (F.max("equity") / first - 1).alias("mfe"), (F.min("equity") / first - 1).alias("mae"))
+
+
 def pnl_histogram(trips: DataFrame, keys: list[str], bins: int = 20) -> DataFrame:
     """Round trips by pnl in equal bins between least and largest; the last bin holds its right edge."""
     ends = trips.groupBy(*keys).agg(F.min("pnl").alias("lo"), F.max("pnl").alias("hi"))

@@ -311,6 +311,10 @@ ORACLES["backtest_trades"] = cross_execution(HOURLY) + f"SELECT key AS symbol, {
 ORACLES["backtest_percent"] = cross_execution(HOURLY, money="equity * 0.1::DOUBLE", twice=False) + f"SELECT key AS symbol, {EQUITY_COLUMNS} FROM st WHERE rn > 0"
 ORACLES["backtest_next_open"] = cross_execution(HOURLY, base="open", lagged=True) + f"SELECT key AS symbol, {TRADE_COLUMNS} FROM st WHERE side IS NOT NULL"
 
+ORACLES["excursions"] = cross_execution(HOURLY) + f""", h AS (SELECT *, mv > 0 AS held, mv > 0 AND NOT coalesce(lag(mv > 0) OVER (PARTITION BY key ORDER BY rn), false) AS begins FROM st WHERE rn > 0),
+y AS (SELECT *, sum(begins::INT) OVER (PARTITION BY key ORDER BY rn ROWS UNBOUNDED PRECEDING)::INT AS stay FROM h)
+SELECT key AS symbol, stay, min(ts) AS entry_ts, max(ts) AS last_ts, count(*) AS n_bars, {r('max(equity) / arg_min(equity, rn) - 1', 'mfe')}, {r('min(equity) / arg_min(equity, rn) - 1', 'mae')} FROM y WHERE held GROUP BY key, stay"""
+
 # -- metrics
 
 

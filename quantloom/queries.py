@@ -386,6 +386,11 @@ def backtest_metrics(spark, d):
     return rounded(metrics.performance(executed(spark, d), ["symbol"]))
 
 
+@query
+def excursions(spark, d):
+    return rounded(metrics.excursions(executed(spark, d), ["symbol"]))
+
+
 def curve(spark, d):
     """A curve per symbol that SQL can make too: the close as equity."""
     return daily(spark, d).select("symbol", "ts", (F.row_number().over(Window.partitionBy("symbol").orderBy("ts")) - 1).alias("bar_seq"), F.col("close").alias("equity"))
