@@ -282,7 +282,7 @@ def _candidates(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.R
         yield pairs(held[0] << 32 | held[1], held[2], held[3].view(np.uint64))
 
 
-def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, bands: int = 32, radius: int = 14) -> DataFrame:
+def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, bands: int = 48, radius: int = 14) -> DataFrame:
     """doc_id, component_id of all rows with a doc_id; texts whose shingle sets reach the similarity are linked.
 
     Such texts differ in so few bits of a SimHash over 5-word shingles that no block of useful
