@@ -229,14 +229,13 @@ def _strings(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(out), np.concatenate(origin), np.concatenate(start)
 
 
-def _destination(rows: np.ndarray, parts: int) -> np.ndarray:
-    """By the anchor; rows that hold a single string go by that string."""
+def _destination(rows: np.ndarray, parts: int, dealt_out: bool) -> np.ndarray:
+    """By the anchor; the dealt-out strings of hot anchors go by the string."""
     words = rows.view("<u8")
     anchor = rows[:, LEFT : LEFT + GRAM].copy().view("<u8")
     key = anchor[:, 0] * np.uint64(_MIX[0]) ^ (anchor[:, 1] * np.uint64(_MIX[1]) + anchor[:, 2] * np.uint64(_MIX[2]))
-    single = rows[:, 76].astype(int) + rows[:, 77] == LENGTH
-    for i in range(10):
-        key[single] = (key[single] ^ (key[single] >> np.uint64(29))) * np.uint64(_MIX[3]) + words[single, i] * np.uint64(_MIX[i % 3])
+    for i in range(10 if dealt_out else 0):
+        key = (key ^ (key >> np.uint64(29))) * np.uint64(_MIX[3]) + words[:, i] * np.uint64(_MIX[i % 3])
     return ((key ^ (key >> np.uint64(32))) % np.uint64(parts)).astype(np.int64)
 
 
@@ -264,14 +263,14 @@ def _send_contexts(number: int, docs: pa.Table, masks: pa.Table, parts: int) ->
     local = _merged(place[gone] - left[gone], place[gone] + right[gone] - LENGTH + 1)
     out: list[tuple[int, int, int, bytes]] = []
 
-    def send(sent: np.ndarray, ids: np.ndarray, numbers: np.ndarray) -> None:
-        to = _destination(sent, parts)
+    def send(sent: np.ndarray, ids: np.ndarray, numbers: np.ndarray, dealt_out: bool) -> None:
+        to = _destination(sent, parts, dealt_out)
         by = np.argsort(to, kind="stable")
         for own in np.split(by, np.flatnonzero(np.diff(to[by])) + 1) if len(by) else []:
             out.append((int(to[own[0]]), 0, number, _packed(sent[own], ids[own].astype("<i8"), numbers[own].astype("<i8"))))
 
     calm = np.flatnonzero(~hot)
-    send(rows_sent[calm], first[calm], calm)
+    send(rows_sent[calm], first[calm], calm, False)
     at, decided, asked = len(rows_sent), [], []  # (row, start) known to go; (row, start, number asked under)
     for some in np.split(h := np.flatnonzero(hot), range(_HOT_ROWS, len(h), _HOT_ROWS)):
         strings, origin, start = _strings(rows_sent[some])
@@ -283,7 +282,7 @@ def _send_contexts(number: int, docs: pa.Table, masks: pa.Table, parts: int) ->
         mine = ids == least[string_of]
         decided.append(np.stack([some[origin[order_s[~mine]]], start[order_s[~mine]]]))
         asked.append(np.stack([some[origin[order_s[mine]]], start[order_s[mine]], at + string_of[mine]]))
-        send(strings[order_s[new_s]], least, at + np.arange(len(least)))
+        send(strings[order_s[new_s]], least, at + np.arange(len(least)), True)
         at += len(least)
     known = [np.concatenate(x, axis=1).ravel() if x else np.zeros(0) for x in (decided, asked)]
     out.append((number, 1, number, _packed(local, place[order[theirs]].astype("<i8"), row_of[theirs].astype("<i8"), np.array([at], "<i8"), *(x.astype("<i8") for x in known))))

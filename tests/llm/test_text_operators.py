@@ -178,6 +178,19 @@ def patchwork(n):
     return [(rng.randint(0, n) - 50, "".join(piece() for _ in range(rng.randint(0, 8)))) for _ in range(n)] + [(7, None), (-99, "x" * 20_000), (900, "x" * 700_000)]
 
 
+def test_repeats_at_the_edges_of_documents(spark):
+    """Texts of one string, and passages that begin or end one document and stand inside another."""
+    rng = random.Random(11)
+    noise = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    rows = []
+    for _ in range(40):
+        own, passage = noise(50), noise(90)
+        pair = [own, noise(30) + own + noise(30)]
+        rows += [*(pair if rng.random() < 0.5 else pair[::-1]), passage + noise(40), noise(40) + passage + noise(40), noise(40) + passage]
+    rows = list(enumerate(rows))
+    assert found_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)) == brute_repeats(rows)
+
+
 def test_repeats_match_brute_force(spark):
     rows = patchwork(150)
     assert found_repeats(spark.createDataFrame(rows, "doc_id long, text string")) == brute_repeats(rows)
