@@ -33,6 +33,8 @@ SEED = 42
 _ROWS = 1 << 16
 _PRINT_ROWS = 1 << 12
 _SMALL = 16
+_SAMPLE, _COMMON = 16_000, 300_000
+_GRAM_BYTES, _FEW = 6, 200_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -282,22 +284,125 @@ def _candidates(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.R
         yield pairs(held[0] << 32 | held[1], held[2], held[3].view(np.uint64))
 
 
+def shingle_hashes(text: str, shingle: int) -> np.ndarray:
+    """Distinct 64-bit hashes of the shingles that ``shingle_similarity`` compares."""
+    import xxhash
+
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    joined = {*map(b" ".join, zip(*(words[i:] for i in range(min(shingle, len(words))))))}
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, joined), np.uint64, len(joined)))
+
+
+def prefix(hashes: np.ndarray, similarity: float, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The first shingles of a set in the order of all shingles (rank of the common ones, then hash), as
+    many as can't all be missing from a set at least that similar. An empty set has the shingle zero."""
+    if not len(hashes):
+        return np.zeros(1, np.uint64)
+    place = np.zeros(len(hashes), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+        place = np.where(common[at] == hashes, rank[at], 0)
+    first = len(hashes) - int(np.ceil(similarity * len(hashes) - 1e-9)) + 1
+    return hashes[np.lexsort((hashes, place))[:first]]
+
+
+def _common_shingles(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, sorted, of shingles in several texts of a sample, and their ranks, 1 and up, by frequency.
+
+    Frequent shingles come last in the order of all shingles. Any order gives the same pairs;
+    this one keeps common passages out of the prefixes.
+    """
+    n = rows.count()
+    sample = rows.where(F.pmod(F.xxhash64("key"), F.lit(max(1, n // _SAMPLE))) == 0).dropDuplicates(["key"]).select("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingle_hashes(t.as_py(), shingle) for t in batch.column("text")]
+            values, count = np.unique(np.concatenate(found), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(count)], ["hash", "n"])
+
+    counted = sample.mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).where("n > 1")
+    most = counted.orderBy(F.desc("n"), "hash").limit(_COMMON).toArrow()
+    h = most.column("hash").to_numpy().view(np.uint64)
+    by = np.lexsort((h, most.column("n").to_numpy()))
+    order = np.argsort(h[by])
+    return h[by][order], (order + 1).astype(np.int32)
+
+
+def _left_apart(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by shingle and component. All pairs with a shingle of their prefixes in common that
+    aren't yet connected, except those whose sizes or places of the shingle leave too little in common."""
+    names = ["gram", "component", "item", "size", "place"]
+    share = similarity / (1 + similarity)
+
+    def pairs(gram, component, item, size, place) -> Iterator[pa.RecordBatch]:
+        n = len(gram)
+        new = np.r_[True, gram[1:] != gram[:-1]]
+        edge = np.flatnonzero(new | np.r_[True, component[1:] != component[:-1]])
+        run_end = np.repeat(np.r_[edge[1:], n], np.diff(np.r_[edge, n]))
+        starts = np.flatnonzero(new)
+        end = np.repeat(np.r_[starts[1:], n], np.diff(np.r_[starts, n]))
+        rows, other = np.arange(n), run_end
+        while True:
+            more = other < end[rows]
+            rows, other = rows[more], other[more]
+            if not len(rows):
+                return
+            a, b = size[rows], size[other]
+            most = np.minimum(a - place[rows], b - place[other])
+            ok = (most >= share * (a + b) - 1e-6) & (np.minimum(a, b) >= share * (a + b) - 1e-6) & (item[rows] != item[other])
+            x, y = item[rows[ok]], item[other[ok]]
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], ["a", "b"])
+            other = other + 1
+
+    held = [np.zeros(0, np.int64)] * len(names)
+    waiting: list[list[np.ndarray]] = []
+    count = 0
+    for batch in batches:
+        waiting.append([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in names])
+        count += batch.num_rows
+        if count >= 4 * _ROWS:
+            held, waiting, count = [np.concatenate(x) for x in zip(held, *waiting)], [], 0
+            last = np.flatnonzero(held[0] != held[0][-1])
+            if len(last):
+                yield from pairs(*(h[: last[-1] + 1] for h in held))
+                held = [h[last[-1] + 1 :] for h in held]
+    held = [np.concatenate(x) for x in zip(held, *waiting)]
+    if len(held[0]):
+        yield from pairs(*held)
+
+
+def sketch(hashes: np.ndarray) -> bytes:
+    """Parities of the hashes in each of 512 bins: two sketches differ in no more bits than the sets in elements."""
+    return np.packbits(np.bincount((hashes >> np.uint64(20) & np.uint64(511)).astype(np.int64), minlength=512) & 1 > 0).tobytes()
+
+
 def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, bands: int = 48, radius: int = 14) -> DataFrame:
     """doc_id, component_id of all rows with a doc_id; texts whose shingle sets reach the similarity are linked.
 
     Such texts differ in so few bits of a SimHash over 5-word shingles that no block of useful
-    size need agree, so candidates come from a long SimHash over distinct words, in which they
-    are much closer: ``bands`` buckets of 24 bits each, compared bit-sliced on 64 further bits.
-    Every candidate pair is then verified on its whole shingle sets. Equal texts are one item
-    all the way.
+    size need agree, so a first pass takes candidates from a long SimHash over distinct words, in
+    which they are much closer: ``bands`` buckets of 24 bits each, compared bit-sliced on 64
+    further bits. It connects most of every group with few pairs. A second pass then takes all
+    pairs between the groups that an exact filter can't rule out: similar sets have a shingle of
+    their prefixes in common, and sketches that differ in few bits. Every candidate pair is
+    verified on its whole shingle sets. Equal texts are one item all the way.
     """
     small_batches(docs)
+    spark = docs.sparkSession
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.unhex(F.sha2(text, 256)).alias("key"))
+    common, rank = _common_shingles(rows, shingle)
     words = -(-bands * 24 // 64) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [word_print(t.as_py(), words) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(found, pa.binary())], ["doc_id", "key", "bits"])
+            texts = batch.column("text").to_pylist()
+            sets = [shingle_hashes(t, shingle) for t in texts]
+            grams = [prefix(h, similarity, common, rank).view(np.uint8).reshape(-1, 8)[:, :_GRAM_BYTES].tobytes() for h in sets]
+            columns = [pa.array(x, pa.binary()) for x in ([word_print(t, words) for t in texts], [sketch(h) for h in sets], grams)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), columns[0], pa.array([len(h) for h in sets], pa.int32()), *columns[1:]], ["doc_id", "key", "bits", "size", "sketch", "grams"])
 
     def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -309,25 +414,55 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5
             item = batch.column("item").to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(bands, dtype=np.int32), n)), pa.array(parts.view("<i4").ravel()), pa.array(np.repeat(item, bands)), pa.array(np.repeat(last, bands))], ["band", "bucket", "item", "print"])
 
-    spark = docs.sparkSession
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.unhex(F.sha2(text, 256)).alias("key"))
-    printed = durable(rows.mapInArrow(run, "doc_id long, key binary, bits binary"))
-    items = durable(printed.groupBy("key").agg(F.min("doc_id").alias("item"), F.first("bits").alias("bits")))
-    dealt = items.select("item", "bits").mapInArrow(banded, "band int, bucket int, item long, print long").repartition(shuffle_width(spark), "band", "bucket").sortWithinPartitions("band", "bucket", "item")
-    pairs = durable(dealt.mapInArrow(lambda batches: _candidates(batches, radius), "a long, b long").where("a <> b").distinct())
+    def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams = batch.column("grams").to_pylist()
+            n = np.array([len(g) // _GRAM_BYTES for g in grams], np.int64)
+            keys = np.zeros((int(n.sum()), 8), np.uint8)
+            keys[:, :_GRAM_BYTES] = np.frombuffer(b"".join(grams), np.uint8).reshape(-1, _GRAM_BYTES)
+            component, item, size = (np.repeat(batch.column(c).to_numpy(zero_copy_only=False), n) for c in ("component", "item", "size"))
+            place = np.arange(len(keys)) - np.repeat(np.cumsum(n) - n, n)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view("<i8")[:, 0]), pa.array(component), pa.array(item), pa.array(size), pa.array(place.astype(np.int32))], ["gram", "component", "item", "size", "place"])
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("sketch_a", "sketch_b"))
+            both = batch.column("size_a").to_numpy() + batch.column("size_b").to_numpy().astype(np.int64)
+            ok = np.bitwise_count(one ^ two).sum(1, dtype=np.int64) <= both * (1 - similarity) / (1 + similarity) + 1e-6
+            yield batch.filter(pa.array(ok)).select(["a", "b"])
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = [shingle_similarity(a, b, shingle) >= similarity for a, b in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist())]
             yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
 
-    named = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "item")
-    texts = rows.join(items.select("key", "item").join(named, "item"), (rows["doc_id"] == F.col("item")) & (rows["key"] == items["key"])).select("item", "text")
-    both = pairs.join(texts.select(F.col("item").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("item").alias("b"), F.col("text").alias("text_b")), "b")
-    linked = components(both.select("a", "b", "text_a", "text_b").mapInArrow(verified, "a long, b long"))
+    def similar(pairs: DataFrame, few: bool = False) -> DataFrame:
+        """The pairs that are; where they may be few, only their texts are moved."""
+        named = items.select("key", "item").join(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "item"), "item")
+        if few:
+            named = durable(named)
+            named = F.broadcast(named) if named.count() <= _FEW else named
+        texts = rows.join(named, (rows["doc_id"] == named["item"]) & (rows["key"] == named["key"])).select("item", "text")
+        both = pairs.join(texts.select(F.col("item").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("item").alias("b"), F.col("text").alias("text_b")), "b")
+        return both.select("a", "b", "text_a", "text_b").mapInArrow(verified, "a long, b long")
+
+    printed = rows.mapInArrow(run, "doc_id long, key binary, bits binary, size int, sketch binary, grams binary")
+    items = durable(printed.groupBy("key").agg(F.min("doc_id").alias("item"), *(F.first(c).alias(c) for c in ("bits", "size", "sketch", "grams"))))
+    dealt = items.select("item", "bits").mapInArrow(banded, "band int, bucket int, item long, print long").repartition(shuffle_width(spark), "band", "bucket").sortWithinPartitions("band", "bucket", "item")
+    pairs = durable(dealt.mapInArrow(lambda batches: _candidates(batches, radius), "a long, b long").where("a <> b").distinct())
+    linked = components(similar(pairs))
+
+    grouped = items.join(linked.withColumnRenamed("node", "item"), "item", "left").select("item", F.coalesce("component", "item").alias("component"), "size", "grams")
+    met = grouped.mapInArrow(exploded, "gram long, component long, item long, size int, place int").repartition(shuffle_width(spark), "gram").sortWithinPartitions("gram", "component")
+    apart = met.mapInArrow(lambda batches: _left_apart(batches, similarity), "a long, b long").distinct()
+    sketches = items.select("item", "size", "sketch")
+    for c in ("a", "b"):
+        apart = apart.join(sketches.toDF(c, f"size_{c}", f"sketch_{c}"), c)
+    found = durable(similar(durable(apart.mapInArrow(close, "a long, b long").distinct()), few=True))
+    if not found.isEmpty():
+        linked = components(linked.select(F.col("node").alias("a"), F.col("component").alias("b")).union(found))
     classes = items.select("key", "item").join(linked.withColumnRenamed("node", "item"), "item", "left").select("key", F.coalesce("component", "item").alias("component_id"))
-    return printed.select("doc_id", "key").join(classes, "key").select("doc_id", "component_id")
+    return rows.select("doc_id", "key").join(classes, "key").select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:

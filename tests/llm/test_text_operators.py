@@ -345,6 +345,25 @@ def test_near_duplicates_by_similarity(spark):
     assert kept == {d for d in want if want[d] == d}
 
 
+def brute_kept(rows):
+    linked = [(a, b) for i, (a, s) in enumerate(rows) for b, t in rows[i + 1 :] if simhash_dedup.shingle_similarity(s, t, 5) >= 0.8]
+    want = groups([d for d, _ in rows], linked)
+    return {d for d in want if want[d] == d}
+
+
+def test_near_copies_with_one_block_of_new_words(spark):
+    rng, rows = random.Random(6), []
+    words = lambda n: [f"{rng.getrandbits(40):x}" for _ in range(n)]
+    for n in (60, 150, 300, 600) * 25:
+        base = words(n)
+        cut = n // rng.choice((9, 10))
+        other = base[:-cut] + words(cut) if rng.random() < 0.5 else base + words(n // 4 - 1)
+        rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(other))]
+    want = brute_kept(rows)
+    assert 100 <= len(want) < 150
+    assert {r.doc_id for r in simhash_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
+
+
 def test_simhash_defined_cases(spark):
     docs, rows = odd_docs(spark)
     found = simhash_dedup.near_duplicates(docs).collect()
