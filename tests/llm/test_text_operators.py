@@ -364,6 +364,20 @@ def test_near_copies_with_one_block_of_new_words(spark):
     assert {r.doc_id for r in simhash_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
 
 
+def test_near_copies_among_texts_of_one_template(spark):
+    """Separate pairs in buckets of very many texts that are alike, but not enough."""
+    rng, rows = random.Random(7), []
+    word = lambda: f"{rng.getrandbits(40):x}"
+    template = [word() for _ in range(150)]
+    for _ in range(1000):
+        base = [word() if i % 15 == 0 else w for i, w in enumerate(template)]
+        rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(base[:-8] + [word() for _ in range(8)]))]
+    assert all(simhash_dedup.shingle_similarity(a[1], b[1], 5) >= 0.8 for a, b in zip(rows[::2], rows[1::2]))
+    assert all(simhash_dedup.shingle_similarity(a[1], b[1], 5) < 0.8 for a, b in zip(rows[1::2], rows[2::2]))
+    kept = {r.doc_id for r in simhash_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {d for d, _ in rows[::2]}
+
+
 def test_simhash_defined_cases(spark):
     docs, rows = odd_docs(spark)
     found = simhash_dedup.near_duplicates(docs).collect()
