@@ -267,7 +267,10 @@ def prices(bars: DataFrame) -> DataFrame:
 
 
 def per_series(bars: DataFrame, outputs: list[str], f: Callable[[pd.DataFrame], dict[str, np.ndarray]], keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """Add columns that f computes from one series of bars in time order."""
+    """Add columns that f computes from one series of bars in time order.
+
+    A series is one task, whatever its length.
+    """
     schema = T.StructType(bars.schema.fields + [T.StructField(c, T.DoubleType()) for c in outputs])
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
@@ -295,6 +298,30 @@ def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> Da
     return per_series(bars, ["macd", "macdsignal", "macdhist"], f)
 
 
+def _smoothed(bars: DataFrame, column: str, period: int, kind: int, name: str) -> DataFrame:
+    """The column's mean of a kind: 0 plain, 1 exponential, 2 weighted, 3 and 4 double and triple exponential."""
+    if kind == 0:
+        return sma(bars, period, column, name)
+    if kind == 2:
+        weighted = sum((F.lag(column, period - i).over(series()) * float(i) for i in range(1, period)), F.col(column) * float(period))
+        return bars.withColumn(name, weighted / (period * (period + 1) / 2))
+    if kind not in (1, 3, 4):
+        raise ValueError(f"{kind} is no kind of mean")
+
+    def f(b):
+        e = _chain(b[column], period, {1: 1, 3: 2, 4: 3}[kind])
+        return {name: e[0] if kind == 1 else 2 * e[0] - e[1] if kind == 3 else 3 * e[0] - 3 * e[1] + e[2]}
+
+    return per_series(bars, [name], f)
+
+
+def macdext(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, fast_kind: int = 0, slow_kind: int = 0, signal_kind: int = 0) -> DataFrame:
+    """MACD over means of any kind."""
+    both = _smoothed(_smoothed(bars, "close", fast, fast_kind, "_fast"), "close", slow, slow_kind, "_slow")
+    line = both.withColumn("macd", F.col("_fast") - F.col("_slow")).drop("_fast", "_slow")
+    return _smoothed(line, "macd", signal, signal_kind, "macdsignal").withColumn("macdhist", F.col("macd") - F.col("macdsignal"))
+
+
 def _chain(x: pd.Series, period: int, times: int) -> list[pd.Series]:
     out = [_ewm(x, period)]
     for _ in range(times - 1):

@@ -29,6 +29,14 @@ def drawdowns(equity: DataFrame, keys: list[str], order: str = "bar_seq") -> Dat
     return staged.withColumn("under_bars", F.when(under, lasted).otherwise(0)).drop("_start", "_final", "_seq")
 
 
+def with_rates(one: DataFrame) -> DataFrame:
+    """Total and annual return, volatility and downside of curves summed up as n, first, last, sd and down."""
+    annual = F.when(1 + F.col("total") > 0, F.pow(1 + F.col("total"), PERIODS / F.col("n")) - 1).otherwise(F.col("total") * PERIODS / F.col("n"))
+    yearly = F.sqrt(F.lit(float(PERIODS)))
+    out = one.withColumn("total", F.col("last") / F.col("first") - 1)
+    return out.withColumns({"annual": annual, "volatility": _or_zero(F.col("sd") * yearly), "downside": _or_zero(F.col("down") * yearly)})
+
+
 def equity_metrics(equity: DataFrame, keys: list[str], order: str = "bar_seq", more: dict[str, Column] | None = None) -> DataFrame:
     """One row per run: return, risk and drawdown figures; zeros where there are fewer than two bars.
 
@@ -40,10 +48,7 @@ def equity_metrics(equity: DataFrame, keys: list[str], order: str = "bar_seq", m
         F.count("*").alias("n"), F.min_by("equity", order).alias("first"), F.max_by("equity", order).alias("last"),
         F.stddev_samp("ret").alias("sd"), F.stddev_samp(negative).alias("down"), F.min("drawdown").alias("mdd"), F.max("under_bars").alias("max_drawdown_duration"), *(x.alias(c) for c, x in (more or {}).items()),
     )
-    total = F.col("last") / F.col("first") - 1
-    annual = F.when(1 + F.col("total") > 0, F.pow(1 + F.col("total"), PERIODS / F.col("n")) - 1).otherwise(F.col("total") * PERIODS / F.col("n"))
-    yearly = F.sqrt(F.lit(float(PERIODS)))
-    out = one.withColumns({"total": total}).withColumns({"annual": annual, "volatility": _or_zero(F.col("sd") * yearly), "downside": _or_zero(F.col("down") * yearly)})
+    out = with_rates(one)
     few = F.col("n") < 2
     figures = {
         "net_profit": F.col("last") - F.col("first"),
@@ -66,13 +71,21 @@ def fifo_round_trips(trades: DataFrame, keys: list[str]) -> DataFrame:
 
     Buys and sells of a symbol each cover a range of running share counts; they match where their
     ranges overlap, which a range join in buckets of the running count finds. Both sides are cut
-    at the buckets' edges, so the join is on equal keys. Sells beyond all buys, and what is left
-    unsold, match nothing.
+    at the buckets' edges, so the join is on equal keys. What a sell asks for beyond the lots then
+    open is dropped for good: the most by which sells were ever ahead of buys is taken off the
+    sold count, so a later buy never meets an earlier sell. What is left unsold matches nothing.
     """
-    w = Window.partitionBy(*keys, "symbol", "signal").orderBy("trade_seq").rowsBetween(Window.unboundedPreceding, 0)
-    end = F.sum("shares").over(w)
+    w = Window.partitionBy(*keys, "symbol").orderBy("trade_seq")
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    bought, sold = (F.sum(F.when(side, F.col("shares")).otherwise(0)).over(run) for side in (F.col("signal") > 0, F.col("signal") < 0))
     net = F.when(F.col("signal") > 0, F.col("shares") * F.col("price") + F.col("commission") + F.col("slippage")).otherwise(F.col("shares") * F.col("price") - F.col("commission") - F.col("slippage"))
-    ranged = trades.where("shares > 0").withColumns({"hi": end, "lo": end - F.col("shares"), "money": net})
+    counted = trades.where("shares > 0").withColumns({"_bought": bought, "_sold": sold, "money": net})
+    dropped = counted.withColumn("_dropped", F.greatest(F.lit(0), F.max(F.col("_sold") - F.col("_bought")).over(run)))
+    before = F.coalesce(F.lag("_dropped").over(w), F.lit(0))
+    buy = F.col("signal") > 0
+    lo = F.when(buy, F.col("_bought")).otherwise(F.col("_sold") - before) - F.col("shares")
+    hi = F.when(buy, F.col("_bought")).otherwise(F.col("_sold") - F.col("_dropped"))
+    ranged = dropped.withColumns({"lo": lo, "hi": hi}).where("hi > lo")
     size = 100_000
     spread = ranged.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("lo") / size), F.floor((F.col("hi") - 1) / size))))
     part = lambda side, prefix: spread.where(side).select(*keys, "symbol", "bucket", *(F.col(c).alias(f"{prefix}_{c}") for c in ("trade_seq", "lo", "hi", "shares", "money", "ts")))

@@ -36,6 +36,7 @@ class Param:
 class Entry:
     compute: Callable[..., DataFrame]
     params: dict[str, Param] = field(default_factory=dict)
+    columns: tuple[str, ...] = ()  # what it adds, where the function adds more; the first stands for it in a strategy
 
 
 PERIOD = {"period": Param(int, 1, 100_000)}
@@ -45,9 +46,9 @@ class Registry:
     def __init__(self) -> None:
         self._entries: dict[str, Entry] = {}
 
-    def register(self, name: str, compute: Callable[..., DataFrame], params: dict[str, Param] | None = None) -> None:
-        """``compute(bars, **params)`` gives bars with more columns."""
-        self._entries[name.upper()] = Entry(compute, params or {})
+    def register(self, name: str, compute: Callable[..., DataFrame], params: dict[str, Param] | None = None, columns: tuple[str, ...] = ()) -> None:
+        """``compute(bars, **params)`` gives bars with more columns; ``columns`` names those that belong to the indicator, if not all do."""
+        self._entries[name.upper()] = Entry(compute, params or {}, columns)
 
     def get(self, name: str) -> Entry:
         try:
@@ -67,24 +68,28 @@ class Registry:
         entry = self.get(name)
         if "timeperiod" in params:
             params["period"] = params.pop("timeperiod")
-        return entry.compute(bars, **{k: entry.params[k].checked(k, v) if k in entry.params else v for k, v in params.items()})
+        wide = entry.compute(bars, **{k: entry.params[k].checked(k, v) if k in entry.params else v for k, v in params.items()})
+        return wide.select(*(c for c in bars.columns if c not in entry.columns), *entry.columns) if entry.columns else wide
 
 
 def default_registry() -> Registry:
     own = Registry()
-    with_period = "sma wma trima rsi cmo bbands atr natr adx dx cci stochrsi mom roc rocr willr mfi vwap stddev var aroon linearreg correl ema dema tema t3 trix keltner kama".split()
+    with_period = "sma wma trima rsi cmo atr natr adx dx cci stochrsi mom roc rocr willr mfi vwap stddev var correl ema dema tema t3 trix keltner kama".split()
     for name in with_period:
         own.register(name, getattr(indicators, name), PERIOD)
-    for name in "trange stoch stochf obv pivot fibo bop ad ultosc macd ppo apo adosc hilbert prices directional".split():
+    for name in "trange stoch stochf obv pivot fibo bop ad ultosc macd macdext ppo apo adosc hilbert prices directional".split():
         own.register(name, getattr(indicators, name))
-    parts = {
-        "aroonosc": "aroon", "linearreg_slope": "linearreg", "linearreg_angle": "linearreg", "linearreg_intercept": "linearreg", "tsf": "linearreg",
-        "plus_di": "directional", "minus_di": "directional", "plus_dm": "directional", "minus_dm": "directional",
-        "avgprice": "prices", "medprice": "prices", "typprice": "prices", "wclprice": "prices",
-        "ht_dcperiod": "hilbert", "ht_dcphase": "hilbert", "ht_phasor": "hilbert", "ht_sine": "hilbert", "ht_trendline": "hilbert", "ht_trendmode": "hilbert", "mama": "hilbert", "macdext": "macd",
+    parts = {  # indicators that are some columns of a function, or have them in another order
+        "bbands": ("bbands", "upperband middleband lowerband"),
+        "aroon": ("aroon", "aroon_down aroon_up"), "aroonosc": ("aroon", "aroonosc"),
+        "linearreg": ("linearreg", "linearreg"), "linearreg_slope": ("linearreg", "linearreg_slope"), "linearreg_angle": ("linearreg", "linearreg_angle"), "linearreg_intercept": ("linearreg", "linearreg_intercept"), "tsf": ("linearreg", "tsf"),
+        "plus_di": ("directional", "plus_di"), "minus_di": ("directional", "minus_di"), "plus_dm": ("directional", "plus_dm"), "minus_dm": ("directional", "minus_dm"),
+        "avgprice": ("prices", "avgprice"), "medprice": ("prices", "medprice"), "typprice": ("prices", "typprice"), "wclprice": ("prices", "wclprice"),
+        "ht_dcperiod": ("hilbert", "ht_dcperiod"), "ht_dcphase": ("hilbert", "ht_dcphase"), "ht_phasor": ("hilbert", "ht_inphase ht_quadrature"), "ht_sine": ("hilbert", "ht_sine ht_leadsine"),
+        "ht_trendline": ("hilbert", "ht_trendline"), "ht_trendmode": ("hilbert", "ht_trendmode"), "mama": ("hilbert", "mama fama"),
     }
-    for name, whole in parts.items():
-        own.register(name, getattr(indicators, whole), own.get(whole).params)
+    for name, (whole, columns) in parts.items():
+        own.register(name, getattr(indicators, whole), PERIOD if whole in ("bbands", "aroon", "linearreg", "directional") else None, tuple(columns.split()))
     for names, f in ((("AShareCapitalFlow", "CapitalFlow"), ashare.capital_flow), (("ChipDistribution", "CYQ"), ashare.chip_concentration), (("LimitUpProbability", "LimitUpProb"), ashare.limit_up_probability), (("BoardEffect", "SectorEffect"), ashare.board_effect), (("TurnoverZScore", "TurnoverAnomaly"), ashare.turnover_zscore), (("MainForceIndicator", "MainForce"), ashare.main_force)):
         for name in names:
             own.register(name, f)

@@ -12,13 +12,17 @@ HOURLY = """bars AS (
   FROM (SELECT event_type AS symbol, date_trunc('hour', ts)::TIMESTAMP AS ts, value + 100.0 AS p, ts AS o, user_id AS m FROM events) GROUP BY symbol, ts)"""
 ALL = ("open", "high", "low", "close", "volume", "amount", "turnover_rate")
 S = "PARTITION BY symbol ORDER BY ts"
-OFF_GRID = "3.7e-8::DOUBLE"  # as in the queries: keeps ties from deciding
 TP = "((high + low + close) / 3)"
 TR = f"greatest(high - low, abs(high - lag(close) OVER ({S})), abs(low - lag(close) OVER ({S})))"
 
 
+def tidy(x: str, digits: int = 6) -> str:
+    """Rounded as in the queries: first to three digits more, so that the last bits of a sum don't decide a tie."""
+    return f"round(({x})::DECIMAL(38, {digits + 3}), {digits})::DOUBLE"
+
+
 def r(x: str, name: str | None = None, digits: int = 6) -> str:
-    return f"round(({x}) + {OFF_GRID}, {digits}) + 0.0 AS {name or x}"
+    return f"{tidy(x, digits)} AS {name or x}"
 
 
 def w(n: int) -> str:
@@ -62,7 +66,7 @@ ORACLES["delete_range"] = f"WITH {DAILY} SELECT symbol, ts, {', '.join(map(r, AL
 ORACLES["synthetic_bars"] = """
 WITH days AS (SELECT i, d::TIMESTAMP AS ts, datediff('day', DATE '2020-01-01', d::DATE) AS n FROM range(3) x(i), generate_series(DATE '2020-01-01', DATE '2020-02-29', INTERVAL 1 DAY) g(d) WHERE isodow(d) <= 5),
 bars AS (SELECT 'S' || lpad(i::VARCHAR, 3, '0') AS symbol, ts, 10.0::DOUBLE + i + n * 0.05::DOUBLE AS base, n FROM days)
-SELECT symbol, ts, round(base + 3.7e-8, 6) AS open, round(base + 0.5 + 3.7e-8, 6) AS high, round(base - 0.5 + 3.7e-8, 6) AS low, round(base + 0.1 + 3.7e-8, 6) AS close, 1000.0::DOUBLE + n * 10 AS volume FROM bars"""
+SELECT symbol, ts, round((base)::DECIMAL(38, 9), 6)::DOUBLE AS open, round((base + 0.5)::DECIMAL(38, 9), 6)::DOUBLE AS high, round((base - 0.5)::DECIMAL(38, 9), 6)::DOUBLE AS low, round((base + 0.1)::DECIMAL(38, 9), 6)::DOUBLE AS close, 1000.0::DOUBLE + n * 10 AS volume FROM bars"""
 
 ORACLES["bar_slice"] = f"WITH {DAILY} SELECT symbol, ts, {', '.join(map(r, ALL))} FROM bars QUALIFY row_number() OVER ({S}) BETWEEN 51 AND 150"
 ORACLES["bar_feed"] = ORACLES["synthetic_bars"]
@@ -78,7 +82,7 @@ ORACLES["code_list"] = "SELECT s_suppkey, lpad(s_suppkey::VARCHAR, 6, '0') || CA
 
 ORACLES["bar_quality"] = f"""WITH {DAILY}, c AS (SELECT *, abs({div('close', lag('close'))} - 1) AS ch, count(*) OVER (PARTITION BY symbol, ts) AS k FROM bars)
 SELECT symbol, count(*) AS n_bars, count(*) FILTER (high < greatest(open, close, low)) AS low_high, count(*) FILTER (low > least(open, close, high)) AS high_low, count(*) FILTER (least(open, high, low, close) <= 0) AS not_positive, count(*) FILTER (volume <= 0) AS no_volume, count(*) FILTER (ch > 0.5) AS jumps, count(*) FILTER (k > 1) AS repeated FROM c GROUP BY symbol"""
-ORACLES["asof_join"] = f"WITH {HOURLY}, board AS (SELECT ts, close AS board_close FROM bars WHERE symbol = 'purchase' AND hour(ts) % 5 = 0) SELECT symbol, b.ts, {r('close')}, {r('board_close')} FROM bars b ASOF LEFT JOIN board o ON b.ts >= o.ts WHERE symbol <> 'purchase'"
+ORACLES["asof_join"] = f"WITH {HOURLY}, board AS (SELECT ts, close AS board_close FROM bars WHERE symbol = 'purchase') SELECT symbol, b.ts, {r('close')}, {r('board_close')} FROM bars b ASOF LEFT JOIN board o ON b.ts >= o.ts WHERE symbol <> 'purchase'"
 
 FACTORED = DAILY + """, factors AS (SELECT symbol, ts, CASE WHEN day(ts) > 15 THEN 1.1::DOUBLE ELSE 1.0::DOUBLE END AS factor FROM bars WHERE day(ts) <= 20),
 factored AS (SELECT bars.*, coalesce(factor, 1.0::DOUBLE) AS factor FROM bars LEFT JOIN factors USING (symbol, ts))"""
@@ -221,7 +225,7 @@ ORACLES["chip_concentration"] = staged([{"rn": f"row_number() OVER ({S})"}])[:-1
 pairs AS (SELECT a.symbol, a.rn, b.close AS p, b.volume AS v FROM last a JOIN last b ON a.symbol = b.symbol AND b.rn BETWEEN a.rn - 60 AND a.rn - 1 WHERE a.rn > 60),
 cum AS (SELECT *, sum(v) OVER (PARTITION BY symbol, rn ORDER BY p, v ROWS UNBOUNDED PRECEDING) AS c, sum(v) OVER (PARTITION BY symbol, rn) AS t FROM pairs),
 value AS (SELECT symbol, rn, (min(p) FILTER (c >= 0.95::DOUBLE * t) - min(p) FILTER (c >= (1 - 0.95)::DOUBLE * t)) / (sum(p * v) / max(t)) AS x FROM cum GROUP BY symbol, rn)
-SELECT symbol, ts, round(x + 3.7e-8, 6) + 0.0 AS chip_concentration FROM last LEFT JOIN value USING (symbol, rn)""".replace("(1 - 0.95)::DOUBLE", "0.05::DOUBLE")
+SELECT symbol, ts, round((x)::DECIMAL(38, 9), 6)::DOUBLE AS chip_concentration FROM last LEFT JOIN value USING (symbol, rn)""".replace("(1 - 0.95)::DOUBLE", "0.05::DOUBLE")
 ORACLES["chip_profile"] = f"""WITH {DAILY}, latest AS (SELECT * FROM bars QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) <= 60),
 ends AS (SELECT symbol, min(low) AS lo, max(high) AS hi, arg_max(close, ts) AS last_close FROM latest GROUP BY symbol),
 vol AS (SELECT symbol, least(floor((close - lo) / nullif((hi - lo) / 50, 0)), 49)::INT AS bin, sum(volume) AS volume FROM latest JOIN ends USING (symbol) GROUP BY ALL),
@@ -254,8 +258,8 @@ put("formula_mixed", [{"value": f"{roll('max', 'close', 5)} - least(sqrt(abs(low
 ORACLES["formula_ema"] = recursive(means("close", 10, 1), {"value": "e1 / sma - 1"}, [{"sma": roll("avg", "close", 10)}])
 ORACLES["protected_math"] = """
 SELECT l_returnflag, l_linestatus, count(*) AS n,
-  round(sum(round(CASE WHEN abs(l_discount) > 1e-10 THEN l_quantity / l_discount ELSE 1.0 END, 6)) + 3.7e-8, 2) + 0.0 AS div, round(sum(round(sqrt(abs(l_quantity)), 6)) + 3.7e-8, 2) + 0.0 AS root,
-  round(sum(round(ln(abs(l_discount) + 1e-10), 6)) + 3.7e-8, 2) + 0.0 AS log, round(sum(round(power(abs(l_discount), 0.5), 6)) + 3.7e-8, 2) + 0.0 AS power, count(*) FILTER (abs(l_discount - 0.05) < 1e-6)::BIGINT AS near
+  round((sum(round(CASE WHEN abs(l_discount) > 1e-10 THEN l_quantity / l_discount ELSE 1.0 END, 6)))::DECIMAL(38, 5), 2)::DOUBLE AS div, round((sum(round(sqrt(abs(l_quantity)), 6)))::DECIMAL(38, 5), 2)::DOUBLE AS root,
+  round((sum(round(ln(abs(l_discount) + 1e-10), 6)))::DECIMAL(38, 5), 2)::DOUBLE AS log, round((sum(round(power(abs(l_discount), 0.5), 6)))::DECIMAL(38, 5), 2)::DOUBLE AS power, count(*) FILTER (abs(l_discount - 0.05) < 1e-6)::BIGINT AS near
 FROM lineitem GROUP BY l_returnflag, l_linestatus"""
 
 # -- signals and rules
@@ -338,13 +342,23 @@ FIGURES = ("net_profit", "total_return_pct", "annual_return_pct", "cagr", "volat
 
 
 def fifo_tables(trades: str, keys: str) -> str:
-    """Tables t0 to trips and tm over trades (keys, symbol, trade_seq, signal, shares, price, commission, slippage)."""
+    """Tables t0 to trips and tp over trades (keys, symbol, trade_seq, signal, shares, price, commission, slippage).
+
+    The edges of lots and sells cut the share counts into steps; each step looks up the lot and the sell it lies in.
+    """
     both = f"{keys}, symbol" if keys else "symbol"
+    p = f"PARTITION BY {both} ORDER BY trade_seq ROWS UNBOUNDED PRECEDING"
+    same = lambda a: " AND ".join(f"c.{k} = {a}.{k}" for k in both.split(", "))
     return f""",
-t0 AS (SELECT *, sum(shares) OVER (PARTITION BY {both}, signal ORDER BY trade_seq ROWS UNBOUNDED PRECEDING) AS hi, CASE WHEN signal > 0 THEN shares * price + commission + slippage ELSE shares * price - commission - slippage END AS money FROM {trades}),
-t1 AS (SELECT *, hi - shares AS lo FROM t0),
-trips AS (SELECT {', '.join(f's.{k}' for k in both.split(', '))}, y.trade_seq AS buy_trade_seq, s.trade_seq AS sell_trade_seq, (least(y.hi, s.hi) - greatest(y.lo, s.lo))::BIGINT AS shares, y.money * (least(y.hi, s.hi) - greatest(y.lo, s.lo)) / y.shares AS cost, s.money * (least(y.hi, s.hi) - greatest(y.lo, s.lo)) / s.shares AS proceeds
-  FROM t1 y JOIN t1 s ON {' AND '.join(f's.{k} = y.{k}' for k in both.split(', '))} AND y.lo < s.hi AND s.lo < y.hi WHERE y.signal > 0 AND s.signal < 0),
+t0 AS (SELECT *, sum(CASE WHEN signal > 0 THEN shares ELSE 0 END) OVER ({p})::BIGINT AS b, sum(CASE WHEN signal < 0 THEN shares ELSE 0 END) OVER ({p})::BIGINT AS s, CASE WHEN signal > 0 THEN shares * price + commission + slippage ELSE shares * price - commission - slippage END AS money FROM {trades} WHERE shares > 0),
+t1 AS (SELECT *, b - s - least(0, min(b - s) OVER ({p})) AS held FROM t0),
+t2 AS (SELECT *, coalesce(lag(held) OVER (PARTITION BY {both} ORDER BY trade_seq), 0) AS had FROM t1),
+buys AS (SELECT *, b - shares AS lo, b AS hi FROM t2 WHERE signal > 0),
+sells AS (SELECT *, b - had AS lo, b - held AS hi FROM t2 WHERE signal < 0 AND held < had),
+edges AS (SELECT {both}, lo AS e FROM buys UNION SELECT {both}, hi FROM buys UNION SELECT {both}, lo FROM sells UNION SELECT {both}, hi FROM sells),
+c AS (SELECT *, lead(e) OVER (PARTITION BY {both} ORDER BY e) AS f FROM edges),
+trips AS (SELECT {', '.join(f'c.{k}' for k in both.split(', '))}, y.trade_seq AS buy_trade_seq, z.trade_seq AS sell_trade_seq, (c.f - c.e)::BIGINT AS shares, y.money * (c.f - c.e) / y.shares AS cost, z.money * (c.f - c.e) / z.shares AS proceeds
+  FROM c ASOF JOIN buys y ON {same('y')} AND c.e >= y.lo ASOF JOIN sells z ON {same('z')} AND c.e >= z.lo WHERE c.e < y.hi AND c.e < z.hi),
 tp AS (SELECT *, proceeds - cost AS pnl FROM trips)
 """
 
@@ -369,11 +383,11 @@ ORACLES["backtest_metrics"] = (
     + metric_tables("curve", "symbol") + fifo_tables("fills", "") + trade_figures("symbol", "fills")
     + f"SELECT symbol, {', '.join(map(r, FIGURES))}, {', '.join(r(f'coalesce({c}, 0.0)', c) for c in TRADE_FIGURES)} FROM mx LEFT JOIN tm USING (symbol)"
 )
-FILLS = """WITH t AS (SELECT l_returnflag || l_linestatus AS symbol, l_shipdate AS ts, l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, CASE WHEN l_orderkey % 3 = 0 THEN -1 ELSE 1 END AS signal, (l_quantity * 100)::BIGINT AS shares, round(l_extendedprice / l_quantity / 100 + 3.7e-8, 4) AS price, l_tax AS commission, l_discount AS slippage FROM lineitem),
+FILLS = """WITH t AS (SELECT l_returnflag || l_linestatus AS symbol, l_shipdate AS ts, l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, CASE WHEN l_orderkey % 3 = 0 THEN -1 ELSE 1 END AS signal, (l_quantity * 100)::BIGINT AS shares, round((l_extendedprice / l_quantity / 100)::DECIMAL(38, 7), 4)::DOUBLE AS price, l_tax AS commission, l_discount AS slippage FROM lineitem),
 fills AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts, l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, price) AS trade_seq, symbol AS run_id FROM t)"""
 ORACLES["fifo_round_trips"] = FILLS + fifo_tables("fills", "") + f"SELECT symbol, buy_trade_seq::INT AS buy_trade_seq, sell_trade_seq::INT AS sell_trade_seq, shares, {r('cost', digits=4)}, {r('proceeds', digits=4)}, {r('pnl', digits=4)} FROM tp"
 ORACLES["trade_metrics"] = FILLS + fifo_tables("fills", "run_id") + trade_figures("run_id", "fills") + f"SELECT run_id, {', '.join(r(c, digits=4) for c in TRADE_FIGURES)} FROM tm"
-ORACLES["pnl_histogram"] = FILLS + fifo_tables("fills", "") + f""", p AS (SELECT symbol, round(pnl + 3.7e-8, 4) AS pnl FROM tp), e AS (SELECT symbol, min(pnl) AS lo, max(pnl) AS hi FROM p GROUP BY symbol)
+ORACLES["pnl_histogram"] = FILLS + fifo_tables("fills", "") + f""", p AS (SELECT symbol, round((pnl)::DECIMAL(38, 7), 4)::DOUBLE AS pnl FROM tp), e AS (SELECT symbol, min(pnl) AS lo, max(pnl) AS hi FROM p GROUP BY symbol)
 SELECT symbol, coalesce(least(floor((pnl - lo) / nullif((hi - lo) / 20, 0)), 19), 0)::INT AS bin, count(*) AS n, {r('sum(pnl)', 'pnl', 2)} FROM p JOIN e USING (symbol) GROUP BY ALL"""
 
 # -- Monte Carlo
@@ -383,34 +397,52 @@ def u(*keys: str) -> str:
     return f"(concat('0x', substr(md5(concat_ws(':', '42', {', '.join(keys)})), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
 
 
-OUTCOMES = f"WITH {DAILY}, outcomes AS (SELECT symbol AS run_id, row_number() OVER ({S}) AS trade_seq, round((close - open) * 100 + 3.7e-8, 4) AS pnl FROM bars QUALIFY trade_seq <= 40), rows AS (SELECT *, i::INT AS sim_id FROM outcomes, range(20) g(i))"
+def drawn(method: str, *rates: float) -> str:
+    return f"([{', '.join(map(str, rates))}]::DOUBLE[])[(floor({u(chr(39) + 'rate' + chr(39), chr(39) + method + chr(39), 'sim_id')} * {len(rates)}) + 1)::INT]"
+
+
+def outcomes(source: str, n: int) -> str:
+    """Tables bars, outcomes and rows: the change of each bar as a trade, once for each of n simulations."""
+    return f"{source}, outcomes AS (SELECT symbol AS run_id, row_number() OVER ({S}) AS trade_seq, round(((close - open) * 100)::DECIMAL(38, 7), 4)::DOUBLE AS pnl FROM bars), rows AS (SELECT *, i::INT AS sim_id FROM outcomes, range({n}) g(i))"
 
 
 def simulated(method: str) -> str:
     x = u(f"'{method}'", "sim_id", "trade_seq")
-    rate = f"([0.1, 0.2, 0.3]::DOUBLE[])[(floor({u(chr(39) + 'rate' + chr(39), chr(39) + method + chr(39), 'sim_id')} * 3) + 1)::INT]"
     match method:
         case "shuffle_trades":
             return f"SELECT *, {x} AS place FROM rows"
         case "skip_trades":
-            return f"SELECT *, trade_seq::DOUBLE AS place FROM rows WHERE {x} > {rate}"
+            return f"SELECT *, trade_seq::DOUBLE AS place FROM rows WHERE {x} > {drawn(method, 0.1, 0.2, 0.3)}"
         case "randomize_trades_order":
             return f"SELECT * REPLACE (CASE WHEN {u(chr(39) + 'flip' + chr(39), 'sim_id', 'trade_seq')} < 0.5 THEN -pnl ELSE pnl END AS pnl), {x} AS place FROM rows"
         case "position_size":
             return f"SELECT * REPLACE (pnl * (0.8::DOUBLE + 0.4::DOUBLE * {x}) AS pnl), trade_seq::DOUBLE AS place FROM rows"
-    return f"SELECT *, trade_seq::DOUBLE AS place FROM rows QUALIFY row_number() OVER (PARTITION BY run_id, sim_id ORDER BY {x}, trade_seq) > floor(count(*) OVER (PARTITION BY run_id, sim_id) * {rate})"
+    return f"SELECT *, trade_seq::DOUBLE AS place FROM rows QUALIFY row_number() OVER (PARTITION BY run_id, sim_id ORDER BY {x}, trade_seq) > floor(count(*) OVER (PARTITION BY run_id, sim_id) * {drawn(method, 0.1, 0.2)})"
 
 
 METHODS = ("shuffle_trades", "skip_trades", "randomize_trades_order", "position_size", "delete_trades")
 for _m in METHODS:
-    ORACLES[f"mc_{_m}"] = OUTCOMES + f", sim AS ({simulated(_m)}) SELECT run_id, sim_id, trade_seq::INT AS trade_seq, {r('pnl')}, row_number() OVER (PARTITION BY run_id, sim_id ORDER BY place, trade_seq)::INT AS at FROM sim".replace(" AS at", ' AS "at"')
-ORACLES["mc_summary"] = OUTCOMES + ", sim AS (" + " UNION ALL ".join(f"SELECT '{m}' AS method, run_id, sim_id, trade_seq, pnl, place FROM ({simulated(m)})" for m in METHODS) + """),
-curve AS (SELECT method, run_id, sim_id, row_number() OVER p AS bar_seq, 1000000.0::DOUBLE + sum(pnl) OVER (p ROWS UNBOUNDED PRECEDING) AS equity FROM sim WINDOW p AS (PARTITION BY method, run_id, sim_id ORDER BY place, trade_seq) UNION ALL SELECT DISTINCT method, run_id, sim_id, 0, 1000000.0::DOUBLE FROM sim)""" + metric_tables("curve", "method, run_id, sim_id") + f"""
-SELECT run_id, method, count(*) AS n_simulations, {r("avg((total_return_pct > 0)::INT)", "profitable_pct", 4)}, {r("quantile_cont(total_return_pct / 100, 0.5)", "profit_median", 4)}, {r("quantile_cont(total_return_pct / 100, 0.05)", "profit_pct5", 4)}, {r("quantile_cont(total_return_pct / 100, 0.95)", "profit_pct95", 4)}, {r("stddev_samp(total_return_pct / 100)", "profit_std", 4)},
-  {r("quantile_cont(sharpe_ratio, 0.5)", "sharpe_median", 4)}, {r("stddev_samp(sharpe_ratio)", "sharpe_std", 4)}, {r("min(max_drawdown_pct / 100)", "worst_drawdown", 4)}, avg((total_return_pct > 0)::INT) >= 0.8 AS pass_status FROM mx GROUP BY run_id, method"""
+    ORACLES[f"mc_{_m}"] = f"WITH {outcomes(DAILY, 20)}, sim AS ({simulated(_m)}) SELECT run_id, sim_id, trade_seq::INT AS trade_seq, {r('pnl')}, row_number() OVER (PARTITION BY run_id, sim_id ORDER BY place, trade_seq)::INT AS at FROM sim".replace(" AS at", ' AS "at"')
+
 
+def mc_summary(figures: str) -> str:
+    """Summary over (run_id, method, total_return_pct, sharpe_ratio, max_drawdown_pct)."""
+    return f"""SELECT run_id, method, count(*) AS n_simulations, {r("avg((total_return_pct > 0)::INT)", "profitable_pct", 4)}, {r("quantile_cont(total_return_pct / 100, 0.5)", "profit_median", 4)}, {r("quantile_cont(total_return_pct / 100, 0.05)", "profit_pct5", 4)}, {r("quantile_cont(total_return_pct / 100, 0.95)", "profit_pct95", 4)}, {r("stddev_samp(total_return_pct / 100)", "profit_std", 4)},
+  {r("quantile_cont(sharpe_ratio, 0.5)", "sharpe_median", 4)}, {r("stddev_samp(sharpe_ratio)", "sharpe_std", 4)}, {r("min(max_drawdown_pct / 100)", "worst_drawdown", 4)}, avg((total_return_pct > 0)::INT) >= 0.8 AS pass_status FROM {figures} GROUP BY run_id, method"""
 
-ORACLES["mc_overall"] = f"WITH one AS ({ORACLES['mc_summary']}) SELECT run_id, bool_and(pass_status) AS pass_status, min(profitable_pct) AS least_profitable, min(worst_drawdown) AS worst_drawdown, count(*) AS n_methods FROM one GROUP BY run_id"
+
+def trade_methods(source: str, n: int) -> str:
+    """Tables to mx: figures of all simulations of the trade methods."""
+    return outcomes(source, n) + ", sim AS (" + " UNION ALL ".join(f"SELECT '{m}' AS method, run_id, sim_id, trade_seq, pnl, place FROM ({simulated(m)})" for m in METHODS) + """),
+curve AS (SELECT method, run_id, sim_id, row_number() OVER p AS bar_seq, 1000000.0::DOUBLE + sum(pnl) OVER (p ROWS UNBOUNDED PRECEDING) AS equity FROM sim WINDOW p AS (PARTITION BY method, run_id, sim_id ORDER BY place, trade_seq) UNION ALL SELECT DISTINCT method, run_id, sim_id, 0, 1000000.0::DOUBLE FROM sim)""" + metric_tables("curve", "method, run_id, sim_id")
+
+
+def overall(summary: str) -> str:
+    return f"SELECT run_id, bool_and(pass_status) AS pass_status, min(profitable_pct) AS least_profitable, min(worst_drawdown) AS worst_drawdown, count(*) AS n_methods FROM ({summary}) GROUP BY run_id"
+
+
+ORACLES["mc_summary"] = f"WITH {trade_methods(DAILY, 20)} {mc_summary('mx')}"
+ORACLES["mc_overall"] = overall(ORACLES["mc_summary"])
 ORACLES["mc_block_shuffle"] = f"""WITH {DAILY}, n AS (SELECT symbol, close, row_number() OVER ({S}) AS n, ln({div('close', lag('close'))}) AS step FROM bars), rows AS (SELECT *, i::INT AS sim_id, floor((n - 2) / 20)::BIGINT AS block FROM n, range(3) g(i)),
 u AS (SELECT *, {u("'block'", "sim_id", "symbol", "block")} AS x FROM rows), p AS (SELECT symbol, sim_id, row_number() OVER o AS place, first_value(close) OVER o * exp(sum(coalesce(step, 0.0)) OVER (o ROWS UNBOUNDED PRECEDING)) AS c FROM u WINDOW o AS (PARTITION BY symbol, sim_id ORDER BY n > 1, x, block, n))
 SELECT symbol, sim_id, place::INT AS place, {r('c', 'close', 4)} FROM p"""
@@ -431,12 +463,45 @@ c AS (SELECT *, 100 * exp(sum(CASE WHEN n = 1 THEN 0.0 ELSE 0.02::DOUBLE * {_STE
 o AS (SELECT *, close * (1 + 0.01::DOUBLE * ({_WALK('open')} - 0.5)) AS open FROM c),
 h AS (SELECT *, greatest(open, close) * (1 + 0.01::DOUBLE * {_WALK('high')}) AS high, least(open, close) * (1 - 0.01::DOUBLE * {_WALK('low')}) AS low, 1e6 + floor({_WALK('volume')} * 49e6) AS volume, {div('close', lag('close'))} - 1 AS ch FROM o)
 SELECT symbol, ts, {', '.join(r(x, digits=4) for x in ALL[:5])}, coalesce(ch >= 0.095, false) AS limit_up, coalesce(ch <= -0.095, false) AS limit_down, {_WALK('suspended')} < 0.01 AS is_suspended, 1.0::DOUBLE AS adjustment_factor FROM h"""
-_SPREAD = ", ".join(f"0.01::DOUBLE * coalesce(stddev_samp({c}) OVER (PARTITION BY symbol), 0.0) AS s_{c}" for c in ALL[:4])
-ORACLES["mc_data_noise"] = f"""WITH {DAILY}, s AS (SELECT *, {_SPREAD} FROM bars), rows AS (SELECT *, i::INT AS sim_id FROM s, range(3) g(i)),
-moved AS (SELECT symbol, ts, sim_id, {', '.join(f'{c} + s_{c} * {normal(c)} AS {c}' for c in ALL[:4])} FROM rows)
-SELECT symbol, ts, sim_id, {r('open', digits=4)}, {r('greatest(high, open, close, low)', 'high', 4)}, {r('least(low, open, close, high)', 'low', 4)}, {r('close', digits=4)} FROM moved"""
-ORACLES["mc_start_offset"] = f"""WITH {DAILY}, c AS (SELECT symbol, ts, count(*) OVER (PARTITION BY symbol) AS n, row_number() OVER ({S}) AS k FROM bars), rows AS (SELECT *, i::INT AS sim_id FROM c, range(5) g(i))
-SELECT symbol, sim_id, count(*) AS n, min(ts) AS first_ts FROM rows WHERE k > floor({u("'offset'", "sim_id", "symbol")} * greatest(floor(n * 0.1), 1)) + 1 GROUP BY symbol, sim_id"""
+_SPREAD = ", ".join(f"coalesce(stddev_samp({c}) OVER (PARTITION BY symbol), 0.0) AS s_{c}" for c in ALL[:4])
+
+
+def noisy(source: str, n: int) -> str:
+    """Tables to noisy: the bars of every simulation."""
+    return f"""{source}, s AS (SELECT *, {_SPREAD} FROM bars), noise AS (SELECT *, i::INT AS sim_id FROM s, range({n}) g(i)),
+moved AS (SELECT symbol, ts, sim_id, {', '.join(f"{c} + {drawn('data_noise', 0.01, 0.02, 0.05)} * s_{c} * {normal(c)} AS {c}" for c in ALL[:4])} FROM noise),
+noisy AS (SELECT symbol, ts, sim_id, open, greatest(high, open, close, low) AS high, least(low, open, close, high) AS low, close FROM moved)"""
+
+
+def offset(source: str, n: int) -> str:
+    """Tables to later: the bars of every simulation after its offset."""
+    return f"""{source}, k AS (SELECT *, count(*) OVER (PARTITION BY symbol) AS n_bars, row_number() OVER ({S}) AS k FROM bars), ks AS (SELECT *, i::INT AS sim_id FROM k, range({n}) g(i)), most AS (SELECT *, floor(n_bars * {drawn('start_offset', 0.1, 0.2, 0.3)}) AS most FROM ks),
+later AS (SELECT * FROM most WHERE k > CASE WHEN most > 0 THEN floor({u("'offset'", "sim_id", "symbol")} * most) + 1 ELSE 0 END)"""
+
+
+ORACLES["mc_data_noise"] = f"WITH {noisy(DAILY, 3)} SELECT symbol, ts, sim_id, {', '.join(r(c, digits=4) for c in ALL[:4])} FROM noisy"
+ORACLES["mc_start_offset"] = f"WITH {offset(DAILY, 5)} SELECT symbol, sim_id, count(*) AS n, min(ts) AS first_ts FROM later GROUP BY symbol, sim_id"
+# Periods of 10 and 30 as the four simulations perturb them, worked out by hand from the hashes.
+PERTURBED = [(8, 28), (11, 25), (9, 30), (9, 38)]
+
+
+def anew(method: str) -> str:
+    """Tables to mx over the simulations of a method that are executed anew, symbols being <symbol>#<simulation>."""
+    tables, rows = {"data_noise": (noisy(HOURLY, 4), "noisy"), "comprehensive": (noisy(HOURLY, 4), "noisy"), "start_offset": (offset(HOURLY, 4), "later"), "param_perturb": (f"{HOURLY}, every AS (SELECT *, i::INT AS sim_id FROM bars, range(4) g(i))", "every")}[method]
+    pairs = PERTURBED if method in ("comprehensive", "param_perturb") else [(10, 30)] * 4
+    mean = lambda side: "CASE sim_id " + " ".join(f"WHEN {i} THEN {roll('avg', 'close', p[side])}" for i, p in enumerate(pairs)) + " END"
+    steps = [{"f": mean(0), "g": mean(1)}, CROSS[1], *PLAIN_RULES]
+    body = staged(steps, f"{tables}, named AS (SELECT ts, open, high, low, close, sim_id, symbol || '#' || sim_id AS symbol FROM {rows})", "named")[:-1]
+    return body + f",\nb AS (SELECT symbol AS key, row_number() OVER ({S}) AS rn, {B_COLUMNS} FROM last)" + execution() + ", curve AS (SELECT key AS symbol, rn - 1 AS bar_seq, equity FROM st WHERE rn > 0)" + metric_tables("curve", "symbol")
+
+
+RUN = "split_part(symbol, '#', 1) AS run_id, split_part(symbol, '#', 2)::INT AS sim_id"
+for _m in ("param_perturb", "data_noise", "start_offset", "comprehensive"):
+    ORACLES[f"mc_anew_{_m}"] = anew(_m) + f"SELECT {RUN}, {', '.join(r(c, digits=4) for c in ('net_profit', 'total_return_pct', 'sharpe_ratio', 'max_drawdown_pct'))} FROM mx"
+ORACLES["mc_all_methods"] = overall(
+    " UNION ALL ".join([f"SELECT * FROM (WITH {trade_methods(HOURLY, 4)} {mc_summary('mx')})"] + [f"SELECT * FROM ({anew(_m)}, named_mx AS (SELECT *, {RUN}, '{_m}' AS method FROM mx) {mc_summary('named_mx')})" for _m in ("param_perturb", "data_noise", "start_offset", "comprehensive")])
+)
+
 
 # -- search
 
@@ -522,7 +587,7 @@ ORACLES["risk_parity"] = CHANGES + f", v AS (SELECT symbol, stddev_samp(ret) AS
 ORACLES["portfolio_curve"] = CHANGES + f", m AS (SELECT ts, sum(ret * 0.2::DOUBLE) AS ret FROM rets GROUP BY ts) SELECT ts, {r('ret', digits=4)}, {r('exp(sum(ln(1 + ret)) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING))', 'equity', 4)} FROM m"
 ORACLES["corrected_p_values"] = """WITH t AS (SELECT s_suppkey AS id, (s_suppkey * 37 % 101) / 5000.0::DOUBLE AS p_value FROM supplier), k AS (SELECT *, count(*) OVER () AS m, row_number() OVER (ORDER BY p_value, id) AS rk FROM t),
 h AS (SELECT *, p_value * m * list_sum(list_transform(range(1, m + 1), lambda i: 1.0::DOUBLE / i)) / rk AS raw FROM k)
-SELECT id, round(p_value + 3.7e-8, 6) AS p_value, round(least(1.0, p_value * m) + 3.7e-8, 6) AS bonferroni, round(least(1.0, min(raw) OVER (ORDER BY rk ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) + 3.7e-8, 6) AS bhy FROM h"""
+SELECT id, round((p_value)::DECIMAL(38, 9), 6)::DOUBLE AS p_value, round((least(1.0, p_value * m))::DECIMAL(38, 9), 6)::DOUBLE AS bonferroni, round((least(1.0, min(raw) OVER (ORDER BY rk ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)))::DECIMAL(38, 9), 6)::DOUBLE AS bhy FROM h"""
 _HORIZONS = " UNION ALL ".join(f"SELECT symbol, {i}::INT AS combo_idx, close / lag(close, {n}) OVER ({S}) - 1 AS change FROM bars" for i, n in enumerate((1, 2, 3, 5, 8, 13, 21)))
 CURVE_GRID = f"WITH {DAILY}, c AS ({_HORIZONS}), grid AS (SELECT symbol, combo_idx, round(avg(change) - 0.3, 8) AS ret FROM c GROUP BY ALL)"
 ORACLES["spp_summary"] = CURVE_GRID + f" SELECT symbol, count(*) AS n, {r('quantile_cont(ret, 0.5)', 'median')}, {r('quantile_cont(ret, 0.25)', 'q25')}, {r('quantile_cont(ret, 0.75)', 'q75')}, {r('avg((ret > 0)::INT)', 'positive_share')}, {r('max(ret)', 'best')}, {r('max(ret) - quantile_cont(ret, 0.5)', 'best_to_median')} FROM grid GROUP BY symbol"
@@ -552,6 +617,6 @@ i AS (SELECT *, abs(mdd) AS dd, abs(mdd) >= 20 AS i1, abs(mdd) >= 12 AND abs(mdd
 k AS (SELECT *, i1::INT + i3::INT + i7::INT AS hi, i2::INT + i5::INT + i6::INT + i8::INT AS me, i1::INT + i2::INT + i3::INT + i4::INT + i5::INT + i6::INT + i7::INT + i8::INT AS cnt FROM i),
 s AS (SELECT *, greatest(0.0, least(100.0, 50 + greatest(-25.0, least(25.0, sharpe * 12)) + greatest(-15.0, least(15.0, (pf - 1) * 20)) + least(10.0, calmar * 5) - 12 * hi - 6 * me)) AS q, greatest(0.0, least(100.0, least(70.0, dd * 2.4) + greatest(0.0, 15 - sharpe * 6) + CASE WHEN n < 20 THEN 10.0 ELSE 0.0 END + 8 * hi + 4 * me)) AS rk FROM k)
 SELECT run_id, CASE WHEN sharpe >= 1.5 AND dd < 12 AND tot > 0 THEN 'candidate' WHEN sharpe >= 0.8 AND dd < 20 THEN 'needs robustness tests' WHEN tot > 0 AND dd >= 20 THEN 'gains with deep drawdowns' ELSE 'rebuild or shrink' END AS regime,
-  round(q + 3.7e-8, 6) + 0.0 AS quality_score, round(rk + 3.7e-8, 6) + 0.0 AS risk_score, round(greatest(0.0, least(100.0, 100 - q + rk * 0.25)) + 3.7e-8, 6) + 0.0 AS opportunity_score, greatest(cnt, 1)::INT AS n_insights, least(6, greatest(cnt, 1) + (dd >= 12)::INT + (sharpe < 1)::INT + 1)::INT AS n_actions,
+  round((q)::DECIMAL(38, 9), 6)::DOUBLE AS quality_score, round((rk)::DECIMAL(38, 9), 6)::DOUBLE AS risk_score, round((greatest(0.0, least(100.0, 100 - q + rk * 0.25)))::DECIMAL(38, 9), 6)::DOUBLE AS opportunity_score, greatest(cnt, 1)::INT AS n_insights, least(6, greatest(cnt, 1) + (dd >= 12)::INT + (sharpe < 1)::INT + 1)::INT AS n_actions,
   CASE WHEN i1 THEN 'filter by volatility, cap positions, or optimise stops' WHEN i2 THEN 'check the drawdown''s tail by Monte Carlo' WHEN i3 THEN 'review entry filters and weak trading hours' WHEN i4 THEN 'go on to walk-forward and overfitting tests' WHEN i5 THEN 'group losing trades and treat the worst group first' WHEN i6 THEN 'skip or shrink weak signals' WHEN i7 THEN 'use a longer period or more symbols' WHEN i8 THEN 'split results by market regime' ELSE 'keep the structure and test capacity and slippage' END AS first_action
 FROM s"""

@@ -43,7 +43,7 @@ def bind(ir: StrategyIR, bars: DataFrame, registry: Registry | None = None) -> t
                     if name in registry.list():
                         raise
                     continue
-                new = [c for c in wide.columns if c not in bars.columns]
+                new = registry.get(name).columns or [c for c in wide.columns if c not in bars.columns]
                 made[key] = f"_ind{len(made)}"
                 bars = wide.withColumnRenamed(node.params.get("output", new[0]), made[key]).drop(*(c for c in new if c != node.params.get("output", new[0])))
             own = made[key]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions import math as fm
@@ -26,12 +26,14 @@ def query(f: Query) -> Query:
     return f
 
 
-OFF_GRID = 3.7e-8  # prices and their means are decimals; the shift keeps ties from deciding how they are rounded
+def tidy(x: Column, digits: int = 6) -> Column:
+    """Rounded half up; first to three digits more, as prices and their means are decimals and the last bits of a sum must not decide a tie."""
+    return F.round(F.round(x, digits + 3), digits) + 0.0
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles rounded, with no negative zeros."""
-    return df.select(*((F.round(F.col(c) + OFF_GRID, digits) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+    return df.select(*(tidy(F.col(c), digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
 def daily(spark: SparkSession, d: str) -> DataFrame:
@@ -143,7 +145,7 @@ def bar_quality(spark, d):
 def asof_join(spark, d):
     """Hourly bars with the latest purchase bar before them."""
     b = hourly(spark, d).withColumn("k", F.lit(1))
-    board = b.where("symbol = 'purchase' AND hour(ts) % 5 = 0").select("k", "ts", F.col("close").alias("board_close"))
+    board = b.where("symbol = 'purchase'").select("k", "ts", F.col("close").alias("board_close"))
     return rounded(align.asof_join(b.where("symbol <> 'purchase'").select("k", "symbol", "ts", "close"), board, ["k"], ["board_close"]).drop("k"))
 
 
@@ -410,7 +412,7 @@ def fills(spark, d):
     """Fills that SQL can make too: line items as buys and sells, many lots a symbol; more is bought than sold."""
     line = bar_sources.read(spark, d, "lineitem")
     w = Window.partitionBy("symbol").orderBy("ts", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "price")
-    t = line.select(F.concat("l_returnflag", "l_linestatus").alias("symbol"), F.col("l_shipdate").alias("ts"), "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", F.when(F.col("l_orderkey") % 3 == 0, -1).otherwise(1).alias("signal"), (F.col("l_quantity") * 100).cast("long").alias("shares"), F.round(F.col("l_extendedprice") / F.col("l_quantity") / 100 + OFF_GRID, 4).alias("price"), F.col("l_tax").alias("commission"), F.col("l_discount").alias("slippage"))
+    t = line.select(F.concat("l_returnflag", "l_linestatus").alias("symbol"), F.col("l_shipdate").alias("ts"), "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", F.when(F.col("l_orderkey") % 3 == 0, -1).otherwise(1).alias("signal"), (F.col("l_quantity") * 100).cast("long").alias("shares"), tidy(F.col("l_extendedprice") / F.col("l_quantity") / 100, 4).alias("price"), F.col("l_tax").alias("commission"), F.col("l_discount").alias("slippage"))
     return t.withColumn("trade_seq", F.row_number().over(w))
 
 
@@ -428,23 +430,23 @@ def trade_metrics(spark, d):
 @query
 def pnl_histogram(spark, d):
     trips = metrics.fifo_round_trips(fills(spark, d), [])
-    return rounded(metrics.pnl_histogram(trips.withColumn("pnl", F.round(F.col("pnl") + OFF_GRID, 4)), ["symbol"]), 2)
+    return rounded(metrics.pnl_histogram(trips.withColumn("pnl", tidy(F.col("pnl"), 4)), ["symbol"]), 2)
 
 
 # -- robustness
 
 
-def outcomes(spark, d):
-    """Trades with profits that SQL can make too: daily changes of 40 bars each."""
-    b = daily(spark, d)
+def outcomes(spark, d, source=daily):
+    """Trades with profits that SQL can make too: the change of each bar."""
+    b = source(spark, d)
     w = Window.partitionBy("symbol").orderBy("ts")
-    return b.select(F.col("symbol").alias("run_id"), F.row_number().over(w).alias("trade_seq"), F.round((F.col("close") - F.col("open")) * 100 + OFF_GRID, 4).alias("pnl")).where("trade_seq <= 40")
+    return b.select(F.col("symbol").alias("run_id"), F.row_number().over(w).alias("trade_seq"), tidy((F.col("close") - F.col("open")) * 100, 4).alias("pnl"))
 
 
 def mc_query(method: str) -> None:
     def run(spark: SparkSession, d: str) -> DataFrame:
         out = monte_carlo.perturb(outcomes(spark, d), method, 20)
-        w = Window.partitionBy("run_id", "sim_id").orderBy("place", "trade_seq")
+        w = Window.partitionBy(*monte_carlo.SIMULATION).orderBy("place", "trade_seq")
         return rounded(out.select("run_id", "sim_id", "trade_seq", "pnl", F.row_number().over(w).alias("at")))
 
     QUERIES[f"mc_{method}"] = run
@@ -489,19 +491,23 @@ def mc_start_offset(spark, d):
     return out.groupBy("symbol", "sim_id").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"))
 
 
+def mc_anew_query(method: str) -> None:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        out = monte_carlo.bar_simulation(hourly(spark, d), cross_strategy(10, 30), method, 4)
+        return rounded(out.select("run_id", "sim_id", "net_profit", "total_return_pct", "sharpe_ratio", "max_drawdown_pct"), 4)
+
+    QUERIES[f"mc_anew_{method}"] = run
+
+
+for _method in monte_carlo.BAR_METHODS:
+    mc_anew_query(_method)
+
+
 @query
-def mc_comprehensive(spark, d):
-    """Noisy bars and perturbed parameters, executed anew: figures per simulation."""
-    noisy = monte_carlo.noisy_bars(hourly(spark, d), 4)
-    params = monte_carlo.perturbed_params(spark, {"fast": 10, "slow": 30}, 4)
-    w = Window.partitionBy("symbol", "sim_id").orderBy("ts")
-    number = F.row_number().over(w)
-    tagged = noisy.join(params, "sim_id").withColumn("_n", number)
-    near = F.collect_list("close").over(w.rowsBetween(-59, 0))
-    average = lambda n: F.aggregate(F.slice("_near", -F.least(F.col(n).cast("int"), F.size("_near")), F.least(F.col(n).cast("int"), F.size("_near"))), F.lit(0.0), lambda a, x: a + x) / F.col(n)
-    signals = tagged.withColumn("_near", near).withColumn("signal", F.when(F.col("_n") >= F.greatest("fast", "slow"), F.when(average("fast") > average("slow"), 1).otherwise(-1)).otherwise(0)).drop("_near", "_n")
-    flagged = signals.withColumns({"can_buy": F.lit(True), "can_sell": F.lit(True)})
-    return rounded(metrics.equity_metrics(backtest.execute(flagged, keys=("sim_id", "symbol")), ["sim_id", "symbol"]))
+def mc_all_methods(spark, d):
+    """All nine methods over every symbol, and whether it passes them."""
+    summary = monte_carlo.simulate_all(outcomes(spark, d, hourly), hourly(spark, d), cross_strategy(10, 30), 4)
+    return rounded(monte_carlo.overall(summary), 4)
 
 
 @query
