@@ -292,7 +292,8 @@ def queue_trips(trades):
 
 def test_fifo_drops_what_sells_ask_for_beyond_open_lots(spark):
     names = "symbol string, trade_seq int, signal int, shares long, price double, commission double, slippage double"
-    found = lambda rows: sorted((r.symbol, r.buy_trade_seq, r.sell_trade_seq, r.shares, round(r.pnl, 6)) for r in metrics.fifo_round_trips(spark.createDataFrame(rows, names), []).collect())
+    timed = lambda rows: spark.createDataFrame(rows, names).withColumn("ts", F.lit(DAY))
+    found = lambda rows: sorted((r.symbol, r.buy_trade_seq, r.sell_trade_seq, r.shares, round(r.pnl, 6)) for r in metrics.fifo_round_trips(timed(rows), []).collect())
     sold_first = [("A", 1, -1, 100, 10.0, 0.0, 0.0), ("A", 2, 1, 100, 5.0, 0.0, 0.0), ("A", 3, -1, 100, 8.0, 0.0, 0.0)]
     assert found(sold_first) == [("A", 2, 3, 100, 300.0)] == queue_trips(sold_first)
     rng = np.random.default_rng(6)
