@@ -31,10 +31,10 @@ from quantloom.llm.components import components, forest
 
 SEED = 42
 _ROWS = 1 << 16
-_PRINT_ROWS = 1 << 12
-_SMALL = 16
-_SAMPLE, _COMMON = 16_000, 300_000
-_GRAM_BYTES, _FEW = 6, 200_000
+_SET_ROWS = 1 << 10
+_SMALL = 8
+_FEW = 200_000
+_CANDIDATE = ["a", "b", "bucket", "print"]
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -187,23 +187,6 @@ def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataF
     return printed.join(classes, "fingerprint").select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def word_print(text: str, words: int) -> bytes:
-    """A long fingerprint of the distinct words of a text: 64 bits times ``words``, one bit wherever half of them set it."""
-    import xxhash
-
-    found = list({*text.encode("utf-8", "surrogatepass").lower().split()})
-    if not found:
-        return bytes(8 * words)
-    ones = np.zeros(64 * words, np.int64)
-    for at in range(0, len(found), _PRINT_ROWS):
-        h = np.array(list(map(xxhash.xxh64_intdigest, found[at : at + _PRINT_ROWS])), np.uint64)[:, None] + _STEP * np.arange(1, words + 1, dtype=np.uint64)
-        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        h ^= h >> np.uint64(31)
-        ones += np.unpackbits(h.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return np.packbits(2 * ones > len(found), bitorder="little").tobytes()
-
-
 def shingle_similarity(a: str, b: str, shingle: int) -> float:
     """Jaccard similarity of the sets of word shingles; a text of fewer words is one shingle, none at all."""
     sets = []
@@ -251,214 +234,172 @@ def _leaders(items: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64),) * 2
 
 
-def _candidates(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by band and bucket. Small buckets give all pairs within the radius, others their leaders' pairs."""
-    names = ["band", "bucket", "item", "print"]
-
-    def pairs(bucket: np.ndarray, item: np.ndarray, printed: np.ndarray) -> pa.RecordBatch:
-        number = np.cumsum(np.r_[True, bucket[1:] != bucket[:-1]])
-        size = np.bincount(number)[number]
-        small, a, b = np.flatnonzero((size > 1) & (size <= _SMALL)), [], []
-        i, j = close_pairs(number[small], printed[small], radius)
-        a.append(small[i])
-        b.append(small[j])
-        large = np.flatnonzero(size > _SMALL)
-        for own in np.split(large, np.flatnonzero(np.diff(number[large])) + 1) if len(large) else []:
-            i, j = _leaders(printed[own], radius)
-            a.append(own[i])
-            b.append(own[j])
-        a, b = item[np.concatenate(a)], item[np.concatenate(b)]
-        return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
-
-    held = [np.zeros(0, np.int64)] * 4
-    for batch in batches:
-        held = [np.concatenate([h, batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64)]) for h, c in zip(held, names)]
-        if len(held[0]) >= _ROWS:
-            key = held[0] << 32 | held[1]
-            last = np.flatnonzero(key != key[-1])
-            cut = last[-1] + 1 if len(last) else len(key) if len(key) >= 8 * _ROWS else 0  # a huge bucket goes in parts, which other bands cut elsewhere
-            if cut:
-                yield pairs(key[:cut], held[2][:cut], held[3][:cut].view(np.uint64))
-                held = [h[cut:] for h in held]
-    if len(held[0]):
-        yield pairs(held[0] << 32 | held[1], held[2], held[3].view(np.uint64))
-
-
 def shingle_hashes(text: str, shingle: int) -> np.ndarray:
     """Distinct 64-bit hashes of the shingles that ``shingle_similarity`` compares."""
     import xxhash
 
     words = text.encode("utf-8", "surrogatepass").lower().split()
     joined = {*map(b" ".join, zip(*(words[i:] for i in range(min(shingle, len(words))))))}
-    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, joined), np.uint64, len(joined)))
+    return np.fromiter(map(xxhash.xxh64_intdigest, joined), np.uint64, len(joined))
 
 
-def prefix(hashes: np.ndarray, similarity: float, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The first shingles of a set in the order of all shingles (rank of the common ones, then hash), as
-    many as can't all be missing from a set at least that similar. An empty set has the shingle zero."""
-    if not len(hashes):
-        return np.zeros(1, np.uint64)
-    place = np.zeros(len(hashes), np.int64)
-    if len(common):
-        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
-        place = np.where(common[at] == hashes, rank[at], 0)
-    first = len(hashes) - int(np.ceil(similarity * len(hashes) - 1e-9)) + 1
-    return hashes[np.lexsort((hashes, place))[:first]]
-
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
 
-def _common_shingles(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, sorted, of shingles in several texts of a sample, and their ranks, 1 and up, by frequency.
-
-    Frequent shingles come last in the order of all shingles. Any order gives the same pairs;
-    this one keeps common passages out of the prefixes.
-    """
-    n = rows.count()
-    sample = rows.where(F.pmod(F.xxhash64("key"), F.lit(max(1, n // _SAMPLE))) == 0).dropDuplicates(["key"]).select("text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [shingle_hashes(t.as_py(), shingle) for t in batch.column("text")]
-            values, count = np.unique(np.concatenate(found), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(count)], ["hash", "n"])
-
-    counted = sample.mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).where("n > 1")
-    most = counted.orderBy(F.desc("n"), "hash").limit(_COMMON).toArrow()
-    h = most.column("hash").to_numpy().view(np.uint64)
-    by = np.lexsort((h, most.column("n").to_numpy()))
-    order = np.argsort(h[by])
-    return h[by][order], (order + 1).astype(np.int32)
-
-
-def _left_apart(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by shingle and component. All pairs with a shingle of their prefixes in common that
-    aren't yet connected, except those whose sizes or places of the shingle leave too little in common."""
-    names = ["gram", "component", "item", "size", "place"]
-    share = similarity / (1 + similarity)
-
-    def pairs(gram, component, item, size, place) -> Iterator[pa.RecordBatch]:
-        n = len(gram)
-        new = np.r_[True, gram[1:] != gram[:-1]]
-        edge = np.flatnonzero(new | np.r_[True, component[1:] != component[:-1]])
-        run_end = np.repeat(np.r_[edge[1:], n], np.diff(np.r_[edge, n]))
-        starts = np.flatnonzero(new)
-        end = np.repeat(np.r_[starts[1:], n], np.diff(np.r_[starts, n]))
-        rows, other = np.arange(n), run_end
-        while True:
-            more = other < end[rows]
-            rows, other = rows[more], other[more]
-            if not len(rows):
-                return
-            a, b = size[rows], size[other]
-            most = np.minimum(a - place[rows], b - place[other])
-            ok = (most >= share * (a + b) - 1e-6) & (np.minimum(a, b) >= share * (a + b) - 1e-6) & (item[rows] != item[other])
-            x, y = item[rows[ok]], item[other[ok]]
-            if len(x):
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], ["a", "b"])
-            other = other + 1
-
-    held = [np.zeros(0, np.int64)] * len(names)
-    waiting: list[list[np.ndarray]] = []
-    count = 0
+def signature(hashes: np.ndarray, bands: int, rows: int) -> tuple[np.ndarray, int]:
+    """Of a set of hashes: a number for each band, equal where the band's smallest rehashes are, and the SimHash of the set."""
+    if not len(hashes):
+        return np.zeros(bands, np.uint64), 0
+    n = bands * rows
+    factors = _mixed(_STEP * np.arange(1, n + 1, dtype=np.uint64)) | np.uint64(1)
+    least, ones = np.full(n, ~np.uint64(0)), np.zeros(64, np.int64)
+    for at in range(0, len(hashes), _SET_ROWS):
+        h = hashes[at : at + _SET_ROWS]
+        np.minimum(least, np.minimum.reduce(h[:, None] * factors, axis=0), out=least)
+        ones += np.unpackbits(_mixed(h).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    keys = np.arange(1, bands + 1, dtype=np.uint64)
+    for row in least.reshape(bands, rows).T:
+        keys = _mixed(keys * _STEP ^ row)
+    return keys, int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def _buckets(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list[np.ndarray]]:
+    """Rows sorted by the first column, in stretches of whole buckets; a bucket of many rows comes in parts."""
+    held, waiting, count = [np.zeros(0, np.int64)] * len(names), [], 0
     for batch in batches:
         waiting.append([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in names])
         count += batch.num_rows
-        if count >= 4 * _ROWS:
-            held, waiting, count = [np.concatenate(x) for x in zip(held, *waiting)], [], 0
+        if count >= _ROWS:
+            held, waiting = [np.concatenate(x) for x in zip(held, *waiting)], []
             last = np.flatnonzero(held[0] != held[0][-1])
-            if len(last):
-                yield from pairs(*(h[: last[-1] + 1] for h in held))
-                held = [h[last[-1] + 1 :] for h in held]
+            cut = last[-1] + 1 if len(last) else len(held[0]) if len(held[0]) >= 4 * _ROWS else 0
+            if cut:
+                yield [h[:cut] for h in held]
+                held = [h[cut:] for h in held]
+            count = len(held[0])
     held = [np.concatenate(x) for x in zip(held, *waiting)]
     if len(held[0]):
-        yield from pairs(*held)
+        yield held
 
 
-def sketch(hashes: np.ndarray) -> bytes:
-    """Parities of the hashes in each of 512 bins: two sketches differ in no more bits than the sets in elements."""
-    return np.packbits(np.bincount((hashes >> np.uint64(20) & np.uint64(511)).astype(np.int64), minlength=512) & 1 > 0).tobytes()
+def _candidates(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by bucket. Small buckets give all pairs within the radius; larger ones connect
+    members with the most central texts, and name their members for a second look (b is null)."""
+    for bucket, item, printed in _buckets(batches, ["bucket", "item", "print"]):
+        printed = printed.view(np.uint64)
+        number = np.cumsum(np.r_[True, bucket[1:] != bucket[:-1]]) - 1
+        size = np.bincount(number)[number]
+        small, a, b = np.flatnonzero((size > 1) & (size <= _SMALL)), [], []
+        i, j = close_pairs(number[small], printed[small], radius)
+        a.append(small[i])
+        b.append(small[j])
+        large = np.flatnonzero(size > _SMALL)
+        for own in np.split(large, np.flatnonzero(np.diff(number[large])) + 1) if len(large) else []:
+            i, j = _leaders(printed[own], radius)
+            a.append(own[i])
+            b.append(own[j])
+        a, b = item[np.concatenate(a)], item[np.concatenate(b)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b)), pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.int64())], _CANDIDATE)
+        yield pa.RecordBatch.from_arrays([pa.array(item[large]), pa.nulls(len(large), pa.int64()), pa.array(bucket[large]), pa.array(printed[large].view(np.int64))], _CANDIDATE)
+
 
+def _left_apart(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by block. All pairs of a block within the radius that aren't connected yet, bit-sliced.
 
-def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, bands: int = 48, radius: int = 14) -> DataFrame:
+    A block holds two chunks of a bucket, or one; of two chunks only pairs across them count.
+    Texts outside the block's largest component are compared with all others.
+    """
+    for block, two, chunk, component, item, printed in _buckets(batches, ["block", "two", "chunk", "component", "item", "print"]):
+        edges = np.flatnonzero(np.r_[True, block[1:] != block[:-1], True])
+        for lo, hi in zip(edges[:-1], edges[1:]):
+            part, comp, own, across = chunk[lo:hi], component[lo:hi], item[lo:hi], bool(two[lo])
+            values, inverse, n = np.unique(comp, return_inverse=True, return_counts=True)
+            if len(values) < 2:
+                continue
+            main = inverse == int(np.argmax(n))
+            items = printed[lo:hi].view(np.uint64)
+            planes, a, b = _planes(items), [], []
+            for x in np.flatnonzero(~main):
+                near = _near_one(planes, int(items[x]), radius)
+                near = near[near < hi - lo]
+                near = near[(comp[near] != comp[x]) & (main[near] | (near > x)) & (not across or part[near] != part[x])]
+                a.append(np.full(len(near), own[x]))
+                b.append(own[near])
+                if sum(map(len, a)) >= _ROWS:
+                    yield _pairs(np.concatenate(a), np.concatenate(b))
+                    a, b = [], []
+            if a:
+                yield _pairs(np.concatenate(a), np.concatenate(b))
+
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
+
+
+def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, bands: int = 30, band_rows: int = 5, radius: int = 24, block_rows: int = 20_000) -> DataFrame:
     """doc_id, component_id of all rows with a doc_id; texts whose shingle sets reach the similarity are linked.
 
-    Such texts differ in so few bits of a SimHash over 5-word shingles that no block of useful
-    size need agree, so a first pass takes candidates from a long SimHash over distinct words, in
-    which they are much closer: ``bands`` buckets of 24 bits each, compared bit-sliced on 64
-    further bits. It connects most of every group with few pairs. A second pass then takes all
-    pairs between the groups that an exact filter can't rule out: similar sets have a shingle of
-    their prefixes in common, and sketches that differ in few bits. Every candidate pair is
-    verified on its whole shingle sets. Equal texts are one item all the way.
+    Such texts differ in so few bits of a SimHash of their shingles that no block of useful size
+    need agree, so buckets come from elsewhere: texts meet where the smallest rehashes of their
+    shingle sets are equal in all ``band_rows`` of one of ``bands`` bands. At similarity s that fails
+    with probability (1 - s ** band_rows) ** bands, under 7 in a million at 0.8. Within buckets
+    texts are compared bit-sliced, and every pair within the radius (5 standard deviations at
+    0.8) is verified on its whole shingle sets. Equal texts are one item all the way.
+
+    Members of a large bucket are paired with its most central texts first. Where that leaves a
+    bucket in several components, all pairs of texts in different ones follow, in blocks of at
+    most two chunks of about ``block_rows`` texts; so every pair of a bucket within the radius is
+    verified or already connected, however large the bucket.
     """
     small_batches(docs)
     spark = docs.sparkSession
+    width = shuffle_width(spark)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.unhex(F.sha2(text, 256)).alias("key"))
-    common, rank = _common_shingles(rows, shingle)
-    words = -(-bands * 24 // 64) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            sets = [shingle_hashes(t, shingle) for t in texts]
-            grams = [prefix(h, similarity, common, rank).view(np.uint8).reshape(-1, 8)[:, :_GRAM_BYTES].tobytes() for h in sets]
-            columns = [pa.array(x, pa.binary()) for x in ([word_print(t, words) for t in texts], [sketch(h) for h in sets], grams)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), columns[0], pa.array([len(h) for h in sets], pa.int32()), *columns[1:]], ["doc_id", "key", "bits", "size", "sketch", "grams"])
+            found = [signature(shingle_hashes(t.as_py(), shingle), bands, band_rows) for t in batch.column("text")]
+            prints = np.array([p for _, p in found], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array([k.tobytes() for k, _ in found], pa.binary()), pa.array(prints)], ["doc_id", "key", "bands", "print"])
 
     def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.num_rows
-            bits = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint8).reshape(n, 8 * words)
-            parts = np.zeros((n, bands, 4), np.uint8)
-            parts[:, :, :3] = bits[:, : 3 * bands].reshape(n, bands, 3)
-            last = np.ascontiguousarray(bits[:, -8:]).view("<i8").ravel()
-            item = batch.column("item").to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(bands, dtype=np.int32), n)), pa.array(parts.view("<i4").ravel()), pa.array(np.repeat(item, bands)), pa.array(np.repeat(last, bands))], ["band", "bucket", "item", "print"])
-
-    def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            grams = batch.column("grams").to_pylist()
-            n = np.array([len(g) // _GRAM_BYTES for g in grams], np.int64)
-            keys = np.zeros((int(n.sum()), 8), np.uint8)
-            keys[:, :_GRAM_BYTES] = np.frombuffer(b"".join(grams), np.uint8).reshape(-1, _GRAM_BYTES)
-            component, item, size = (np.repeat(batch.column(c).to_numpy(zero_copy_only=False), n) for c in ("component", "item", "size"))
-            place = np.arange(len(keys)) - np.repeat(np.cumsum(n) - n, n)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view("<i8")[:, 0]), pa.array(component), pa.array(item), pa.array(size), pa.array(place.astype(np.int32))], ["gram", "component", "item", "size", "place"])
-
-    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("sketch_a", "sketch_b"))
-            both = batch.column("size_a").to_numpy() + batch.column("size_b").to_numpy().astype(np.int64)
-            ok = np.bitwise_count(one ^ two).sum(1, dtype=np.int64) <= both * (1 - similarity) / (1 + similarity) + 1e-6
-            yield batch.filter(pa.array(ok)).select(["a", "b"])
+            keys = np.frombuffer(b"".join(batch.column("bands").to_pylist()), "<i8")
+            item, printed = (np.repeat(batch.column(c).to_numpy(zero_copy_only=False), bands) for c in ("item", "print"))
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(item), pa.array(printed)], ["bucket", "item", "print"])
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = [shingle_similarity(a, b, shingle) >= similarity for a, b in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist())]
             yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
 
-    def similar(pairs: DataFrame, few: bool = False) -> DataFrame:
-        """The pairs that are; where they may be few, only their texts are moved."""
-        named = items.select("key", "item").join(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "item"), "item")
-        if few:
-            named = durable(named)
-            named = F.broadcast(named) if named.count() <= _FEW else named
-        texts = rows.join(named, (rows["doc_id"] == named["item"]) & (rows["key"] == named["key"])).select("item", "text")
+    def similar(pairs: DataFrame) -> DataFrame:
+        """The pairs that are; where they are few, only their texts are moved."""
+        named = durable(items.select("key", "item").join(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "item"), "item"))
+        named = F.broadcast(named) if named.count() <= _FEW else named
+        texts = rows.join(named, (rows["doc_id"] == named["item"]) & (rows["key"] == named["key"])).select("item", "text").dropDuplicates(["item"])
         both = pairs.join(texts.select(F.col("item").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("item").alias("b"), F.col("text").alias("text_b")), "b")
         return both.select("a", "b", "text_a", "text_b").mapInArrow(verified, "a long, b long")
 
-    printed = rows.mapInArrow(run, "doc_id long, key binary, bits binary, size int, sketch binary, grams binary")
-    items = durable(printed.groupBy("key").agg(F.min("doc_id").alias("item"), *(F.first(c).alias(c) for c in ("bits", "size", "sketch", "grams"))))
-    dealt = items.select("item", "bits").mapInArrow(banded, "band int, bucket int, item long, print long").repartition(shuffle_width(spark), "band", "bucket").sortWithinPartitions("band", "bucket", "item")
-    pairs = durable(dealt.mapInArrow(lambda batches: _candidates(batches, radius), "a long, b long").where("a <> b").distinct())
+    printed = rows.mapInArrow(run, "doc_id long, key binary, bands binary, print long")
+    items = durable(printed.groupBy("key").agg(F.min("doc_id").alias("item"), F.first("bands").alias("bands"), F.first("print").alias("print")))
+    dealt = items.select("item", "bands", "print").mapInArrow(banded, "bucket long, item long, print long").repartition(width, "bucket").sortWithinPartitions("bucket", "item")
+    met = durable(dealt.mapInArrow(lambda batches: _candidates(batches, radius), "a long, b long, bucket long, print long"))
+    pairs = durable(met.where("a <> b").select("a", "b").distinct())
     linked = components(similar(pairs))
 
-    grouped = items.join(linked.withColumnRenamed("node", "item"), "item", "left").select("item", F.coalesce("component", "item").alias("component"), "size", "grams")
-    met = grouped.mapInArrow(exploded, "gram long, component long, item long, size int, place int").repartition(shuffle_width(spark), "gram").sortWithinPartitions("gram", "component")
-    apart = met.mapInArrow(lambda batches: _left_apart(batches, similarity), "a long, b long").distinct()
-    sketches = items.select("item", "size", "sketch")
-    for c in ("a", "b"):
-        apart = apart.join(sketches.toDF(c, f"size_{c}", f"sketch_{c}"), c)
-    found = durable(similar(durable(apart.mapInArrow(close, "a long, b long").distinct()), few=True))
+    members = met.where("b IS NULL").select("bucket", F.col("a").alias("item"), "print").join(linked.withColumnRenamed("node", "item"), "item", "left").withColumn("component", F.coalesce("component", "item"))
+    several = members.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low < high").select("bucket", F.ceil(F.col("n") / block_rows).alias("chunks"))
+    chunked = members.join(several, "bucket").withColumn("chunk", F.pmod(F.xxhash64("item"), "chunks"))
+    placed = chunked.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    one, two = F.least("chunk", "other"), F.greatest("chunk", "other")
+    blocks = placed.select(F.xxhash64("bucket", one, two).alias("block"), (one < two).cast("long").alias("two"), "chunk", "component", "item", "print")
+    apart = blocks.repartition(width, "block").sortWithinPartitions("block", "item").mapInArrow(lambda batches: _left_apart(batches, radius), "a long, b long")
+    found = durable(similar(durable(apart.distinct().join(pairs, ["a", "b"], "left_anti"))))
     if not found.isEmpty():
         linked = components(linked.select(F.col("node").alias("a"), F.col("component").alias("b")).union(found))
     classes = items.select("key", "item").join(linked.withColumnRenamed("node", "item"), "item", "left").select("key", F.coalesce("component", "item").alias("component_id"))
