@@ -15,10 +15,13 @@ def shuffle_width(spark: SparkSession) -> int:
 
 
 def _checkpoint_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; only where none is named (local tests) a temporary one of this machine."""
+    """The folder named in ``spark.checkpoint.dir``. Where none is named a temporary one serves on a local master; on a cluster it would be a different disk for every executor, so that is an error."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 

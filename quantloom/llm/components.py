@@ -2,9 +2,10 @@
 
 Each round links every node's larger neighbours to its smallest one (large star) and then every
 node's smaller neighbours to the smallest (small star), until nothing changes; the number of
-rounds grows with the logarithm of the longest path. Only minima per node are aggregated, so a
-node with very many neighbours never has to sit in one task, and the edges are written to the
-shared folder after each round.
+rounds grows with the logarithm of the longest path. Per node only minima are aggregated, so no
+task holds a node's neighbours in memory. The join of the large star streams the edges of a node
+with very many neighbours through one task, unless adaptive execution splits it. The edges are
+written to the shared folder after each round.
 """
 
 from __future__ import annotations

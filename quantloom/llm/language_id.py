@@ -7,18 +7,18 @@ the codeword with the least; where the runner-up is about as near, the answer is
 ambiguous. Whole texts are counted in training and in prediction.
 
 The classifiers are fitted on a bounded sample: about ``per_language`` labelled rows of each
-language, chosen by a hash of doc_id; every language with a labelled row is learned. What comes
-to the driver is trigram counts by language, which don't grow with the input.
+language, chosen by a hash of doc_id, for the ``languages`` with the most labelled rows (ties by
+name). What comes to the driver is trigram counts by language, which don't grow with the input.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; without any labelled
-row all are ``und``; with one language all other texts are that language; a row with a null
+row all are ``und``; with one language all other texts are that language; of languages whose
+codewords are equally near the first by name is taken, flagged as ambiguous; a row with a null
 doc_id is neither learned from nor held out; repeated rows get equal answers; an empty table
 gives no rows; other columns are kept by ``identify``.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import product
@@ -33,10 +33,9 @@ from quantloom.llm.common import small_batches
 
 UNKNOWN = "und"
 BUCKETS = 1 << 16
-PER_LANGUAGE = 20_000
+PER_LANGUAGE, LANGUAGES = 20_000, 200
 _WEIGHT, _ENOUGH = 0.2, 100  # of a trigram, as those of one text aren't independent; trigrams from which more don't make it surer
 _SLICE = 1 << 20
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def codewords(languages: int, seed: int = 7) -> np.ndarray:
@@ -81,21 +80,22 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(met), pa.string()), pa.array(met, pa.int32()), pa.array(own[met])], ["lang", "bucket", "n"])
 
 
-def fit(docs: DataFrame, may_learn, per_language: int = PER_LANGUAGE) -> Model:
+def fit(docs: DataFrame, may_learn, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> Model:
     """Learn from rows with doc_id, text and lang for which the condition ``may_learn`` holds."""
     labelled = docs.where(may_learn).where("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang", "text")
-    rows = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # as many as there are languages
+    most = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
+    rows = {r["lang"]: r["n"] for r in most.collect()}
     if not rows:
         return Model((), np.zeros((0, 0), np.int8), np.zeros((BUCKETS, 0), np.float32))
     share = F.create_map(*(F.lit(x) for lang, n in rows.items() for x in (lang, min(1.0, per_language / n))))
     place = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_000)) / 1_000_000
     sample = labelled.where(place < share[F.col("lang")])
     found = sample.select("lang", "text").mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    languages = tuple(sorted(rows))
-    counts = np.zeros((len(languages), BUCKETS))
-    at = {lang: i for i, lang in enumerate(languages)}
+    learned = tuple(sorted(rows))
+    counts = np.zeros((len(learned), BUCKETS))
+    at = {lang: i for i, lang in enumerate(learned)}
     counts[[at[x] for x in found.column("lang").to_pylist()], found.column("bucket").to_numpy()] = found.column("n").to_numpy()
-    return Model(languages, code := codewords(len(languages)), bit_weights(counts, code))
+    return Model(learned, code := codewords(len(learned)), bit_weights(counts, code))
 
 
 def bit_weights(counts: np.ndarray, code: np.ndarray, smoothing: float = 0.5) -> np.ndarray:
@@ -109,7 +109,7 @@ def bit_weights(counts: np.ndarray, code: np.ndarray, smoothing: float = 0.5) ->
 
 def predict(model: Model, text: str | None) -> tuple[str, float, float]:
     """Language, score, and how much nearer its codeword is than the next (in loss)."""
-    if not model.languages or text is None or not _LETTER.search(text):
+    if not model.languages or text is None or not any(map(str.isalpha, text)):
         return UNKNOWN, 0.0, 0.0
     total, n = np.zeros(model.code.shape[1]), 0
     for grams in _grams(text):

@@ -7,9 +7,13 @@ partner is its coverage; from ``least`` on the stretch is a finding. Of findings
 one with the most aligned words stays.
 
 Stretches are one and a half templates long and begin every eighth of a template, over the whole
-text, so a long text, or one that holds a license many times, is worked off in bounded pieces.
-A text is split into words only if it could reach the coverage at all: too many of a template's
-words that don't occur anywhere in it rule the template out.
+text, so a license that a text holds many times is found every time. What lies between complete
+ones is aligned once more as a whole for templates of ``WHOLE`` words or more, so other words may
+stand in the middle of a license, however many; there only runs of ``RUN`` words or more count.
+Where the template word that is rarest there occurs several times, each place is aligned by itself.
+Templates of fewer than ``SHORT`` words, such as tags and one-line notices, must be whole. A text
+is split into words only if it could reach the coverage at all: too many of a template's words
+that don't occur anywhere in it rule the template out.
 
 Defined cases: null and empty texts and texts without a finding give one row with a null license
 and coverage 0; repeated rows are scanned each; an empty table gives no rows; other columns are
@@ -18,6 +22,7 @@ ignored. Case and everything that isn't a word character don't count.
 
 from __future__ import annotations
 
+import pathlib
 import re
 from bisect import bisect_left
 from collections import Counter
@@ -31,6 +36,7 @@ from pyspark.sql import functions as F
 from quantloom.llm.common import small_batches
 
 LEAST = 0.8
+SHORT, WHOLE, RUN = 10, 30, 3
 FINDINGS = "doc_id long, license string, coverage double, start long, end long, n_words long"
 _WORD = re.compile(r"\w+")
 
@@ -48,7 +54,31 @@ NOTICES = {
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0",
     "CC-BY-4.0": "Licensed under CC BY 4.0",
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0",
+    "LGPL-3.0": "licensed under the GNU Lesser General Public License, version 3",
+    "LGPL-2.1": "licensed under the GNU Lesser General Public License, version 2.1",
+    "GPL-2.0": "licensed under the GNU General Public License, version 2",
+    "AGPL-3.0": "licensed under the GNU Affero General Public License, version 3",
+    "MPL-2.0-line": "licensed under the Mozilla Public License, version 2.0",
+    "BSD-3-Clause-line": "licensed under the BSD 3-Clause License",
+    "BSD-2-Clause-line": "licensed under the BSD 2-Clause License",
+    "CC0-1.0": "dedicated to the public domain under CC0 1.0",
+    "LGPL-header": """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.""",
+    "GPL-2.0-header": """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.""",
+    "AGPL-3.0-header": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.""",
+    "Zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions""",
+    "Unlicense": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.""",
+    "BSL-1.0": """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so""",
 }
+# Identifiers of the public license list, as tags name them.
+TAGS = "MIT Apache-2.0 BSD-2-Clause BSD-3-Clause ISC GPL-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0 GPL-3.0-only GPL-3.0-or-later LGPL-2.1 LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0 LGPL-3.0-only LGPL-3.0-or-later AGPL-3.0 AGPL-3.0-only AGPL-3.0-or-later MPL-2.0 EPL-2.0 CC0-1.0 CC-BY-4.0 CC-BY-SA-4.0 Unlicense Zlib BSL-1.0 WTFPL 0BSD"
+FOLDER = pathlib.Path(__file__).parent / "licenses"
+
+
+def known_texts() -> dict[str, str]:
+    """Notices, tags, and the full texts in the folder ``licenses`` beside this file, by name."""
+    tags = {f"{t}-tag": f"SPDX-License-Identifier: {t}" for t in TAGS.split()}
+    return NOTICES | tags | {f"{f.stem}-full": f.read_text() for f in sorted(FOLDER.glob("*.txt"))}
 
 
 def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
@@ -106,6 +136,10 @@ class Template:
         words = [w.lower() for w in _WORD.findall(text)]
         return Template(name, words, sorted(Counter(words).items(), key=lambda x: (-len(x[0]), x[0])))
 
+    def need(self, least: float) -> int:
+        """How many words must be found."""
+        return len(self.words) if len(self.words) < SHORT else -int(-least * len(self.words) // 1)
+
 
 @dataclass(frozen=True)
 class Finding:
@@ -118,8 +152,8 @@ class Finding:
 
 def findings(words: list[str], template: Template, least: float) -> list[Finding]:
     """Stretches of the words that cover the template."""
-    size = len(template.words)
-    wide, step, need = size + size // 2 + 1, max(1, size // 8), -int(-least * size // 1)
+    size, need = len(template.words), template.need(least)
+    wide, step = size + size // 2 + 1, max(1, size // 8)
     known, sums = set(template.words), [0]
     for w in words:
         sums.append(sums[-1] + (w in known))
@@ -131,9 +165,59 @@ def findings(words: list[str], template: Template, least: float) -> list[Finding
         pairs = align(template.words, words[begin:end])
         if len(pairs) >= need:
             out.append(Finding(template.name, len(pairs) / size, begin + pairs[0][1], begin + pairs[-1][1], len(pairs)))
+    if size >= WHOLE:
+        at = 0
+        for f in [*_best([f for f in out if f.aligned == size]), None]:
+            upto = f.first if f else len(words)
+            if upto - at >= need and sums[upto] - sums[at] >= need:
+                out += interrupted(words, at, upto, template, need)
+            at = max(at, f.last + 1) if f else at
+    return out
+
+
+def _best(found: list[Finding]) -> list[Finding]:
+    """Of findings that overlap the one with the most aligned words, then the shortest; in the order of the text."""
+    kept: list[Finding] = []
+    for f in sorted(found, key=lambda f: (-f.aligned, -f.coverage, f.last - f.first, f.first, f.license)):
+        if all(f.last < k.first or f.first > k.last for k in kept):
+            kept.append(f)
+    return sorted(kept, key=lambda f: f.first)
+
+
+def interrupted(words: list[str], lo: int, hi: int, template: Template, need: int) -> list[Finding]:
+    """Findings in words[lo:hi] with any number of other words between runs of the template's."""
+    known, places = set(template.words), {}
+    for j in range(lo, hi):
+        if words[j] in known:
+            places.setdefault(words[j], []).append(j)
+    rarest = min(places, key=lambda w: (len(places[w]), places[w]))
+    at = template.words.index(rarest)
+    before, after = set(template.words[:at]) - set(template.words[at:]), set(template.words[at:]) - set(template.words[:at])
+    edges = [lo, *(_cut(words, i, j, before, after) for i, j in zip(places[rarest], places[rarest][1:])), hi]
+    out = []
+    for a, b in zip(edges, edges[1:]):
+        pairs, runs = align(template.words, words[a:b]) if b - a >= need else [], []
+        for p in pairs:
+            if runs and p == (runs[-1][-1][0] + 1, runs[-1][-1][1] + 1):
+                runs[-1].append(p)
+            else:
+                runs.append([p])
+        kept = [p for run in runs if len(run) >= RUN for p in run]
+        if len(kept) >= need:
+            out.append(Finding(template.name, len(kept) / len(template.words), a + kept[0][1], a + kept[-1][1], len(kept)))
     return out
 
 
+def _cut(words: list[str], i: int, j: int, before: set[str], after: set[str]) -> int:
+    """Where, between two places of a template word, one copy ends and the next begins: most words that follow it lie before the cut and most that precede it behind."""
+    best, at, lead = 0, i + 1, 0
+    for n in range(i + 1, j):
+        lead += (words[n] in after) - (words[n] in before)
+        if lead > best:
+            best, at = lead, n + 1
+    return at
+
+
 def scan_text(text: str, templates: list[Template], least: float = LEAST) -> list[tuple[str, float, int, int, int]]:
     """license, coverage, start, end (code points, end exclusive), aligned words of the findings of a text, by start."""
     low, met = text.lower(), {}
@@ -141,8 +225,10 @@ def scan_text(text: str, templates: list[Template], least: float = LEAST) -> lis
     spots: list[re.Match] = []
     words: list[str] = []
     for template in templates:
-        size = len(template.words)
-        spare = size + int(-least * size // 1)  # words that may be missing
+        need = template.need(least)
+        if 2 * need - 1 > len(text):
+            continue
+        spare = len(template.words) - need  # words that may be missing
         for word, n in template.rarest_first:
             if word not in met:
                 met[word] = word in low
@@ -153,17 +239,13 @@ def scan_text(text: str, templates: list[Template], least: float = LEAST) -> lis
                 spots = list(_WORD.finditer(text))
                 words = [m[0].lower() for m in spots]
             found += findings(words, template, least)
-    kept: list[Finding] = []
-    for f in sorted(found, key=lambda f: (-f.aligned, -f.coverage, f.last - f.first, f.first, f.license)):
-        if all(f.last < k.first or f.first > k.last for k in kept):
-            kept.append(f)
-    return [(f.license, f.coverage, spots[f.first].start(), spots[f.last].end(), f.aligned) for f in sorted(kept, key=lambda f: f.first)]
+    return [(f.license, f.coverage, spots[f.first].start(), spots[f.last].end(), f.aligned) for f in _best(found)]
 
 
-def license_findings(docs: DataFrame, notices: dict[str, str] = NOTICES, least: float = LEAST) -> DataFrame:
-    """A row for every finding; documents without one have a row with a null license."""
+def license_findings(docs: DataFrame, notices: dict[str, str] | None = None, least: float = LEAST) -> DataFrame:
+    """A row for every finding of the notices (None: ``known_texts``); documents without one have a row with a null license."""
     small_batches(docs)
-    templates = [t for t in (Template.of(*x) for x in notices.items()) if t.words]
+    templates = [t for t in (Template.of(*x) for x in (known_texts() if notices is None else notices).items()) if t.words]
     names = [f.split(" ")[0] for f in FINDINGS.split(", ")]
     types = [pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
 

@@ -1,10 +1,12 @@
 """Secret scanning over an incremental ledger of blobs.
 
-Every version of a document is content-addressed by the SHA-256 of its text. The ledger records
-which (blob, rule version) pairs were scanned and what was found; only pairs it doesn't have are
-scanned, once however many paths share the blob, and findings are joined back to all paths.
-Copies are put together map-side before the shuffle, so a blob that a third of all rows share
-costs one row per task; the join back is a plain sort-merge join that Spark can split.
+Every version of a document is content-addressed by the SHA-256 of its text. The ledger, a table
+in a shared folder, records which (blob, rule version) pairs were scanned and what was found; a
+rule version is a hash of the patterns. Only pairs the ledger doesn't have are scanned, once
+however many paths share the blob, and findings are joined back to all paths. ``scan`` and
+``redact`` bring the ledger up to date first, so it never lacks a blob of the input. Copies are
+put together map-side before the shuffle, so a blob that a third of all rows share costs one row
+per task; the join back is a plain sort-merge join that Spark can split.
 
 Spans are whole matches ``kind:start:end`` in code points, end exclusive, ordered by start and
 then by kind as listed; within a kind they are leftmost and don't overlap.
@@ -16,6 +18,7 @@ by ``scan``.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -23,16 +26,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import fresh, small_batches
+from quantloom.llm.common import fresh, shared_folder, small_batches
 
 KINDS = ("assign", "access", "hex")
-RULES = "1"  # goes up whenever a pattern below changes
 MASK = "[secret]"
 FINDINGS = "blob string, rules string, n_assign long, n_access long, n_hex long, spans string"
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")  # maximal runs, as with + and a length test after
 _KEYWORDS = ("passw", "secret", "token", "api")  # one stands in every assignment
+_LEAST = {"assign": 6, "access": 20}  # characters of a match
+
+
+def rule_version(patterns: tuple[re.Pattern, ...] = (_ASSIGN, _ACCESS, _HEX)) -> str:
+    """A hash of the patterns, their flags and the least lengths."""
+    said = repr([(p.pattern, p.flags) for p in patterns] + sorted(_LEAST.items()))
+    return hashlib.sha256(said.encode()).hexdigest()[:16]
+
+
+RULES = rule_version()
 
 
 def secrets(text: str) -> list[tuple[str, int, int]]:
@@ -40,14 +52,14 @@ def secrets(text: str) -> list[tuple[str, int, int]]:
     found = []
     low = text.lower()
     if any(k in low for k in _KEYWORDS):
-        found += [(m.start(), 0, m.end()) for m in _ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
+        found += [(m.start(), 0, m.end()) for m in _ASSIGN.finditer(text) if m.end(2) - m.start(2) >= _LEAST["assign"]]
     if "AKIA" in text:
-        found += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 20]
+        found += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= _LEAST["access"]]
     found += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
     return [(KINDS[kind], start, end) for start, kind, end in sorted(found)]
 
 
-def _scan_blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _scan_blobs(batches: Iterator[pa.RecordBatch], rules: str) -> Iterator[pa.RecordBatch]:
     names = [f.split(" ")[0] for f in FINDINGS.split(", ")]
     for batch in batches:
         counts, spans = {k: [] for k in KINDS}, []
@@ -56,7 +68,7 @@ def _scan_blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for k in KINDS:
                 counts[k].append(sum(kind == k for kind, _, _ in found))
             spans.append(",".join(f"{k}:{a}:{b}" for k, a, b in found))
-        yield pa.RecordBatch.from_arrays([batch.column("blob"), pa.array([RULES] * len(spans), pa.string()), *(pa.array(counts[k], pa.int64()) for k in KINDS), pa.array(spans, pa.string())], names)
+        yield pa.RecordBatch.from_arrays([batch.column("blob"), pa.array([rules] * len(spans), pa.string()), *(pa.array(counts[k], pa.int64()) for k in KINDS), pa.array(spans, pa.string())], names)
 
 
 def _addressed(docs: DataFrame, text: str, key: str = "_blob") -> DataFrame:
@@ -70,7 +82,8 @@ def blob_findings(docs: DataFrame, ledger: DataFrame | None = None, text: str =
     blobs = rows.groupBy(F.col("_blob").alias("blob")).agg(F.first(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text"))
     if ledger is not None:
         blobs = blobs.join(ledger.where(F.col("rules") == RULES).select("blob"), "blob", "left_anti")
-    return blobs.mapInArrow(_scan_blobs, FINDINGS)
+    rules = RULES
+    return blobs.mapInArrow(lambda batches: _scan_blobs(batches, rules), FINDINGS)
 
 
 def update_ledger(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
@@ -87,18 +100,20 @@ def update_ledger(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     return spark.read.schema(schema).parquet(path).dropDuplicates(["blob", "rules"])
 
 
-def scan(docs: DataFrame, ledger: DataFrame | None = None, text: str = "text", path: str = "doc_id") -> DataFrame:
-    """Per path: counts by kind and all spans. ``ledger``: a current one (update_ledger's), else all blobs are scanned."""
-    findings = (ledger.where(F.col("rules") == RULES) if ledger is not None else blob_findings(docs, None, text)).withColumnRenamed("blob", "_blob")
+def scan(docs: DataFrame, ledger: str | None = None, text: str = "text", path: str = "doc_id") -> DataFrame:
+    """Per path: counts by kind and all spans. ``ledger``: the path of one to use and extend, else a new one in the shared folder."""
+    known = update_ledger(docs, ledger or shared_folder(docs.sparkSession), text)
+    findings = known.where(F.col("rules") == RULES).withColumnRenamed("blob", "_blob")
     paths = _addressed(docs.select(F.col(path), F.col(text)), text).select(path, "_blob")
     return paths.join(findings, "_blob").drop("_blob", "rules")
 
 
-def redact(docs: DataFrame, text: str = "text") -> DataFrame:
+def redact(docs: DataFrame, ledger: str | None = None, text: str = "text") -> DataFrame:
     """The same rows and columns with every secret in the text masked."""
     names = docs.columns
     key, marks = fresh(names, "_blob"), fresh(names, "_spans")
-    found = blob_findings(docs, None, text).where("spans <> ''").select(F.col("blob").alias(key), F.col("spans").alias(marks))
+    known = update_ledger(docs, ledger or shared_folder(docs.sparkSession), text)
+    found = known.where((F.col("rules") == RULES) & (F.col("spans") != "")).select(F.col("blob").alias(key), F.col("spans").alias(marks))
 
     def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -32,7 +32,7 @@ from quantloom.llm.common import small_batches
 
 MARK = "▁"
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-_WORDS_KEPT = 800_000
+_KEPT_BYTES, _LONG_WORD = 96 << 20, 64  # about what the table of words may take; longer words aren't kept
 _PAIRS_KEPT = 1_000_000
 
 
@@ -58,6 +58,9 @@ class Vocabulary:
                 pieces.append((piece, i, model.get_score(i)))
                 if re.search(f"[^{MARK}]{MARK}", piece):
                     raise ValueError(f"piece {piece!r} has a space mark after another character")
+        probe = "Ａ① e\u0301 ﬁ x\tЀ "
+        if model.normalize(probe) != MARK + probe.replace(" ", MARK):
+            raise ValueError("the model changes characters before it encodes them")
         return Vocabulary(tuple(pieces), tuple(byte_ids), model.eos_id())
 
 
@@ -206,8 +209,6 @@ class Codec:
         if "  " in text or MARK in text or text[0] == " " or text[-1] == " ":
             found = [self.decimal(w) for w in _WORD.findall(MARK + text.replace(" ", MARK))]
         else:
-            if len(self.words) >= _WORDS_KEPT:
-                self.words.clear()
             found = list(map(self.words.__getitem__, text.split(" ")))
         found.append(str(self.end_id))
         return " ".join(found)
@@ -241,13 +242,19 @@ class Codec:
 
 
 class _Words(dict):
-    """Ids of the words met so far; their space mark is left out."""
+    """Ids of the words met so far, within a bound of memory; their space mark is left out."""
 
-    def __init__(self, decimal):
-        self.decimal = decimal
+    def __init__(self, decimal, most: int = _KEPT_BYTES):
+        self.decimal, self.most, self.used = decimal, most, 0
 
     def __missing__(self, word: str) -> str:
-        found = self[word] = self.decimal(MARK + word)
+        found = self.decimal(MARK + word)
+        if len(word) <= _LONG_WORD:
+            if self.used >= self.most:
+                self.clear()
+                self.used = 0
+            self[word] = found
+            self.used += 200 + 4 * len(word) + len(found)
         return found
 
 

@@ -147,7 +147,7 @@ def _one_pair(row: dict, query_ids: np.ndarray, queries: np.ndarray, k: int, fac
     return best_first(query_ids[which[own]], walk.ids[rows[own]], products[own], k)
 
 
-def nearest(table: DataFrame, is_query, k: int = 20, factor: float = 5.0, id_: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def nearest(table: DataFrame, is_query, k: int = 20, factor: float = 6.5, id_: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k largest inner products found for each query.
 
     ``is_query``: a condition on the column ``id``. ``factor``: 1 is exact, more prunes more.

@@ -79,3 +79,26 @@ def test_run_gives_the_last_stage(spark, stages):
     row = lambda r: tuple(r[c] for c in pieces)
     assert sorted(map(row, corpus_pipeline.run(spark, SF).collect())) == sorted(map(row, stages[-1][1].collect()))
     assert {r[0] for r in duckdb.sql(f"SELECT doc_id FROM '{SF}/documents.parquet'").fetchall()} >= {r.doc_id for r in stages[-1][1].select("doc_id").distinct().collect()}
+
+
+def test_run_on_odd_tables(spark, tmp_path):
+    """Nulls in every column, empty, repeated and long texts, rows that share a doc_id, further columns with names used inside; and an empty table."""
+    names = "doc_id long, text string, lang string, source string, n_chars long, block int, item int, component_id string"
+    prose = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").where("length(text) > 300").orderBy("doc_id").limit(8).collect()]
+    rows = [(i, t, None, None, None) for i, t in enumerate(prose[:6])] + [(10, prose[0], "en", "s", 3), (10, prose[0], "en", "s", 3), (11, prose[1] + " " + prose[1], None, "s", 1), (12, prose[2] * 40, "en", None, 2)]
+    rows += [(None, prose[3], "en", "s", 5), (13, None, "en", "s", 0), (14, "", "en", "s", 0), (15, "12 34", "en", "s", 0), (16, prose[6] + " password=hunter22", "en", "s", 0), (16, prose[7] + " other", "en", "s", 0)]
+    for name, some in (("odd", rows), ("none", [])):
+        folder = f"file://{tmp_path}/{name}"
+        spark.createDataFrame([(*r, 1, 2, "c") for r in some], names).write.parquet(f"{folder}/documents.parquet")
+        docs = spark.read.parquet(f"{folder}/documents.parquet")
+        for i, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+            out = stage(spark, docs, folder)
+            assert out.columns == docs.columns
+            out.write.parquet(f"{folder}/stage-{i}")
+            docs = spark.read.parquet(f"{folder}/stage-{i}")
+        found = corpus_pipeline.run(spark, folder)
+        assert {r.doc_id for r in found.collect()} == {r.doc_id for r in docs.collect()}
+        if some:
+            kept = {r.doc_id for r in docs.collect()}
+            assert None in kept and 0 in kept and not kept & {10, 13, 14, 15} and docs.where("text LIKE '%hunter22%'").count() == 0
+            assert docs.where("doc_id = 16").count() == 2

@@ -1,17 +1,20 @@
 """Corpus operators against brute force, and their defined cases: nulls, empty and long texts, ties, repeats, empty tables, clashing names."""
 
 import hashlib
+import itertools
+import math
 import random
 import re
 import struct
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import duckdb
 import public_tokenizers
 import pytest
 import sentencepiece
 import tokenizers
+from pyspark.sql import functions as F
 
 from quantloom.llm import best_fit_packing, chat_format, language_id, license_scan, queries, secret_scan, sentencepiece_codec, simhash_dedup, suffix_dedup
 
@@ -126,7 +129,20 @@ def test_secret_ledger_scans_only_what_is_new(spark, tmp_path):
     ledger = secret_scan.update_ledger(more, path)
     assert ledger.count() == 4
     assert secret_scan.blob_findings(more, ledger).count() == 0
-    assert {r.doc_id: r.spans for r in secret_scan.scan(more, ledger).collect()} == {1: "assign:0:17", 2: "assign:0:17", 3: "", 4: "assign:0:13", 5: ""}
+    want = {1: "assign:0:17", 2: "assign:0:17", 3: "", 4: "assign:0:13", 5: ""}
+    assert {r.doc_id: r.spans for r in secret_scan.scan(more, path).collect()} == want and secret_scan.update_ledger(more, path).count() == 4
+    late = more.union(spark.createDataFrame([(6, "passwd: abcdef7")], "doc_id long, text string"))  # a blob the ledger lacks
+    assert {r.doc_id: r.spans for r in secret_scan.scan(late, path).collect()} == want | {6: "assign:0:15"}
+
+
+def test_changed_patterns_are_another_rule_version(spark, tmp_path, monkeypatch):
+    path, docs = f"file://{tmp_path}/ledger", spark.createDataFrame([(1, "password=hunter22"), (2, "clean")], "doc_id long, text string")
+    secret_scan.update_ledger(docs, path)
+    assert secret_scan.rule_version((re.compile("a"),)) != secret_scan.rule_version((re.compile("b"),)) != secret_scan.RULES
+    before, now = secret_scan.RULES, "other"
+    monkeypatch.setattr(secret_scan, "RULES", now)
+    assert secret_scan.blob_findings(docs, spark.read.parquet(path)).count() == 2
+    assert {(r.rules, r.n) for r in secret_scan.update_ledger(docs, path).groupBy("rules").agg(F.count("*").alias("n")).collect()} == {(before, 2), (now, 2)}
 
 
 def test_secret_defined_cases(spark):
@@ -257,6 +273,17 @@ def test_sentencepiece_matches_the_library(spark):
         assert (got[doc_id].n_tokens, got[doc_id].ids_sha256, got[doc_id].decoded_sha256) == want
 
 
+def test_sentencepiece_words_are_kept_within_bounds():
+    codec = sentencepiece_codec.Codec(sentencepiece_codec.Vocabulary.read(PIECES))
+    codec.words.most = 5_000
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    rng = random.Random(16)
+    for n in range(60):
+        text = " ".join("".join(rng.choice("abcdeé日") for _ in range(rng.choice((3, 8, 200)))) for _ in range(30))
+        assert codec.encode(text) == library.encode(text) + [library.eos_id()]
+        assert codec.words.used < 6_000 and all(len(w) <= 64 for w in codec.words)
+
+
 def test_sentencepiece_defined_cases(spark):
     docs, rows = odd_docs(spark)
     assert sentencepiece_codec.sentencepiece_encode(docs, PIECES).where("text IS NULL AND ids = array(2)").count() == 2
@@ -378,6 +405,58 @@ def test_near_copies_among_texts_of_one_template(spark):
     assert kept == {d for d, _ in rows[::2]}
 
 
+def test_near_copies_with_equal_words_in_other_orders(spark):
+    """Ten families of 80 texts: 20 orders of the same 300 words, four near copies of each."""
+    rng, rows = random.Random(12), []
+    for _ in range(10):
+        words = [f"{rng.getrandbits(40):x}" for _ in range(300)]
+        for _ in range(20):
+            order = rng.sample(words, 300)
+            for copy in range(4):
+                text = list(order)
+                if copy:
+                    i = rng.randrange(299)
+                    text[i], text[i + 1] = text[i + 1], text[i]
+                rows.append((len(rows), " ".join(text)))
+    kept = {r.doc_id for r in simhash_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == set(range(0, 800, 4))
+
+
+def test_large_buckets_are_decided_in_blocks(spark):
+    """Separate pairs, and a chain in which only neighbours are alike, in buckets of many chunks."""
+    rng, rows = random.Random(13), []
+    word = lambda: f"{rng.getrandbits(40):x}"
+    template = [word() for _ in range(150)]
+    for _ in range(60):
+        base = [word() if i % 15 == 0 else w for i, w in enumerate(template)]
+        rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(base[:-8] + [word() for _ in range(8)]))]
+    chain = list(template)
+    for i in range(60):
+        chain[2 * i] = word()
+        rows.append((len(rows), " ".join(chain)))
+    want = brute_kept(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for block_rows in (7, 20_000):
+        found = simhash_dedup.similar_documents(docs, block_rows=block_rows).collect()
+        assert {r.doc_id for r in found if r.doc_id == r.component_id} == want
+    linked = [(a, b) for i, (a, s) in enumerate(rows) for b, t in rows[i + 1 :] if simhash_dedup.shingle_similarity(s, t, 5) >= 0.8]
+    assert {r.doc_id: r.component_id for r in found} == groups([d for d, _ in rows], linked)
+
+
+def test_signatures_meet_as_often_as_they_should():
+    """Bands agree with probability s ** 5, so 30 of them find nearly every pair of similarity 0.8."""
+    rng, met, n = random.Random(14), 0, 200
+    import numpy as np
+
+    for _ in range(n):
+        every = np.array([rng.getrandbits(64) for _ in range(250)], np.uint64)
+        (a, x), (b, y) = (simhash_dedup.signature(h, 30, 5) for h in (every[:225], every[25:]))
+        same = int((a == b).sum())
+        assert same and bin(x ^ y).count("1") <= 24
+        met += same
+    assert abs(met / n / 30 - 0.8**5) < 0.03
+
+
 def test_simhash_defined_cases(spark):
     docs, rows = odd_docs(spark)
     found = simhash_dedup.near_duplicates(docs).collect()
@@ -402,6 +481,42 @@ def test_language_accuracy_on_held_out_rows(spark):
     assert all(0 <= r.score <= 1 for r in found)
 
 
+def test_language_model_by_hand(spark):
+    """Counts, tables and decoding against plain loops."""
+    import numpy as np
+
+    rng = random.Random(15)
+    rows = [(i, " ".join(rng.choice(("ab", "ba", "Éa", "cc")[k : k + 2]) for _ in range(20)), f"l{k}") for i in range(40) for k in (i % 3,)]
+    docs = spark.createDataFrame([*rows, (99, None, "l0"), (100, "zz", None)], "doc_id long, text string, lang string")
+    model = language_id.fit(docs, "doc_id >= 0")
+
+    def grams(text):
+        data = f" {text.lower()} ".encode()
+        return [((data[i] | data[i + 1] << 8 | data[i + 2] << 16) * 2654435761 % 2**32) >> 16 for i in range(len(data) - 2)]
+
+    counts = {lang: Counter(g for _, t, own in rows if own == lang for g in grams(t)) for lang in ("l0", "l1", "l2")}
+    assert model.languages == ("l0", "l1", "l2") and model.code.tolist() == [[1, 1, 1], [1, -1, -1], [-1, 1, -1]]
+    share = lambda lang, g: (counts[lang][g] + 0.5) / (sum(counts[lang].values()) + 0.5 * 65536)
+    for g in {*counts["l0"], *counts["l2"], 7}:
+        for bit, side in enumerate(model.code.T):
+            plus, minus = ([share(x, g) for x, s in zip(model.languages, side) if s == sign] for sign in (1, -1))
+            assert abs(model.weights[g, bit] - (math.log(sum(plus) / len(plus)) - math.log(sum(minus) / len(minus)))) < 1e-4
+    for text in ("ab ba", "cc Éa cc", "ÉA"):
+        own = grams(text)
+        evidence = [sum(float(model.weights[g, b]) for g in own) / len(own) * min(len(own), 100) * 0.2 for b in range(3)]
+        loss = [sum(math.log1p(math.exp(-c * e)) for c, e in zip(code, evidence)) for code in model.code.tolist()]
+        lang, score, gap = language_id.predict(model, text)
+        assert lang == model.languages[min(range(3), key=lambda i: loss[i])]
+        assert abs(score - math.exp(-min(loss)) / sum(math.exp(-x) for x in loss)) < 1e-6 and abs(gap - (sorted(loss)[1] - min(loss))) < 1e-5
+    few = language_id.fit(docs, "doc_id >= 0", languages=2)
+    assert few.languages == ("l0", "l1")  # most labelled rows, ties by name
+    for text in ("² ½ ① Ⅷ 12", "", None, "_-"):
+        assert language_id.predict(model, text) == ("und", 0.0, 0.0)
+    assert language_id.predict(model, "ab ba " * 300_000)[0] == language_id.predict(model, "ab ba")[0]
+    even = language_id.Model(("a", "b"), model.code[:2], np.zeros((65536, 3), np.float32))
+    assert language_id.predict(even, "text")[0] == "a"
+
+
 def test_codewords_stand_apart():
     for n in (1, 2, 3, 4, 7, 20, 100):
         code = language_id.codewords(n)
@@ -432,10 +547,65 @@ def test_license_findings(spark):
     assert [f[0] for f in license_scan.scan_text(text, templates)] == ["MIT-text"] * 3 + ["Apache-2.0-header"]
     assert license_scan.scan_text(" ".join(long.split()[:40]), templates) == []
     assert len(license_scan.scan_text("Released under the MIT License. " * 4, templates)) == 4
-    for name, notice in license_scan.NOTICES.items():
-        found = license_scan.scan_text(f"Intro words. {notice}. Outro words.", templates)
-        assert [(f[0], f[1]) for f in found] == [(name, 1.0)]
-        assert found[0][2] == len("Intro words. ")
+    every = [license_scan.Template.of(*x) for x in license_scan.known_texts().items()]
+    for name, notice in license_scan.known_texts().items():
+        found = license_scan.scan_text(f"Intro words. {notice}. Outro words.", every)
+        assert max(found, key=lambda f: f[4])[1:3] == (1.0, len("Intro words. ") + re.search(r"\w", notice).start()), name
+        if name not in ("BSD-2-Clause",):  # the beginning of another
+            assert max(found, key=lambda f: f[4])[0] == name
+    assert [f[0] for f in license_scan.scan_text("// SPDX-License-Identifier: BSD-3-Clause\nint x;", every)] == ["BSD-3-Clause-tag"]
+    assert license_scan.scan_text("SPDX-License-Identifier: BSD-4-Clause", every) == []
+
+
+def test_license_with_other_words_in_the_middle(spark):
+    """Any number of them, also where the license stands twice."""
+    rng = random.Random(9)
+    templates = [license_scan.Template.of("MIT-text", license_scan.NOTICES["MIT-text"])]
+    words = license_scan.NOTICES["MIT-text"].split()
+    for n in (20, 60, 120, 1000, 20_000):
+        noise = [f"w{rng.randrange(300)}" for _ in range(n)]
+        text = " ".join(words[:50] + noise + words[50:])
+        (found,) = license_scan.scan_text(text, templates)
+        assert found[:2] == ("MIT-text", 1.0) and (found[2], found[3]) == (0, len(text) - 1)
+    twice = " ".join((words[:50] + noise + words[50:]) * 2 + words)
+    assert [f[:2] for f in license_scan.scan_text(twice, templates)] == [("MIT-text", 1.0)] * 3
+    spread = [x for w in words for x in (w, f"x{rng.randrange(50)}", f"y{rng.randrange(50)}")]
+    assert license_scan.scan_text(" ".join(spread), templates) == []  # no run of three words
+
+
+def patience_by_hand(a, b):
+    """Pairs of a patience alignment, with the longest rising run found by trying all."""
+    if not a or not b:
+        return []
+    if a[0] == b[0]:
+        return [(0, 0)] + [(i + 1, j + 1) for i, j in patience_by_hand(a[1:], b[1:])]
+    if a[-1] == b[-1]:
+        return patience_by_hand(a[:-1], b[:-1]) + [(len(a) - 1, len(b) - 1)]
+    anchors = [(i, b.index(w)) for i, w in enumerate(a) if a.count(w) == 1 and b.count(w) == 1]
+    best = [[]]
+    for n in range(len(anchors), 0, -1):
+        best = [c for c in itertools.combinations(anchors, n) if all(p[1] < q[1] for p, q in zip(c, c[1:]))]
+        if best:
+            break
+    if len(best) > 1:
+        raise ArithmeticError("not the only one")
+    edges, out = [(-1, -1), *best[0], (len(a), len(b))] if best[0] else [], list(best[0])
+    for (i, j), (k, m) in zip(edges, edges[1:]):
+        out += [(i + 1 + x, j + 1 + y) for x, y in patience_by_hand(a[i + 1 : k], b[j + 1 : m])]
+    return sorted(out)
+
+
+def test_license_alignment_equals_one_by_hand():
+    rng, compared = random.Random(10), 0
+    for _ in range(600):
+        a, b = ([rng.choice("abcdefghijklmn") for _ in range(rng.randint(0, 10))] for _ in range(2))
+        try:
+            want = patience_by_hand(a, b)
+        except ArithmeticError:  # several rising runs are equally long
+            continue
+        compared += 1
+        assert license_scan.align(a, b) == want
+    assert compared > 200
 
 
 def test_license_alignment_is_a_common_subsequence():
