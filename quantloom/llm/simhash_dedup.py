@@ -33,7 +33,7 @@ SEED = 42
 _ROWS = 1 << 16
 _SET_ROWS = 1 << 10
 _SMALL = 8
-_FEW = 200_000
+_FEW, _HASH_BYTES = 200_000, 5
 _CANDIDATE = ["a", "b", "bucket", "print"]
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -306,40 +306,70 @@ def _candidates(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.R
         yield pa.RecordBatch.from_arrays([pa.array(item[large]), pa.nulls(len(large), pa.int64()), pa.array(bucket[large]), pa.array(printed[large].view(np.int64))], _CANDIDATE)
 
 
-def _left_apart(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by block. All pairs of a block within the radius that aren't connected yet, bit-sliced.
+def _whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by block, block by block."""
+    held: list[pa.RecordBatch] = []
+    for batch in filter(lambda b: b.num_rows, batches):
+        block = batch.column("block").to_numpy()
+        if held and held[-1].column("block")[-1].as_py() != block[0]:
+            yield pa.Table.from_batches(held)
+            held = []
+        edges = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1), batch.num_rows]
+        for a, b in zip(edges[:-1], edges[1:]):
+            held.append(batch.slice(a, b - a))
+            if b < batch.num_rows:
+                yield pa.Table.from_batches(held)
+                held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _left_apart(batches: Iterator[pa.RecordBatch], similarity: float, radius: int) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by block. Links that connect what isn't connected yet in a block.
 
     A block holds two chunks of a bucket, or one; of two chunks only pairs across them count.
-    Texts outside the block's largest component are compared with all others.
+    Texts outside the block's largest component meet all others, bit-sliced; pairs within the
+    radius are compared by their sets, until the two are connected.
     """
-    for block, two, chunk, component, item, printed in _buckets(batches, ["block", "two", "chunk", "component", "item", "print"]):
-        edges = np.flatnonzero(np.r_[True, block[1:] != block[:-1], True])
-        for lo, hi in zip(edges[:-1], edges[1:]):
-            part, comp, own, across = chunk[lo:hi], component[lo:hi], item[lo:hi], bool(two[lo])
-            values, inverse, n = np.unique(comp, return_inverse=True, return_counts=True)
-            if len(values) < 2:
+    for table in _whole_blocks(batches):
+        component, chunk, item, printed = (table.column(c).to_numpy() for c in ("component", "chunk", "item", "print"))
+        values, at = np.unique(component, return_inverse=True)
+        if len(values) < 2:
+            continue
+        across, root, items = bool(table.column("two")[0].as_py()), np.arange(len(values)), printed.view(np.uint64)
+        main = at == np.argmax(np.bincount(at))
+        size = table.column("size").to_numpy().astype(np.int64)
+        raw = np.zeros((int(size.sum()), 8), np.uint8)
+        raw[:, :_HASH_BYTES] = np.frombuffer(b"".join(table.column("hashes").to_pylist()), np.uint8).reshape(-1, _HASH_BYTES)
+        words, planes = np.unique(raw.view("<u8")[:, 0], return_inverse=True)[1], _planes(items)
+        del raw
+        ends = np.cumsum(size)
+        marked, a, b = np.zeros(int(words.max(initial=0)) + 1, np.int64), [], []
+        for x in np.flatnonzero(~main):
+            near = _near_one(planes, int(items[x]), radius)
+            near = near[near < len(item)]
+            near = near[(root[at[near]] != root[at[x]]) & (main[near] | (near > x)) & (not across or chunk[near] != chunk[x])]
+            near = near[np.minimum(size[near], size[x]) >= similarity * np.maximum(size[near], size[x]) - 1e-9]
+            if not len(near):
                 continue
-            main = inverse == int(np.argmax(n))
-            items = printed[lo:hi].view(np.uint64)
-            planes, a, b = _planes(items), [], []
-            for x in np.flatnonzero(~main):
-                near = _near_one(planes, int(items[x]), radius)
-                near = near[near < hi - lo]
-                near = near[(comp[near] != comp[x]) & (main[near] | (near > x)) & (not across or part[near] != part[x])]
-                a.append(np.full(len(near), own[x]))
-                b.append(own[near])
-                if sum(map(len, a)) >= _ROWS:
-                    yield _pairs(np.concatenate(a), np.concatenate(b))
-                    a, b = [], []
-            if a:
-                yield _pairs(np.concatenate(a), np.concatenate(b))
-
-
-def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
-
-
-def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, bands: int = 30, band_rows: int = 5, radius: int = 24, block_rows: int = 20_000) -> DataFrame:
+            own = words[ends[x] - size[x] : ends[x]]
+            marked[own] = 1
+            n = size[near]
+            places = np.arange(int(n.sum())) + np.repeat(ends[near] - n - (np.cumsum(n) - n), n)
+            both = np.bincount(np.repeat(np.arange(len(near)), n), marked[words[places]], len(near))
+            marked[own] = 0
+            whole = n + size[x] - both
+            for y in near[(both >= similarity * whole) | (whole == 0)]:
+                if (one := root[at[x]]) != (two := root[at[y]]):
+                    root[root == two] = one
+                    a.append(item[x])
+                    b.append(item[y])
+        if a:
+            a, b = np.array(a, np.int64), np.array(b, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
+
+
+def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, bands: int = 30, band_rows: int = 5, radius: int = 24, block_rows: int = 20_000, block_shingles: int = 4_000_000) -> DataFrame:
     """doc_id, component_id of all rows with a doc_id; texts whose shingle sets reach the similarity are linked.
 
     Such texts differ in so few bits of a SimHash of their shingles that no block of useful size
@@ -350,9 +380,10 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5
     0.8) is verified on its whole shingle sets. Equal texts are one item all the way.
 
     Members of a large bucket are paired with its most central texts first. Where that leaves a
-    bucket in several components, all pairs of texts in different ones follow, in blocks of at
-    most two chunks of about ``block_rows`` texts; so every pair of a bucket within the radius is
-    verified or already connected, however large the bucket.
+    bucket in several components, texts of different ones are compared inside tasks, in blocks of
+    at most two chunks of about ``block_rows`` texts or ``block_shingles`` shingles (by hashes of
+    ``_HASH_BYTES`` bytes); so every pair of a bucket within the radius is compared or already
+    connected, however large the bucket, and only links leave the tasks.
     """
     small_batches(docs)
     spark = docs.sparkSession
@@ -377,11 +408,21 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5
             ok = [shingle_similarity(a, b, shingle) >= similarity for a, b in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist())]
             yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
 
-    def similar(pairs: DataFrame) -> DataFrame:
-        """The pairs that are; where they are few, only their texts are moved."""
-        named = durable(items.select("key", "item").join(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "item"), "item"))
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique(shingle_hashes(t.as_py(), shingle) & np.uint64((1 << 8 * _HASH_BYTES) - 1)) for t in batch.column("text")]
+            cut = [h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_HASH_BYTES].tobytes() for h in found]
+            yield pa.RecordBatch.from_arrays([batch.column("item"), pa.array([len(h) for h in found], pa.int32()), pa.array(cut, pa.binary())], ["item", "size", "hashes"])
+
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        """item and text of the wanted items; where they are few, only their texts are moved."""
+        named = durable(items.select("key", "item").join(wanted, "item"))
         named = F.broadcast(named) if named.count() <= _FEW else named
-        texts = rows.join(named, (rows["doc_id"] == named["item"]) & (rows["key"] == named["key"])).select("item", "text").dropDuplicates(["item"])
+        return rows.join(named, (rows["doc_id"] == named["item"]) & (rows["key"] == named["key"])).select("item", "text").dropDuplicates(["item"])
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        """The pairs that are."""
+        texts = texts_of(pairs.select(F.col("a").alias("item")).union(pairs.select("b")).distinct())
         both = pairs.join(texts.select(F.col("item").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("item").alias("b"), F.col("text").alias("text_b")), "b")
         return both.select("a", "b", "text_a", "text_b").mapInArrow(verified, "a long, b long")
 
@@ -393,13 +434,17 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5
     linked = components(similar(pairs))
 
     members = met.where("b IS NULL").select("bucket", F.col("a").alias("item"), "print").join(linked.withColumnRenamed("node", "item"), "item", "left").withColumn("component", F.coalesce("component", "item"))
-    several = members.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low < high").select("bucket", F.ceil(F.col("n") / block_rows).alias("chunks"))
-    chunked = members.join(several, "bucket").withColumn("chunk", F.pmod(F.xxhash64("item"), "chunks"))
+    several = members.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"), F.sum(F.xxhash64("item").cast("decimal(38,0)")).alias("who")).where("low < high")
+    members = durable(members.join(several.groupBy("low", "high", "n", "who").agg(F.min("bucket").alias("bucket")).select("bucket"), "bucket"))  # once each, where bands give the same bucket
+    sets = texts_of(members.select("item").distinct()).mapInArrow(hashed, "item long, size int, hashes binary")
+    held = members.join(sets, "item")
+    sizes = held.groupBy("bucket").agg(F.ceil(F.greatest(F.count("*") / block_rows, F.sum("size") / block_shingles)).alias("chunks"))
+    chunked = held.join(sizes, "bucket").withColumn("chunk", F.pmod(F.xxhash64("item"), "chunks"))
     placed = chunked.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
     one, two = F.least("chunk", "other"), F.greatest("chunk", "other")
-    blocks = placed.select(F.xxhash64("bucket", one, two).alias("block"), (one < two).cast("long").alias("two"), "chunk", "component", "item", "print")
-    apart = blocks.repartition(width, "block").sortWithinPartitions("block", "item").mapInArrow(lambda batches: _left_apart(batches, radius), "a long, b long")
-    found = durable(similar(durable(apart.distinct().join(pairs, ["a", "b"], "left_anti"))))
+    blocks = placed.select(F.xxhash64("bucket", one, two).alias("block"), (one < two).cast("long").alias("two"), "chunk", "component", "item", "print", "size", "hashes")
+    apart = blocks.repartition(width, "block").sortWithinPartitions("block", "item").mapInArrow(lambda batches: _left_apart(batches, similarity, radius), "a long, b long")
+    found = durable(similar(durable(apart.distinct())))
     if not found.isEmpty():
         linked = components(linked.select(F.col("node").alias("a"), F.col("component").alias("b")).union(found))
     classes = items.select("key", "item").join(linked.withColumnRenamed("node", "item"), "item", "left").select("key", F.coalesce("component", "item").alias("component_id"))
