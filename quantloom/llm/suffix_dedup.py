@@ -10,11 +10,11 @@ smaller doc_id. Finding such strings takes no list of all suffixes:
 2. Only around shared anchors a block sends contexts: all strings of LENGTH bytes that hold the
    anchor lie inside one. Equal contexts of a block are one, with the smallest doc_id; the other
    documents that have it are decided on the spot.
-3. Contexts meet in the q-gram bucket of their anchor. The buckets are refined outwards: the
-   bucket of the substring that starts at s is split by sorting on its first byte and the bucket
-   identifier of the substring at the later offset s + 1, whose update is reused; likewise to the
-   right. The string at s has the pair of both identifiers for its bucket, and the smallest
-   doc_id there decides.
+3. Contexts meet in the q-gram bucket of their anchor and are refined there. All offsets of a
+   bucket's contexts get the identifiers of their 8-gram buckets; those are refined by sorting on
+   the pair of a bucket and the bucket at a later offset, first 8 on, then 9, then 25, each time
+   with the identifiers that the refinement before gave, until buckets hold equal strings of
+   LENGTH bytes. The smallest doc_id in a bucket decides.
 4. Blocks take the verdicts back and cut their documents.
 
 Nothing gathers for a frequent passage: it is one context per block. An anchor that stands in
@@ -45,7 +45,8 @@ LEFT, RIGHT = LENGTH - GRAM, LENGTH  # bytes of a context before and from its an
 HOT = 50_000
 BLOCK_BYTES = 6 << 20
 _SLICE = 1 << 19
-_HOT_ROWS = 10_000
+FIRST, SHIFTS = 8, (8, 9, 25)  # buckets of 8-grams become those of strings of 16, 25 and 50 bytes
+_HOT_ROWS, _REFINED = 10_000, 8_192
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 CUT = "doc_id long, n_bytes long, kept binary, removed array<struct<start:long,end:long>>"
 _PARCELS = "dest long, kind int, block long, body binary"
@@ -300,30 +301,70 @@ def _merged(begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.stack([begins[new], reach[last]], axis=1).ravel().astype("<i8")
 
 
-def _refined(bucket: np.ndarray, by: np.ndarray) -> np.ndarray:
-    """Split buckets by a second identifier and number them anew."""
-    return np.unique(bucket * (int(by.max(initial=0)) + 1) + by, return_inverse=True)[1]
+def _numbered(x: np.ndarray) -> np.ndarray:
+    """Bucket identifiers: equal values get equal numbers, in sorted order."""
+    order = np.argsort(x)
+    ranked = x[order]
+    out = np.empty(len(x), np.int64)
+    out[order] = np.cumsum(np.r_[False, ranked[1:] != ranked[:-1]])
+    return out
+
+
+def refine(bucket: np.ndarray, shift: int) -> np.ndarray:
+    """Buckets of strings at every offset (columns) of some contexts (rows), refined by sorting on the
+    identifiers of the buckets at the offset ``shift`` later; those are the buckets themselves, so what
+    one refinement finds out the next one uses."""
+    now, later = bucket[:, :-shift], bucket[:, shift:]
+    return _numbered((now * (int(bucket.max(initial=0)) + 1) + later).ravel()).reshape(now.shape)
+
+
+def string_buckets(rows: np.ndarray) -> np.ndarray:
+    """Bucket identifiers of the strings of LENGTH bytes at their starts (columns) in contexts (rows)."""
+    text = np.ascontiguousarray(rows[:, : LEFT + RIGHT])
+    grams = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(text, FIRST, axis=1)).view("<u8")[:, :, 0]
+    bucket = _numbered(grams.ravel()).reshape(grams.shape)
+    for shift in SHIFTS:
+        bucket = refine(bucket, shift)
+    return bucket
 
 
 def covered_strings(rows: np.ndarray, doc_id: np.ndarray) -> np.ndarray:
-    """For each context a bit mask of its strings, by start, that a smaller doc_id also has."""
-    left, right = rows[:, 76].astype(np.int64), rows[:, 77].astype(np.int64)
-    bucket = np.zeros(len(rows), np.int64)
-    for word in rows[:, LEFT : LEFT + GRAM].copy().view("<u8").T:
-        bucket = _refined(bucket, np.unique(word, return_inverse=True)[1])
-    leftwards, rightwards = [bucket], [bucket]
-    for k in range(1, LEFT + 1):
-        leftwards.append(_refined(leftwards[-1], rows[:, LEFT - k].astype(np.int64)))
-        rightwards.append(_refined(rightwards[-1], rows[:, LEFT + GRAM + k - 1].astype(np.int64)))
-    mask = np.zeros(len(rows), np.uint32)
-    for s in range(LEFT + 1):
-        own = np.flatnonzero((left >= LEFT - s) & (right >= LENGTH - LEFT + s))
-        if len(own) > 1:
-            found = _refined(leftwards[LEFT - s][own], rightwards[s][own])
-            least = np.full(found.max() + 1, np.iinfo(np.int64).max)
-            np.minimum.at(least, found, doc_id[own])
-            mask[own[least[found] < doc_id[own]]] |= np.uint32(1 << s)
-    return mask
+    """For each context a bit mask of its strings, by start, that a smaller doc_id also has.
+
+    Equal contexts are one. They are dealt into the q-gram buckets of their anchors; one that is
+    alone in its bucket has no other equal string, the rest is refined, some thousand at a time.
+    """
+    if not len(rows):
+        return np.zeros(0, np.uint32)
+    order, new, row_of = _classes(rows, doc_id)
+    one, first = rows[order[new]], doc_id[order[new]]
+    starts = np.uint32(1) << np.arange(LEFT + 1, dtype=np.uint32)
+    whole = (_there(one) * starts).sum(axis=1, dtype=np.uint32)
+    anchor = np.zeros(len(one), np.int64)
+    for word in one[:, LEFT : LEFT + GRAM].copy().view("<u8").T:
+        anchor = _numbered(anchor * (len(one) + 1) + _numbered(word))
+    by = np.argsort(anchor, kind="stable")
+    size = np.bincount(anchor)[anchor[by]]
+    by, mask = by[size > 1], np.zeros(len(one), np.uint32)
+    edges = np.flatnonzero(np.diff(anchor[by], prepend=-1))
+    for a, b in zip(cuts := edges[np.searchsorted(edges, np.arange(0, len(by), _REFINED))] if len(by) else [], [*cuts[1:], len(by)]):
+        own = by[a:b]
+        if not len(own):
+            continue
+        bucket, there = string_buckets(one[own]), _there(one[own])
+        ids = np.broadcast_to(first[own, None], there.shape)
+        least = np.full(int(bucket.max()) + 1, np.iinfo(np.int64).max)
+        np.minimum.at(least, bucket[there], ids[there])
+        mask[own] = ((there & (least[bucket] < ids)) * starts).sum(axis=1, dtype=np.uint32)
+    out = np.empty(len(rows), np.uint32)
+    out[order] = np.where(doc_id[order] > first[row_of], whole[row_of], mask[row_of])
+    return out
+
+
+def _there(rows: np.ndarray) -> np.ndarray:
+    """Which starts (columns) have a string of LENGTH bytes in a context (rows)."""
+    left, right, start = rows[:, LEFT + RIGHT].astype(np.int64), rows[:, LEFT + RIGHT + 1].astype(np.int64), np.arange(LEFT + 1)
+    return (left[:, None] >= LEFT - start) & (right[:, None] >= LENGTH - LEFT + start)
 
 
 def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -212,6 +212,33 @@ def test_repeats_match_brute_force(spark):
     assert found_repeats(spark.createDataFrame(rows, "doc_id long, text string")) == brute_repeats(rows)
 
 
+def test_refined_buckets_are_equal_strings():
+    """Contexts of a few anchors, cut off at documents' edges, against a table of all strings."""
+    import numpy as np
+
+    rng = np.random.default_rng(17)
+    rows = np.zeros((900, 80), np.uint8)
+    rows[:, :76] = rng.integers(97, 99, (12, 76))[rng.integers(0, 12, 900)]
+    rows[:, 26:50] = rng.integers(97, 100, (4, 24))[rng.integers(0, 4, 900)]
+    for i in range(900):
+        rows[i, rng.integers(0, 26)] ^= rng.integers(0, 2)
+        left, right = (26, 50) if i % 3 else (rng.integers(0, 27), rng.integers(24, 51))
+        rows[i, : 26 - left], rows[i, 26 + right : 76], rows[i, 76:78] = 0, 0, (left, right)
+    ids = rng.integers(0, 300, 900)
+    least = {}
+    there = lambda i, s: rows[i, 76] >= 26 - s and rows[i, 77] >= 24 + s
+    for i, s in itertools.product(range(900), range(27)):
+        if there(i, s):
+            key = rows[i, s : s + 50].tobytes()
+            least[s, key] = min(least.get((s, key), 999), int(ids[i]))
+    want = [sum(1 << s for s in range(27) if there(i, s) and least[s, rows[i, s : s + 50].tobytes()] < ids[i]) for i in range(900)]
+    assert suffix_dedup.covered_strings(rows, ids).tolist() == want and sum(map(bool, want)) > 500
+    assert len(suffix_dedup.covered_strings(rows[:0], ids[:0])) == 0
+    buckets = suffix_dedup.string_buckets(rows[:200])
+    strings = [[rows[i, s : s + 50].tobytes() for s in range(27)] for i in range(200)]
+    assert len(np.unique(buckets)) == len({x for r in strings for x in r}) == len({(b, x) for r, q in zip(strings, buckets.tolist()) for x, b in zip(r, q)})
+
+
 def test_frequent_anchors_are_decided_string_by_string():
     """The path for anchors in very many contexts, in one block after the other without Spark."""
     import numpy as np
