@@ -23,21 +23,24 @@ FUNCTIONS = ("sma", "ema", "std", "min", "max", "abs", "log", "sqrt", "pct_chang
 
 
 class Formula:
-    """A checked formula. ``stages`` lists window functions in the order in which they are needed."""
+    """A checked formula. ``params`` are numbers that it may name; a column of the same name goes first."""
 
-    def __init__(self, text: str):
+    def __init__(self, text: str, params: dict[str, float] | None = None):
         try:
             self.tree = ast.parse(text, mode="eval").body
         except SyntaxError as e:
             raise IndicatorError(f"{text!r} is no formula") from e
-        self.text = text
+        self.text, self.params = text, dict(params or {})
+        for name, x in self.params.items():
+            if isinstance(x, bool) or not isinstance(x, int | float):
+                raise IndicatorError(f"{name}: {x!r} is no number")
         self._check(self.tree)
 
     def _check(self, node: ast.AST) -> None:
         match node:
             case ast.Constant(value=int() | float()):
                 return
-            case ast.Name(id=name) if name in COLUMNS:
+            case ast.Name(id=name) if name in COLUMNS or name in self.params:
                 return
             case ast.UnaryOp(op=ast.USub() | ast.UAdd(), operand=x):
                 return self._check(x)
@@ -60,9 +63,16 @@ class Formula:
             bars = bars.withColumn(stages[-1], value)
             return F.col(stages[-1])
 
+        def fixed(node: ast.AST) -> float | None:
+            """The value of a number or a parameter."""
+            if isinstance(node, ast.Name) and node.id not in COLUMNS:
+                return self.params[node.id]
+            return node.value if isinstance(node, ast.Constant) else None
+
         def number(node: ast.AST) -> int:
-            if isinstance(node, ast.Constant) and isinstance(node.value, int) and node.value > 0:
-                return node.value
+            x = fixed(node)
+            if x is not None and (isinstance(x, int) or isinstance(node, ast.Name)) and int(x) > 0:
+                return int(x)
             raise IndicatorError(f"{ast.unparse(node)!r} must be a positive whole number")
 
         def smooth(x: Column, n: int) -> Column:
@@ -77,8 +87,10 @@ class Formula:
             match node:
                 case ast.Constant(value=x):
                     return F.lit(float(x))
-                case ast.Name(id=c):
+                case ast.Name(id=c) if c in COLUMNS:
                     return F.col(c).cast("double")
+                case ast.Name(id=c):
+                    return F.lit(float(self.params[c]))
                 case ast.UnaryOp(op=op, operand=x):
                     return -value(x) if isinstance(op, ast.USub) else value(x)
                 case ast.BinOp(left=a, op=op, right=b):
@@ -106,7 +118,7 @@ class Formula:
                     return protected_log(x, 1e-12)
                 case ("sqrt", 1):
                     return F.sqrt(F.abs(x))
-                case (("min" | "max"), 2) if not isinstance(args[0], ast.Constant) and isinstance(args[1], ast.Constant):
+                case (("min" | "max"), 2) if fixed(args[0]) is None and fixed(args[1]) is not None:
                     return kept(roll(getattr(F, f), kept(x), number(args[1])))
                 case (("min" | "max"), n) if n > 1:
                     return (F.least if f == "min" else F.greatest)(x, *(value(a) for a in args[1:]))
@@ -144,6 +156,7 @@ class Listing:
     downloads: int = 0
     status: str = "draft"
     author: str = "user"
+    params: tuple[tuple[str, float], ...] = ()
 
 
 # The formulas of the three ready-made indicators.
@@ -161,16 +174,17 @@ class Marketplace:
     listings: dict[str, Listing] = field(default_factory=lambda: {x.name: x for x in BUILT_IN})
 
     def create(self, listing: Listing) -> Listing:
-        Formula(listing.formula)
+        Formula(listing.formula, dict(listing.params))
         self.listings[listing.name] = replace(listing, status="draft", downloads=0)
         return self.listings[listing.name]
 
     def get(self, name: str) -> Listing:
         return self.listings[name]
 
-    def install(self, name: str) -> Formula:
-        self.listings[name] = replace(self.listings[name], downloads=self.listings[name].downloads + 1)
-        return Formula(self.listings[name].formula)
+    def install(self, name: str, **params: float) -> Formula:
+        """The formula with its own parameters, but for those that are given."""
+        listing = self.listings[name] = replace(self.listings[name], downloads=self.listings[name].downloads + 1)
+        return Formula(listing.formula, dict(listing.params) | params)
 
     def search(self, text: str = "", category: str | None = None) -> list[Listing]:
         """Active ones first, then by falling rating and name."""

@@ -1,20 +1,20 @@
-"""Strategy generation and improvement. Proposals are made on the driver; each generation or set of
+"""Strategy improvement and ratings. Proposals are made on the driver; each generation or set of
 candidates is evaluated as one Spark job over all bars."""
 
 from __future__ import annotations
 
 import random
 from collections.abc import Callable
-from dataclasses import dataclass, replace
+from dataclasses import replace
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.operators.backtest import BacktestConfig, evaluate
 from quantloom.operators.registry import Registry, default_registry
 from quantloom.operators.rules import RuleChain
 from quantloom.plans.ir import Edge, Node, StrategyIR
-from quantloom.plans.signals import bind, compile_signal
+from quantloom.plans.signals import Stages, bind, compile_signal
 
 Evaluate = Callable[[list[StrategyIR]], list[float]]
 
@@ -30,8 +30,9 @@ def evaluate_all(strategies: list[StrategyIR], bars: DataFrame, config: Backtest
             before = wide.columns
             bound, columns = bind(ir, wide, registry)
             names = {c: f"_x{len(signals)}_{n}" for n, c in enumerate(c for c in bound.columns if c not in before)}
-            wide = bound.withColumnsRenamed(names)
-            signals.append(compile_signal(ir, {k: names.get(v, v) for k, v in columns.items()}))
+            staged = Stages(bound.withColumnsRenamed(names), f"_y{len(signals)}_")
+            signals.append(compile_signal(ir, {k: names.get(v, v) for k, v in columns.items()}, keep=staged.keep))
+            wide = staged.bars
     figures = evaluate(wide.withColumn("signals", F.array(*signals)).select(*base, "signals"), config)
     wanted = F.create_map(*(F.lit(x) for at in range(len(signals)) for x in (at, [i for i, ir in enumerate(strategies) if seen[ir.fingerprint()] == at])))
     return figures.withColumn("run_id", F.explode(wanted[F.col("combo_idx")])).drop("combo_idx")
@@ -124,81 +125,7 @@ def improve(ir: StrategyIR, evaluate: Evaluate, what: str | None = None, rounds:
     return ir, log
 
 
-# -- genetic search ----------------------------------------------------------------------------
-
-TERMINALS = ("SMA", "WMA", "RSI", "MOM", "ROC", "WILLR", "ATR", "STDDEV")
-COMPARISONS = ("GT", "LT", "GTE", "LTE")
-
-
-@dataclass(frozen=True)
-class Gene:
-    """A test: a comparison, or AND / OR of two tests."""
-
-    op: str
-    left: "Gene | tuple[str, int]"
-    right: "Gene | tuple[str, int] | float"
-
-    def size(self) -> int:
-        return 1 + sum(x.size() if isinstance(x, Gene) else 1 for x in (self.left, self.right))
-
-
-def random_gene(rng: random.Random, depth: int = 2) -> Gene:
-    if depth > 0 and rng.random() < 0.5:
-        return Gene(rng.choice(("AND", "OR")), random_gene(rng, depth - 1), random_gene(rng, depth - 1))
-    name = rng.choice(TERMINALS)
-    return Gene(rng.choice(COMPARISONS), (name, rng.randint(3, 40)), (name, rng.randint(3, 40)))
-
-
-def mutate(gene: Gene, rng: random.Random) -> Gene:
-    if rng.random() < 0.3:
-        return random_gene(rng, 1)
-    if gene.op in ("AND", "OR"):
-        return replace(gene, left=mutate(gene.left, rng)) if rng.random() < 0.5 else replace(gene, right=mutate(gene.right, rng))
-    name, period = gene.left
-    return replace(gene, left=(name, max(2, period + rng.choice(PERIOD_STEPS))))
-
-
-def mate(a: Gene, b: Gene, rng: random.Random) -> Gene:
-    return Gene(rng.choice(("AND", "OR")), a.left if isinstance(a.left, Gene) else a, b.right if isinstance(b.right, Gene) else b)
-
-
-def to_ir(gene: Gene) -> StrategyIR:
-    """Buy where the test holds, else sell."""
-    nodes = [Node("root", "root"), Node("if", "condition", "IF")]
-    edges = [Edge("root", "if")]
-
-    def add(x, parent: str, at: str) -> None:
-        if isinstance(x, Gene):
-            nodes.append(Node(at, "operator", x.op))
-            edges.append(Edge(parent, at))
-            add(x.left, at, at + "l")
-            add(x.right, at, at + "r")
-        else:
-            nodes.append(Node(at, "indicator", x[0], {"period": x[1]}))
-            edges.append(Edge(parent, at))
-
-    add(gene, "if", "t")
-    return StrategyIR("gene", [*nodes, Node("buy", "action", "BUY"), Node("sell", "action", "SELL")], [*edges, Edge("if", "buy", "then"), Edge("if", "sell", "else")])
-
-
-def from_ir(ir: StrategyIR) -> Gene:
-    def read(n: Node):
-        return (n.name, int(n.params.get("period", 14))) if n.node_type == "indicator" else Gene(n.name, *(read(c) for c in ir.next_of(n.id)[:2]))
-
-    return read(ir.next_of("if", "child")[0])
-
-
-def evolve(evaluate: Evaluate, population: int = 12, generations: int = 3, keep: int = 3, parsimony: float = 0.01, seed: int = 42) -> list[tuple[Gene, float]]:
-    """The best distinct genes of all generations with their fitness (metric less a cost for size)."""
-    rng = random.Random(seed)
-    now, hall = [random_gene(rng) for _ in range(population)], {}
-    for _ in range(generations):
-        fresh = [g for g in dict.fromkeys(now) if g not in hall]
-        for gene, value in zip(fresh, evaluate([to_ir(g) for g in fresh])):
-            hall[gene] = value - parsimony * gene.size()
-        best = sorted(hall, key=lambda g: (-hall[g], g.size(), repr(g)))[: max(keep, population // 3)]
-        now = best[:keep] + [mutate(rng.choice(best), rng) if rng.random() < 0.5 else mate(rng.choice(best), rng.choice(best), rng) for _ in range(population - keep)]
-    return sorted(hall.items(), key=lambda x: (-x[1], x[0].size(), repr(x[0])))[:keep]
+# -- ratings ----------------------------------------------------------------------------------
 
 
 def fitness(figures: DataFrame, complexity, metric: str = "sharpe_ratio", cost: float = 0.001) -> DataFrame:
@@ -215,20 +142,3 @@ def hall_of_fame(rated: DataFrame, expression: str, keep: int) -> DataFrame:
     """The best rows with different expressions. Keeping so many is the feature."""
     best = rated.groupBy(expression).agg(F.max("fitness").alias("fitness"))
     return best.orderBy(F.desc("fitness"), expression).limit(keep)
-
-
-def pareto_front(figures: DataFrame, keys: list[str], high: tuple[str, ...]) -> DataFrame:
-    """Rows that no other row of their keys reaches in all of the figures and beats in one.
-
-    Candidates are few (one row per strategy), so those of a key are compared in one array.
-    """
-    others = F.collect_list(F.struct(*high)).over(Window.partitionBy(*(keys or [F.lit(1)])))
-
-    def beats(o):
-        reach, beat = F.lit(True), F.lit(False)
-        for c in high:
-            reach &= o[c] >= F.col(c)
-            beat |= o[c] > F.col(c)
-        return reach & beat
-
-    return figures.withColumn("_others", others).where(~F.exists("_others", beats)).drop("_others")

@@ -20,7 +20,7 @@ from quantloom.operators.metrics import RISK_FREE, with_rates
 from quantloom.operators.registry import default_registry
 from quantloom.operators.rules import RuleChain
 from quantloom.plans.ir import StrategyIR
-from quantloom.plans.signals import bind, compile_signal
+from quantloom.plans.signals import Stages, bind, compile_signal
 
 TRADE_METHODS = ("shuffle_trades", "skip_trades", "randomize_trades_order", "position_size", "delete_trades")
 BAR_METHODS = ("param_perturb", "data_noise", "start_offset", "comprehensive")
@@ -188,7 +188,9 @@ def executed_anew(simulated: DataFrame, strategies: list[StrategyIR], config: Ba
                 made[key] = new.get(bound.get(node.id), bound.get(node.id))
             if made[key] is not None:
                 columns[node.id] = made[key]
-        signal = F.when(F.col("sim_id").isin(sims), compile_signal(ir, columns)).otherwise(signal)
+        staged = Stages(wide, f"_y{len(made)}_{sims[0]}_")
+        signal = F.when(F.col("sim_id").isin(sims), compile_signal(ir, columns, keep=staged.keep)).otherwise(signal)
+        wide = staged.bars
     figures = evaluate(wide.withColumn("signals", F.array(signal)).select(*base, "signals"), config, ("run_id", "sim_id", "symbol"))
     return figures.drop("symbol", "combo_idx")
 

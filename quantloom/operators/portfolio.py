@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quantloom.functions.math import hash_uniform
+
 
 def curve_returns(curves: DataFrame, key: str, value: str, order: str = "ts") -> DataFrame:
     w = Window.partitionBy(key).orderBy(order)
@@ -23,7 +25,7 @@ def inverse_volatility(returns: DataFrame, key: str) -> DataFrame:
     """Weights by the inverse of volatility."""
     vol = returns.groupBy(key).agg(F.stddev_samp("ret").alias("vol"))
     inverse = F.try_divide(F.lit(1.0), F.col("vol"))
-    return vol.withColumn("weight", inverse / F.sum(inverse).over(Window.partitionBy(F.lit(1))))
+    return vol.withColumn("weight", inverse / vol.agg(F.sum(inverse)).scalar())
 
 
 def optimal_weights(mean: np.ndarray, cov: np.ndarray, goal: str = "max_sharpe", risk_free: float = 0.0, steps: int = 2000, rate: float = 0.05) -> np.ndarray:
@@ -40,21 +42,80 @@ def optimal_weights(mean: np.ndarray, cov: np.ndarray, goal: str = "max_sharpe",
     return w
 
 
+def weights_for(returns: DataFrame, key: str, goal: str = "max_sharpe", order: str = "ts") -> DataFrame:
+    """key, weight: means and covariances come to the driver, one number for every two curves of the portfolio."""
+    pairs = correlation(returns, key, order).collect()
+    names = sorted({r[f"{key}_a"] for r in pairs})
+    at = {n: i for i, n in enumerate(names)}
+    cov = np.zeros((len(names),) * 2)
+    for r in pairs:
+        i, j = at[r[f"{key}_a"]], at[r[f"{key}_b"]]
+        cov[i, j] = cov[j, i] = r["covar"] or 0.0
+    means = {r[key]: r["m"] for r in returns.groupBy(key).agg(F.avg("ret").alias("m")).collect()}
+    found = optimal_weights(np.array([means[n] for n in names]), cov, goal)
+    return returns.sparkSession.createDataFrame([(n, float(w)) for n, w in zip(names, found)], f"{key} {returns.schema[key].dataType.simpleString()}, weight double")
+
+
+def calmar_weights(returns: DataFrame, key: str, trials: int = 200, seed: int = 42, order: str = "ts") -> DataFrame:
+    """trial, calmar, and per key the weight, of the mix with the highest total return over its deepest drawdown.
+
+    Trials are drawn by hashes, one group each; equal weights are trial 0. Mixes are rebalanced at every time.
+    """
+    drawn = returns.select(key).distinct().withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials))))
+    raw = F.when(F.col("trial") == 0, 1.0).otherwise(-F.ln(1e-12 + hash_uniform(seed, F.lit("weight"), F.col("trial"), F.col(key))))
+    weights = drawn.withColumn("_raw", raw).withColumn("weight", F.col("_raw") / F.sum("_raw").over(Window.partitionBy("trial"))).drop("_raw")
+    mixed = returns.join(weights, key).groupBy("trial", order).agg(F.sum(F.col("ret") * F.col("weight")).alias("ret"))
+    w = Window.partitionBy("trial").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    grown = mixed.withColumn("equity", F.exp(F.sum(F.ln(1 + F.col("ret"))).over(w)))
+    fallen = grown.withColumn("fall", 1 - F.col("equity") / F.greatest(F.max("equity").over(w), F.lit(1.0)))
+    rated = fallen.groupBy("trial").agg(F.try_divide(F.max_by("equity", order) - 1, F.max("fall")).alias("calmar"))
+    best = rated.orderBy(F.desc(F.round("calmar", 9)), "trial").limit(1)
+    return weights.join(best, "trial")
+
+
 def portfolio_curve(curves: DataFrame, key: str, weights: DataFrame, order: str = "ts") -> DataFrame:
-    """Growth of one unit dealt out by the weights and rebalanced at every time."""
-    mixed = curve_returns(curves, key, "equity", order).join(weights.select(key, "weight"), key).groupBy(order).agg(F.sum(F.col("ret") * F.col("weight")).alias("ret"))
-    grown = F.exp(F.sum(F.ln(1 + F.col("ret"))).over(Window.partitionBy(F.lit(1)).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
-    return mixed.withColumn("equity", grown)
-
-
-def corrected_p_values(tests: DataFrame, p: str = "p_value") -> DataFrame:
-    """Bonferroni, and Benjamini, Hochberg and Yekutieli under any dependence."""
-    whole = Window.partitionBy(F.lit(1))
-    ranked = tests.withColumns({"_m": F.count("*").over(whole), "_rank": F.row_number().over(whole.orderBy(p, *[c for c in tests.columns if c != p]))})
-    harmonic = F.aggregate(F.sequence(F.lit(1).cast("long"), F.col("_m")), F.lit(0.0), lambda acc, i: acc + 1.0 / i)
-    raw = ranked.withColumn("_raw", F.col(p) * F.col("_m") * harmonic / F.col("_rank"))
-    adjusted = F.min("_raw").over(whole.orderBy("_rank").rowsBetween(0, Window.unboundedFollowing))
-    return raw.withColumns({"bonferroni": F.least(F.lit(1.0), F.col(p) * F.col("_m")), "bhy": F.least(F.lit(1.0), adjusted)}).drop("_m", "_rank", "_raw")
+    """Growth of one unit dealt out by the weights and rebalanced at every time.
+
+    Months are added up side by side; only one number a month goes through a single task.
+    """
+    mixed = curve_returns(curves, key, "equity", order).join(weights.select(key, "weight"), key).groupBy(order).agg(F.sum(F.col("ret") * F.col("weight")).alias("ret")).withColumn("_month", F.date_trunc("month", order))
+    months = mixed.groupBy("_month").agg(F.sum(F.ln(1 + F.col("ret"))).alias("_grown"))
+    before = months.select("_month", F.coalesce(F.sum("_grown").over(Window.orderBy("_month").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("_before"))
+    run = Window.partitionBy("_month").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return mixed.join(before, "_month").withColumn("equity", F.exp(F.col("_before") + F.sum(F.ln(1 + F.col("ret"))).over(run))).drop("_month", "_before")
+
+
+def harmonic(n: Column) -> Column:
+    """1 + 1/2 + ... + 1/n: added up for small n, else by its expansion, whose error is under 1e-10."""
+    few = [0.0]
+    for i in range(1, 21):
+        few.append(few[-1] + 1 / i)
+    x = n.cast("double")
+    large = F.ln(x) + 0.5772156649015329 + 1 / (2 * x) - 1 / (12 * x * x) + 1 / (120 * x * x * x * x)
+    return F.when(n <= 20, F.element_at(F.array(*map(F.lit, few)), F.least(n, F.lit(20)).cast("int") + 1)).otherwise(large)
+
+
+def corrected_p_values(tests: DataFrame, p: str = "p_value", parts: int = 200) -> DataFrame:
+    """Bonferroni, and Benjamini, Hochberg and Yekutieli under any dependence.
+
+    Equal values are one, with their number; the distinct values are cut into ``parts`` ranges, in
+    which ranks and minima run side by side; only one row a range goes through a single task. A
+    null stays null and counts as no test.
+    """
+    counted = tests.where(F.col(p).isNotNull()).groupBy(p).agg(F.count("*").alias("_n"))
+    edges = counted.approxQuantile(p, [i / parts for i in range(1, parts)], 0.5 / parts)
+    ranged = counted.withColumn("_part", sum((F.col(p) > e).cast("int") for e in sorted(set(edges))) if edges else F.lit(0))
+    totals = ranged.groupBy("_part").agg(F.sum("_n").alias("_t"))
+    by = Window.orderBy("_part")
+    starts = totals.select("_part", F.coalesce(F.sum("_t").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    m = counted.agg(F.sum("_n")).scalar()
+    own = Window.partitionBy("_part").orderBy(p)
+    ranked = ranged.join(starts, "_part").withColumn("_rank", F.col("_start") + F.sum("_n").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    raw = ranked.withColumn("_m", m).withColumn("_raw", F.col(p) * F.col("_m") * harmonic(F.col("_m")) / F.col("_rank"))
+    lows = raw.groupBy("_part").agg(F.min("_raw").alias("_l")).select("_part", F.min("_l").over(by.rowsBetween(1, Window.unboundedFollowing)).alias("_later"))
+    least = F.least(F.min("_raw").over(own.rowsBetween(0, Window.unboundedFollowing)), F.col("_later"))
+    values = raw.join(lows, "_part").select(F.col(p).alias("_p"), F.least(F.lit(1.0), F.col(p) * F.col("_m")).alias("bonferroni"), F.least(F.lit(1.0), least).alias("bhy"))
+    return tests.join(values, tests[p] == values["_p"], "left").drop("_p")
 
 
 def parameter_summary(figures: DataFrame, keys: list[str], metric: str) -> DataFrame:

@@ -59,6 +59,9 @@ def put(name: str, steps: list[dict[str, str]], outputs: list[str], source: str
 
 ORACLES["bars_hourly"] = f"WITH {HOURLY} SELECT symbol, ts, {', '.join(map(r, ALL))} FROM bars"
 ORACLES["bars_daily"] = f"WITH {DAILY} SELECT symbol, ts, {', '.join(map(r, ALL))} FROM bars"
+for _m in (1, 5, 15, 30, 60):
+    ORACLES[f"bars_{_m}min"] = f"""WITH x AS (SELECT event_type AS symbol, time_bucket(INTERVAL '{_m} minutes', ts)::TIMESTAMP AS b, value + 100.0 AS p, ts FROM events)
+SELECT symbol, b AS ts, {r('arg_min(p, ts)', 'open')}, {r('max(p)', 'high')}, {r('min(p)', 'low')}, {r('arg_max(p, ts)', 'close')}, count(*)::DOUBLE AS volume, {r('sum(p)', 'amount')} FROM x GROUP BY symbol, b"""
 ORACLES["range_scan"] = f"WITH {DAILY} SELECT symbol, ts, {', '.join(map(r, ALL))} FROM bars WHERE symbol IN ('1-URGENT', '5-LOW') AND ts BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1996-12-31' ORDER BY symbol, ts"
 ORACLES["coverage"] = f"WITH {HOURLY} SELECT symbol, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n_bars FROM bars GROUP BY symbol"
 ORACLES["last_bars"] = f"WITH {DAILY} SELECT symbol, ts, {', '.join(map(r, ALL))} FROM bars QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) <= 10"
@@ -254,6 +257,8 @@ put("main_force_detail", [_ENERGY | {"force_direction": f"CASE WHEN {_PLACE} > 0
 put("formula_capital_pressure_score", [{"pc": f"{div('amount', lag('amount'))} - 1"}, {"value": f"{div(f'pc - {roll("avg", "pc", 20)}', roll('stddev_samp', 'pc', 20))} + {div('close - low', 'high - low + 0.000001::DOUBLE')}"}], ["value"])
 put("formula_trend_volume_confirm", [{"value": f"{div(f'{roll("avg", "close", 10)} - {roll("avg", "close", 30)}', 'close')} + {div('volume', roll('avg', 'volume', 20))}"}], ["value"])
 put("formula_range_squeeze", [{"hl": "high - low"}, {"value": f"{div(roll('stddev_samp', 'close', 20), roll('avg', 'close', 20))} + {div(roll('avg', 'hl', 10), 'close')}"}], ["value"])
+put("formula_params", [{"value": f"{div(roll('avg', 'close', 5), roll('avg', 'close', 12))} - 1.5 + {roll('max', 'close', 12)} * 0.001::DOUBLE"}], ["value"])
+put("ind_macdext", [{"macd": f"{roll('avg', 'close', 12)} - {roll('avg', 'close', 26)}"}, {"macdsignal": roll("avg", "macd", 9)}, {"macdhist": "macd - macdsignal"}], ["macd", "macdsignal", "macdhist"])
 put("formula_mixed", [{"value": f"{roll('max', 'close', 5)} - least(sqrt(abs(low)), ln(abs(volume + 1) + 1e-12), 3) + {div(f'power({lag("close", 2)}, 2)', '-open')}"}], ["value"])
 ORACLES["formula_ema"] = recursive(means("close", 10, 1), {"value": "e1 / sma - 1"}, [{"sma": roll("avg", "close", 10)}])
 ORACLES["protected_math"] = """
@@ -274,6 +279,19 @@ RULED = [{"lim": BOARD, "off": "day(ts) = 13", "factor": "CASE WHEN day(ts) > 15
 PLAIN_RULES = [{"lim": "0.1::DOUBLE", "off": "false", "factor": "1.0::DOUBLE", "before": RULED[0]["before"]}, RULED[1]]
 ORACLES["rule_flags"] = staged(RULED) + "SELECT symbol, ts, no_buy_reason IS NULL AS can_buy, no_sell_reason IS NULL AS can_sell, no_buy_reason, no_sell_reason FROM last"
 
+ORACLES["ir_signal_named_outputs"] = (
+    "SELECT symbol, ts, minus_di, plus_di, plus_dm, aroon_down AS aroon, aroonosc, linearreg, linearreg_angle, tsf, typprice, wclprice, upperband AS bbands FROM "
+    + " JOIN ".join(f"({ORACLES[f'ind_{x}']})" + (" USING (symbol, ts)" if i else "") for i, x in enumerate(("directional", "aroon", "linearreg", "prices", "bbands")))
+)
+_CHANGE = "CASE WHEN {} THEN 1 ELSE -1 END"
+ORACLES["ir_signal_arithmetic"] = staged([
+    {"ma": roll("avg", "close", 5), "slow": roll("avg", "close", 20), "mom": f"close - {lag('close', 10)}"},
+    {"ma2": lag("ma", 2), "ma3": lag("ma", 3), "mom1": lag("mom", 1), "under": f"coalesce(ma < slow AND {lag('ma')} - {lag('slow')} >= 0, false)"},
+    {"gap": "(ma - ma2) - (-(mom / 4))", "chosen": "CASE WHEN under THEN ma ELSE mom1 END"},
+    {"s0": _CHANGE.format("coalesce(ma + 0.5 * mom > ma3, false)"), "s1": _CHANGE.format(f"coalesce(gap > 0 AND {lag('gap')} <= 0, false)"), "s2": _CHANGE.format("coalesce(chosen <= 3, false) OR NOT coalesce(mom >= 0, false)"),
+     "s3": _CHANGE.format("coalesce(sqrt(abs(mom)) < ln(abs(power(abs(mom), 2)) + 1e-10), false)"), "s4": "1"},
+]) + "SELECT symbol, ts, s0, s1, s2, s3, s4 FROM last"
+
 # -- execution
 
 B_COLUMNS = "ts, open, close, signal, no_buy_reason IS NULL AS can_buy, no_sell_reason IS NULL AS can_sell, factor"
@@ -519,6 +537,25 @@ def runs(pairs: list[tuple[int, int]]) -> str:
 _GRID = runs(PAIRS) + ", b AS (SELECT combo_idx || '|' || symbol AS key, row_number() OVER (PARTITION BY combo_idx, symbol ORDER BY ts) AS rn, * EXCLUDE (symbol, combo_idx, fast, slow) FROM runs)" + execution() + ", curve AS (SELECT key, rn - 1 AS bar_seq, equity FROM st WHERE rn > 0)" + metric_tables("curve", "key") + ", named AS (SELECT DISTINCT combo_idx || '|' || symbol AS key, combo_idx, fast, slow, symbol FROM runs), ranked AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY round(sharpe_ratio, 10) DESC, combo_idx)::INT AS rank FROM mx JOIN named USING (key))"
 ORACLES["grid_search"] = _GRID + f" SELECT symbol, combo_idx, fast, slow, rank, {r('total_return_pct', digits=4)}, {r('sharpe_ratio', digits=4)}, {r('max_drawdown_pct', digits=4)} FROM ranked"
 ORACLES["grid_best"] = _GRID + f" SELECT symbol, fast, slow, {r('total_return_pct', digits=4)}, {r('sharpe_ratio', digits=4)} FROM ranked WHERE rank = 1"
+ORACLES["gp_nsga2_ranks"] = _GRID + ", fl AS (SELECT key, key AS symbol, trades AS trade_seq, side AS signal, fshares AS shares, price, commission, slip AS slippage FROM st WHERE side IS NOT NULL)" + fifo_tables("fl", "key") + ", won AS (SELECT key, coalesce(wr, 0.0) AS win_rate FROM mx LEFT JOIN (SELECT key, avg((pnl > 0)::INT) AS wr FROM tp GROUP BY key) USING (key))" + f""", g AS (SELECT symbol, combo_idx, round(sharpe_ratio - 0.001::DOUBLE * (fast + slow), 6) AS sharpe, round(-max_drawdown_pct / 100 - 0.001::DOUBLE * (fast + slow), 6) AS drawdown, round(win_rate - 0.001::DOUBLE * (fast + slow), 6) AS win FROM ranked JOIN won USING (key)),
+beats AS (SELECT y.symbol, y.combo_idx AS beaten, x.combo_idx AS by FROM g x JOIN g y ON x.symbol = y.symbol AND x.sharpe >= y.sharpe AND x.drawdown >= y.drawdown AND x.win >= y.win AND (x.sharpe > y.sharpe OR x.drawdown > y.drawdown OR x.win > y.win)),
+chain AS (SELECT symbol, combo_idx, 1 AS front FROM g UNION SELECT b.symbol, b.beaten, c.front + 1 FROM chain c JOIN beats b ON b.symbol = c.symbol AND b.by = c.combo_idx),
+f AS (SELECT g.*, front FROM g JOIN (SELECT symbol, combo_idx, max(front)::BIGINT AS front FROM chain GROUP BY ALL) USING (symbol, combo_idx)),
+parts AS (SELECT symbol, combo_idx, front, v, lead(v) OVER o - lag(v) OVER o AS gap, max(v) OVER p AS hi, min(v) OVER p AS lo FROM (UNPIVOT f ON sharpe, drawdown, win INTO NAME objective VALUE v) WINDOW p AS (PARTITION BY symbol, front, objective), o AS (PARTITION BY symbol, front, objective ORDER BY v, combo_idx)),
+crowd AS (SELECT symbol, combo_idx, CASE WHEN bool_or(v = hi OR v = lo) THEN NULL ELSE sum(gap / (hi - lo)) END AS crowding FROM parts GROUP BY ALL)
+SELECT symbol, combo_idx, {r('sharpe', digits=4)}, {r('drawdown', digits=4)}, {r('win', digits=4)}, front, {r('crowding', digits=4)} FROM f JOIN crowd USING (symbol, combo_idx)"""
+_UP, _DOWN, _MOM = "f10 > s30", "mom10 < {}", "mom10 < -0.4"
+_CLAUSES = [(_UP + x, _MOM) for x in (" OR rsi < 30", " OR cci < -100", " OR mom14 > 0")] + [(_UP, _MOM + x) for x in (" OR rsi > 70", " OR cci > 100", " OR mom14 < 0")] + [(f"({_UP}) AND {x}", _MOM) for x in ("rsi < 30", "cci < -100", "mom14 > 0")]
+_LEVELS = [(_UP, _DOWN.format(f"-0.4::DOUBLE * {x}::DOUBLE")) for x in (0.8, 1.2, 1.5)]
+_SHIFTED = [(f"f{n} > s30", _MOM) for n in (5, 8, 12, 15)] + [(f"f10 > s{n}", _MOM) for n in (25, 28, 32, 35)] + [(_UP, f"mom{n} < -0.4") for n in (5, 8, 12, 15)]
+_TRIALS = [(_UP, _MOM), *_CLAUSES, *_LEVELS, *_SHIFTED]
+_SIGNALS = ", ".join(f"CASE WHEN coalesce({a}, false) THEN 1 WHEN coalesce({b}, false) THEN -1 ELSE 0 END" for a, b in _TRIALS)
+ORACLES["improver_candidates"] = staged([
+    *GAIN_LOSS, MEANS | {f"{x}{n}": roll("avg", "close", n) for x, ns in (("f", (5, 8, 10, 12, 15)), ("s", (25, 28, 30, 32, 35))) for n in ns} | {f"mom{n}": f"close - {lag('close', n)}" for n in (5, 8, 10, 12, 14, 15)} | {"tp": TP},
+    {"rsi": RSI, "mean": roll("avg", "tp", N), "near": f"list(tp) OVER {w(N)}"}, {"mad": f"list_sum(list_transform(near, lambda x: abs(x - mean))) / {N}"}, {"cci": f"CASE WHEN mean IS NOT NULL THEN {div('tp - mean', '0.015 * mad')} END"}, *PLAIN_RULES,
+], HOURLY)[:-1] + f""", trials AS (SELECT * EXCLUDE (near), unnest([{_SIGNALS}]) AS signal, unnest(range({len(_TRIALS)}))::INT AS run_id FROM last),
+b AS (SELECT run_id || '|' || symbol AS key, row_number() OVER (PARTITION BY run_id, symbol ORDER BY ts) AS rn, {B_COLUMNS} FROM trials)""" + execution() + ", curve AS (SELECT key, rn - 1 AS bar_seq, equity FROM st WHERE rn > 0)" + metric_tables("curve", "key") + f"""
+SELECT split_part(key, '|', 1)::INT AS run_id, split_part(key, '|', 2) AS symbol, {', '.join(r(c, digits=4) for c in ('net_profit', 'total_return_pct', 'sharpe_ratio', 'max_drawdown_pct'))} FROM mx"""
 ORACLES["pareto_front"] = _GRID + f""", g AS (SELECT symbol, combo_idx, round(total_return_pct, 6) AS a, round(max_drawdown_pct, 6) AS d FROM ranked)
 SELECT symbol, combo_idx, {r('a', 'total_return_pct', 4)}, {r('d', 'max_drawdown_pct', 4)} FROM g WHERE NOT EXISTS (SELECT 1 FROM g o WHERE o.symbol = g.symbol AND o.a >= g.a AND o.d >= g.d AND (o.a > g.a OR o.d > g.d))"""
 _RATED = _GRID + ", rated AS (SELECT *, sharpe_ratio - 0.001::DOUBLE * (fast + slow) AS fitness, combo_idx % 2 AS generation FROM ranked)"
@@ -584,7 +621,12 @@ ORACLES["overfitting_report"] = RETS + PBO + MOMENTS + f", x AS (SELECT pbo, {LO
 CHANGES = f"WITH {DAILY}, x AS (SELECT symbol, ts, close / nullif(lag(close) OVER ({S}), 0) - 1 AS ret FROM bars), rets AS (SELECT * FROM x WHERE ret IS NOT NULL)"
 ORACLES["corr_matrix"] = CHANGES + f" SELECT a.symbol AS symbol_a, b.symbol AS symbol_b, {r('corr(a.ret, b.ret)', 'corr')}, {r('covar_samp(a.ret, b.ret)', 'covar')}, count(*) AS n FROM rets a JOIN rets b USING (ts) WHERE a.symbol <= b.symbol GROUP BY ALL"
 ORACLES["risk_parity"] = CHANGES + f", v AS (SELECT symbol, stddev_samp(ret) AS vol FROM rets GROUP BY symbol) SELECT symbol, {r('vol')}, {r('1 / vol / sum(1 / vol) OVER ()', 'weight')} FROM v"
-ORACLES["portfolio_curve"] = CHANGES + f", m AS (SELECT ts, sum(ret * 0.2::DOUBLE) AS ret FROM rets GROUP BY ts) SELECT ts, {r('ret', digits=4)}, {r('exp(sum(ln(1 + ret)) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING))', 'equity', 4)} FROM m"
+ORACLES["calmar_weights"] = CHANGES + f""", y AS (SELECT symbol, ts, ret / 50 AS ret FROM rets), d AS (SELECT symbol, i::INT AS trial FROM (SELECT DISTINCT symbol FROM y), range(41) g(i)),
+k AS (SELECT *, CASE WHEN trial = 0 THEN 1.0 ELSE -ln(1e-12 + {u("'weight'", "trial", "symbol")}) END AS raw FROM d), wt AS (SELECT symbol, trial, raw / sum(raw) OVER (PARTITION BY trial) AS weight FROM k),
+m AS (SELECT trial, ts, sum(ret * weight) AS ret FROM y JOIN wt USING (symbol) GROUP BY ALL), e AS (SELECT *, exp(sum(ln(1 + ret)) OVER o) AS equity FROM m WINDOW o AS (PARTITION BY trial ORDER BY ts ROWS UNBOUNDED PRECEDING)),
+f AS (SELECT *, 1 - equity / greatest(max(equity) OVER (PARTITION BY trial ORDER BY ts ROWS UNBOUNDED PRECEDING), 1.0) AS fall FROM e), c AS (SELECT trial, (arg_max(equity, ts) - 1) / nullif(max(fall), 0) AS calmar FROM f GROUP BY trial),
+best AS (SELECT * FROM c ORDER BY round(calmar, 9) DESC, trial LIMIT 1) SELECT trial, symbol, {r('weight')}, {r('calmar')} FROM wt JOIN best USING (trial)"""
+ORACLES["portfolio_curve"] = CHANGES + f", m AS (SELECT ts, sum(ret * 0.2::DOUBLE) AS ret FROM rets GROUP BY ts) SELECT ts, {r('ret', digits=4)}, {r('sum(ln(1 + ret)) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING)', 'log_equity', 4)} FROM m"
 ORACLES["corrected_p_values"] = """WITH t AS (SELECT s_suppkey AS id, (s_suppkey * 37 % 101) / 5000.0::DOUBLE AS p_value FROM supplier), k AS (SELECT *, count(*) OVER () AS m, row_number() OVER (ORDER BY p_value, id) AS rk FROM t),
 h AS (SELECT *, p_value * m * list_sum(list_transform(range(1, m + 1), lambda i: 1.0::DOUBLE / i)) / rk AS raw FROM k)
 SELECT id, round((p_value)::DECIMAL(38, 9), 6)::DOUBLE AS p_value, round((least(1.0, p_value * m))::DECIMAL(38, 9), 6)::DOUBLE AS bonferroni, round((least(1.0, min(raw) OVER (ORDER BY rk ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)))::DECIMAL(38, 9), 6)::DOUBLE AS bhy FROM h"""

@@ -152,7 +152,7 @@ class StrategyIR:
         if self.topological() is None:
             found.append("there is a cycle")
         for n in self.of_type("operator"):
-            if n.name.upper() in ("AND", "OR") and any(c.node_type == "value" for c in self.next_of(n.id)):
+            if n.name.upper() in ("AND", "OR") and any(c.node_type == "value" and "test" not in c.meta for c in self.next_of(n.id)):
                 found.append(f"{n.name} {n.id} has a number under it")
         for r in roots:
             found += [f"the root leads to {c.id}, a {c.node_type}" for c in self.next_of(r.id) if c.node_type not in ("condition", "action", "operator")]

@@ -8,11 +8,12 @@ this is all a strategy is until it is executed.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.functions.math import protected_div, protected_log, protected_power, protected_sqrt
+from quantloom.functions.math import nearly_equal, protected_div, protected_log, protected_power, protected_sqrt
 from quantloom.functions.windows import KEYS, lag
 from quantloom.operators.registry import IndicatorError, Registry, default_registry
 from quantloom.plans.ir import Node, StrategyError, StrategyIR
@@ -51,8 +52,28 @@ def bind(ir: StrategyIR, bars: DataFrame, registry: Registry | None = None) -> t
     return bars, columns
 
 
-def compile_signal(ir: StrategyIR, columns: dict[str, str], keys: tuple[str, ...] = KEYS) -> Column:
-    """1, -1 or 0 for each bar."""
+class Stages:
+    """Bars that take up columns on the way, for windows over values that need a window themselves."""
+
+    def __init__(self, bars: DataFrame, prefix: str = "_y"):
+        self.bars, self.prefix, self.names = bars, prefix, []
+
+    def keep(self, value: Column) -> Column:
+        self.names.append(f"{self.prefix}{len(self.names)}")
+        self.bars = self.bars.withColumn(self.names[-1], value)
+        return F.col(self.names[-1])
+
+
+def compile_signal(ir: StrategyIR, columns: dict[str, str], keys: tuple[str, ...] = KEYS, keep: Callable[[Column], Column] | None = None) -> Column:
+    """1, -1 or 0 for each bar. ``keep`` makes a column of a value; only LAG and crossings within each other need it."""
+
+    def base(node: Node) -> Column:
+        """A number that a window goes over."""
+        if not any(n.name.upper() in ("LAG", "CROSSOVER", "CROSSUNDER") for n in ir.subtree(node.id).nodes if n.node_type == "operator"):
+            return number(node)
+        if keep is None:
+            raise StrategyError(f"{node.id} looks back within what looks back")
+        return keep(number(node))
 
     def known(c: Column) -> Column:
         return F.coalesce(c, F.lit(False))
@@ -71,8 +92,10 @@ def compile_signal(ir: StrategyIR, columns: dict[str, str], keys: tuple[str, ...
                 a, b = number(under[0]), number(under[1])
                 plain = {"GT": a > b, "LT": a < b, "EQ": a == b, "GE": a >= b, "LE": a <= b, "NE": a != b}[kind]
                 return F.coalesce(plain, F.lit(kind == "NE"))  # a missing value differs from everything
+            if name == "NEAR" and len(under) >= 2:
+                return known(nearly_equal(number(under[0]), number(under[1])))
             if name in ("CROSSOVER", "CROSSUNDER") and len(under) >= 2:
-                a, b = number(under[0]), number(under[1])
+                a, b = base(under[0]), base(under[1])
                 before = lag(a - b, 1, keys)
                 return known((a > b) & (before <= 0) if name == "CROSSOVER" else (a < b) & (before >= 0))
             return F.lit(False)
@@ -85,7 +108,11 @@ def compile_signal(ir: StrategyIR, columns: dict[str, str], keys: tuple[str, ...
         if node.node_type == "indicator":
             return F.col(columns[node.id]) if node.id in columns else F.lit(0.0)
         if node.node_type == "operator":
-            x = [number(n) for n in under] if name in ("ADD", "SUB", "MUL", "DIV", "SQRT", "LOG", "POW", "NEG", "LAG") else []
+            if name == "IF" and len(under) == 3:
+                return F.when(boolean(under[0]), number(under[1])).otherwise(number(under[2]))
+            if name == "LAG" and under:
+                return lag(base(under[0]), int(node.params.get("period", 1)), keys)
+            x = [number(n) for n in under] if name in ("ADD", "SUB", "MUL", "DIV", "SQRT", "LOG", "POW", "NEG") else []
             match name, len(x):
                 case "ADD", 2:
                     return x[0] + x[1]
@@ -103,8 +130,6 @@ def compile_signal(ir: StrategyIR, columns: dict[str, str], keys: tuple[str, ...
                     return protected_log(x[0])
                 case "NEG", 1:
                     return -x[0]
-                case "LAG", n if n:
-                    return lag(x[0], int(node.params.get("period", 1)), keys)
             return boolean(node).cast("double")
         raise StrategyError(f"{node.node_type} {node.id} is no number")
 
@@ -130,4 +155,6 @@ def with_signal(ir: StrategyIR, bars: DataFrame, registry: Registry | None = Non
     if problems := ir.validate():
         raise StrategyError("; ".join(problems))
     bound, columns = bind(ir, bars, registry)
-    return bound.withColumn("signal", compile_signal(ir, columns)).select(*bars.columns, "signal")
+    staged = Stages(bound)
+    signal = compile_signal(ir, columns, keep=staged.keep)
+    return staged.bars.withColumn("signal", signal).select(*bars.columns, "signal")

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from quantloom.functions import math as fm
 from quantloom.functions import text
-from quantloom.operators import align, ashare, backtest, catalog, codegen, formula, fuzzy, generate, indicators, metrics, monte_carlo, overfitting, portfolio, prep, report, rules, search
+from quantloom.operators import align, ashare, backtest, catalog, codegen, formula, fuzzy, generate, genetic, indicators, metrics, monte_carlo, overfitting, portfolio, prep, report, rules, search
 from quantloom.oracles import ORACLES
 from quantloom.plans.ir import Edge, Node, StrategyIR, cross_strategy, threshold_strategy
-from quantloom.plans.signals import with_signal
+from quantloom.plans.signals import bind, with_signal
 from quantloom.sources import bars as bar_sources
 from quantloom.sources import connector, reference, store
 
@@ -57,6 +57,17 @@ def bars_daily(spark, d):
     return rounded(daily(spark, d))
 
 
+def minutely(minutes: int) -> None:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return rounded(bar_sources.bars_minutely(spark, d, minutes))
+
+    QUERIES[f"bars_{minutes}min"] = run
+
+
+for _minutes in (1, 5, 15, 30, 60):
+    minutely(_minutes)
+
+
 @query
 def range_scan(spark, d):
     return rounded(store.range_scan(daily(spark, d), ["1-URGENT", "5-LOW"], "1996-01-01", "1996-12-31"))
@@ -284,7 +295,7 @@ for _name, _f, _outputs in (
     ("ind_pivot", indicators.pivot, "pivot resistance1 support1 resistance2 support2"), ("ind_fibo", indicators.fibo, "fib_0_0 fib_0_236 fib_0_382 fib_0_5 fib_0_618 fib_0_786 fib_1_0"),
     ("ind_stddev", indicators.stddev, "stddev"), ("ind_var", indicators.var, "var"), ("ind_bop", indicators.bop, "bop"), ("ind_ad", indicators.ad, "ad"), ("ind_ultosc", indicators.ultosc, "ultosc"),
     ("ind_aroon", indicators.aroon, "aroon_up aroon_down aroonosc"), ("ind_linearreg", indicators.linearreg, "linearreg linearreg_slope linearreg_intercept linearreg_angle tsf"),
-    ("ind_correl", indicators.correl, "correl"), ("ind_prices", indicators.prices, "avgprice medprice typprice wclprice"),
+    ("ind_correl", indicators.correl, "correl"), ("ind_macdext", indicators.macdext, "macd macdsignal macdhist"), ("ind_prices", indicators.prices, "avgprice medprice typprice wclprice"),
     ("ind_ema", indicators.ema, "ema"), ("ind_macd", indicators.macd, "macd macdsignal macdhist"), ("ind_dema", indicators.dema, "dema"), ("ind_tema", indicators.tema, "tema"), ("ind_t3", indicators.t3, "t3"),
     ("ind_trix", indicators.trix, "trix"), ("ind_ppo", indicators.ppo, "ppo"), ("ind_apo", indicators.apo, "apo"), ("ind_keltner", indicators.keltner, "keltner_upper keltner_middle keltner_lower"),
     ("ind_adosc", indicators.adosc, "adosc"), ("ind_kama", indicators.kama, "kama"), ("ind_hilbert", indicators.hilbert, " ".join(indicators.HILBERT)),
@@ -311,6 +322,7 @@ def chip_profile(spark, d):
 for _listing in formula.BUILT_IN:
     indicator(f"formula_{codegen.snake_case(_listing.name)}", lambda b, text=_listing.formula: formula.Formula(text).apply(b, "value"), "value")
 indicator("formula_mixed", lambda b: formula.Formula("max(close, 5) - min(sqrt(abs(low)), log(volume + 1), 3) + shift(close, 2) ** 2 / -open").apply(b, "value"), "value")
+indicator("formula_params", lambda b: formula.Formula("sma(close, fast) / sma(close, slow) - level + max(close, slow) * weight", {"fast": 5, "slow": 12, "level": 1.5, "weight": 0.001}).apply(b, "value"), "value")
 indicator("formula_ema", lambda b: formula.Formula("ema(close, 10) / sma(close, 10) - 1").apply(b, "value"), "value")
 
 
@@ -341,6 +353,34 @@ signal_query(
 )
 
 
+NAMED = ("MINUS_DI", "PLUS_DI", "PLUS_DM", "AROON", "AROONOSC", "LINEARREG", "LINEARREG_ANGLE", "TSF", "TYPPRICE", "WCLPRICE", "BBANDS")
+
+
+@query
+def ir_signal_named_outputs(spark, d):
+    """Indicator nodes that are some column of a function, as strategies see them."""
+    bound, columns = bind(StrategyIR("named", [Node(n, "indicator", n) for n in NAMED]), daily(spark, d))
+    return rounded(bound.select("symbol", "ts", *(F.col(columns[n]).alias(n.lower()) for n in NAMED)))
+
+
+@query
+def ir_signal_arithmetic(spark, d):
+    """Arithmetic, IF, LAG and crossings within each other."""
+    t, ind, const = genetic.Tree, lambda n, p=0: genetic.Tree("IND", (), n, p), lambda x: genetic.Tree("CONST", (), "", x)
+    ma, mom, lagged = ind("SMA", 5), ind("MOM", 10), lambda x, n: t("LAG", (x,), "", n)
+    trees = [
+        t("GT", (t("ADD", (ma, t("MUL", (const(0.5), mom)))), lagged(ma, 3))),
+        t("CROSSOVER", (t("SUB", (ma, lagged(ma, 2))), t("NEG", (t("DIV", (mom, const(4.0))),)))),
+        t("OR", (t("LE", (t("IF", (t("CROSSUNDER", (ma, ind("SMA", 20))), ma, lagged(mom, 1))), const(3.0))), t("AND", (t("NOT", (t("GE", (mom, const(0.0))),)), t("TRUE"))))),
+        t("LT", (t("SQRT", (mom,)), t("LOG", (t("POW", (mom, const(2.0))),)))),
+        t("EQ", (t("IF", (t("GT", (mom, const(0.0))), const(1.0), const(1.0 + 5e-7))), const(1.0))),
+    ]
+    b = daily(spark, d)
+    for i, tree in enumerate(trees):
+        b = with_signal(genetic.to_ir(tree), b).withColumnRenamed("signal", f"s{i}")
+    return b.select("symbol", "ts", *(f"s{i}" for i in range(len(trees))))
+
+
 @query
 def rule_flags(spark, d):
     b = bar_sources.with_rules(daily(spark, d))
@@ -585,11 +625,26 @@ def risk_parity(spark, d):
     return rounded(portfolio.inverse_volatility(portfolio.curve_returns(daily(spark, d), "symbol", "close"), "symbol"))
 
 
+@query
+def calmar_weights(spark, d):
+    r = portfolio.curve_returns(daily(spark, d), "symbol", "close")
+    return rounded(portfolio.calmar_weights(r.withColumn("ret", F.col("ret") / 50), "symbol", 40))
+
+
+@query
+def portfolio_weights(spark, d):
+    """Highest Sharpe ratio, least volatility and highest return, from covariances that Spark computes."""
+    r = portfolio.curve_returns(daily(spark, d), "symbol", "close")
+    out = [portfolio.weights_for(r, "symbol", goal).withColumn("goal", F.lit(goal)) for goal in ("max_sharpe", "min_vol", "max_return")]
+    return rounded(out[0].unionByName(out[1]).unionByName(out[2]))
+
+
 @query
 def portfolio_curve(spark, d):
     c = daily(spark, d).select("symbol", "ts", F.col("close").alias("equity"))
     weights = c.select("symbol").distinct().withColumn("weight", F.lit(0.2))
-    return rounded(portfolio.portfolio_curve(c, "symbol", weights), 4)
+    grown = portfolio.portfolio_curve(c, "symbol", weights)
+    return rounded(grown.select("ts", "ret", F.ln("equity").alias("log_equity")), 4)  # growth is too large for decimals
 
 
 @query
@@ -653,11 +708,19 @@ def flat_run(spark, d):
 # -- generation; rows only
 
 
+def two_sided(fast: int, slow: int) -> StrategyIR:
+    """Buy above, sell below, with a level called a stop in between."""
+    nodes = [Node("root", "root"), Node("up", "condition", "IF"), Node("gt", "operator", "GT"), Node("f", "indicator", "SMA", {"period": fast}), Node("s", "indicator", "SMA", {"period": slow}), Node("buy", "action", "BUY"), Node("down", "condition", "IF"), Node("lt", "operator", "LT"), Node("mom", "indicator", "MOM", {"period": 10}), Node("stop_level", "value", "", {"value": -0.4}), Node("sell", "action", "SELL"), Node("hold", "action", "HOLD")]
+    edges = [Edge("root", "up"), Edge("up", "gt"), Edge("gt", "f"), Edge("gt", "s"), Edge("up", "buy", "then"), Edge("up", "down", "else"), Edge("down", "lt"), Edge("lt", "mom"), Edge("lt", "stop_level"), Edge("down", "sell", "then"), Edge("down", "hold", "else")]
+    return StrategyIR("two-sided", nodes, edges)
+
+
 @query
 def improver_candidates(spark, d):
-    ir = cross_strategy(10, 30)
-    trials = [ir, *generate.period_candidates(ir), *generate.entry_candidates(ir), *generate.filter_candidates(ir)]
-    return rounded(generate.evaluate_all(trials, hourly(spark, d)), 4)
+    """Every kind of candidate for a strategy with entry, exit and stop: entries, exits, filters, stops, periods."""
+    ir = two_sided(10, 30)
+    trials = [ir, *generate.entry_candidates(ir), *generate.exit_candidates(ir), *generate.filter_candidates(ir), *generate.stop_candidates(ir), *generate.period_candidates(ir)]
+    return rounded(generate.evaluate_all(trials, hourly(spark, d)).select("run_id", "symbol", "net_profit", "total_return_pct", "sharpe_ratio", "max_drawdown_pct"), 4)
 
 
 @query
@@ -665,13 +728,21 @@ def gp_population_eval(spark, d):
     import random
 
     rng = random.Random(5)
-    return rounded(generate.evaluate_all([generate.to_ir(generate.random_gene(rng)) for _ in range(8)], hourly(spark, d)), 4)
+    return rounded(generate.evaluate_all([genetic.to_ir(genetic.random_tree(rng, depth=2)) for _ in range(8)], hourly(spark, d)), 4)
 
 
 @query
 def gp_evolution(spark, d):
-    best = generate.evolve(generate.evaluator(hourly(spark, d)), population=6, generations=2)
-    return spark.createDataFrame([(i, repr(g), float(v)) for i, (g, v) in enumerate(best)], "place int, gene string, fitness double")
+    best = genetic.evolve(genetic.rater(hourly(spark, d)), population=6, generations=2, indicators=("SMA", "RSI", "MOM", "ATR", "STOCH"), several=True)
+    return spark.createDataFrame([(i, str(t), *map(float, f)) for i, (t, f) in enumerate(best)], "place int, tree string, sharpe double, drawdown double, win double")
+
+
+@query
+def gp_nsga2_ranks(spark, d):
+    """Fronts and crowding of the grid's pairs by three objectives."""
+    figures = search.grid_search(hourly(spark, d), PAIRS)
+    rated = genetic.objectives(figures, F.col("fast") + F.col("slow")).select("symbol", "combo_idx", *(F.round(c, 6).alias(c) for c in genetic.OBJECTIVES))
+    return rounded(genetic.nsga2_ranks(rated, ["symbol"], genetic.OBJECTIVES), 4)
 
 
 @query
@@ -685,7 +756,7 @@ def optimizer_batch(spark, d):
 @query
 def pareto_front(spark, d):
     figures = search.grid_search(hourly(spark, d), PAIRS)
-    return rounded(generate.pareto_front(figures.select("symbol", "combo_idx", *(F.round(c, 6).alias(c) for c in ("total_return_pct", "max_drawdown_pct"))), ["symbol"], ("total_return_pct", "max_drawdown_pct")), 4)
+    return rounded(genetic.pareto_front(figures.select("symbol", "combo_idx", *(F.round(c, 6).alias(c) for c in ("total_return_pct", "max_drawdown_pct"))), ["symbol"], ("total_return_pct", "max_drawdown_pct")), 4)
 
 
 def rated(spark, d):

@@ -31,6 +31,23 @@ def bars_hourly(spark: SparkSession, folder: str) -> DataFrame:
     return to_bars(e, F.col("event_type"), F.date_trunc("hour", "ts").cast("timestamp_ntz"), F.col("value") + 100.0, F.col("ts"), F.col("user_id"))
 
 
+def bars_minutely(spark: SparkSession, folder: str, minutes: int = 1) -> DataFrame:
+    """Bars of 1, 5, 15, 30 or 60 minutes; coarser ones are made from those of one minute."""
+    e = read(spark, folder, "events")
+    one = to_bars(e, F.col("event_type"), F.date_trunc("minute", "ts").cast("timestamp_ntz"), F.col("value") + 100.0, F.col("ts"), F.col("user_id")).drop("turnover_rate")
+    return one if minutes == 1 else resample(one, minutes)
+
+
+def resample(bars: DataFrame, minutes: int) -> DataFrame:
+    """Bars of a coarser timeframe: first open, last close, highest, lowest, and sums of what was traded. One shuffle, pre-aggregated."""
+    if minutes < 1 or 1440 % minutes:
+        raise ValueError(f"{minutes} minutes don't divide a day")
+    start = F.window(F.col("ts").cast("timestamp"), f"{minutes} minutes")["start"].cast("timestamp_ntz")
+    return bars.groupBy("symbol", start.alias("begin")).agg(
+        F.min_by("open", "ts").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "ts").alias("close"), *(F.sum(c).alias(c) for c in ("volume", "amount") if c in bars.columns)
+    ).withColumnRenamed("begin", "ts")
+
+
 def bars_daily(spark: SparkSession, folder: str) -> DataFrame:
     o = read(spark, folder, "orders")
     return to_bars(o, F.col("o_orderpriority"), F.date_trunc("day", "o_orderdate").cast("timestamp_ntz"), F.col("o_totalprice") / 1000.0, F.col("o_orderkey"), F.col("o_custkey"))

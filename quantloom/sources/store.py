@@ -6,6 +6,7 @@ the files it needs; symbol and time filters are pushed into them.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,8 +19,11 @@ class BarStore:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
-    def insert(self, bars: DataFrame, timeframe: str, symbol: str | None = None) -> None:
-        """Append bars; a time column of another name is renamed, a missing symbol is filled in."""
+    def insert(self, bars: DataFrame, timeframe: str, symbol: str | None = None, files: int = 8) -> None:
+        """Append bars; a time column of another name is renamed, a missing symbol is filled in.
+
+        A month is written by ``files`` tasks at most, each with symbols of its own.
+        """
         for name in ("ts", "adjustment_factor"):
             for other in ALIASES[name]:
                 if other in bars.columns and name not in bars.columns:
@@ -27,7 +31,8 @@ class BarStore:
         if "symbol" not in bars.columns:
             bars = bars.withColumn("symbol", F.lit(symbol))
         dated = bars.withColumns({"timeframe": F.lit(timeframe), "month": F.date_format("ts", "yyyy-MM")})
-        dated.repartition("month").sortWithinPartitions("symbol", "ts").write.mode("append").partitionBy("timeframe", "month").parquet(self.path)
+        dealt = dated.repartition("month", F.pmod(F.xxhash64("symbol"), F.lit(files)))
+        dealt.sortWithinPartitions("month", "symbol", "ts").write.mode("append").partitionBy("timeframe", "month").parquet(self.path)
 
     def _rows(self) -> DataFrame:
         return self.spark.read.parquet(self.path)
@@ -45,7 +50,12 @@ class BarStore:
         return self._rows().where((F.col("symbol") == symbol) & (F.col("timeframe") == timeframe)).orderBy(F.desc("ts")).limit(n)
 
     def delete(self, symbol: str, timeframe: str, start: str | None = None, end: str | None = None) -> None:
-        """Remove a symbol's bars in a range; only the months that hold some of them are rewritten."""
+        """Remove a symbol's bars in a range; only the months that hold some of them are rewritten.
+
+        What stays is written to a new folder of its own first. Then each month's folder is moved
+        aside and the new one put in its place; the old ones are deleted last. A run that is lost
+        on the way leaves every bar in one folder or the other.
+        """
         gone = (F.col("symbol") == symbol) & (F.col("timeframe") == timeframe)
         if start:
             gone &= F.col("ts") >= F.lit(start).cast("timestamp_ntz")
@@ -56,15 +66,17 @@ class BarStore:
         if not touched:
             return
         months = rows.where((F.col("timeframe") == timeframe) & F.col("month").isin(touched))
-        kept, spare = months.where(~gone), f"{self.path}_rewrite"
-        kept.write.mode("overwrite").partitionBy("timeframe", "month").parquet(spare)  # a file can't be read while it is replaced
-        written = self.spark.read.schema(rows.schema).parquet(spare)
-        left = {r["month"] for r in written.select("month").distinct().collect()}
-        written.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("timeframe", "month").parquet(self.path)
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        for month in [*set(touched) - left]:
-            place = jvm.org.apache.hadoop.fs.Path(f"{self.path}/timeframe={timeframe}/month={month}")
-            place.getFileSystem(conf).delete(place, True)
+        spare = f"{self.path}/_rewrite_{uuid.uuid4().hex}"  # readers skip names that begin with _
+        months.where(~F.coalesce(gone, F.lit(False))).write.partitionBy("timeframe", "month").parquet(f"{spare}/new")
+        place = self.spark._jvm.org.apache.hadoop.fs.Path
+        files = place(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for month in touched:
+            folder = f"timeframe={timeframe}/month={month}"
+            files.mkdirs(place(f"{spare}/old/timeframe={timeframe}"))
+            files.rename(place(f"{self.path}/{folder}"), place(f"{spare}/old/{folder}"))
+            if files.exists(place(f"{spare}/new/{folder}")):
+                files.rename(place(f"{spare}/new/{folder}"), place(f"{self.path}/{folder}"))
+        files.delete(place(spare), True)
 
 
 def range_scan(bars: DataFrame, symbols: list[str], start: str, end: str) -> DataFrame:

@@ -1,13 +1,14 @@
 """Hand-computed cases and invariants."""
 
 import datetime as dt
+import random
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from quantloom.operators import backtest, codegen, formula, fuzzy, generate, indicators, metrics, monte_carlo, overfitting, portfolio, prep, registry, report, rules, search
+from quantloom.operators import backtest, codegen, formula, fuzzy, generate, genetic, indicators, metrics, monte_carlo, overfitting, portfolio, prep, registry, report, rules, search
 from quantloom.plans.ir import Edge, Node, StrategyError, StrategyIR, cross_strategy, threshold_strategy
 from quantloom.plans.signals import bind, with_signal
 from quantloom.schema import BARS, normalize_bars
@@ -356,16 +357,92 @@ def test_generation(spark):
     assert len(log) == 2 and log[-1]["after"] >= log[0]["before"] and better.validate() == []
     for make in generate.CANDIDATES.values():
         assert all(c.validate() == [] for c in make(cross_strategy(5, 20)))
-    import random
-
-    rng = random.Random(3)
-    for _ in range(20):
-        gene = generate.mutate(generate.mate(generate.random_gene(rng), generate.random_gene(rng), rng), rng)
-        assert generate.from_ir(generate.to_ir(gene)) == gene and generate.to_ir(gene).validate() == []
     twice = generate.evaluate_all([cross_strategy(5, 20), cross_strategy(5, 20)], b)
     assert twice.select("net_profit").distinct().count() == 1 and twice.count() == 2
 
 
+def test_trees_cross_and_change():
+    rng = random.Random(3)
+    for _ in range(60):
+        one, two = genetic.mate(genetic.random_tree(rng), genetic.random_tree(rng), rng)
+        for tree in (one, genetic.mutate(two, rng)):
+            assert genetic.from_ir(genetic.to_ir(tree)) == tree and genetic.to_ir(tree).validate() == [] and tree.height() <= genetic.HIGHEST
+            for _, x in tree.places():
+                kinds = (genetic.TESTS | genetic.NUMBERS).get(x.op, "")
+                assert "".join(k.kind for k in x.kids) == kinds
+    ops = {x.op for _ in range(300) for _, x in genetic.random_tree(rng, depth=4).places()}
+    assert ops == set(genetic.TESTS) | set(genetic.NUMBERS) | {"IND", "CONST"}
+    assert {x.name for _ in range(400) for _, x in genetic.random_tree(rng).places()} - {""} == set(genetic.INDICATORS)
+
+
+def test_every_terminal_can_be_evaluated(spark):
+    b = random_walk_bars(spark, 1, 60)
+    for name in genetic.INDICATORS:
+        tree = genetic.Tree("GT", (genetic.Tree("IND", (), name, 5 if genetic.takes_period(name) else 0), genetic.Tree("CONST")))
+        assert with_signal(genetic.to_ir(tree), b).columns[-1] == "signal"
+
+
+def test_evolution(spark):
+    met = []
+
+    def rate(strategies):
+        met.extend(strategies)
+        return [{"sharpe_ratio": float(len(ir.nodes) % 7), "max_drawdown_pct": -float(len(ir.nodes) % 5), "win_rate": 0.5} for ir in strategies]
+
+    for several in (False, True):
+        met.clear()
+        best = genetic.evolve(rate, population=20, generations=4, several=several)
+        assert len(best) == 5 and len(set(met)) == len(met) and best == sorted(best, key=lambda x: [-v for v in x[1]])
+        assert best[0][1][0] <= max(len(ir.nodes) % 7 for ir in met)
+    found = genetic.evolve(genetic.rater(bars_of(spark, 100 + 10 * np.sin(np.arange(120) / 6))), population=4, generations=1, indicators=("SMA", "MOM"))
+    assert found == genetic.evolve(genetic.rater(bars_of(spark, 100 + 10 * np.sin(np.arange(120) / 6))), population=4, generations=1, indicators=("SMA", "MOM"))
+
+
+def test_fronts_by_hand(spark):
+    points = np.array([(1, 5), (2, 4), (3, 3), (5, 1), (2, 2), (1, 1), (3, 3)], float)
+    front, crowd = genetic.fronts(points)
+    assert front.tolist() == [1, 1, 1, 1, 2, 3, 1]
+    assert np.isinf(crowd[[0, 3, 4, 5]]).all() and crowd[1] == pytest.approx(2 / 4 + 2 / 4)
+    rng = np.random.default_rng(4)
+    rows = [(int(k), float(a), float(b)) for k, a, b in zip(rng.integers(0, 3, 3000), rng.integers(0, 60, 3000), rng.integers(0, 60, 3000))]
+    frame = spark.createDataFrame(rows, "k int, a double, b double")
+    top = {k: {(a, b) for q, a, b in rows if q == k and not any(p == k and x >= a and y >= b and (x > a or y > b) for p, x, y in rows)} for k in range(3)}
+    found = genetic.pareto_front(frame, ["k"], ("a", "b")).collect()
+    assert {k: {(r.a, r.b) for r in found if r.k == k} for k in range(3)} == top
+    assert len(found) == sum((a, b) in top[k] for k, a, b in rows)
+    whole = genetic.pareto_front(frame.drop("k"), [], ("a", "b")).collect()
+    assert {(r.a, r.b) for r in whole} == {(a, b) for _, a, b in rows if not any(x >= a and y >= b and (x > a or y > b) for _, x, y in rows)}
+
+
+def test_weights_and_p_values(spark):
+    rng = np.random.default_rng(5)
+    returns = spark.createDataFrame([(k, t, float(0.001 * (i + 1) + 0.01 * (3 - i) * x)) for i, k in enumerate("abc") for t, x in enumerate(rng.normal(size=80))], "k string, ts int, ret double")
+    least = {r.k: r.weight for r in portfolio.weights_for(returns, "k", "min_vol").collect()}
+    assert sum(least.values()) == pytest.approx(1) and 0.6 < least["c"] < 0.8
+    best = portfolio.calmar_weights(returns, "k", 30).collect()
+    assert len(best) == 3 and sum(r.weight for r in best) == pytest.approx(1) and len({r.calmar for r in best}) == 1
+    assert [spark.range(1).select(portfolio.harmonic(F.lit(n)).alias("h")).first().h for n in (1, 3, 20, 21, 1000)] == pytest.approx([sum(1 / i for i in range(1, n + 1)) for n in (1, 3, 20, 21, 1000)], abs=1e-10)
+    p = [float(x) for x in np.round(rng.uniform(0, 0.2, 300), 2)] + [None]
+    rows = portfolio.corrected_p_values(spark.createDataFrame([(i, x) for i, x in enumerate(p)], "id int, p_value double"), parts=7).collect()
+    m, ranked = 300, sorted(x for x in p if x is not None)
+    c = sum(1 / i for i in range(1, m + 1))
+    raw = [x * m * c / (i + 1) for i, x in enumerate(ranked)]
+    want = {x: min(1.0, min(raw[i] for i in range(m) if ranked[i] >= x)) for x in set(ranked)}
+    assert len(rows) == 301 and all(r.bhy == pytest.approx(want[r.p_value]) if r.p_value is not None else r.bhy is None for r in rows)
+
+
+def test_formula_parameters(spark):
+    b = bars_of(spark, range(1, 41))
+    f = formula.Formula("sma(close, n) * k + max(close, n)", {"n": 3, "k": 2.0})
+    assert f.apply(b, "v").orderBy(F.desc("ts")).first().v == 39 * 2 + 40
+    market = formula.Marketplace()
+    market.create(formula.Listing("Mine", "Mine", "shift(close, n)", params=(("n", 1),)))
+    assert [market.install("Mine", **more).apply(b, "v").orderBy(F.desc("ts")).first().v for more in ({}, {"n": 4})] == [39, 36]
+    for text, params in (("close + other", {"n": 1}), ("sma(close, n)", {"n": 0}), ("close * n", {"n": "x"})):
+        with pytest.raises(registry.IndicatorError):
+            formula.Formula(text, params).apply(b, "v")
+
+
 # -- fuzzy rules, reports, portfolios, code
 
 
