@@ -58,17 +58,17 @@ VARIABLES: dict[str, tuple[Membership, ...]] = {
 }
 TEMPLATES: dict[str, tuple[tuple[str, str, tuple[tuple[str, str, float], ...]], ...]] = {
     "momentum": (
-        ("strong trend with volume", "buy", (("trend_strength", "strong", 0.45), ("volume_pressure", "high", 0.30), ("risk_heat", "calm", 0.25))),
-        ("trend fades", "sell", (("trend_strength", "weak", 0.55), ("risk_heat", "hot", 0.45))),
+        ("strong, high, calm", "buy", (("trend_strength", "strong", 0.45), ("volume_pressure", "high", 0.30), ("risk_heat", "calm", 0.25))),
+        ("weak, hot", "sell", (("trend_strength", "weak", 0.55), ("risk_heat", "hot", 0.45))),
     ),
     "reversal": (
-        ("oversold rebound", "buy", (("reversal_pressure", "oversold", 0.45), ("volume_pressure", "normal", 0.25), ("risk_heat", "calm", 0.30))),
-        ("rebound overheated", "sell", (("reversal_pressure", "overbought", 0.60), ("risk_heat", "hot", 0.40))),
+        ("oversold, normal, calm", "buy", (("reversal_pressure", "oversold", 0.45), ("volume_pressure", "normal", 0.25), ("risk_heat", "calm", 0.30))),
+        ("overbought, hot", "sell", (("reversal_pressure", "overbought", 0.60), ("risk_heat", "hot", 0.40))),
     ),
     "balanced": (
-        ("confirmed trend", "buy", (("trend_strength", "strong", 0.40), ("volume_pressure", "high", 0.25), ("risk_heat", "calm", 0.20), ("reversal_pressure", "neutral", 0.15))),
-        ("oversold at low risk", "buy", (("reversal_pressure", "oversold", 0.45), ("risk_heat", "calm", 0.35), ("volume_pressure", "normal", 0.20))),
-        ("overheated", "sell", (("reversal_pressure", "overbought", 0.45), ("risk_heat", "hot", 0.35), ("trend_strength", "weak", 0.20))),
+        ("strong, high, calm, neutral", "buy", (("trend_strength", "strong", 0.40), ("volume_pressure", "high", 0.25), ("risk_heat", "calm", 0.20), ("reversal_pressure", "neutral", 0.15))),
+        ("oversold, calm, normal", "buy", (("reversal_pressure", "oversold", 0.45), ("risk_heat", "calm", 0.35), ("volume_pressure", "normal", 0.20))),
+        ("overbought, hot, weak", "sell", (("reversal_pressure", "overbought", 0.45), ("risk_heat", "hot", 0.35), ("trend_strength", "weak", 0.20))),
     ),
 }
 

@@ -658,7 +658,7 @@ WITH f AS (SELECT c_custkey AS run_id, (-(c_custkey % 31))::DOUBLE AS mdd, (c_cu
 i AS (SELECT *, abs(mdd) AS dd, abs(mdd) >= 20 AS i1, abs(mdd) >= 12 AND abs(mdd) < 20 AS i2, sharpe < 0.8 AS i3, sharpe >= 1.5 AS i4, pf <> 0 AND pf < 1.2 AS i5, wr < 0.42 AND n >= 20 AS i6, n < 20 AS i7, flat >= 30 AS i8 FROM f),
 k AS (SELECT *, i1::INT + i3::INT + i7::INT AS hi, i2::INT + i5::INT + i6::INT + i8::INT AS me, i1::INT + i2::INT + i3::INT + i4::INT + i5::INT + i6::INT + i7::INT + i8::INT AS cnt FROM i),
 s AS (SELECT *, greatest(0.0, least(100.0, 50 + greatest(-25.0, least(25.0, sharpe * 12)) + greatest(-15.0, least(15.0, (pf - 1) * 20)) + least(10.0, calmar * 5) - 12 * hi - 6 * me)) AS q, greatest(0.0, least(100.0, least(70.0, dd * 2.4) + greatest(0.0, 15 - sharpe * 6) + CASE WHEN n < 20 THEN 10.0 ELSE 0.0 END + 8 * hi + 4 * me)) AS rk FROM k)
-SELECT run_id, CASE WHEN sharpe >= 1.5 AND dd < 12 AND tot > 0 THEN 'candidate' WHEN sharpe >= 0.8 AND dd < 20 THEN 'needs robustness tests' WHEN tot > 0 AND dd >= 20 THEN 'gains with deep drawdowns' ELSE 'rebuild or shrink' END AS regime,
+SELECT run_id, CASE WHEN sharpe >= 1.5 AND dd < 12 AND tot > 0 THEN 'steady' WHEN sharpe >= 0.8 AND dd < 20 THEN 'promising' WHEN tot > 0 AND dd >= 20 THEN 'profitable but rough' ELSE 'unconvincing' END AS regime,
   round((q)::DECIMAL(38, 9), 6)::DOUBLE AS quality_score, round((rk)::DECIMAL(38, 9), 6)::DOUBLE AS risk_score, round((greatest(0.0, least(100.0, 100 - q + rk * 0.25)))::DECIMAL(38, 9), 6)::DOUBLE AS opportunity_score, greatest(cnt, 1)::INT AS n_insights, least(6, greatest(cnt, 1) + (dd >= 12)::INT + (sharpe < 1)::INT + 1)::INT AS n_actions,
-  CASE WHEN i1 THEN 'filter by volatility, cap positions, or optimise stops' WHEN i2 THEN 'check the drawdown''s tail by Monte Carlo' WHEN i3 THEN 'review entry filters and weak trading hours' WHEN i4 THEN 'go on to walk-forward and overfitting tests' WHEN i5 THEN 'group losing trades and treat the worst group first' WHEN i6 THEN 'skip or shrink weak signals' WHEN i7 THEN 'use a longer period or more symbols' WHEN i8 THEN 'split results by market regime' ELSE 'keep the structure and test capacity and slippage' END AS first_action
+  CASE WHEN i1 THEN 'losses from the peak exceed a fifth: lower exposure before anything else' WHEN i2 THEN 'simulate reordered trades to see how deep a fall could have been' WHEN i3 THEN 'return does not pay for its swings: compare entries that gain with those that do not' WHEN i4 THEN 'return pays for its swings: see whether that holds out of sample' WHEN i5 THEN 'gains barely exceed losses: find what the largest losses share' WHEN i6 THEN 'most trades lose: ask more of a signal before it trades' WHEN i7 THEN 'under twenty trades prove little: add years or symbols' WHEN i8 THEN 'no new high for thirty bars: compare figures by regime' ELSE 'no figure stands out: try larger sizes and higher costs' END AS first_action
 FROM s"""

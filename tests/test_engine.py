@@ -464,8 +464,8 @@ def test_fuzzy_graph_gives_the_same_signal(spark):
 def test_report_by_hand(spark):
     rows = spark.createDataFrame([(1, -8.0, 30.0, 1.8, 0.55, 1.8, 120.0, 1.2), (2, -25.0, -5.0, 0.2, 0.3, 0.9, 10.0, 0.1)], "run_id int, max_drawdown double, total_return double, sharpe double, win_rate double, profit_factor double, trades double, calmar double")
     good, bad = report.analyze(rows).orderBy("run_id").collect()
-    assert good.regime == "candidate" and good.quality_score == pytest.approx(50 + 21.6 + 15 + 6) and [i.severity for i in good.insights] == ["low"]
-    assert bad.regime == "rebuild or shrink" and len(bad.suggested_actions) <= 6 and {i.title for i in bad.insights} == {"deep drawdown", "low risk-adjusted return", "thin profits", "few trades"}
+    assert good.regime == "steady" and good.quality_score == pytest.approx(50 + 21.6 + 15 + 6) and [i.severity for i in good.insights] == ["low"]
+    assert bad.regime == "unconvincing" and len(bad.suggested_actions) <= 6 and {i.title for i in bad.insights} == {"drawdown of 20 % or more", "Sharpe ratio under 0.8", "profit factor under 1.2", "under 20 trades"}
 
 
 def test_weights():
