@@ -7,9 +7,10 @@ import os
 import time
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from quantloom import queries as q
-from quantloom.operators import backtest, indicators, metrics, monte_carlo, search
+from quantloom.operators import backtest, indicators, monte_carlo, search
 from quantloom.plans.ir import cross_strategy
 from quantloom.plans.signals import with_signal
 from quantloom.sources.bars import bars_daily
@@ -21,7 +22,8 @@ PAIRS = [(fast, slow) for fast in range(3, 23, 2) for slow in range(30, 80, 5)]
 
 def single_backtest(spark, d):
     """One strategy over daily bars of all symbols, from raw rows to figures."""
-    return metrics.performance(backtest.execute(with_signal(cross_strategy(20, 50), bars_daily(spark, d))), ["symbol"])
+    signalled = with_signal(cross_strategy(20, 50), bars_daily(spark, d))
+    return backtest.evaluate(signalled.withColumn("signals", F.array("signal")))
 
 
 def batch_100_strategies(spark, d):

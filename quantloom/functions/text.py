@@ -18,3 +18,8 @@ def is_code(code: Column) -> Column:
 
 def valid_codes(text: Column) -> Column:
     return F.array_distinct(F.filter(split_codes(text), is_code))
+
+
+def iso(ts: Column) -> Column:
+    """Date and time as ISO 8601 writes them, to the second."""
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")

@@ -59,6 +59,10 @@ def put(name: str, steps: list[dict[str, str]], outputs: list[str], source: str
 
 ORACLES["bars_hourly"] = f"WITH {HOURLY} SELECT symbol, ts, {', '.join(map(r, ALL))} FROM bars"
 ORACLES["bars_daily"] = f"WITH {DAILY} SELECT symbol, ts, {', '.join(map(r, ALL))} FROM bars"
+ORACLES["store_query"] = f"WITH {DAILY} SELECT symbol, ts, {', '.join(map(r, ALL))}, 'D1' AS timeframe FROM bars WHERE symbol IN ('1-URGENT', '5-LOW') AND ts BETWEEN TIMESTAMP '1996-01-15' AND TIMESTAMP '1996-12-31'"
+ORACLES["store_coverage"] = f"WITH {DAILY}, h AS (WITH {HOURLY} SELECT * FROM bars), a AS (SELECT symbol, ts, 'D1' AS timeframe FROM bars UNION ALL SELECT symbol, ts, 'H1' FROM h) SELECT symbol, timeframe, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n_bars FROM a GROUP BY ALL"
+ORACLES["store_delete"] = f"WITH {DAILY} SELECT symbol, ts, {', '.join(map(r, ALL))}, 'D1' AS timeframe FROM bars WHERE symbol = '1-URGENT' OR symbol = '3-MEDIUM' AND ts < TIMESTAMP '1996-02-01' AND NOT (ts BETWEEN TIMESTAMP '1995-03-10' AND TIMESTAMP '1995-09-20')"
+ORACLES["iso_times"] = f"WITH {HOURLY} SELECT symbol, strftime(min(ts), '%Y-%m-%dT%H:%M:%S') AS first, strftime(max(ts), '%Y-%m-%dT%H:%M:%S') AS last FROM bars GROUP BY symbol"
 for _m in (1, 5, 15, 30, 60):
     ORACLES[f"bars_{_m}min"] = f"""WITH x AS (SELECT event_type AS symbol, time_bucket(INTERVAL '{_m} minutes', ts)::TIMESTAMP AS b, value + 100.0 AS p, ts FROM events)
 SELECT symbol, b AS ts, {r('arg_min(p, ts)', 'open')}, {r('max(p)', 'high')}, {r('min(p)', 'low')}, {r('arg_max(p, ts)', 'close')}, count(*)::DOUBLE AS volume, {r('sum(p)', 'amount')} FROM x GROUP BY symbol, b"""
@@ -330,6 +334,7 @@ EQUITY_COLUMNS = f"(rn - 1)::INT AS bar_seq, ts, {r('equity', digits=2)}, {r('ca
 TRADE_COLUMNS = f"ts, 'T' || lpad(trades::VARCHAR, 5, '0') AS trade_id, side AS signal, {r('price', digits=4)}, fshares::BIGINT AS shares, {r('commission', digits=4)}, {r('slip', 'slippage', 4)}, CASE side WHEN 1 THEN 'buy' ELSE 'sell' END AS reason, trades AS trade_seq"
 ORACLES["backtest_ma_cross"] = cross_execution(HOURLY) + f"SELECT key AS symbol, {EQUITY_COLUMNS} FROM st WHERE rn > 0"
 ORACLES["backtest_trades"] = cross_execution(HOURLY) + f"SELECT key AS symbol, {TRADE_COLUMNS} FROM st WHERE side IS NOT NULL"
+ORACLES["result_sink"] = ORACLES["backtest_trades"]
 ORACLES["backtest_percent"] = cross_execution(HOURLY, money="equity * 0.1::DOUBLE", twice=False) + f"SELECT key AS symbol, {EQUITY_COLUMNS} FROM st WHERE rn > 0"
 ORACLES["backtest_next_open"] = cross_execution(HOURLY, base="open", lagged=True) + f"SELECT key AS symbol, {TRADE_COLUMNS} FROM st WHERE side IS NOT NULL"
 
@@ -649,10 +654,15 @@ def degree(x: str, points: tuple[float, ...]) -> str:
 
 FUZZY = [*DIRECTION, {"dx": DX}, {"trend_strength": roll("avg", "dx", N), "volume_pressure": div("volume", roll("avg", "volume", 20)), "risk_heat": div(roll("avg", "tr", N), "close")}, *GAIN_LOSS, MEANS, {"reversal_pressure": RSI}, {f"{v}_{m}": degree(v, p) for v, ms in MEMBERS.items() for m, p in ms.items()}]
 put("fuzzy_degrees", FUZZY, [f"{v}_{m}" for v, ms in MEMBERS.items() for m in ms], digits=4)
-put("fuzzy_signal", [*FUZZY, {
-    "fuzzy_score_0": "trend_strength_strong * 0.40 + volume_pressure_high * 0.25 + risk_heat_calm * 0.20 + reversal_pressure_neutral * 0.15", "fuzzy_score_1": "reversal_pressure_oversold * 0.45 + risk_heat_calm * 0.35 + volume_pressure_normal * 0.20",
-    "fuzzy_score_2": "reversal_pressure_overbought * 0.45 + risk_heat_hot * 0.35 + trend_strength_weak * 0.20"}, {"signal": "CASE WHEN fuzzy_score_0 >= 0.35 THEN 1 WHEN fuzzy_score_1 >= 0.35 THEN 1 WHEN fuzzy_score_2 >= 0.3 THEN -1 ELSE 0 END"}],
-    ["fuzzy_score_0", "fuzzy_score_1", "fuzzy_score_2"], plain=("signal",), digits=4)
+_RULES = {
+    "fuzzy_signal": (("trend_strength_strong * 0.40 + volume_pressure_high * 0.25 + risk_heat_calm * 0.20 + reversal_pressure_neutral * 0.15", 1), ("reversal_pressure_oversold * 0.45 + risk_heat_calm * 0.35 + volume_pressure_normal * 0.20", 1), ("reversal_pressure_overbought * 0.45 + risk_heat_hot * 0.35 + trend_strength_weak * 0.20", -1)),
+    "fuzzy_momentum": (("trend_strength_strong * 0.45 + volume_pressure_high * 0.30 + risk_heat_calm * 0.25", 1), ("trend_strength_weak * 0.55 + risk_heat_hot * 0.45", -1)),
+    "fuzzy_reversal": (("reversal_pressure_oversold * 0.45 + volume_pressure_normal * 0.25 + risk_heat_calm * 0.30", 1), ("reversal_pressure_overbought * 0.60 + risk_heat_hot * 0.40", -1)),
+}
+for _name, _rules in _RULES.items():
+    _fired = " ".join(f"WHEN fuzzy_score_{i} >= {'0.35' if side > 0 else '0.3'} THEN {side}" for i, (_, side) in enumerate(_rules))
+    put(_name, [*FUZZY, {f"fuzzy_score_{i}": x for i, (x, _) in enumerate(_rules)}, {"signal": f"CASE {_fired} ELSE 0 END"}], [f"fuzzy_score_{i}" for i in range(len(_rules))], plain=("signal",), digits=4)
+ORACLES["fuzzy_graph"] = f"SELECT symbol, ts, signal FROM ({ORACLES['fuzzy_signal']})"
 ORACLES["results_scores"] = """
 WITH f AS (SELECT c_custkey AS run_id, (-(c_custkey % 31))::DOUBLE AS mdd, (c_custkey % 53 - 20)::DOUBLE AS tot, (c_custkey % 41) / 10.0::DOUBLE - 1 AS sharpe, (c_custkey % 7) / 10.0::DOUBLE AS wr, (c_custkey % 23) / 10.0::DOUBLE AS pf, (c_custkey % 90)::DOUBLE AS n, (c_custkey % 19) / 10.0::DOUBLE AS calmar, (c_custkey % 60)::INT AS flat FROM customer),
 i AS (SELECT *, abs(mdd) AS dd, abs(mdd) >= 20 AS i1, abs(mdd) >= 12 AND abs(mdd) < 20 AS i2, sharpe < 0.8 AS i3, sharpe >= 1.5 AS i4, pf <> 0 AND pf < 1.2 AS i5, wr < 0.42 AND n >= 20 AS i6, n < 20 AS i7, flat >= 30 AS i8 FROM f),

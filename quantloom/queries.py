@@ -73,6 +73,48 @@ def range_scan(spark, d):
     return rounded(store.range_scan(daily(spark, d), ["1-URGENT", "5-LOW"], "1996-01-01", "1996-12-31"))
 
 
+def stored(spark, d) -> store.BarStore:
+    """A store with daily and hourly bars, inserted under other column names."""
+    own = store.BarStore(spark, store.scratch(spark))
+    own.insert(daily(spark, d).withColumnRenamed("ts", "time"), "D1")
+    own.insert(hourly(spark, d), "H1")
+    return own
+
+
+@query
+def store_query(spark, d):
+    """Bars of two symbols and some months, read back from a store."""
+    return rounded(stored(spark, d).query(["1-URGENT", "5-LOW"], "D1", "1996-01-15", "1996-12-31"))
+
+
+@query
+def store_coverage(spark, d):
+    return stored(spark, d).coverage()
+
+
+@query
+def store_delete(spark, d):
+    """What a store holds after two ranges of a symbol and another symbol are deleted."""
+    own = stored(spark, d)
+    own.delete("3-MEDIUM", "D1", "1995-03-10", "1995-09-20")
+    own.delete("3-MEDIUM", "D1", "1996-02-01")
+    own.delete("click", "H1")
+    return rounded(own.query(["1-URGENT", "3-MEDIUM"], "D1", "1992-01-01", "2003-12-31"))
+
+
+@query
+def result_sink(spark, d):
+    """Trades of executed runs, written and read back."""
+    steps, folder = executed(spark, d), store.scratch(spark)
+    reference.write_results(steps, metrics.performance(steps, ["symbol"]), folder)
+    return rounded(spark.read.parquet(f"{folder}/trades").drop("bar_seq"), 4)
+
+
+@query
+def iso_times(spark, d):
+    return hourly(spark, d).groupBy("symbol").agg(text.iso(F.min("ts")).alias("first"), text.iso(F.max("ts")).alias("last"))
+
+
 @query
 def coverage(spark, d):
     return store.coverage(hourly(spark, d))
@@ -684,10 +726,25 @@ def fuzzy_degrees(spark, d):
     return rounded(out.select("symbol", "ts", *(f"{v}_{m.label}" for v, ms in fuzzy.VARIABLES.items() for m in ms)), 4)
 
 
+def fuzzy_query(template: str, name: str) -> None:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        spec = fuzzy.FuzzySpec.template(template, 0.35, 0.3)
+        out = fuzzy.fuzzy_signal(fuzzy.fuzzy_inputs(daily(spark, d)), spec)
+        return rounded(out.select("symbol", "ts", *(f"fuzzy_score_{i}" for i in range(len(spec.rules))), "signal"), 4)
+
+    QUERIES[name] = run
+
+
+for _template, _name in (("balanced", "fuzzy_signal"), ("momentum", "fuzzy_momentum"), ("reversal", "fuzzy_reversal")):
+    fuzzy_query(_template, _name)
+
+
 @query
-def fuzzy_signal(spark, d):
-    out = fuzzy.fuzzy_signal(fuzzy.fuzzy_inputs(daily(spark, d)), fuzzy.FuzzySpec.template("balanced", 0.35, 0.3))
-    return rounded(out.select("symbol", "ts", "fuzzy_score_0", "fuzzy_score_1", "fuzzy_score_2", "signal"), 4)
+def fuzzy_graph(spark, d):
+    """The balanced rules as a strategy graph over their scores."""
+    spec = fuzzy.FuzzySpec.template("balanced", 0.35, 0.3)
+    scored = fuzzy.fuzzy_scores(fuzzy.fuzzy_inputs(daily(spark, d)), spec)
+    return with_signal(spec.to_ir(), scored).select("symbol", "ts", "signal")
 
 
 @query

@@ -6,6 +6,7 @@ the files it needs; symbol and time filters are pushed into them.
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterable
 
@@ -15,6 +16,14 @@ from pyspark.sql import functions as F
 from quantloom.schema import ALIASES
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder: in ``spark.checkpoint.dir``, which all executors share; on a local master without one, a temporary folder."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{named or 'file://' + tempfile.mkdtemp(prefix='bars-')}/{uuid.uuid4().hex}"
+
+
 class BarStore:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path

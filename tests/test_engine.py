@@ -133,6 +133,18 @@ def test_every_name_is_its_own_column(spark):
         assert found == [r[0] for r in wide.orderBy("ts").select(other.get(name, name.lower())).collect()] and found[-1] is not None, name
 
 
+def test_cycles_of_a_sine(spark):
+    """The measured period of a pure wave is its own, its sine leads by an eighth of a turn, and a flat price is its own mean."""
+    for period in (16, 24):
+        x = 100 + 5 * np.sin(2 * np.pi * np.arange(300) / period)
+        tail = indicators.hilbert(bars_of(spark, x)).where("ts > '2020-08-01'").toPandas()
+        assert abs(tail.ht_dcperiod.mean() - period) < 0.06 * period and tail.ht_trendmode.mean() < 0.1
+        assert np.corrcoef(tail.ht_sine[period // 8 :], tail.ht_leadsine[: -(period // 8)])[0, 1] > 0.95
+        assert abs(tail.ht_trendline.mean() - 100) < 0.5
+    flat = indicators.hilbert(bars_of(spark, [7.0] * 60)).toPandas().dropna()
+    assert (flat.mama == 7).all() and (flat.fama == 7).all() and np.allclose(flat.ht_trendline, 7)
+
+
 def test_macdext_kinds(spark):
     b = bars_of(spark, [float(x * x % 17) for x in range(60)])
     plain = [r.macd for r in indicators.macdext(b, 3, 6, 4).orderBy("ts").collect()]
