@@ -36,6 +36,12 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{_checkpoint_dir(spark)}/{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, wherever it is."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 BATCH_BYTES = 8 << 20
 
 

@@ -33,14 +33,13 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def threshold_topk(values: np.ndarray, lists: np.ndarray, query: np.ndarray, k: int, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows and scores that hold the k best of one query among the allowed rows, ties included."""
     n = len(values)
-    used = np.flatnonzero(query)
-    weights = query[used]
-    ordered = np.where((weights > 0)[:, None], lists[used][:, ::-1], lists[used])  # best first
+    up, down = np.flatnonzero(query > 0), np.flatnonzero(query < 0)  # lists read from their end, and from their beginning
     seen, scores, depth = np.zeros(n, bool), np.zeros(n, values.dtype), 0
     while depth < n:
-        upto = min(n, max(k, 2 * depth)) if len(used) else n
-        met = np.zeros(n, bool)
-        met[ordered[:, depth:upto].ravel() if len(used) else slice(None)] = True
+        upto = min(n, max(k, 2 * depth)) if len(up) + len(down) else n
+        met = np.full(n, not len(up) + len(down))
+        met[lists[up, n - upto : n - depth]] = True
+        met[lists[down, depth:upto]] = True
         new = np.flatnonzero(met & ~seen)
         scores[new] = values[new] @ query
         seen[new] = True
@@ -48,7 +47,7 @@ def threshold_topk(values: np.ndarray, lists: np.ndarray, query: np.ndarray, k:
         own = np.flatnonzero(seen & allowed)
         if len(own) >= k:
             kth = np.partition(scores[own], len(own) - k)[len(own) - k]
-            if depth < n and (weights * values[ordered[:, depth - 1], used]).sum() < kth:
+            if depth < n and (query[up] * values[lists[up, n - depth], up]).sum() + (query[down] * values[lists[down, depth - 1], down]).sum() < kth:
                 break
     own = np.flatnonzero(seen & allowed)
     if len(own) > k:
