@@ -2,8 +2,12 @@
 secrets, packed.
 
 Every stage takes what its predecessor kept, as Parquet, and all but the last give the columns of
-``documents`` back. Rows and stages with null doc_ids, empty tables and so on behave as the
-operators say.
+``documents`` back, further columns among them, whatever they are called.
+
+Defined cases: texts that are null, empty or without a letter go in the first stage. Rows with a
+null doc_id pass near-dedup and repeat removal whole. Repeated rows, and rows that share a doc_id,
+go in near-dedup if all texts of that doc_id have a smaller similar one; otherwise they all stay.
+Long texts are worked off whole. Nulls in other columns stay. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantloom.llm import best_fit_packing, language_id, secret_scan, simhash_dedup, suffix_dedup
-from quantloom.llm.common import shared_folder, table
+from quantloom.llm.common import remove, shared_folder, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,15 +60,18 @@ ORACLE_SQL = None  # fingerprints, alignment and packing are beyond SQL; tests c
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written to the shared folder and read again."""
+    """All stages over ``documents``; each result is written to the shared folder and read again, and deleted once the next is written."""
     docs = table(spark, sf_dir, "documents")
-    folder = shared_folder(spark)
+    folder, before = shared_folder(spark), None
     for number, (_, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
         if number + 1 < len(STAGES):
             path = f"{folder}/stage-{number}"
             out.write.parquet(path)
             docs = spark.read.parquet(path)
+            if before:
+                remove(spark, before)
+            before = path
     return out
 
 
