@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from quantloom.functions.math import hash_normal, hash_uniform
 from quantloom.operators.backtest import BacktestConfig, evaluate
+from quantloom.operators.indicators import atr
 from quantloom.operators.metrics import RISK_FREE, with_rates
 from quantloom.operators.registry import default_registry
 from quantloom.operators.rules import RuleChain
@@ -133,6 +134,21 @@ def noisy_bars(bars: DataFrame, n: int, rate: float | None = None, seed: int = 4
     return moved.withColumns({"high": F.greatest("high", "open", "close", "low"), "low": F.least("low", "open", "close", "high")})
 
 
+def atr_noise(bars: DataFrame, n: int, share: float = 0.5, period: int = 14, seed: int = 42) -> DataFrame:
+    """Every bar once per simulation, all its prices moved by the same normal number times a share of the average true range (none before there is one)."""
+    ranged = atr(bars, period)
+    rows = ranged.withColumn("sim_id", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    move = share * F.coalesce("atr", F.lit(0.0)) * hash_normal(seed, F.lit("atr"), F.col("sim_id"), F.col("symbol"), F.unix_micros(F.col("ts").cast("timestamp")))
+    return rows.withColumn("_move", move).withColumns({c: F.col(c) + F.col("_move") for c in ("open", "high", "low", "close")}).drop("_move", "atr")
+
+
+def against_original(summary: DataFrame, original: DataFrame) -> DataFrame:
+    """Summaries next to the run itself (run_id, total_return_pct, max_drawdown_pct): the share of its profit that the median simulation keeps, and how much deeper the worst one falls."""
+    own = original.select("run_id", (F.col("total_return_pct") / 100).alias("original_return"), (F.col("max_drawdown_pct") / 100).alias("original_drawdown"))
+    both = summary.join(own, "run_id")
+    return both.withColumns({"profit_kept": F.try_divide(F.col("profit_median"), F.col("original_return")), "drawdown_grown": F.try_divide(F.col("worst_drawdown"), F.col("original_drawdown"))})
+
+
 def start_offsets(bars: DataFrame, n: int, rate: float | None = None, seed: int = 42) -> DataFrame:
     """Every simulation without its first bars, up to a share of them (None: one drawn by the simulation)."""
     w = Window.partitionBy("symbol")

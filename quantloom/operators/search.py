@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from quantloom.functions.windows import roll
 from quantloom.operators.backtest import BacktestConfig, evaluate
+from quantloom.operators.generate import evaluate_all
 from quantloom.operators.rules import RuleChain
+from quantloom.plans.ir import StrategyIR
 
 Space = dict[str, tuple]
 
@@ -76,6 +78,15 @@ def grid_search(bars: DataFrame, pairs: list[tuple[int, int]], metric: str = "sh
     return _named(evaluate(cross_signals(bars, pairs), config), pairs).withColumn("rank", F.row_number().over(best))
 
 
+def strategy_grid(ir: StrategyIR, values: dict[str, list], bars: DataFrame, metric: str = "sharpe_ratio", config: BacktestConfig = BacktestConfig()) -> DataFrame:
+    """Figures of any strategy for every combination of parameters (named as in ``StrategyIR.with_params``), with the combination and its rank per symbol."""
+    combos = [dict(zip(values, c)) for c in product(*values.values())]
+    figures = evaluate_all([ir.with_params(c) for c in combos], bars, config).withColumnRenamed("run_id", "combo_idx")
+    named = figures.withColumns({n.replace(".", "_"): F.element_at(F.array(*(F.lit(float(c[n])) for c in combos)), F.col("combo_idx") + 1) for n in values})
+    best = Window.partitionBy("symbol").orderBy(F.desc(F.round(metric, 10)), "combo_idx")
+    return named.withColumn("rank", F.row_number().over(best))
+
+
 def wfo_windows(bars: DataFrame, in_sample: int, out_sample: int, step: int) -> DataFrame:
     """Windows while they fit, by position: symbol, window_idx, and first and last bar of either part."""
     n = bars.groupBy("symbol").agg(F.count("*").alias("n"))

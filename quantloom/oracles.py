@@ -124,6 +124,7 @@ ORACLES["grid_cross_join"] = """
 WITH f(i, fast) AS (VALUES (0, 2.0), (1, 4.0), (2, 6.0), (3, 8.0), (4, 10.0)), s(j, slow) AS (VALUES (0, 20.0), (1, 30.0), (2, 40.0), (3, 50.0), (4, 60.0)),
 p(k, stop) AS (VALUES (0, 0.01), (1, 0.02), (2, 0.03), (3, 0.04), (4, 0.05)), d(l, side) AS (VALUES (0, 1.0), (1, 2.0))
 SELECT (((i * 5 + j) * 5 + k) * 2 + l)::INT AS combo_idx, fast::DOUBLE AS fast, slow::DOUBLE AS slow, stop::DOUBLE AS stop, side::DOUBLE AS side FROM f, s, p, d"""
+ORACLES["grid_sample"] = f"SELECT * FROM ({ORACLES['grid_cross_join']}) ORDER BY md5(combo_idx::VARCHAR) LIMIT 20"
 
 # -- rolling indicators
 
@@ -503,6 +504,11 @@ later AS (SELECT * FROM most WHERE k > CASE WHEN most > 0 THEN floor({u("'offset
 
 
 ORACLES["mc_data_noise"] = f"WITH {noisy(DAILY, 3)} SELECT symbol, ts, sim_id, {', '.join(r(c, digits=4) for c in ALL[:4])} FROM noisy"
+ORACLES["mc_atr_noise"] = staged([{"tr": TR}, {"atr": roll("avg", "tr", 14)}])[:-1] + f""", rows AS (SELECT *, i::INT AS sim_id FROM last, range(3) g(i)), m AS (SELECT *, 0.5::DOUBLE * coalesce(atr, 0.0) * {normal('atr')} AS move FROM rows)
+SELECT symbol, ts, sim_id, {', '.join(r(f'{c} + move', c, 4) for c in ALL[:4])} FROM m"""
+ORACLES["mc_against_original"] = f"""WITH own AS (WITH {outcomes(DAILY, 1)}, curve AS (SELECT run_id, trade_seq AS bar_seq, 1000000.0::DOUBLE + sum(pnl) OVER (PARTITION BY run_id ORDER BY trade_seq) AS equity FROM outcomes){metric_tables('curve', 'run_id')} SELECT * FROM mx),
+sims AS (WITH {trade_methods(DAILY, 10)} SELECT run_id, method, quantile_cont(total_return_pct / 100, 0.5) AS profit, min(max_drawdown_pct / 100) AS fall FROM mx WHERE method IN ('skip_trades', 'delete_trades') GROUP BY ALL)
+SELECT run_id, method, {r('total_return_pct / 100', 'original_return', 4)}, {r('max_drawdown_pct / 100', 'original_drawdown', 4)}, {r('profit / nullif(total_return_pct / 100, 0)', 'profit_kept', 4)}, {r('fall / nullif(max_drawdown_pct / 100, 0)', 'drawdown_grown', 4)} FROM sims JOIN own USING (run_id)"""
 ORACLES["mc_start_offset"] = f"WITH {offset(DAILY, 5)} SELECT symbol, sim_id, count(*) AS n, min(ts) AS first_ts FROM later GROUP BY symbol, sim_id"
 # Periods of 10 and 30 as the four simulations perturb them, worked out by hand from the hashes.
 PERTURBED = [(8, 28), (11, 25), (9, 30), (9, 38)]
@@ -561,6 +567,13 @@ ORACLES["improver_candidates"] = staged([
 ], HOURLY)[:-1] + f""", trials AS (SELECT * EXCLUDE (near), unnest([{_SIGNALS}]) AS signal, unnest(range({len(_TRIALS)}))::INT AS run_id FROM last),
 b AS (SELECT run_id || '|' || symbol AS key, row_number() OVER (PARTITION BY run_id, symbol ORDER BY ts) AS rn, {B_COLUMNS} FROM trials)""" + execution() + ", curve AS (SELECT key, rn - 1 AS bar_seq, equity FROM st WHERE rn > 0)" + metric_tables("curve", "key") + f"""
 SELECT split_part(key, '|', 1)::INT AS run_id, split_part(key, '|', 2) AS symbol, {', '.join(r(c, digits=4) for c in ('net_profit', 'total_return_pct', 'sharpe_ratio', 'max_drawdown_pct'))} FROM mx"""
+_LEVELS_GRID = [(n, lo, hi) for n in (7, 14) for lo in (35, 45) for hi in (55, 65)]
+ORACLES["grid_search_levels"] = staged([
+    *GAIN_LOSS, {f"{x}{n}": roll("avg", y, n) for n in (7, 14) for x, y in (("gain", "up"), ("loss", "down"))}, {f"rsi{n}": RSI.replace("loss", f"loss{n}").replace("gain", f"gain{n}") for n in (7, 14)}, *PLAIN_RULES,
+], HOURLY)[:-1] + f""", trials AS (SELECT *, unnest([{', '.join(f'CASE WHEN coalesce(rsi{n} < {lo}, false) THEN 1 WHEN coalesce(rsi{n} > {hi}, false) THEN -1 ELSE 0 END' for n, lo, hi in _LEVELS_GRID)}]) AS signal, unnest(range({len(_LEVELS_GRID)}))::INT AS combo_idx FROM last),
+b AS (SELECT combo_idx || '|' || symbol AS key, row_number() OVER (PARTITION BY combo_idx, symbol ORDER BY ts) AS rn, {B_COLUMNS} FROM trials)""" + execution() + ", curve AS (SELECT key, rn - 1 AS bar_seq, equity FROM st WHERE rn > 0)" + metric_tables("curve", "key") + f""",
+n AS (SELECT split_part(key, '|', 1)::INT AS combo_idx, split_part(key, '|', 2) AS symbol, * FROM mx)
+SELECT symbol, combo_idx, {r('CASE WHEN combo_idx < 4 THEN 7 ELSE 14 END', 'period', 4)}, {r('CASE WHEN combo_idx % 4 < 2 THEN 35 ELSE 45 END', 'low_value', 4)}, {r('CASE WHEN combo_idx % 2 = 0 THEN 55 ELSE 65 END', 'high_value', 4)}, row_number() OVER (PARTITION BY symbol ORDER BY round(sharpe_ratio, 10) DESC, combo_idx)::INT AS rank, {r('total_return_pct', digits=4)}, {r('sharpe_ratio', digits=4)} FROM n"""
 ORACLES["pareto_front"] = _GRID + f""", g AS (SELECT symbol, combo_idx, round(total_return_pct, 6) AS a, round(max_drawdown_pct, 6) AS d FROM ranked)
 SELECT symbol, combo_idx, {r('a', 'total_return_pct', 4)}, {r('d', 'max_drawdown_pct', 4)} FROM g WHERE NOT EXISTS (SELECT 1 FROM g o WHERE o.symbol = g.symbol AND o.a >= g.a AND o.d >= g.d AND (o.a > g.a OR o.d > g.d))"""
 _RATED = _GRID + ", rated AS (SELECT *, sharpe_ratio - 0.001::DOUBLE * (fast + slow) AS fitness, combo_idx % 2 AS generation FROM ranked)"

@@ -317,6 +317,13 @@ def grid_cross_join(spark, d):
     return rounded(g)
 
 
+@query
+def grid_sample(spark, d):
+    """Twenty combinations of a larger grid, chosen by a hash; taking a sample is the feature."""
+    values = search.grid_values({"fast": ("int", 2, 10), "slow": ("int", 20, 60), "stop": ("float", 0.01, 0.05), "side": ("categorical", [1, 2])})
+    return rounded(search.grid(spark, values, 20))
+
+
 # -- indicators
 
 
@@ -567,6 +574,22 @@ def mc_data_noise(spark, d):
     return rounded(monte_carlo.noisy_bars(daily(spark, d), 3).select("symbol", "ts", "sim_id", "open", "high", "low", "close"), 4)
 
 
+@query
+def mc_atr_noise(spark, d):
+    return rounded(monte_carlo.atr_noise(daily(spark, d), 3).select("symbol", "ts", "sim_id", "open", "high", "low", "close"), 4)
+
+
+@query
+def mc_against_original(spark, d):
+    """What simulations keep of the runs they come from."""
+    own = outcomes(spark, d)
+    w = Window.partitionBy("run_id").orderBy("trade_seq").rowsBetween(Window.unboundedPreceding, 0)
+    curve = own.withColumn("equity", 1_000_000.0 + F.sum("pnl").over(w)).withColumnRenamed("trade_seq", "bar_seq")
+    figures = metrics.equity_metrics(curve, ["run_id"])
+    out = monte_carlo.against_original(monte_carlo.run_trade_methods(own, ("skip_trades", "delete_trades"), 10), figures)
+    return rounded(out.select("run_id", "method", "original_return", "original_drawdown", "profit_kept", "drawdown_grown"), 4)
+
+
 @query
 def mc_start_offset(spark, d):
     out = monte_carlo.start_offsets(daily(spark, d), 5)
@@ -603,6 +626,14 @@ def grid_best(spark, d):
     return rounded(search.grid_search(hourly(spark, d), PAIRS).where("rank = 1").select("symbol", "fast", "slow", "total_return_pct", "sharpe_ratio"), 4)
 
 
+@query
+def grid_search_levels(spark, d):
+    """A grid over the levels and the period of an RSI strategy."""
+    ir = threshold_strategy("RSI", 40.0, 60.0, period=14)
+    out = search.strategy_grid(ir, {"period": [7, 14], "low.value": [35.0, 45.0], "high.value": [55.0, 65.0]}, hourly(spark, d))
+    return rounded(out.select("symbol", "combo_idx", "period", "low_value", "high_value", "rank", "total_return_pct", "sharpe_ratio"), 4)
+
+
 @query
 def wfo_windows(spark, d):
     return search.wfo_windows(hourly(spark, d), 200, 100, 100).select("symbol", "window_idx", *(F.col(c).cast("long").alias(c) for c in ("is_start", "oos_start", "oos_end")))
