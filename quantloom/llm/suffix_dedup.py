@@ -121,6 +121,13 @@ def _distinct(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return place, h, values, np.minimum(n, 0x7FFF).astype("<u2") | (several.astype("<u2") << np.uint16(15))
 
 
+def _dealt(dest: np.ndarray) -> dict[int, np.ndarray]:
+    """The places of each destination, in order, by one sort."""
+    order = np.argsort(dest, kind="stable")
+    edges = np.flatnonzero(np.diff(dest[order], prepend=-1))
+    return {int(dest[own[0]]): own for own in np.split(order, edges[1:])} if len(dest) else {}
+
+
 def _parcel(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
     dest, kind, block, body = zip(*rows) if rows else ([],) * 4
     return pa.table({"dest": pa.array(dest, pa.int64()), "kind": pa.array(kind, pa.int32()), "block": pa.array(block, pa.int64()), "body": pa.array(body, pa.binary())})
@@ -154,10 +161,9 @@ def _send_anchors(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.
         _, _, values, counts = _distinct(block)
         dest = (values % np.uint64(parts)).astype(np.int64)
         rows = []
-        for part in np.unique(dest):
-            own = dest == part
+        for part, own in _dealt(dest).items():
             keys = (values[own] >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-            rows.append((int(part), 0, number, keys.tobytes() + counts[own].tobytes()))
+            rows.append((part, 0, number, keys.tobytes() + counts[own].tobytes()))
         yield from _parcel(rows).to_batches()
 
 
@@ -246,9 +252,9 @@ def _send_contexts(number: int, docs: pa.Table, masks: pa.Table, parts: int) ->
     block = Block(docs.column("doc_id").to_pylist(), docs.column("data").to_pylist())
     place, h, values, _ = _distinct(block)
     dest = (values % np.uint64(parts)).astype(np.int64)
-    mark = np.zeros(len(values), np.uint8)
+    mark, dealt = np.zeros(len(values), np.uint8), _dealt(dest)
     for part, body in zip(masks.column("dest").to_pylist(), masks.column("body").to_pylist()):
-        mark[dest == part] = _unpacked(body, np.uint8)[0]
+        mark[dealt[part]] = _unpacked(body, np.uint8)[0]
     marked = mark[np.searchsorted(values, h)]
     place, marked = place[marked > 0], marked[marked > 0]
     ok, rows = _contexts(block, place)
@@ -265,10 +271,8 @@ def _send_contexts(number: int, docs: pa.Table, masks: pa.Table, parts: int) ->
     out: list[tuple[int, int, int, bytes]] = []
 
     def send(sent: np.ndarray, ids: np.ndarray, numbers: np.ndarray, dealt_out: bool) -> None:
-        to = _destination(sent, parts, dealt_out)
-        by = np.argsort(to, kind="stable")
-        for own in np.split(by, np.flatnonzero(np.diff(to[by])) + 1) if len(by) else []:
-            out.append((int(to[own[0]]), 0, number, _packed(sent[own], ids[own].astype("<i8"), numbers[own].astype("<i8"))))
+        for part, own in _dealt(_destination(sent, parts, dealt_out)).items():
+            out.append((part, 0, number, _packed(sent[own], ids[own].astype("<i8"), numbers[own].astype("<i8"))))
 
     calm = np.flatnonzero(~hot)
     send(rows_sent[calm], first[calm], calm, False)
