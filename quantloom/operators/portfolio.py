@@ -74,7 +74,7 @@ def calmar_weights(returns: DataFrame, key: str, trials: int = 200, seed: int =
 
 
 def portfolio_curve(curves: DataFrame, key: str, weights: DataFrame, order: str = "ts") -> DataFrame:
-    """Growth of one unit dealt out by the weights and rebalanced at every time.
+    """Growth of one unit dealt out by the weights and rebalanced at every time, and its logarithm.
 
     Months are added up side by side; only one number a month goes through a single task.
     """
@@ -82,7 +82,8 @@ def portfolio_curve(curves: DataFrame, key: str, weights: DataFrame, order: str
     months = mixed.groupBy("_month").agg(F.sum(F.ln(1 + F.col("ret"))).alias("_grown"))
     before = months.select("_month", F.coalesce(F.sum("_grown").over(Window.orderBy("_month").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("_before"))
     run = Window.partitionBy("_month").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return mixed.join(before, "_month").withColumn("equity", F.exp(F.col("_before") + F.sum(F.ln(1 + F.col("ret"))).over(run))).drop("_month", "_before")
+    grown = mixed.join(before, "_month").withColumn("log_equity", F.col("_before") + F.sum(F.ln(1 + F.col("ret"))).over(run))
+    return grown.withColumn("equity", F.exp("log_equity")).drop("_month", "_before")
 
 
 def harmonic(n: Column) -> Column:

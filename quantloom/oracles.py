@@ -468,8 +468,8 @@ def overall(summary: str) -> str:
 ORACLES["mc_summary"] = f"WITH {trade_methods(DAILY, 20)} {mc_summary('mx')}"
 ORACLES["mc_overall"] = overall(ORACLES["mc_summary"])
 ORACLES["mc_block_shuffle"] = f"""WITH {DAILY}, n AS (SELECT symbol, close, row_number() OVER ({S}) AS n, ln({div('close', lag('close'))}) AS step FROM bars), rows AS (SELECT *, i::INT AS sim_id, floor((n - 2) / 20)::BIGINT AS block FROM n, range(3) g(i)),
-u AS (SELECT *, {u("'block'", "sim_id", "symbol", "block")} AS x FROM rows), p AS (SELECT symbol, sim_id, row_number() OVER o AS place, first_value(close) OVER o * exp(sum(coalesce(step, 0.0)) OVER (o ROWS UNBOUNDED PRECEDING)) AS c FROM u WINDOW o AS (PARTITION BY symbol, sim_id ORDER BY n > 1, x, block, n))
-SELECT symbol, sim_id, place::INT AS place, {r('c', 'close', 4)} FROM p"""
+u AS (SELECT *, {u("'block'", "sim_id", "symbol", "block")} AS x FROM rows), p AS (SELECT symbol, sim_id, row_number() OVER o AS place, ln(first_value(close) OVER o) + sum(coalesce(step, 0.0)) OVER (o ROWS UNBOUNDED PRECEDING) AS c FROM u WINDOW o AS (PARTITION BY symbol, sim_id ORDER BY n > 1, x, block, n))
+SELECT symbol, sim_id, place::INT AS place, {r('c', 'log_close')} FROM p"""
 ORACLES["regime_returns"] = staged([{"change": f"{div('close', lag('close', 20))} - 1"}, {"rg": "CASE WHEN change > 0.1 THEN 'rising' WHEN change < -0.1 THEN 'falling' ELSE 'flat' END"}, {"regime": lag("rg"), "ret": f"{div('close', lag('close'))} - 1"}]) + f"SELECT symbol, regime, {r('avg(ret)', 'mean_ret')}, count(*) AS n FROM last WHERE regime IS NOT NULL GROUP BY symbol, regime"
 
 
@@ -639,7 +639,7 @@ ORACLES["overfitting_report"] = RETS + PBO + MOMENTS + f", x AS (SELECT pbo, {LO
 CHANGES = f"WITH {DAILY}, x AS (SELECT symbol, ts, close / nullif(lag(close) OVER ({S}), 0) - 1 AS ret FROM bars), rets AS (SELECT * FROM x WHERE ret IS NOT NULL)"
 ORACLES["corr_matrix"] = CHANGES + f" SELECT a.symbol AS symbol_a, b.symbol AS symbol_b, {r('corr(a.ret, b.ret)', 'corr')}, {r('covar_samp(a.ret, b.ret)', 'covar')}, count(*) AS n FROM rets a JOIN rets b USING (ts) WHERE a.symbol <= b.symbol GROUP BY ALL"
 ORACLES["risk_parity"] = CHANGES + f", v AS (SELECT symbol, stddev_samp(ret) AS vol FROM rets GROUP BY symbol) SELECT symbol, {r('vol')}, {r('1 / vol / sum(1 / vol) OVER ()', 'weight')} FROM v"
-ORACLES["calmar_weights"] = CHANGES + f""", y AS (SELECT symbol, ts, ret / 50 AS ret FROM rets), d AS (SELECT symbol, i::INT AS trial FROM (SELECT DISTINCT symbol FROM y), range(41) g(i)),
+ORACLES["calmar_weights"] = CHANGES + f""", y AS (SELECT symbol, ts, ln(1 + ret) / 50 AS ret FROM rets), d AS (SELECT symbol, i::INT AS trial FROM (SELECT DISTINCT symbol FROM y), range(41) g(i)),
 k AS (SELECT *, CASE WHEN trial = 0 THEN 1.0 ELSE -ln(1e-12 + {u("'weight'", "trial", "symbol")}) END AS raw FROM d), wt AS (SELECT symbol, trial, raw / sum(raw) OVER (PARTITION BY trial) AS weight FROM k),
 m AS (SELECT trial, ts, sum(ret * weight) AS ret FROM y JOIN wt USING (symbol) GROUP BY ALL), e AS (SELECT *, exp(sum(ln(1 + ret)) OVER o) AS equity FROM m WINDOW o AS (PARTITION BY trial ORDER BY ts ROWS UNBOUNDED PRECEDING)),
 f AS (SELECT *, 1 - equity / greatest(max(equity) OVER (PARTITION BY trial ORDER BY ts ROWS UNBOUNDED PRECEDING), 1.0) AS fall FROM e), c AS (SELECT trial, (arg_max(equity, ts) - 1) / nullif(max(fall), 0) AS calmar FROM f GROUP BY trial),

@@ -557,7 +557,8 @@ def mc_overall(spark, d):
 
 @query
 def mc_block_shuffle(spark, d):
-    return rounded(align.block_shuffle(daily(spark, d), 3), 4)
+    paths = align.block_shuffle(daily(spark, d), 3)
+    return rounded(paths.select("symbol", "sim_id", "place", F.ln("close").alias("log_close")))  # of very different sizes
 
 
 @query
@@ -701,7 +702,7 @@ def risk_parity(spark, d):
 @query
 def calmar_weights(spark, d):
     r = portfolio.curve_returns(daily(spark, d), "symbol", "close")
-    return rounded(portfolio.calmar_weights(r.withColumn("ret", F.col("ret") / 50), "symbol", 40))
+    return rounded(portfolio.calmar_weights(r.withColumn("ret", F.ln(1 + F.col("ret")) / 50), "symbol", 40))
 
 
 @query
@@ -717,7 +718,7 @@ def portfolio_curve(spark, d):
     c = daily(spark, d).select("symbol", "ts", F.col("close").alias("equity"))
     weights = c.select("symbol").distinct().withColumn("weight", F.lit(0.2))
     grown = portfolio.portfolio_curve(c, "symbol", weights)
-    return rounded(grown.select("ts", "ret", F.ln("equity").alias("log_equity")), 4)  # growth is too large for decimals
+    return rounded(grown.select("ts", "ret", "log_equity"), 4)  # growth is too large for decimals
 
 
 @query
