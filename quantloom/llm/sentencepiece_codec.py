@@ -32,7 +32,7 @@ from quantloom.llm.common import small_batches
 
 MARK = "▁"
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-_KEPT_BYTES, _LONG_WORD = 96 << 20, 64  # about what the table of words may take; longer words aren't kept
+_KEPT_BYTES, _LONG_WORD = 224 << 20, 64  # about what the table of words may take; longer words aren't kept
 _PAIRS_KEPT = 1_000_000
 
 
