@@ -37,6 +37,7 @@ from quantloom.llm.common import small_batches
 
 LEAST = 0.8
 SHORT, WHOLE, RUN = 10, 30, 3
+_LONG = 300  # words of a template from which looking for each in the text costs more than splitting the text
 FINDINGS = "doc_id long, license string, coverage double, start long, end long, n_words long"
 _WORD = re.compile(r"\w+")
 
@@ -224,20 +225,31 @@ def scan_text(text: str, templates: list[Template], least: float = LEAST) -> lis
     found: list[Finding] = []
     spots: list[re.Match] = []
     words: list[str] = []
+    have: set[str] = set()
+
+    def split() -> None:
+        if not spots:
+            spots.extend(_WORD.finditer(text))
+            words.extend(m[0].lower() for m in spots)
+            have.update(words)
+
     for template in templates:
         need = template.need(least)
         if 2 * need - 1 > len(text):
             continue
         spare = len(template.words) - need  # words that may be missing
+        if long := len(template.words) > _LONG:
+            split()
         for word, n in template.rarest_first:
-            if word not in met:
-                met[word] = word in low
-            if not met[word] and (spare := spare - n) < 0:
+            if long:
+                there = word in have
+            else:
+                if (there := met.get(word)) is None:
+                    there = met[word] = word in low
+            if not there and (spare := spare - n) < 0:
                 break
         else:
-            if not spots:
-                spots = list(_WORD.finditer(text))
-                words = [m[0].lower() for m in spots]
+            split()
             found += findings(words, template, least)
     return [(f.license, f.coverage, spots[f.first].start(), spots[f.last].end(), f.aligned) for f in _best(found)]
 
