@@ -79,7 +79,7 @@ ORACLES["bar_slice"] = f"WITH {DAILY} SELECT symbol, ts, {', '.join(map(r, ALL))
 ORACLES["bar_feed"] = ORACLES["synthetic_bars"]
 ORACLES["stock_list"] = "SELECT s_name AS symbol, NULL::VARCHAR AS name, n_name AS area, NULL::VARCHAR AS industry, NULL::VARCHAR AS market, NULL::VARCHAR AS list_date, 'L' AS list_status FROM supplier JOIN nation ON s_nationkey = n_nationkey"
 CALENDAR = """SELECT d::DATE AS day, isodow(d) <= 5 AND d::DATE NOT IN (SELECT day FROM off) AS is_open FROM generate_series(DATE '{}', DATE '{}', INTERVAL 1 DAY) g(d)"""
-ORACLES["trade_calendar"] = f"WITH off AS (SELECT DISTINCT o_orderdate::DATE AS day FROM orders WHERE o_orderkey % 97 = 0), c AS ({CALENDAR.format('1996-01-01', '1997-12-31')}) SELECT day, is_open, last_value(CASE WHEN is_open THEN day END IGNORE NULLS) OVER (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS open_before FROM c"
+ORACLES["trade_calendar"] = f"WITH off AS (SELECT DISTINCT o_orderdate::DATE AS day FROM orders WHERE day(o_orderdate) = 1), c AS ({CALENDAR.format('1996-01-01', '1997-12-31')}) SELECT day, is_open, last_value(CASE WHEN is_open THEN day END IGNORE NULLS) OVER (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS open_before FROM c"
 ORACLES["suspended_days"] = f"""WITH {DAILY}, off AS (SELECT NULL::DATE AS day WHERE false), c AS ({CALENDAR.format('1992-01-01', '2003-12-31')}), e AS (SELECT symbol, min(ts)::DATE AS a, max(ts)::DATE AS b FROM bars GROUP BY symbol)
 SELECT symbol, day FROM e JOIN c ON day BETWEEN a AND b AND is_open WHERE NOT EXISTS (SELECT 1 FROM bars x WHERE x.symbol = e.symbol AND x.ts::DATE = c.day)"""
 ORACLES["limit_prices"] = f"WITH {DAILY} SELECT symbol, ts, {r(f'{lag("close")} * 1.1::DOUBLE', 'up_limit')}, {r(f'{lag("close")} * 0.9::DOUBLE', 'down_limit')} FROM bars"
