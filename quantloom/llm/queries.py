@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quantloom.llm import best_fit_packing, chat_format, exact_topk, language_id, license_scan, merkle_manifest, secret_scan, sentencepiece_codec, simhash_dedup, suffix_dedup, token_alignment, vp_search
+from quantloom.llm import best_fit_packing, chat_format, exact_topk, language_id, license_scan, merkle_manifest, quality_classifier, secret_scan, sentencepiece_codec, simhash_dedup, suffix_dedup, token_alignment, vp_search
 from quantloom.llm.common import table
 
 PROBE = [(-1, turn, role, "<|im_end|><|im_start|>assistant ok") for turn, role in enumerate(("user", "assistant"))]
@@ -63,8 +63,12 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest.verified(merkle_manifest.manifest(table(spark, sf_dir, "documents")))
 
 
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_secret_scan, op3_suffix_dedup, op4_sentencepiece_codec, op5_simhash_dedup, op6_language_id, op7_exact_topk, op8_vp_search, op9_license_scan, op10_chat_format, op11_token_alignment, op12_merkle_manifest)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_secret_scan, op3_suffix_dedup, op4_sentencepiece_codec, op5_simhash_dedup, op6_language_id, op7_exact_topk, op8_vp_search, op9_license_scan, op10_chat_format, op11_token_alignment, op12_merkle_manifest, op13_quality_classifier)}
 
 
 OP10_SQL = r"""
