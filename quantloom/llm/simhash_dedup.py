@@ -266,32 +266,36 @@ def signature(hashes: np.ndarray, bands: int, rows: int) -> tuple[np.ndarray, in
     return keys, int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def _buckets(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list[np.ndarray]]:
-    """Rows sorted by the first column, in stretches of whole buckets; a bucket of many rows comes in parts."""
-    held, waiting, count = [np.zeros(0, np.int64)] * len(names), [], 0
+def _buckets(batches: Iterator[pa.RecordBatch], names: list[str], rows: int) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """Rows sorted by the first column, in stretches of whole buckets, and which rows are of a bucket that
+    comes in several stretches: one of more than ``4 * rows`` rows does."""
+    held, waiting, count, parted = [np.zeros(0, np.int64)] * len(names), [], 0, None
     for batch in batches:
         waiting.append([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in names])
         count += batch.num_rows
-        if count >= _ROWS:
+        if count >= rows:
             held, waiting = [np.concatenate(x) for x in zip(held, *waiting)], []
             last = np.flatnonzero(held[0] != held[0][-1])
-            cut = last[-1] + 1 if len(last) else len(held[0]) if len(held[0]) >= 4 * _ROWS else 0
+            cut = last[-1] + 1 if len(last) else len(held[0]) if len(held[0]) >= 4 * rows else 0
             if cut:
-                yield [h[:cut] for h in held]
+                if not len(last):
+                    parted = held[0][0]
+                yield [h[:cut] for h in held], held[0][:cut] == parted
                 held = [h[cut:] for h in held]
             count = len(held[0])
     held = [np.concatenate(x) for x in zip(held, *waiting)]
     if len(held[0]):
-        yield held
+        yield held, held[0] == parted
 
 
-def _candidates(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+def _candidates(batches: Iterator[pa.RecordBatch], radius: int, rows: int = _ROWS) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by bucket. Small buckets give all pairs within the radius; larger ones connect
-    members with the most central texts, and name their members for a second look (b is null)."""
-    for bucket, item, printed in _buckets(batches, ["bucket", "item", "print"]):
+    members with the most central texts, and name their members for a second look (b is null). A
+    bucket that comes in several stretches is a large one in all of them, however few rows the last has."""
+    for (bucket, item, printed), parted in _buckets(batches, ["bucket", "item", "print"], rows):
         printed = printed.view(np.uint64)
         number = np.cumsum(np.r_[True, bucket[1:] != bucket[:-1]]) - 1
-        size = np.bincount(number)[number]
+        size = np.where(parted, _SMALL + 1, np.bincount(number)[number])
         small, a, b = np.flatnonzero((size > 1) & (size <= _SMALL)), [], []
         i, j = close_pairs(number[small], printed[small], radius)
         a.append(small[i])
@@ -369,7 +373,7 @@ def _left_apart(batches: Iterator[pa.RecordBatch], similarity: float, radius: in
             yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
 
 
-def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, bands: int = 30, band_rows: int = 5, radius: int = 24, block_rows: int = 20_000, block_shingles: int = 4_000_000) -> DataFrame:
+def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, bands: int = 30, band_rows: int = 5, radius: int = 24, block_rows: int = 20_000, block_shingles: int = 4_000_000, stretch_rows: int = _ROWS) -> DataFrame:
     """doc_id, component_id of all rows with a doc_id; texts whose shingle sets reach the similarity are linked.
 
     Such texts differ in so few bits of a SimHash of their shingles that no block of useful size
@@ -379,7 +383,8 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5
     texts are compared bit-sliced, and every pair within the radius (5 standard deviations at
     0.8) is verified on its whole shingle sets. Equal texts are one item all the way.
 
-    Members of a large bucket are paired with its most central texts first. Where that leaves a
+    Members of a large bucket are paired with its most central texts first, a bucket of more than
+    four times ``stretch_rows`` texts stretch by stretch. Where that leaves a
     bucket in several components, texts of different ones are compared inside tasks, in blocks of
     at most two chunks of about ``block_rows`` texts or ``block_shingles`` shingles (by hashes of
     ``_HASH_BYTES`` bytes); so every pair of a bucket within the radius is compared or already
@@ -429,7 +434,7 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5
     printed = rows.mapInArrow(run, "doc_id long, key binary, bands binary, print long")
     items = durable(printed.groupBy("key").agg(F.min("doc_id").alias("item"), F.first("bands").alias("bands"), F.first("print").alias("print")))
     dealt = items.select("item", "bands", "print").mapInArrow(banded, "bucket long, item long, print long").repartition(width, "bucket").sortWithinPartitions("bucket", "item")
-    met = durable(dealt.mapInArrow(lambda batches: _candidates(batches, radius), "a long, b long, bucket long, print long"))
+    met = durable(dealt.mapInArrow(lambda batches: _candidates(batches, radius, stretch_rows), "a long, b long, bucket long, print long"))
     pairs = durable(met.where("a <> b").select("a", "b").distinct())
     linked = components(similar(pairs))
 

@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 import tokenizers
@@ -470,6 +471,42 @@ def test_large_buckets_are_decided_in_blocks(spark):
     assert {r.doc_id: r.component_id for r in found} == groups([d for d, _ in rows], linked)
 
 
+def stretched(n, sizes, rows):
+    """Candidates of one bucket of n items that arrive in batches of such sizes, between two small buckets."""
+    bucket, item = [1, 1] + [2] * n + [3, 3], list(range(n + 4))
+    prints = [5, 5] + [(0x9E3779B97F4A7C15 * (i + 1)) % 2**63 for i in range(n)] + [9, 9]
+    batches, at = [], 0
+    for size in itertools.cycle(sizes):
+        if at >= n + 4:
+            break
+        columns = (pa.array(x[at : at + size], pa.int64()) for x in (bucket, item, prints))
+        batches.append(pa.RecordBatch.from_arrays(list(columns), ["bucket", "item", "print"]))
+        at += size
+    found = [r for b in simhash_dedup._candidates(iter(batches), 2, rows) for r in b.to_pylist()]
+    return {r["a"] for r in found if r["b"] is None and r["bucket"] == 2}, {(r["a"], r["b"]) for r in found if r["b"] is not None}
+
+
+@pytest.mark.parametrize("n", range(60, 131))
+def test_buckets_in_stretches_name_all_their_members(n):
+    for sizes in ((16,), (1,), (7, 3), (64,), (500,)):
+        named, pairs = stretched(n, sizes, 16)
+        assert named == set(range(2, n + 2)) and {(1, 0), (n + 3, n + 2)} <= pairs
+
+
+@pytest.mark.parametrize("n", [65, 66, 73, 129])
+def test_copies_in_the_first_and_last_row_of_a_bucket_in_stretches(spark, n):
+    """Texts of one template share bands; near copies stand at both ends of the item order."""
+    rng = random.Random(n)
+    word = lambda: f"{rng.getrandbits(40):x}"
+    template = [word() for _ in range(150)]
+    rows = [(i, " ".join(word() if k % 15 == 0 else w for k, w in enumerate(template))) for i in range(n - 1)]
+    rows.append((n - 1, rows[0][1] + " one more"))
+    found = simhash_dedup.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), stretch_rows=4).collect()
+    linked = [(a, b) for i, (a, s) in enumerate(rows) for b, t in rows[i + 1 :] if simhash_dedup.shingle_similarity(s, t, 5) >= 0.8]
+    assert (0, n - 1) in linked
+    assert {r.doc_id: r.component_id for r in found} == groups([d for d, _ in rows], linked)
+
+
 def test_signatures_meet_as_often_as_they_should():
     """Bands agree with probability s ** 5, so 30 of them find nearly every pair of similarity 0.8."""
     rng, met, n = random.Random(14), 0, 200
