@@ -3,15 +3,18 @@
 A template is aligned with a stretch of a text word by word: equal ends are taken off, words that
 stand once in either are anchors, the longest run of anchors in the same order is kept, and the
 gaps between them are aligned in the same way. The share of the template's words that found a
-partner is its coverage; from ``least`` on the stretch is a finding. Of findings that overlap the
-one with the most aligned words stays.
+partner is its coverage; from ``least`` on the stretch is a finding. Of findings that overlap that
+one stays whose aligned words, less ``PENALTY`` for each template word without a partner and for each
+stretch of other words in between, are the most. Neighbouring licenses differ in a few words, such as
+"Affero" or a version, so the words that name a license (``NAMING``) must stand together, unchanged.
 
 Stretches are one and a half templates long and begin every eighth of a template, over the whole
 text, so a license that a text holds many times is found every time. What lies between complete
 ones is aligned once more as a whole for templates of ``WHOLE`` words or more, so other words may
 stand in the middle of a license, however many; there only runs of ``RUN`` words or more count.
 Where the template word that is rarest there occurs several times, each place is aligned by itself.
-Templates of fewer than ``SHORT`` words, such as tags and one-line notices, must be whole. A text
+Templates of fewer than ``SHORT`` words, one-line notices, must be whole, with no other word in between;
+a version they end with must end there. Every license in the expression after an SPDX tag is a finding. A text
 is split into words only if it could reach the coverage at all: too many of a template's words
 that don't occur anywhere in it rule the template out.
 
@@ -36,10 +39,13 @@ from pyspark.sql import functions as F
 from quantloom.llm.common import small_batches
 
 LEAST = 0.8
-SHORT, WHOLE, RUN = 10, 30, 3
+SHORT, WHOLE, RUN, PENALTY = 12, 30, 3, 2
 _LONG = 300  # words of a template from which looking for each in the text costs more than splitting the text
 FINDINGS = "doc_id long, license string, coverage double, start long, end long, n_words long"
 _WORD = re.compile(r"\w+")
+_MORE_VERSION = re.compile(r"\.(?!0\b)\d")  # 2.1 where a notice ends with 2
+_NAME = re.compile(r"(?<!\w)(?!(?:AND|OR|WITH)\b)[A-Za-z0-9](?:[A-Za-z0-9.-]*[A-Za-z0-9])?(?!\w)\+?")
+_TAG = re.compile(r"(?<!\w)SPDX-License-Identifier:[ \t]*(\(*[A-Za-z0-9][A-Za-z0-9.+-]*(?!\w)\)*(?:[ \t]+(?:AND|OR|WITH)[ \t]+\(*[A-Za-z0-9][A-Za-z0-9.+-]*(?!\w)\)*)*)", re.IGNORECASE)
 
 # Wording of public licence notices.
 NOTICES = {
@@ -47,7 +53,7 @@ NOTICES = {
     "Apache-2.0-header": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
     "MIT": "Released under the MIT License",
     "MIT-text": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.""",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3",
+    "GPL-3.0": "licensed under the GNU General Public License, version 3",
     "GPL-3.0-header": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.""",
     "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.""",
     "ISC": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.""",
@@ -66,6 +72,8 @@ NOTICES = {
     "LGPL-header": """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.""",
     "GPL-2.0-header": """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.""",
     "AGPL-3.0-header": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.""",
+    "LGPL-3.0-header": """This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.""",
+    "LGPL-2.1-header": """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.""",
     "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.""",
     "Zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions""",
     "Unlicense": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.""",
@@ -73,13 +81,30 @@ NOTICES = {
 }
 # Identifiers of the public license list, as tags name them.
 TAGS = "MIT Apache-2.0 BSD-2-Clause BSD-3-Clause ISC GPL-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0 GPL-3.0-only GPL-3.0-or-later LGPL-2.1 LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0 LGPL-3.0-only LGPL-3.0-or-later AGPL-3.0 AGPL-3.0-only AGPL-3.0-or-later MPL-2.0 EPL-2.0 CC0-1.0 CC-BY-4.0 CC-BY-SA-4.0 Unlicense Zlib BSL-1.0 WTFPL 0BSD"
+# The words by which a license names itself, in lower case, of notices and texts that have near neighbours.
+NAMING = {
+    "Apache-2.0-header": ("apache license version 2 0",),
+    "Apache-2.0-full": ("apache license version 2 0",),
+    "GPL-2.0-header": ("gnu general public license", "version 2 of the license"),
+    "GPL-2.0-full": ("gnu general public license version 2",),
+    "GPL-3.0-header": ("gnu general public license", "version 3 of the license"),
+    "GPL-3.0-full": ("gnu general public license version 3",),
+    "AGPL-3.0-header": ("gnu affero general public license", "version 3 of the license"),
+    "LGPL-header": ("gnu lesser general public license", "version 2 1 of the license"),
+    "LGPL-2.1-header": ("gnu lesser general public license", "version 2 1 of the license"),
+    "LGPL-2.1-full": ("gnu lesser general public license version 2 1",),
+    "LGPL-3.0-header": ("gnu lesser general public license", "version 3 of the license"),
+    "LGPL-3.0-full": ("gnu lesser general public license version 3",),
+    "MPL-2.0": ("mozilla public license v 2 0",),
+    "MPL-2.0-full": ("mozilla public license version 2 0",),
+}
+_TAGS = {t.lower(): t for t in TAGS.split()}
 FOLDER = pathlib.Path(__file__).parent / "licenses"
 
 
 def known_texts() -> dict[str, str]:
-    """Notices, tags, and the full texts in the folder ``licenses`` beside this file, by name."""
-    tags = {f"{t}-tag": f"SPDX-License-Identifier: {t}" for t in TAGS.split()}
-    return NOTICES | tags | {f"{f.stem}-full": f.read_text() for f in sorted(FOLDER.glob("*.txt"))}
+    """Notices, and the full texts in the folder ``licenses`` beside this file, by name."""
+    return NOTICES | {f"{f.stem}-full": f.read_text() for f in sorted(FOLDER.glob("*.txt"))}
 
 
 def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
@@ -131,15 +156,27 @@ class Template:
     name: str
     words: list[str]
     rarest_first: list[tuple[str, int]] = field(compare=False)
+    naming: list[list[int]] = field(compare=False)  # of each naming phrase, where it begins and, last, how many words it has
 
     @staticmethod
     def of(name: str, text: str) -> "Template":
-        words = [w.lower() for w in _WORD.findall(text)]
-        return Template(name, words, sorted(Counter(words).items(), key=lambda x: (-len(x[0]), x[0])))
+        words, naming = [w.lower() for w in _WORD.findall(text)], []
+        for phrase in map(str.split, NAMING.get(name, ())):
+            naming.append([i for i in range(len(words)) if words[i : i + len(phrase)] == phrase] + [len(phrase)])
+        return Template(name, words, sorted(Counter(words).items(), key=lambda x: (-len(x[0]), x[0])), naming)
+
+    @property
+    def short(self) -> bool:
+        return len(self.words) < SHORT
 
     def need(self, least: float) -> int:
         """How many words must be found."""
-        return len(self.words) if len(self.words) < SHORT else -int(-least * len(self.words) // 1)
+        return len(self.words) if self.short else -int(-least * len(self.words) // 1)
+
+    def named(self, pairs: list[tuple[int, int]]) -> bool:
+        """Whether each naming phrase stands together, unchanged, in what was aligned."""
+        at = dict(pairs) if self.naming else {}
+        return all(any(at.get(i, -1) >= 0 and all(at.get(i + d) == at[i] + d for d in range(n)) for i in begins) for *begins, n in self.naming)
 
 
 @dataclass(frozen=True)
@@ -149,23 +186,30 @@ class Finding:
     first: int  # words of the text
     last: int
     aligned: int
+    value: int  # aligned words less penalties
+
+    @staticmethod
+    def of(template: Template, pairs: list[tuple[int, int]], begin: int) -> "Finding":
+        gaps = sum(y - x > 1 for (_, x), (_, y) in zip(pairs, pairs[1:]))
+        size, n = len(template.words), len(pairs)
+        return Finding(template.name, n / size, begin + pairs[0][1], begin + pairs[-1][1], n, n - PENALTY * (size - n + gaps))
 
 
 def findings(words: list[str], template: Template, least: float) -> list[Finding]:
     """Stretches of the words that cover the template."""
     size, need = len(template.words), template.need(least)
-    wide, step = size + size // 2 + 1, max(1, size // 8)
+    wide, step = size if template.short else size + size // 2 + 1, max(1, size // 8)
     known, sums = set(template.words), [0]
     for w in words:
         sums.append(sums[-1] + (w in known))
     out = []
-    for begin in range(0, max(1, len(words) - need + 1), step):
+    for begin in range(0, max(1, len(words) - need + 1), 1 if template.short else step):
         end = min(len(words), begin + wide)
         if sums[end] - sums[begin] < need:
             continue
         pairs = align(template.words, words[begin:end])
-        if len(pairs) >= need:
-            out.append(Finding(template.name, len(pairs) / size, begin + pairs[0][1], begin + pairs[-1][1], len(pairs)))
+        if len(pairs) >= need and template.named(pairs):
+            out.append(Finding.of(template, pairs, begin))
     if size >= WHOLE:
         at = 0
         for f in [*_best([f for f in out if f.aligned == size]), None]:
@@ -177,9 +221,9 @@ def findings(words: list[str], template: Template, least: float) -> list[Finding
 
 
 def _best(found: list[Finding]) -> list[Finding]:
-    """Of findings that overlap the one with the most aligned words, then the shortest; in the order of the text."""
+    """Of findings that overlap that of the highest value, then the shortest; in the order of the text."""
     kept: list[Finding] = []
-    for f in sorted(found, key=lambda f: (-f.aligned, -f.coverage, f.last - f.first, f.first, f.license)):
+    for f in sorted(found, key=lambda f: (-f.value, -f.coverage, f.last - f.first, f.first, f.license)):
         if all(f.last < k.first or f.first > k.last for k in kept):
             kept.append(f)
     return sorted(kept, key=lambda f: f.first)
@@ -204,8 +248,8 @@ def interrupted(words: list[str], lo: int, hi: int, template: Template, need: in
             else:
                 runs.append([p])
         kept = [p for run in runs if len(run) >= RUN for p in run]
-        if len(kept) >= need:
-            out.append(Finding(template.name, len(kept) / len(template.words), a + kept[0][1], a + kept[-1][1], len(kept)))
+        if len(kept) >= need and template.named(kept):
+            out.append(Finding.of(template, kept, a))
     return out
 
 
@@ -219,6 +263,21 @@ def _cut(words: list[str], i: int, j: int, before: set[str], after: set[str]) ->
     return at
 
 
+def tagged(text: str) -> list[tuple[str, int, int]]:
+    """Known licenses in the expressions after SPDX tags, with the place of each; that of the first includes the tag.
+
+    A trailing + means "or later".
+    """
+    out = []
+    for tag in _TAG.finditer(text):
+        for n, m in enumerate(_NAME.finditer(text, *tag.span(1))):
+            plain, before = m[0].lower().rstrip("+"), text[tag.start(1) : m.start()].rstrip().upper()
+            name = _TAGS.get(f"{plain}-or-later" if m[0].endswith("+") else plain) or _TAGS.get(plain)
+            if name and not before.endswith("WITH"):
+                out.append((name, m.start() if n else tag.start(), m.start() + len(plain)))
+    return out
+
+
 def scan_text(text: str, templates: list[Template], least: float = LEAST) -> list[tuple[str, float, int, int, int]]:
     """license, coverage, start, end (code points, end exclusive), aligned words of the findings of a text, by start."""
     low, met = text.lower(), {}
@@ -250,7 +309,12 @@ def scan_text(text: str, templates: list[Template], least: float = LEAST) -> lis
                 break
         else:
             split()
-            found += findings(words, template, least)
+            own = findings(words, template, least)
+            found += [f for f in own if not (template.short and _MORE_VERSION.match(text, spots[f.last].end()))]
+    if "spdx" in low:
+        split()
+        starts, ends = {m.start(): i for i, m in enumerate(spots)}, {m.end(): i for i, m in enumerate(spots)}
+        found += [Finding(f"{name}-tag", 1.0, starts[a], ends[b], len(_WORD.findall(text, a, b)), len(words)) for name, a, b in tagged(text)]
     return [(f.license, f.coverage, spots[f.first].start(), spots[f.last].end(), f.aligned) for f in _best(found)]
 
 

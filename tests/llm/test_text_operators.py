@@ -617,10 +617,74 @@ def test_license_findings(spark):
         assert max(found, key=lambda f: f[4])[1:3] == (1.0, len("Intro words. ") + re.search(r"\w", notice).start()), name
         if name not in ("BSD-2-Clause",):  # the beginning of another
             assert max(found, key=lambda f: f[4])[0] == name
+    assert license_scan.scan_text("Licensed under the Apache License, Version 2.0.", every)[0][0] == "Apache-2.0"
     assert [f[0] for f in license_scan.scan_text("// SPDX-License-Identifier: BSD-3-Clause\nint x;", every)] == ["BSD-3-Clause-tag"]
     assert license_scan.scan_text("SPDX-License-Identifier: BSD-4-Clause", every) == []
 
 
+LINES = {
+    "This work is licensed under the GNU General Public License, version 2": ["GPL-2.0"],
+    "This work is licensed under the GNU General Public License, version 2.1": [],
+    "This work is licensed under the GNU General Public License, version 3": ["GPL-3.0"],
+    "This work is licensed under the GNU Affero General Public License, version 3": ["AGPL-3.0"],
+    "This work is licensed under the GNU Affero General Public License, version 2": [],
+    "This work is licensed under the GNU Lesser General Public License, version 3": ["LGPL-3.0"],
+    "This work is licensed under the GNU Lesser General Public License, version 2.1": ["LGPL-2.1"],
+    "This work is licensed under the GNU Other General Public License, version 3": [],
+    "Licensed under the Apache License, Version 2.0": ["Apache-2.0"],
+    "Licensed under the Apache License, Version 1.1": [],
+    "Licensed under CC BY-SA 4.0": ["CC-BY-SA-4.0"],
+    "Licensed under CC BY-ND 4.0": [],
+    "Licensed under CC BY 4.0": ["CC-BY-4.0"],
+    "SPDX-License-Identifier: Apache-2.0 OR MIT": ["Apache-2.0-tag", "MIT-tag"],
+    "SPDX-License-Identifier: (MIT AND BSD-3-Clause) OR GPL-2.0-only WITH Classpath-exception-2.0\nMIT": ["MIT-tag", "BSD-3-Clause-tag", "GPL-2.0-only-tag"],
+    "SPDX-License-Identifier: GPL-2.0+ or later": ["GPL-2.0-or-later-tag"],
+    "SPDX-License-Identifier: BSD-4-Clause AND mit, XSPDX-License-Identifier: ISC, SPDX-License-Identifier: MIT_x": ["MIT-tag"],
+}
+
+
+@pytest.mark.parametrize("line", LINES)
+def test_license_lines_name_the_right_license(line):
+    every = [license_scan.Template.of(*x) for x in license_scan.known_texts().items()]
+    found = license_scan.scan_text(f"Some words. {line}. More words.", every)
+    assert [f[0] for f in found] == LINES[line]
+    assert all(f[1] == 1.0 for f in found)
+
+
+def test_license_headers_with_one_word_changed_name_the_right_license():
+    """Neighbours: any word of one may be another; where that word is one of its name, no other license is named."""
+    known = license_scan.known_texts()
+    every = [license_scan.Template.of(*x) for x in known.items()]
+    near = ["GPL-2.0-header", "GPL-3.0-header", "AGPL-3.0-header", "LGPL-3.0-header", "LGPL-2.1-header", "BSD-2-Clause", "BSD-3-Clause", "MIT-text", "Apache-2.0-header", "MPL-2.0"]
+    for name in near:
+        assert [f[0] for f in license_scan.scan_text(known[name], every)] == [name]
+        words = known[name].split()
+        for i in range(len(words)):
+            found = license_scan.scan_text(" ".join(words[:i] + ["changed"] + words[i + 1 :]), every)
+            assert {f[0] for f in found} <= {name}, (name, words[i])
+            naming = " ".join(license_scan.NAMING.get(name, ()))
+            assert found or words[i].strip(",;.()").lower() in naming or "." in words[i], (name, words[i])
+    header = known["GPL-3.0-header"]
+    for text, want in ((header.replace("GNU", "GNU Affero"), {"AGPL-3.0-header"}), (header.replace("GNU", "GNU Other"), set()), (header.replace("version 3", "version 4"), set()), (header.replace("version 3", "version 2"), {"GPL-2.0-header"})):
+        assert {f[0] for f in license_scan.scan_text(text, every)} == want
+    lesser = known["GPL-3.0-header"].replace("GNU", "GNU Lesser").replace("program", "library")
+    assert {f[0] for f in license_scan.scan_text(lesser, every)} == {"LGPL-3.0-header"}
+
+
+def test_naming_phrases_stand_in_their_texts():
+    for name, text in license_scan.known_texts().items():
+        assert all(len(places) > 1 for places in license_scan.Template.of(name, text).naming), name
+    assert set(license_scan.NAMING) <= set(license_scan.known_texts())
+
+
+def test_full_licenses_are_told_apart():
+    every = [license_scan.Template.of(*x) for x in license_scan.known_texts().items()]
+    full = license_scan.known_texts()["GPL-3.0-full"]
+    assert max(license_scan.scan_text(full, every), key=lambda f: f[4])[0] == "GPL-3.0-full"
+    other = full.replace("GNU General Public License", "GNU Affero General Public License").replace("GNU GENERAL PUBLIC LICENSE", "GNU AFFERO GENERAL PUBLIC LICENSE")
+    assert "GPL-3.0-full" not in {f[0] for f in license_scan.scan_text(other, every)}
+
+
 def test_license_with_other_words_in_the_middle(spark):
     """Any number of them, also where the license stands twice."""
     rng = random.Random(9)
