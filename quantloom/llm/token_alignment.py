@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 from quantloom.llm.best_fit_packing import _tokenizer
 from quantloom.llm.common import shared_folder, small_batches
 
-BLOCK_BYTES = 8 << 20
-PARTS_KEPT, LONG_PART, TOGETHER = 400_000, 200, 1000  # of a worker's table: parts, characters of one, parts encoded together
+BLOCK_BYTES = 4 << 20
+PARTS_KEPT, LONG_PART, TOGETHER = 200_000, 200, 1000  # of a worker's table: parts, characters of one, parts encoded together
 MARK = "▁"
 SINGLE_SPACES, OTHER_SPACES = re.compile(r"(?<=\S) (?=\S)"), re.compile(r"\s | \s|^\s|\s\Z")
 _DOC = ("doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256")
@@ -185,25 +185,28 @@ class Block:
         self.aligner, self.size = aligner, 0
         self.numbers: dict[str, int] = {}
         self.found: list[Part | None] = []
+        self.groups: list[str] = []
         self.lost: set[int] = set()  # parts without tokens
         self.rows: list[tuple] = []  # doc_id, digest
         self.parts: list[np.ndarray] = []
 
     def add(self, doc_id: int | None, text: str | None) -> None:
         self.size += len(text or "") + 64
-        numbers, parts = self.numbers, parts_of(text) if text else []
-        if fresh := [p for p in dict.fromkeys(parts) if p not in numbers]:
+        numbers, groups, parts, digest = self.numbers, self.groups, parts_of(text) if text else [], ""
+        own = list(map(numbers.get, parts))
+        if None in own:
+            fresh = list(dict.fromkeys([p for p, i in zip(parts, own) if i is None]))
             at = range(len(numbers), len(numbers) + len(fresh))
             numbers.update(zip(fresh, at))
             met = self.aligner.parts(fresh)
             self.found += met
             self.lost.update(i for i, p in zip(at, met) if p is None)
-        own, digest = [numbers[p] for p in parts], ""
+            groups += [p.groups if p else "" for p in met]
+            own = list(map(numbers.__getitem__, parts))
         if self.lost and not self.lost.isdisjoint(own):
             own = []
         if own:
-            found = self.found
-            digest = hashlib.sha256(";".join([found[i].groups for i in own]).encode()).hexdigest()
+            digest = hashlib.sha256(";".join(map(groups.__getitem__, own)).encode()).hexdigest()
         self.rows.append((doc_id, digest))
         self.parts.append(np.array(own, np.int64))
 
