@@ -7,8 +7,8 @@ still offer is below its k-th score: no unseen vector can then enter, not even b
 
 Defined cases: vectors that are null or hold null or non-finite components take no part, neither
 does a null id; a shorter vector counts as padded with zeros; rows that share the query's id are
-its own; fewer candidates than k give all of them; an empty table gives no rows; other columns
-are ignored. Scores beyond 64 bits are cut to the range of a long.
+its own; rows repeated under a query's id are queries each, their hits ranked together under that
+id; fewer candidates than k give all of them; an empty table gives no rows; other columns are ignored. Scores beyond 64 bits are cut to the range of a long.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.vector_blocks import BLOCK_ROWS, best_first, blocks, read_block, same_width, search, usable
+from quantloom.llm.vector_blocks import BLOCK_ROWS, best_first, blocks, read_block, same_width, search, usable, written
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,7 +78,7 @@ def exact_topk(table: DataFrame, is_query, k: int = 10, scale: int = 1024, id_:
     """
     rows = usable(table, id_, vector).withColumn("vector", F.transform("vector", lambda x: _floor(x * F.lit(float(scale)))))
     shards = blocks(rows, BLOCK_ROWS).mapInArrow(_index, "n long, ids binary, vectors binary, lists binary")
-    return search(shards, rows.where(is_query), lambda row, ids, vectors: _one_pair(row, ids, vectors, k), k, "long")
+    return search(written(shards), rows.where(is_query), lambda row, ids, vectors: _one_pair(row, ids, vectors, k), k, "long")
 
 
 def _floor(x):

@@ -71,15 +71,19 @@ def read_block(n: int, ids: bytes, vectors: bytes) -> tuple[np.ndarray, np.ndarr
     return np.frombuffer(ids, "<i8"), np.frombuffer(vectors, "<f8").reshape(n, -1)
 
 
-def search(shards: DataFrame, queries: DataFrame, one_pair: Callable, k: int, score_type: str) -> DataFrame:
+def written(shards: DataFrame) -> DataFrame:
+    """The shards, written once, with a number ``_at`` each."""
+    return durable(shards.withColumn("_at", F.monotonically_increasing_id()))
+
+
+def search(numbered: DataFrame, queries: DataFrame, one_pair: Callable, k: int, score_type: str) -> DataFrame:
     """query_id, rank, vec_id, score: the k best of all shards for each query.
 
-    ``one_pair(shard row, query ids, query vectors)`` gives arrays query id, vector id, score.
-    Both sides are written once. Shards are dealt into as many groups as there are shards, and
+    ``numbered``: shards as ``written`` gives them. ``one_pair(shard row, query ids, query
+    vectors)`` gives arrays query id, vector id, score. Both sides are written once. Shards are dealt into as many groups as there are shards, and
     every query block goes to each group once, by an equi-join on the group's number; hits grow
     with queries times shards, at most k each.
     """
-    numbered = durable(shards.withColumn("_at", F.monotonically_increasing_id()))
     n = max(1, numbered.count())
     dealt = numbered.withColumn("_group", F.pmod(F.xxhash64("_at"), F.lit(n)))
     asked = durable(blocks(queries, QUERY_ROWS)).select(*(F.col(c).alias(f"q_{c}") for c in ("n", "ids", "vectors")), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("_group"))

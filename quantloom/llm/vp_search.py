@@ -10,10 +10,15 @@ is faster and may miss some.
 All queries of a block walk the tree together. Hits are scored anew on the original vectors in
 double precision.
 
+How much a factor may miss hangs on the vectors: on clusters little, where all distances are about
+the same much. So the factor is chosen for each table, by the recall that some factors reach
+against exact search on a few of its shards and queries; the trees hold every row.
+
 Defined cases: vectors that are null, zero or hold null or non-finite components take no part,
 neither does a null id; a shorter vector counts as padded with zeros; rows that share the query's
 id are its own; fewer candidates than k give all of them; of equal vectors in a shard those with
-the smallest ids are found; an empty table gives no rows; other columns are ignored.
+the smallest ids are found; rows repeated under a query's id are queries each, their hits ranked
+together under that id; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,12 +27,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantloom.llm.vector_blocks import BLOCK_ROWS, best_first, blocks, read_block, same_width, search, usable
+from quantloom.llm.common import durable
+from quantloom.llm.vector_blocks import BLOCK_ROWS, best_first, blocks, read_block, same_width, search, usable, written
 
 LEAF = 64
+FACTORS = (1.0, 1.5, 2.0, 2.5, 3.0, 3.5, 4.0, 4.5, 5.0, 5.5, 6.0, 6.5, 7.0, 8.0, 10.0, 13.0)
+TRIAL_SHARDS, TRIAL_QUERIES = 8, 128
 _SLACK = 1e-9
 TREE = "n long, ids binary, vectors binary, vantage binary, ranges binary"
 
@@ -147,11 +155,52 @@ def _one_pair(row: dict, query_ids: np.ndarray, queries: np.ndarray, k: int, fac
     return best_first(query_ids[which[own]], walk.ids[rows[own]], products[own], k)
 
 
-def nearest(table: DataFrame, is_query, k: int = 20, factor: float = 6.5, id_: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id, score: the k largest inner products found for each query.
+def recalls(numbered: DataFrame, queries: DataFrame, k: int) -> dict[float, float]:
+    """Recall of some factors, measured against exact search on a bounded sample.
 
-    ``is_query``: a condition on the column ``id``. ``factor``: 1 is exact, more prunes more.
+    The sample is ``TRIAL_SHARDS`` shards and ``TRIAL_QUERIES`` queries, those with the smallest hashes of their
+    numbers; its exact answer is that of factor one. With no more shards and queries than that, it is all there is.
+    """
+    some = [r["_at"] for r in numbered.select("_at").orderBy(F.xxhash64("_at"), "_at").limit(TRIAL_SHARDS).collect()]
+    asked = blocks(queries.orderBy(F.xxhash64("id"), "id").limit(TRIAL_QUERIES), TRIAL_QUERIES).collect()
+    asked = [read_block(*row) for row in asked]
+    shards = numbered.where(F.col("_at").isin(some)).repartition(max(1, len(some)), "_at").drop("_at")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
+                for factor in FACTORS:
+                    for ids, vectors in asked:
+                        found = _one_pair(row, ids, vectors, k, factor)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found[0]), factor)), *(pa.array(x) for x in found)], ["factor", "query_id", "vec_id", "score"])
+
+    hits = durable(shards.mapInArrow(run, "factor double, query_id long, vec_id long, score double"))
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    exact = hits.where("factor = 1").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "vec_id").distinct()
+    met = hits.select("factor", "query_id", "vec_id").distinct().join(exact, ["query_id", "vec_id"]).groupBy("factor").count()
+    found = {r["factor"]: r["count"] for r in met.collect()}
+    return {f: found.get(f, 0) / max(1, found.get(1.0, 0)) for f in FACTORS}
+
+
+def choose(measured: dict[float, float], recall: float) -> float:
+    """The largest factor up to which all reach the recall."""
+    chosen = 1.0
+    for factor in sorted(measured):
+        if measured[factor] < recall:
+            break
+        chosen = factor
+    return chosen
+
+
+def nearest(table: DataFrame, is_query, k: int = 20, factor: float | None = None, recall: float = 0.95, id_: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """query_id, rank, vec_id, score, factor: the k largest inner products found for each query.
+
+    ``is_query``: a condition on the column ``id``. ``factor``: 1 is exact, more prunes more; None chooses
+    the largest that reaches ``recall`` on a sample of this table.
     """
     rows = usable(table, id_, vector).where(F.exists("vector", lambda x: x != 0))
-    shards = blocks(rows, BLOCK_ROWS).mapInArrow(_index, TREE)
-    return search(shards, rows.where(is_query), lambda row, ids, vectors: _one_pair(row, ids, vectors, k, factor), k, "double")
+    shards = written(blocks(rows, BLOCK_ROWS).mapInArrow(_index, TREE))
+    queries = rows.where(is_query)
+    used = choose(recalls(shards, queries, k), recall) if factor is None else factor
+    return search(shards, queries, lambda row, ids, vectors: _one_pair(row, ids, vectors, k, used), k, "double").withColumn("factor", F.lit(float(used)))
