@@ -8,15 +8,27 @@ from pyspark.sql import functions as F
 from quantloom.functions.math import hash_uniform
 
 
-def asof_join(left: DataFrame, right: DataFrame, keys: list[str], columns: list[str], ts: str = "ts") -> DataFrame:
-    """Each left row with the latest right row of its keys at or before its time; one of equal times takes part.
+def asof_join(left: DataFrame, right: DataFrame, keys: list[str], columns: list[str], ts: str = "ts", span: str = "month", strict: bool = False) -> DataFrame:
+    """Each left row with the latest right row of its keys at or before its time (``strict``: before it); of equal times the greatest takes part.
 
-    Both sides go through one window, so there is one shuffle by the keys and no range join.
+    Time is cut into ranges of one ``span`` (a unit of date_trunc), and rows meet within (keys, range), so no task
+    holds all of a key, and there may be no keys at all. The last right row of each range is carried on to
+    the ranges behind it by a window that has one row a range. A left row without a time finds nothing.
     """
-    latest = right.groupBy(*keys, ts).agg(F.max(F.struct(*columns)).alias("_r"))
-    both = left.withColumns({"_left": F.lit(True), "_r": F.lit(None).cast(latest.schema["_r"].dataType)}).unionByName(latest.withColumn("_left", F.lit(False)), allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy(ts, "_left").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("_r", F.last("_r", True).over(w)).where("_left").select(*left.columns, *(F.col(f"_r.{c}").alias(c) for c in columns))
+    within = F.date_trunc(span, ts).cast("timestamp_ntz")
+    first, second = (2, 1) if strict else (1, 2)  # of a right and a left row of one time
+    latest = right.where(F.col(ts).isNotNull()).groupBy(*keys, ts).agg(F.max(F.struct(*columns)).alias("_r")).withColumn("_range", within)
+    kind = latest.schema["_r"].dataType
+    ranges = left.select(*keys, within.alias("_range"), F.lit(None).cast(kind).alias("_r")).distinct()
+    ends = latest.groupBy(*keys, "_range").agg(F.max_by("_r", ts).alias("_r")).unionByName(ranges).groupBy(*keys, "_range").agg(F.first("_r", True).alias("_r"))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.withColumn("_r", F.last("_r", True).over(before)).where("_r IS NOT NULL").withColumn("_side", F.lit(0))
+    both = left.withColumns({"_range": within, "_side": F.lit(second), "_r": F.lit(None).cast(kind)})
+    for rows in (latest.withColumn("_side", F.lit(first)), carried):
+        both = both.unionByName(rows, allowMissingColumns=True)
+    running = Window.partitionBy(*keys, "_range").orderBy(F.col("_side") > 0, ts, "_side").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("_r", F.last("_r", True).over(running)).where(F.col("_side") == second)
+    return found.select(*left.columns, *(F.col(f"_r.{c}").alias(c) for c in columns))
 
 
 def block_shuffle(bars: DataFrame, n: int, block: int = 20, seed: int = 42) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions.math import hash_uniform
+from quantloom.operators.align import asof_join
 
 
 def curve_returns(curves: DataFrame, key: str, value: str, order: str = "ts") -> DataFrame:
@@ -86,6 +87,38 @@ def portfolio_curve(curves: DataFrame, key: str, weights: DataFrame, order: str
     return grown.withColumn("equity", F.exp("log_equity")).drop("_month", "_before")
 
 
+def rebalanced(curves: DataFrame, key: str, weights: DataFrame, every: str = "month", cost: float = 0.002, order: str = "ts", span: str = "month") -> DataFrame:
+    """Growth of one unit dealt out by the weights and dealt out anew at the end of every month (or other unit of date_trunc).
+
+    Gives order, segment, log_equity, equity; and turnover and cost (a share of equity) where it was dealt out
+    anew, null elsewhere. Between those times the weights drift. Turnover is the sum of changes of weight,
+    and ``cost`` of it is paid out of what the next segment begins with; nothing is dealt out at the very end.
+    A curve without a value at a time keeps its last one; times before all curves have begun don't count.
+
+    Segments grow side by side; only one row a segment goes through a single task.
+    """
+    values = curves.select(key, order, F.col("equity").cast("double").alias("equity")).where("equity > 0").join(weights.select(key), key, "left_semi")
+    begun = values.groupBy(key).agg(F.min(order).alias("_t")).agg(F.max("_t").alias("_begun"))  # one row
+    times = values.select(order).distinct().crossJoin(F.broadcast(begun)).where(F.col(order) >= F.col("_begun")).drop("_begun")
+    held = asof_join(times.crossJoin(weights.select(key, F.col("weight").cast("double").alias("weight"))), values, [key], ["equity"], order, span)
+    held = held.withColumn("segment", F.date_trunc(every, order).cast("timestamp_ntz"))
+
+    ends = held.groupBy(key, "weight", "segment").agg(F.max_by("equity", order).alias("_end"), F.min_by("equity", order).alias("_start"), F.max(order).alias("_last"))
+    base = F.coalesce(F.lag("_end").over(Window.partitionBy(key).orderBy("segment")), F.col("_start"))
+    based = ends.withColumn("_base", base)
+    mixed = held.join(based.select(key, "segment", "_base"), [key, "segment"]).groupBy("segment", order).agg(F.sum(F.col("weight") * F.col("equity") / F.col("_base")).alias("_grown"))
+
+    drift = based.withColumn("_part", F.col("weight") * F.col("_end") / F.col("_base"))
+    whole = drift.groupBy("segment").agg(F.sum("_part").alias("_whole"), F.max("_last").alias("_last"))
+    turned = drift.join(whole.select("segment", "_whole"), "segment").groupBy("segment").agg(F.sum(F.abs(F.col("_part") / F.col("_whole") - F.col("weight"))).alias("_turnover"))
+    by = Window.orderBy("segment")  # one row a segment
+    kept = F.ln("_whole") + F.ln(1 - cost * F.col("_turnover"))
+    segments = whole.join(turned, "segment").select("segment", "_last", "_turnover", F.coalesce(F.sum(kept).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("_before"), F.lead("segment").over(by).isNull().alias("_final"))
+    grown = mixed.join(segments, "segment").withColumn("log_equity", F.col("_before") + F.ln("_grown"))
+    anew = (F.col(order) == F.col("_last")) & ~F.col("_final")
+    return grown.select(order, "segment", "log_equity", F.exp("log_equity").alias("equity"), F.when(anew, F.col("_turnover")).alias("turnover"), F.when(anew, cost * F.col("_turnover")).alias("cost"))
+
+
 def harmonic(n: Column) -> Column:
     """1 + 1/2 + ... + 1/n: added up for small n, else by its expansion, whose error is under 1e-10."""
     few = [0.0]

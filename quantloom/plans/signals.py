@@ -9,14 +9,17 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.functions.math import nearly_equal, protected_div, protected_log, protected_power, protected_sqrt
 from quantloom.functions.windows import KEYS, lag
+from quantloom.operators.align import asof_join
 from quantloom.operators.registry import IndicatorError, Registry, default_registry
 from quantloom.plans.ir import Node, StrategyError, StrategyIR
+from quantloom.sources.bars import resample
 
 # The names of comparisons, and signals by action.
 COMPARE = {"GT": ("GT", "GREATER_THAN"), "LT": ("LT", "LESS_THAN"), "EQ": ("EQ", "EQUAL", "EQUALS"), "GE": ("GTE", "GE", "GREATER_EQUAL"), "LE": ("LTE", "LE", "LESS_EQUAL"), "NE": ("NEQ", "NE", "NOT_EQUAL", "NOT_EQUALS")}
@@ -28,10 +31,24 @@ def bind(ir: StrategyIR, bars: DataFrame, registry: Registry | None = None) -> t
     """Bars with the indicators of the graph, and the column of each indicator node.
 
     A name that is a column already (IND_<name> first, then <name>) stays that column; one that
-    is neither column nor indicator is zero, as node without a column.
+    is neither column nor indicator is zero, as node without a column. A node with a ``timeframe`` (minutes)
+    looks at bars of that timeframe, made from these: each bar sees the last one that has closed by its time.
     """
     registry, made, columns = registry or default_registry(), {}, {}
     for node in ir.indicators():
+        if minutes := node.params.get("timeframe"):
+            key = f"{minutes}m" + node.name.upper() + json.dumps(node.params, sort_keys=True)
+            if key not in made:
+                coarse = resample(bars, int(minutes))
+                plain = replace(node, params={k: v for k, v in node.params.items() if k != "timeframe"})
+                wide, found = bind(StrategyIR("coarse", [plain]), coarse, registry)
+                if node.id not in found:
+                    continue
+                made[key] = f"_ind{len(made)}"
+                known = wide.select("symbol", (F.col("ts") + F.expr(f"INTERVAL {int(minutes)} MINUTES")).alias("ts"), F.col(found[node.id]).alias(made[key]))
+                bars = asof_join(bars, known, ["symbol"], [made[key]])
+            columns[node.id] = made[key]
+            continue
         own = next((c for c in (f"IND_{node.name}", node.name) if c in bars.columns), None)
         if own is None:
             name = node.name.upper().removeprefix("IND_")

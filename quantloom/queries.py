@@ -197,9 +197,9 @@ def bar_quality(spark, d):
 @query
 def asof_join(spark, d):
     """Hourly bars with the latest purchase bar before them."""
-    b = hourly(spark, d).withColumn("k", F.lit(1))
-    board = b.where("symbol = 'purchase'").select("k", "ts", F.col("close").alias("board_close"))
-    return rounded(align.asof_join(b.where("symbol <> 'purchase'").select("k", "symbol", "ts", "close"), board, ["k"], ["board_close"]).drop("k"))
+    b = hourly(spark, d)
+    board = b.where("symbol = 'purchase'").select("ts", F.col("close").alias("board_close"))
+    return rounded(align.asof_join(b.where("symbol <> 'purchase'").select("symbol", "ts", "close"), board, [], ["board_close"], span="day"))
 
 
 def factored(spark, d):
@@ -876,6 +876,9 @@ def codegen_sources(spark, d):
     return spark.createDataFrame([(t, codegen.generate(ir, t)) for t in codegen.TARGETS], "target string, source string")
 
 
+from quantloom import oracles_market, queries_market  # noqa: E402, F401  they register themselves
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
