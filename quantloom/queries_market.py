@@ -10,6 +10,7 @@ from quantloom.plans.ir import Edge, Node, StrategyIR, cross_strategy
 from quantloom.plans.signals import with_signal
 from quantloom.queries import daily, hourly, query, rounded
 from quantloom.sources import bars as bar_sources
+from quantloom.sources import store
 
 
 def corporate_events(spark, d) -> DataFrame:
@@ -64,3 +65,34 @@ TWO_TIMEFRAMES = StrategyIR(
 def ir_signal_two_timeframes(spark, d):
     """Hourly bars that also look at the last day that has closed."""
     return with_signal(TWO_TIMEFRAMES, hourly(spark, d)).select("symbol", "ts", "signal")
+
+
+def keyed_store(spark, d) -> store.BarStore:
+    """A store with daily bars inserted in three overlapping parts, and some of them corrected."""
+    b, own = daily(spark, d), store.BarStore(spark, store.scratch(spark))
+    own.insert(b.where("ts < TIMESTAMP_NTZ'1996-06-15'"), "D1")
+    own.insert(b.where("ts >= TIMESTAMP_NTZ'1995-01-10'"), "D1")
+    own.insert(b.where("ts >= TIMESTAMP_NTZ'1995-01-10'"), "D1")
+    own.insert(b.where(F.dayofmonth("ts") == 10).withColumns({"close": F.col("close") + 1, "high": F.col("high") + 1}), "D1")
+    return own
+
+
+@query
+def store_upsert(spark, d):
+    """What a store holds after bars were inserted twice, corrected and deleted."""
+    own = keyed_store(spark, d)
+    own.delete("2-HIGH", "D1", "1994-03-10", "1995-09-20")
+    return rounded(own.rows().drop("tier"))
+
+
+@query
+def store_tiers(spark, d):
+    """Bars by tier and timeframe, after months have moved to colder tiers twice, and a late correction has brought some back."""
+    own = keyed_store(spark, d)
+    own.insert(hourly(spark, d), "H1")
+    own.retier("1997-03-01")
+    own.retier("1999-01-01")
+    own.insert(daily(spark, d).where("ts BETWEEN TIMESTAMP_NTZ'1992-05-01' AND TIMESTAMP_NTZ'1992-06-30'"), "D1")
+    own.retier("1999-02-01")
+    kept = own.rows()
+    return rounded(kept.groupBy("timeframe", "tier").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.sum("close").alias("closes")), 3)
