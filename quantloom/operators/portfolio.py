@@ -159,6 +159,14 @@ def parameter_summary(figures: DataFrame, keys: list[str], metric: str) -> DataF
     return one.withColumn("best_to_median", F.col("best") - F.col("median"))
 
 
+def permutation_summary(figures: DataFrame, keys: list[str]) -> DataFrame:
+    """The system over executed permutations of its parameters: medians, mean and deviation of profit, shares of gains."""
+    median = lambda c: F.percentile(c, F.lit(0.5))
+    share = lambda c: 100 * F.avg(F.when(F.col(c) > 0, 1.0).otherwise(0.0))
+    medians = (median(c).alias(f"median_{c}") for c in ("net_profit", "sharpe_ratio", "max_drawdown_pct", "profit_factor", "return_on_drawdown"))
+    return figures.groupBy(*keys).agg(F.count("*").alias("n"), *medians, F.avg("net_profit").alias("mean_net_profit"), F.stddev_pop("net_profit").alias("std_net_profit"), share("net_profit").alias("profitable_pct"), share("sharpe_ratio").alias("sharpe_positive_pct"))
+
+
 def optimization_profile(figures: DataFrame, keys: list[str], metric: str, order: str = "combo_idx") -> DataFrame:
     """How even the grid is: mean, deviation, share of gains, and share of neighbours between which the sign changes."""
     w = Window.partitionBy(*keys).orderBy(order)

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from itertools import product
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions.windows import roll
+from quantloom.operators import parzen
 from quantloom.operators.backtest import BacktestConfig, evaluate
 from quantloom.operators.generate import evaluate_all
 from quantloom.operators.rules import RuleChain
@@ -38,21 +38,6 @@ def grid(spark: SparkSession, values: dict[str, list], most: int | None = None)
     return table if most is None or len(rows) <= most else table.orderBy(F.md5(F.col("combo_idx").cast("string").cast("binary"))).limit(most)
 
 
-def latin_hypercube(space: Space, n: int, seed: int = 42) -> list[dict]:
-    """n parameter sets that use each of n strata of every parameter once."""
-    import random
-
-    rng, columns = random.Random(seed), {}
-    for name, (kind, *ends) in space.items():
-        strata = rng.sample(range(n), n)
-        if kind == "categorical":
-            columns[name] = [ends[0][s * len(ends[0]) // n] for s in strata]
-        else:
-            points = [ends[0] + (ends[1] - ends[0]) * (s + rng.random()) / n for s in strata]
-            columns[name] = [round(p) for p in points] if kind == "int" else points
-    return [dict(zip(columns, row)) for row in zip(*columns.values())]
-
-
 def detect_space(params: dict[str, float]) -> Space:
     """From half to twice and one more of every number."""
     return {k: ("int", max(1, v // 2), 2 * v + 1) if isinstance(v, int) else ("float", v * 0.5, v * 2 + 1) for k, v in params.items() if isinstance(v, (int, float)) and not isinstance(v, bool)}
@@ -67,6 +52,26 @@ def cross_signals(bars: DataFrame, pairs: list[tuple[int, int]]) -> DataFrame:
     return averaged.withColumn("signals", signals).drop(*(f"_sma{p}" for p in periods))
 
 
+def cross_runs(bars: DataFrame, runs: DataFrame, periods: range) -> DataFrame:
+    """Bars with rule flags and ``signals``, an entry for each row of ``runs`` (sample_id from 0, fast, slow: whole numbers in ``periods``).
+
+    Runs are data: every average is computed once, and the plan is the same for any number of them.
+    """
+    checked = RuleChain().apply(bars)
+    means = F.array(*(roll(F.avg, F.col("close"), p) for p in periods))
+    listed = runs.agg(F.array_sort(F.collect_list(F.struct("sample_id", F.col("fast").cast("int").alias("fast"), F.col("slow").cast("int").alias("slow")))).alias("_runs"))  # one row; each bar gets as many signals
+    mean = lambda n: F.get("_means", n - periods.start)
+    above = lambda run: F.when(F.coalesce(mean(run["fast"]) > mean(run["slow"]), F.lit(False)), 1).otherwise(-1)
+    return checked.withColumn("_means", means).crossJoin(F.broadcast(listed)).withColumn("signals", F.transform("_runs", above)).drop("_means", "_runs")
+
+
+def permuted(bars: DataFrame, space: Space, n: int, seed: int = 42, config: BacktestConfig = BacktestConfig()) -> DataFrame:
+    """Figures of moving-average strategies with n pairs of periods from a Latin hypercube over the space of ``fast`` and ``slow``."""
+    runs = parzen.latin_hypercube(bars.sparkSession, space, n, seed)
+    ends = [e for kind, *ends in (space["fast"], space["slow"]) for e in ends]
+    return evaluate(cross_runs(bars, runs, range(min(ends), max(ends) + 1)), config)
+
+
 def _named(figures: DataFrame, pairs: list[tuple[int, int]]) -> DataFrame:
     fast, slow = (F.element_at(F.array(*(F.lit(p[i]) for p in pairs)), F.col("combo_idx") + 1) for i in (0, 1))
     return figures.withColumns({"fast": fast, "slow": slow})
@@ -136,39 +141,3 @@ def wfo_matrix(bars: DataFrame, pairs: list[tuple[int, int]], sizes: list[tuple[
         out = one if out is None else out.unionByName(one)
     summed = wfo_summary(out, ["symbol", "config_id", "in_sample", "out_sample", "step"])
     return summed.withColumn("rank", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc(F.round("score", 10)), "config_id")))
-
-
-def optimize(evaluate: Callable[[list[dict]], list[float]], space: Space, batches: int = 5, size: int = 8, patience: int = 10, seed: int = 42) -> tuple[dict, float, list[tuple[dict, float]]]:
-    """Batched search: later batches draw near the better third of what was tried; stops after ``patience`` trials without gain.
-
-    ``evaluate`` gets a whole batch, so each batch is one Spark job. Gives the best set, its value and the history.
-    """
-    import random
-
-    rng, history, best, stale = random.Random(seed), [], None, 0
-
-    def draw(kind, *ends):
-        return rng.choice(ends[0]) if kind == "categorical" else rng.randint(*ends) if kind == "int" else rng.uniform(*ends)
-
-    for _ in range(batches):
-        good = [p for p, _ in sorted(history, key=lambda x: -x[1])[: max(1, len(history) // 3)]] if history else []
-        trials = []
-        for _ in range(size):
-            base = rng.choice(good) if good and rng.random() < 0.7 else None
-            trial = {}
-            for name, (kind, *ends) in space.items():
-                if base is None or kind == "categorical":
-                    trial[name] = base[name] if base and rng.random() < 0.8 else draw(kind, *ends)
-                else:
-                    moved = min(max(rng.gauss(base[name], (ends[1] - ends[0]) / 6), ends[0]), ends[1])
-                    trial[name] = round(moved) if kind == "int" else moved
-            trials.append(trial)
-        for trial, value in zip(trials, evaluate(trials)):
-            history.append((trial, value))
-            if best is None or value > best[1]:
-                best, stale = (trial, value), 0
-            else:
-                stale += 1
-        if stale >= patience:
-            break
-    return *best, history

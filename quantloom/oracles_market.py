@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quantloom.oracles import ALL, CROSS, DAILY, HOURLY, ORACLES, S, lag, r, roll, staged
+from quantloom.oracles import ALL, B_COLUMNS, CROSS, DAILY, HOURLY, ORACLES, PLAIN_RULES, S, execution, fifo_tables, lag, metric_tables, r, roll, staged, trade_figures, u
 
 EVENTS = """ev AS (SELECT ['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW'][(s_nationkey % 5 + 1)::INT] AS symbol, (DATE '1992-01-01' + (s_suppkey * 37 % 2400)::INT)::TIMESTAMP AS ts,
   CASE s_suppkey % 4 WHEN 0 THEN 'split' WHEN 1 THEN 'rights' ELSE 'dividend' END AS kind, CASE s_suppkey % 4 WHEN 0 THEN 1 + (s_suppkey % 3 + 1) / 10.0::DOUBLE WHEN 1 THEN 0.1::DOUBLE END AS ratio, CASE WHEN s_suppkey % 4 = 1 THEN 2.0::DOUBLE ELSE abs(s_acctbal)::DOUBLE / 10000 END AS amount FROM supplier)"""
@@ -45,3 +45,40 @@ ORACLES["store_upsert"] = f"WITH {CORRECTED} SELECT symbol, ts, {', '.join(map(r
 ORACLES["store_tiers"] = f"""WITH {CORRECTED}, h AS (WITH {HOURLY} SELECT * FROM bars), late AS (SELECT f.* REPLACE (coalesce(b.close, f.close) AS close) FROM fixed f LEFT JOIN bars b ON b.symbol = f.symbol AND b.ts = f.ts AND f.ts BETWEEN TIMESTAMP '1992-05-01' AND TIMESTAMP '1992-06-30'),
 u AS (SELECT 'D1' AS timeframe, ts, close FROM late UNION ALL SELECT 'H1', ts, close FROM h)
 SELECT timeframe, CASE WHEN strftime(ts, '%Y-%m') < '1994-02' THEN 'cold' WHEN strftime(ts, '%Y-%m') < '1997-02' THEN 'warm' ELSE 'hot' END AS tier, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts, {r('sum(close)', 'closes', 3)} FROM u GROUP BY ALL"""
+
+_CELLS = "(VALUES ('size', 50, true, 1.0::DOUBLE, 50.0::DOUBLE), ('price', 256, true, 900.0, 1200.0), ('kind', 5, false, 0.0, 5.0)) s(name, k, ordered, low, cells)"
+ORACLES["tpe_proposals"] = f"""WITH t AS (SELECT p_size::DOUBLE AS size, p_retailprice::DOUBLE AS price, (p_partkey % 5)::DOUBLE AS kind, CASE WHEN p_partkey % 10 > 0 THEN -abs(p_size - 20) - abs(p_retailprice::DOUBLE - 1500) / 50 - 3 * (p_partkey % 5) END::DOUBLE AS value FROM part),
+v AS (SELECT *, coalesce(value, (SELECT avg(value) FROM t)) AS filled FROM t),
+j AS (SELECT *, filled >= (SELECT quantile_cont(filled, 0.75) FROM v) AS good FROM v),
+x AS (SELECT good, name, k, greatest(0, least(floor((val - low) * k / cells), k - 1))::INT AS bin FROM (SELECT good, unnest(['size', 'price', 'kind']) AS name, unnest([size, price, kind]) AS val FROM j) JOIN {_CELLS} USING (name)),
+c AS (SELECT good, name, bin, count(*)::DOUBLE AS n FROM x GROUP BY ALL),
+g AS (SELECT good, name, sum(n) AS total, greatest(1.0, 1.06::DOUBLE * sqrt(sum(n * bin * bin) / sum(n) - (sum(n * bin) / sum(n)) ** 2) * power(sum(n), -0.2::DOUBLE)) AS width FROM c GROUP BY ALL),
+b AS (SELECT good, name, k, ordered, total, width, unnest(range(k)) AS b FROM g JOIN {_CELLS} USING (name)),
+e AS (SELECT good, name, c.bin, sum(exp(-((b - c.bin) ** 2) / (2 * width ** 2))) AS mass FROM b JOIN c USING (good, name) GROUP BY ALL),
+p AS (SELECT good, name, b, (coalesce(sum(n * CASE WHEN ordered THEN exp(-((b - bin) ** 2) / (2 * width ** 2)) / mass ELSE (b = bin)::INT END), 0) + 1.0::DOUBLE / any_value(k)) / (any_value(total) + 1) AS p FROM b JOIN c USING (good, name) JOIN e USING (good, name, bin) GROUP BY good, name, b),
+f AS (SELECT name, b, p.p AS good_p, q.p AS bad_p, sum(p.p) OVER (PARTITION BY name ORDER BY b) AS cum FROM p JOIN p q USING (name, b) WHERE p.good AND NOT q.good),
+d AS (SELECT id, name, {u("'bin'", 'name', 'id')} AS spot, {u("'in'", 'name', 'id')} AS inside FROM range(512) r(id), {_CELLS}),
+h AS (SELECT id, name, any_value(inside) AS inside, count(*) FILTER (CASE WHEN id % 8 < 2 THEN 0.7::DOUBLE * cum + 0.3::DOUBLE * (b + 1) / k ELSE cum END <= spot AND b < k - 1)::INT AS bin FROM d JOIN f USING (name) JOIN {_CELLS} USING (name) GROUP BY id, name),
+y AS (SELECT id, h.name, low + (bin + inside) / k * cells AS val, ln(good_p) - ln(bad_p) AS part FROM h JOIN f ON f.name = h.name AND f.b = h.bin JOIN {_CELLS} ON s.name = h.name),
+z AS (SELECT id, (id % 8)::INT AS slot, least(floor(max(val) FILTER (name = 'size') + 1e-9), 50)::DOUBLE AS size, max(val) FILTER (name = 'price') AS price, least(floor(max(val) FILTER (name = 'kind') + 1e-9), 4)::DOUBLE AS kind, sum(part) AS score FROM y GROUP BY id)
+SELECT slot, {r('size')}, {r('price')}, {r('kind')}, {r('score')} FROM z QUALIFY row_number() OVER (PARTITION BY slot ORDER BY CASE WHEN slot < 2 THEN 0.0 ELSE round(score, 9) END DESC, id) = 1"""
+
+
+def latin(name: str, lo: int, hi: int, n: int) -> str:
+    """A whole number of a Latin hypercube for ``id``: the stratum by swap or not, and a place inside."""
+    point = f"floor({u(repr('point'), repr(name), 'r')} * {n})::BIGINT"
+    other = f"((({point} - x) % {n} + {n}) % {n})"
+    stratum = f"list_reduce([id] || range(1, 25), lambda x, r: CASE WHEN {u(repr('swap'), repr(name), 'r', f'greatest(x, {other})')} < 0.5 THEN {other} ELSE x END)"
+    return f"least(floor({lo} + ({stratum} + {u(repr('jitter'), repr(name), 'id')}) / {n} * {hi - lo + 1}.0::DOUBLE + 1e-9), {hi})::INT AS {name}"
+
+
+_PERIODS = [*range(3, 16), *range(20, 51)]
+_SPP = staged([{f"sma{p}": roll("avg", "close", p) for p in _PERIODS}, *PLAIN_RULES], HOURLY)[:-1] + f""",
+lhs AS (SELECT id::INT AS combo_idx, {latin('fast', 3, 15, 40)}, {latin('slow', 20, 50, 40)} FROM range(40) q(id)),
+b AS (SELECT combo_idx || '|' || symbol AS key, row_number() OVER (PARTITION BY combo_idx, symbol ORDER BY ts) AS rn, {B_COLUMNS.replace('signal', f"CASE WHEN coalesce([{', '.join(f'sma{p}' for p in _PERIODS)}][list_position({_PERIODS}, fast)] > [{', '.join(f'sma{p}' for p in _PERIODS)}][list_position({_PERIODS}, slow)], false) THEN 1 ELSE -1 END AS signal")} FROM last, lhs)"""
+_MEDIANS = ("net_profit", "sharpe_ratio", "max_drawdown_pct", "profit_factor", "return_on_drawdown")
+ORACLES["spp_latin"] = (
+    _SPP + execution() + ", curve AS (SELECT key, rn - 1 AS bar_seq, equity FROM st WHERE rn > 0)" + metric_tables("curve", "key")
+    + ", fl AS (SELECT key, key AS symbol, trades AS trade_seq, side AS signal, fshares AS shares, price, commission, slip AS slippage FROM st WHERE side IS NOT NULL)" + fifo_tables("fl", "key") + trade_figures("key", "fl")
+    + f", z AS (SELECT split_part(key, '|', 2) AS symbol, mx.* EXCLUDE (key), coalesce(profit_factor, 0.0) AS profit_factor FROM mx LEFT JOIN tm USING (key)) SELECT symbol, count(*) AS n, {', '.join(r(f'quantile_cont({c}, 0.5)', f'median_{c}', 3) for c in _MEDIANS)}, {r('avg(net_profit)', 'mean_net_profit', 3)}, {r('stddev_pop(net_profit)', 'std_net_profit', 3)}, {r('100 * avg((net_profit > 0)::INT)', 'profitable_pct', 3)}, {r('100 * avg((sharpe_ratio > 0)::INT)', 'sharpe_positive_pct', 3)} FROM z GROUP BY symbol"
+)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quantloom.functions import math as fm
 from quantloom.functions import text
-from quantloom.operators import align, ashare, backtest, catalog, codegen, formula, fuzzy, generate, genetic, indicators, metrics, monte_carlo, overfitting, portfolio, prep, report, rules, search
+from quantloom.operators import align, ashare, backtest, catalog, codegen, formula, fuzzy, generate, genetic, indicators, metrics, monte_carlo, overfitting, parzen, portfolio, prep, report, rules, search
 from quantloom.oracles import ORACLES
 from quantloom.plans.ir import Edge, Node, StrategyIR, cross_strategy, threshold_strategy
 from quantloom.plans.signals import bind, with_signal
@@ -838,7 +838,7 @@ def gp_nsga2_ranks(spark, d):
 def optimizer_batch(spark, d):
     b = hourly(spark, d)
     run = lambda trials: generate.mean_metric([cross_strategy(t["fast"], t["slow"]) for t in trials], b)
-    best, value, history = search.optimize(run, {"fast": ("int", 3, 15), "slow": ("int", 20, 50)}, batches=2, size=4)
+    best, value, history = parzen.optimize(spark, run, {"fast": ("int", 3, 15), "slow": ("int", 20, 50)}, batches=2, size=4)
     return spark.createDataFrame([(i, float(t["fast"]), float(t["slow"]), float(v), v == value) for i, (t, v) in enumerate(history)], "trial int, fast double, slow double, value double, best boolean")
 
 

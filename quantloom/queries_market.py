@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantloom.operators import actions, exits, portfolio, prep
+from quantloom.operators import actions, exits, parzen, portfolio, prep, search
 from quantloom.plans.ir import Edge, Node, StrategyIR, cross_strategy
 from quantloom.plans.signals import with_signal
 from quantloom.queries import daily, hourly, query, rounded
@@ -96,3 +96,26 @@ def store_tiers(spark, d):
     own.retier("1999-02-01")
     kept = own.rows()
     return rounded(kept.groupBy("timeframe", "tier").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.sum("close").alias("closes")), 3)
+
+
+TRIAL_SPACE = {"size": ("int", 1, 50), "price": ("float", 900.0, 2100.0), "kind": ("categorical", tuple("ABCDE"))}
+
+
+def trials(spark, d) -> DataFrame:
+    """A history of trials that SQL can make too: a part each, every tenth still pending."""
+    kind = F.col("p_partkey") % 5
+    value = -F.abs(F.col("p_size") - 20) - F.abs(F.col("p_retailprice").cast("double") - 1500) / 50 - 3 * kind
+    return bar_sources.read(spark, d, "part").select(F.col("p_size").cast("double").alias("size"), F.col("p_retailprice").cast("double").alias("price"), kind.cast("double").alias("kind"), F.when(F.col("p_partkey") % 10 > 0, value.cast("double")).alias("value"))
+
+
+@query
+def tpe_proposals(spark, d):
+    """The next eight trials, by the densities of good trials and of the others."""
+    return rounded(parzen.propose(trials(spark, d), TRIAL_SPACE, 8))
+
+
+@query
+def spp_latin(spark, d):
+    """Moving-average strategies over a Latin hypercube of their periods, executed and summed up."""
+    figures = search.permuted(hourly(spark, d), {"fast": ("int", 3, 15), "slow": ("int", 20, 50)}, 40)
+    return rounded(portfolio.permutation_summary(figures, ["symbol"]), 3)

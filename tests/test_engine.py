@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from quantloom.operators import backtest, codegen, formula, fuzzy, generate, genetic, indicators, metrics, monte_carlo, overfitting, portfolio, prep, registry, report, rules, search
+from quantloom.operators import backtest, codegen, formula, fuzzy, generate, genetic, indicators, metrics, monte_carlo, overfitting, parzen, portfolio, prep, registry, report, rules, search
 from quantloom.plans.ir import Edge, Node, StrategyError, StrategyIR, cross_strategy, threshold_strategy
 from quantloom.plans.signals import bind, with_signal
 from quantloom.schema import BARS, normalize_bars
@@ -347,14 +347,41 @@ def test_windows_and_efficiency(spark):
     assert search.grid(spark, {"a": list(range(20)), "b": list(range(20))}, 100).count() == 100
 
 
-def test_optimizer_finds_a_peak():
-    best, value, history = search.optimize(lambda trials: [-((t["x"] - 3) ** 2) - (t["k"] != "b") for t in trials], {"x": ("float", -10.0, 10.0), "k": ("categorical", ["a", "b"])}, batches=12, size=12, patience=100)
+def test_optimizer_finds_a_peak(spark):
+    best, value, history = parzen.optimize(spark, lambda trials: [-((t["x"] - 3) ** 2) - (t["k"] != "b") for t in trials], {"x": ("float", -10.0, 10.0), "k": ("categorical", ["a", "b"])}, batches=12, size=12, patience=100)
     assert abs(best["x"] - 3) < 1 and best["k"] == "b" and len(history) == 144
 
 
-def test_latin_hypercube_uses_every_stratum():
-    rows = search.latin_hypercube({"x": ("float", 0.0, 1.0), "k": ("categorical", ["a", "b"]), "n": ("int", 0, 100)}, 10)
-    assert sorted(int(r["x"] * 10) for r in rows) == list(range(10)) and [r["k"] for r in rows].count("a") == 5 and len({r["n"] for r in rows}) >= 9
+def test_latin_hypercube_uses_every_stratum(spark):
+    rows = parzen.latin_hypercube(spark, {"x": ("float", 0.0, 1.0), "k": ("categorical", ["a", "b"]), "n": ("int", 0, 100)}, 10).collect()
+    assert sorted(int(r["x"] * 10) for r in rows) == list(range(10)) and [r["k"] for r in rows].count(0.0) == 5 and len({r["n"] for r in rows}) >= 9
+    for n in (1, 2, 7, 1000):
+        rows = parzen.latin_hypercube(spark, {"x": ("float", 0.0, float(n)), "y": ("float", 0.0, float(n))}, n, seed=n).collect()
+        assert sorted(int(r.x) for r in rows) == sorted(int(r.y) for r in rows) == list(range(n))
+    x, y = ([getattr(r, c) for r in rows] for c in "xy")
+    assert abs(np.corrcoef(x, y)[0, 1]) < 0.1 and abs(np.corrcoef(x, range(n))[0, 1]) < 0.1
+
+
+def test_densities_follow_the_trials(spark):
+    space = {"x": ("float", 0.0, 1.0), "k": ("categorical", ["a", "b", "c"]), "n": ("int", 1, 4)}
+    rows = [((i % 100) / 100, float(i % 3), float(1 + i % 4), (10.0 if i % 100 < 20 else 0.0) - (i % 3)) for i in range(600)] + [(0.9, 0.0, 1.0, None)] * 50
+    found = parzen.densities(spark.createDataFrame(rows, "x double, k double, n double, value double"), space, share=0.05)
+    for name, spec in space.items():
+        for side in found[name]:
+            assert abs(side.sum() - 1) < 1e-9 and (side > 0).all()
+    good, bad = found["x"]
+    assert good[:51].sum() > 0.9 and bad[:51].sum() < 0.2 and found["k"][0][0] > 0.9
+    proposed = parzen.propose(spark.createDataFrame(rows, "x double, k double, n double, value double"), space, 5, seed=3).collect()
+    assert len(proposed) == 5 and all(0 <= r.x <= 1 and r.n in (1, 2, 3, 4) for r in proposed) and all(r.x < 0.25 and r.k == 0.0 and r.score > 0 for r in proposed if r.slot > 1)
+
+
+def test_known_trials_are_not_proposed_again(spark):
+    space = {"n": ("int", 0, 2), "k": ("categorical", ["a", "b"])}
+    known = [(float(n), float(k), 1.0 * n) for n in range(3) for k in range(2) if (n, k) != (1, 1)]
+    found = parzen.propose(spark.createDataFrame(known, "n double, k double, value double"), space, 3, 200).collect()
+    assert found and {(r.n, r.k) for r in found} == {(1.0, 1.0)}
+    assert parzen.propose(spark.createDataFrame(known + [(1.0, 1.0, None)], "n double, k double, value double"), space, 3).count() == 0
+    assert len(parzen.propose(spark.createDataFrame([], "n double, k double, value double"), space, 3).collect()) == 3
 
 
 def test_random_walks_differ_by_symbol_and_repeat(spark):
