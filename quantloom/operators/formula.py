@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quantloom.functions.math import protected_log
 from quantloom.functions.windows import lag, ratio, roll
-from quantloom.operators.indicators import per_series
+from quantloom.operators.indicators import decayed
 from quantloom.operators.registry import IndicatorError
 
 # What a formula may name.
@@ -80,7 +80,7 @@ class Formula:
             kept(x)
             column, out = stages[-1], f"_{name}_{len(stages)}"
             stages.append(out)
-            bars = per_series(bars, [out], lambda b: {out: b[column].ewm(span=n, adjust=False).mean()})
+            bars = decayed(bars, {out: (F.col(column), 2 / (n + 1))})
             return F.col(out)
 
         def value(node: ast.AST) -> Column:

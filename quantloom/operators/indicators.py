@@ -1,7 +1,8 @@
 """Technical indicators as functions from bars to bars with more columns.
 
 Rolling indicators are window expressions that share one sort. Averages with an exponential
-memory are recursive, so those run symbol by symbol in grouped maps.
+memory are linear recurrences and window expressions too (``decayed``); only the cycle measures
+run symbol by symbol in grouped maps.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -280,22 +281,73 @@ def per_series(bars: DataFrame, outputs: list[str], f: Callable[[pd.DataFrame],
     return bars.groupBy(*keys).applyInPandas(run, schema)
 
 
-def _ewm(x: pd.Series, span: int) -> pd.Series:
-    return x.ewm(span=span, adjust=False).mean()
+_REACH = 100.0  # what lies behind so much decay weighs less than 1e-43
+
+
+def decayed(bars: DataFrame, wanted: dict[str, tuple[Column, Column | float]]) -> DataFrame:
+    """Add exponential means: each is p * x + (1 - p) * the mean before, from the first x on, for (x, p) under its name.
+
+    A mean is a linear recurrence. The decay is added up along a series and cut into blocks of ``_REACH``; in a block the
+    mean is a running sum of values weighted by how little they have decayed since, and of the blocks before only
+    the end of the last one matters. So these are window functions, with no loop over bars.
+    A null x leaves the mean as it is. p may differ from bar to bar, but is below 1, unless it is 1 throughout.
+    """
+    w, run = series(), running()
+    plain = {n: x for n, (x, p) in wanted.items() if isinstance(p, (int, float)) and p >= 1}
+    bars = bars.withColumns({n: F.last(x, True).over(run) for n, x in plain.items()})
+    rest = {n: v for n, v in wanted.items() if n not in plain}
+    if not rest:
+        return bars
+    col = lambda n, what: F.col(f"_{n}_{what}")
+    block = lambda n: Window.partitionBy(*KEYS, f"_{n}_block").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    first = {n: F.count(x).over(run) == 1 for n, (x, _) in rest.items()}
+    lost = {n: F.when(x.isNotNull() & ~first[n], -F.ln(1 - (F.lit(float(p)) if isinstance(p, (int, float)) else p))).otherwise(0.0) for n, (x, p) in rest.items()}
+    weighted = {n: F.when(first[n], x).otherwise(x * p) for n, (x, p) in rest.items()}
+    steps = [
+        {f"_{n}_lost": lost[n] for n in rest} | {f"_{n}_x": weighted[n] for n in rest},
+        {f"_{n}_cum": F.sum(f"_{n}_lost").over(run) for n in rest},
+        {f"_{n}_block": F.floor(col(n, "cum") / _REACH) for n in rest},
+        {f"_{n}_own": F.exp(_REACH * col(n, "block") - col(n, "cum")) * F.sum(col(n, "x") * F.exp(col(n, "cum") - _REACH * col(n, "block"))).over(block(n)) for n in rest},
+        {f"_{n}_end": F.lag(F.struct(f"_{n}_own", f"_{n}_cum", f"_{n}_block")).over(w) for n in rest},
+        {f"_{n}_end": F.first(f"_{n}_end").over(block(n)) for n in rest},
+        {n: col(n, "own") + F.coalesce(F.exp(col(n, "end")[f"_{n}_cum"] - col(n, "cum")) * col(n, "end")[f"_{n}_own"], F.lit(0.0)) for n in rest},
+    ]
+    return _stage(bars, *steps[:-1], steps[-1], drop=False).drop(*{f"_{n}_{what}" for n in rest for what in ("lost", "x", "cum", "block", "own", "end")})
+
+
+def _rate(period: int) -> float:
+    return 2 / (period + 1)
+
+
+def _chain(bars: DataFrame, x: Column, period: int, times: int, name: str = "_e") -> DataFrame:
+    """Add the exponential mean, its mean, and so on, as name1, name2, ..."""
+    for i in range(1, times + 1):
+        bars = decayed(bars, {f"{name}{i}": (x, _rate(period))})
+        x = F.col(f"{name}{i}")
+    return bars
+
+
+def _chained(bars: DataFrame, period: int, times: int, outputs: dict[str, Column]) -> DataFrame:
+    """Columns made of chained means of the close."""
+    return _chain(bars, C(), period, times).withColumns(outputs).drop(*(f"_e{i}" for i in range(1, times + 1)))
+
+
+def E(i: int) -> Column:  # noqa: N802
+    return F.col(f"_e{i}")
 
 
 def ema(bars: DataFrame, period: int = 14) -> DataFrame:
     """Starts from the first value."""
-    return per_series(bars, ["ema"], lambda b: {"ema": _ewm(b.close, period)})
+    return decayed(bars, {"ema": (C(), _rate(period))})
 
 
-def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
-    def f(b):
-        line = _ewm(b.close, fast) - _ewm(b.close, slow)
-        s = _ewm(line, signal)
-        return {"macd": line, "macdsignal": s, "macdhist": line - s}
+def _fast_slow(bars: DataFrame, fast: int, slow: int) -> DataFrame:
+    return decayed(bars, {"_fast": (C(), _rate(fast)), "_slow": (C(), _rate(slow))})
 
-    return per_series(bars, ["macd", "macdsignal", "macdhist"], f)
+
+def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
+    line = _fast_slow(bars, fast, slow).withColumn("macd", F.col("_fast") - F.col("_slow")).drop("_fast", "_slow")
+    return decayed(line, {"macdsignal": (F.col("macd"), _rate(signal))}).withColumn("macdhist", F.col("macd") - F.col("macdsignal"))
 
 
 def _smoothed(bars: DataFrame, column: str, period: int, kind: int, name: str) -> DataFrame:
@@ -307,12 +359,8 @@ def _smoothed(bars: DataFrame, column: str, period: int, kind: int, name: str) -
         return bars.withColumn(name, weighted / (period * (period + 1) / 2))
     if kind not in (1, 3, 4):
         raise ValueError(f"{kind} is no kind of mean")
-
-    def f(b):
-        e = _chain(b[column], period, {1: 1, 3: 2, 4: 3}[kind])
-        return {name: e[0] if kind == 1 else 2 * e[0] - e[1] if kind == 3 else 3 * e[0] - 3 * e[1] + e[2]}
-
-    return per_series(bars, [name], f)
+    times, value = {1: (1, E(1)), 3: (2, 2 * E(1) - E(2)), 4: (3, 3 * E(1) - 3 * E(2) + E(3))}[kind]
+    return _chain(bars, F.col(column), period, times).withColumn(name, value).drop(*(f"_e{i}" for i in range(1, times + 1)))
 
 
 def macdext(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, fast_kind: int = 0, slow_kind: int = 0, signal_kind: int = 0) -> DataFrame:
@@ -322,74 +370,51 @@ def macdext(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, fa
     return _smoothed(line, "macd", signal, signal_kind, "macdsignal").withColumn("macdhist", F.col("macd") - F.col("macdsignal"))
 
 
-def _chain(x: pd.Series, period: int, times: int) -> list[pd.Series]:
-    out = [_ewm(x, period)]
-    for _ in range(times - 1):
-        out.append(_ewm(out[-1], period))
-    return out
-
-
 def dema(bars: DataFrame, period: int = 14) -> DataFrame:
-    return per_series(bars, ["dema"], lambda b: {"dema": (e := _chain(b.close, period, 2)) and 2 * e[0] - e[1]})
+    return _chained(bars, period, 2, {"dema": 2 * E(1) - E(2)})
 
 
 def tema(bars: DataFrame, period: int = 14) -> DataFrame:
-    return per_series(bars, ["tema"], lambda b: {"tema": (e := _chain(b.close, period, 3)) and 3 * e[0] - 3 * e[1] + e[2]})
+    return _chained(bars, period, 3, {"tema": 3 * E(1) - 3 * E(2) + E(3)})
 
 
 def t3(bars: DataFrame, period: int = 14, v: float = 0.7) -> DataFrame:
     c1, c2, c3, c4 = -(v**3), 3 * v**2 + 3 * v**3, -6 * v**2 - 3 * v - 3 * v**3, 1 + 3 * v + v**3 + 3 * v**2
-
-    def f(b):
-        e = _chain(b.close, period, 6)
-        return {"t3": c1 * e[5] + c2 * e[4] + c3 * e[3] + c4 * e[2]}
-
-    return per_series(bars, ["t3"], f)
+    return _chained(bars, period, 6, {"t3": c1 * E(6) + c2 * E(5) + c3 * E(4) + c4 * E(3)})
 
 
 def trix(bars: DataFrame, period: int = 14) -> DataFrame:
-    return per_series(bars, ["trix"], lambda b: {"trix": 100 * ((e := _chain(b.close, period, 3)[2]) / e.shift(1) - 1)})
+    return _chained(bars, period, 3, {"trix": 100 * (ratio(E(3), lag(E(3))) - 1)})
 
 
 def ppo(bars: DataFrame, fast: int = 12, slow: int = 26) -> DataFrame:
-    return per_series(bars, ["ppo"], lambda b: {"ppo": 100 * (_ewm(b.close, fast) - (s := _ewm(b.close, slow))) / s})
+    return _fast_slow(bars, fast, slow).withColumn("ppo", 100 * ratio(F.col("_fast") - F.col("_slow"), F.col("_slow"))).drop("_fast", "_slow")
 
 
 def apo(bars: DataFrame, fast: int = 12, slow: int = 26) -> DataFrame:
-    return per_series(bars, ["apo"], lambda b: {"apo": _ewm(b.close, fast) - _ewm(b.close, slow)})
+    return _fast_slow(bars, fast, slow).withColumn("apo", F.col("_fast") - F.col("_slow")).drop("_fast", "_slow")
 
 
 def keltner(bars: DataFrame, period: int = 20, width: float = 2.0) -> DataFrame:
     """An exponential mean of typical prices, and two mean true ranges on either side."""
-    ranged = _stage(bars, {"_tr": _true_range()}, {"_atr": roll(F.avg, F.col("_tr"), period), "_tp": typical()}, drop=False).drop("_tr")
-
-    def f(b):
-        m = _ewm(b["_tp"], period)
-        return {"keltner_middle": m, "keltner_upper": m + width * b["_atr"], "keltner_lower": m - width * b["_atr"]}
-
-    return per_series(ranged, ["keltner_upper", "keltner_middle", "keltner_lower"], f).drop("_atr", "_tp")
+    ranged = decayed(_stage(bars, {"_tr": _true_range()}, {"_atr": roll(F.avg, F.col("_tr"), period)}, drop=False), {"keltner_middle": (typical(), _rate(period))})
+    middle, reach = F.col("keltner_middle"), width * F.col("_atr")
+    return ranged.withColumns({"keltner_upper": middle + reach, "keltner_lower": middle - reach}).drop("_tr", "_atr")
 
 
 def adosc(bars: DataFrame, fast: int = 3, slow: int = 10) -> DataFrame:
-    return per_series(ad(bars), ["adosc"], lambda b: {"adosc": _ewm(b.ad, fast) - _ewm(b.ad, slow)}).drop("ad")
+    both = decayed(ad(bars), {"_fast": (F.col("ad"), _rate(fast)), "_slow": (F.col("ad"), _rate(slow))})
+    return both.withColumn("adosc", F.col("_fast") - F.col("_slow")).drop("_fast", "_slow", "ad")
 
 
 def kama(bars: DataFrame, period: int = 10, fast: int = 2, slow: int = 30) -> DataFrame:
     """Kaufman's adaptive mean: it follows faster the straighter the way of the last bars was."""
-
-    def f(b):
-        x = b.close.to_numpy()
-        path = b.close.diff().abs().rolling(period).sum().to_numpy()
-        with np.errstate(invalid="ignore", divide="ignore"):
-            straight = np.where(path > 0, np.abs(x - np.r_[np.full(min(period, len(x)), np.nan), x[: max(0, len(x) - period)]]) / path, 0.0)
-        pace = (straight * (2 / (fast + 1) - 2 / (slow + 1)) + 2 / (slow + 1)) ** 2
-        out = np.full(len(x), np.nan)
-        for i in range(period, len(x)):
-            before = x[i - 1] if np.isnan(out[i - 1]) else out[i - 1]
-            out[i] = before + pace[i] * (x[i] - before)
-        return {"kama": out}
-
-    return per_series(bars, ["kama"], f)
+    moved = F.abs(C() - lag(C(), period))
+    straight = F.when(F.col("_path") > 0, moved / F.col("_path")).otherwise(0.0)
+    pace = F.pow(F.col("_straight") * (_rate(fast) - _rate(slow)) + _rate(slow), 2)
+    told = _stage(bars, {"_step": F.abs(diff(C())), "_n": F.row_number().over(series())}, {"_path": roll(F.sum, F.col("_step"), period)}, {"_straight": straight}, drop=False)
+    begun = decayed(told, {"_mean": (F.when(F.col("_n") >= period, C()), pace)})  # the value before the first mean is the close
+    return begun.withColumn("kama", F.when(F.col("_n") > period, F.col("_mean"))).drop("_step", "_n", "_path", "_straight", "_mean")
 
 
 HILBERT = ("ht_dcperiod", "ht_dcphase", "ht_inphase", "ht_quadrature", "ht_sine", "ht_leadsine", "ht_trendline", "ht_trendmode", "mama", "fama")

@@ -362,6 +362,30 @@ def test_latin_hypercube_uses_every_stratum(spark):
     assert abs(np.corrcoef(x, y)[0, 1]) < 0.1 and abs(np.corrcoef(x, range(n))[0, 1]) < 0.1
 
 
+@pytest.mark.parametrize("period", [1, 2, 14, 200, 3000])
+def test_exponential_means_over_long_series(spark, period):
+    """Against pandas, over many blocks of decay, for several symbols of other lengths and with values missing at the beginning."""
+    rng, frames = np.random.default_rng(period), []
+    for symbol, n in (("a", 20_000), ("b", 1), ("c", 777)):
+        x = 100 * np.exp(np.cumsum(rng.normal(0, 0.02, n)))
+        x[: min(n - 1, 5)] = np.nan
+        frames.append(pd.DataFrame({"symbol": symbol, "ts": pd.Timestamp("2000-01-01") + pd.to_timedelta(np.arange(n), "h"), "close": x}))
+    whole = pd.concat(frames)
+    bars = spark.createDataFrame(whole).withColumn("close", F.nanvl("close", F.lit(None).cast("double"))).repartition(4)
+    found = indicators.dema(indicators.ema(bars, period), period).toPandas().sort_values(["symbol", "ts"])
+    for symbol, f in found.groupby("symbol"):
+        e = f.close.ewm(span=period, adjust=False).mean()
+        assert np.allclose(f.ema, e, rtol=1e-10, equal_nan=True)
+        assert np.allclose(f.dema, 2 * e - e.ewm(span=period, adjust=False).mean(), rtol=1e-8, equal_nan=True)
+
+
+def test_exponential_means_need_no_python(spark):
+    b = bars_of(spark, range(1, 30))
+    for f in (indicators.ema, indicators.macd, indicators.dema, indicators.tema, indicators.t3, indicators.trix, indicators.ppo, indicators.apo, indicators.keltner, indicators.adosc, indicators.kama):
+        text = f(b)._jdf.queryExecution().optimizedPlan().toString()
+        assert "Pandas" not in text and "Python" not in text, f.__name__
+
+
 def test_densities_follow_the_trials(spark):
     space = {"x": ("float", 0.0, 1.0), "k": ("categorical", ["a", "b", "c"]), "n": ("int", 1, 4)}
     rows = [((i % 100) / 100, float(i % 3), float(1 + i % 4), (10.0 if i % 100 < 20 else 0.0) - (i % 3)) for i in range(600)] + [(0.9, 0.0, 1.0, None)] * 50
