@@ -3,11 +3,12 @@ candidates is evaluated as one Spark job over all bars."""
 
 from __future__ import annotations
 
+import json
 import random
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.operators.backtest import BacktestConfig, evaluate
@@ -19,22 +20,31 @@ from quantloom.plans.signals import Stages, bind, compile_signal
 Evaluate = Callable[[list[StrategyIR]], list[float]]
 
 
+def signals_of(strategies: list[StrategyIR], bars: DataFrame, registry: Registry | None = None) -> tuple[DataFrame, list[Column]]:
+    """Bars with what many strategies look at, and the signal of each.
+
+    Equal indicators of all strategies are one column; so are equal things that look back, which are added
+    level by level for all strategies together.
+    """
+    wanted: dict[tuple[str, str], Node] = {}
+    for ir in strategies:
+        for node in ir.indicators():
+            wanted.setdefault((node.name, json.dumps(node.params, sort_keys=True)), replace(node, id=str(len(wanted))))
+    bound, columns = bind(StrategyIR("all", list(wanted.values())), bars, registry)
+    stages = Stages()
+    own = [{n.id: columns[i] for n in ir.indicators() if (i := wanted[n.name, json.dumps(n.params, sort_keys=True)].id) in columns} for ir in strategies]
+    signals = [compile_signal(ir, named, stages=stages) for ir, named in zip(strategies, own)]
+    return stages.added(bound), signals
+
+
 def evaluate_all(strategies: list[StrategyIR], bars: DataFrame, config: BacktestConfig = BacktestConfig(), registry: Registry | None = None) -> DataFrame:
     """Figures of many strategies, run_id being the place in the list: equal indicators are computed once, equal strategies executed once."""
-    registry = registry or default_registry()
-    wide, signals, seen = RuleChain().apply(bars), [], {}
-    base = wide.columns
-    for ir in strategies:
-        if (key := ir.fingerprint()) not in seen:
-            seen[key] = len(signals)
-            before = wide.columns
-            bound, columns = bind(ir, wide, registry)
-            names = {c: f"_x{len(signals)}_{n}" for n, c in enumerate(c for c in bound.columns if c not in before)}
-            staged = Stages(bound.withColumnsRenamed(names), f"_y{len(signals)}_")
-            signals.append(compile_signal(ir, {k: names.get(v, v) for k, v in columns.items()}, keep=staged.keep))
-            wide = staged.bars
-    figures = evaluate(wide.withColumn("signals", F.array(*signals)).select(*base, "signals"), config)
-    wanted = F.create_map(*(F.lit(x) for at in range(len(signals)) for x in (at, [i for i, ir in enumerate(strategies) if seen[ir.fingerprint()] == at])))
+    wide = RuleChain().apply(bars)
+    different = {ir.fingerprint(): ir for ir in strategies}
+    places = {key: at for at, key in enumerate(different)}
+    with_all, signals = signals_of(list(different.values()), wide, registry or default_registry())
+    figures = evaluate(with_all.select(*wide.columns, F.array(*signals).alias("signals")), config)
+    wanted = F.create_map(*(F.lit(x) for at in range(len(signals)) for x in (at, [i for i, ir in enumerate(strategies) if places[ir.fingerprint()] == at])))
     return figures.withColumn("run_id", F.explode(wanted[F.col("combo_idx")])).drop("combo_idx")
 
 

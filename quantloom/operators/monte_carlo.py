@@ -16,12 +16,11 @@ from pyspark.sql import functions as F
 
 from quantloom.functions.math import hash_normal, hash_uniform
 from quantloom.operators.backtest import BacktestConfig, evaluate
+from quantloom.operators.generate import signals_of
 from quantloom.operators.indicators import atr
 from quantloom.operators.metrics import RISK_FREE, with_rates
-from quantloom.operators.registry import default_registry
 from quantloom.operators.rules import RuleChain
 from quantloom.plans.ir import StrategyIR
-from quantloom.plans.signals import Stages, bind, compile_signal
 
 TRADE_METHODS = ("shuffle_trades", "skip_trades", "randomize_trades_order", "position_size", "delete_trades")
 BAR_METHODS = ("param_perturb", "data_noise", "start_offset", "comprehensive")
@@ -186,27 +185,14 @@ def executed_anew(simulated: DataFrame, strategies: list[StrategyIR], config: Ba
     Every symbol of a simulation is a series of its own. Indicators that several strategies share
     are computed once.
     """
-    registry = registry or default_registry()
     own = RuleChain().apply(simulated.withColumns({"run_id": F.col("symbol"), "symbol": F.concat_ws("#", "symbol", "sim_id")}))
     base, by = own.columns, {}
     for sim, ir in enumerate(strategies):
         by.setdefault(ir.fingerprint(), (ir, []))[1].append(sim)
-    signal, made, wide = F.lit(0), {}, own
-    for ir, sims in by.values():
-        columns = {}
-        for node in ir.indicators():
-            key = (node.name.upper(), repr(sorted(node.params.items())))
-            if key not in made:
-                before = set(wide.columns)
-                wide, bound = bind(StrategyIR("one", [node]), wide, registry)
-                new = {c: f"_m{len(made)}" for c in wide.columns if c not in before}
-                wide = wide.withColumnsRenamed(new)
-                made[key] = new.get(bound.get(node.id), bound.get(node.id))
-            if made[key] is not None:
-                columns[node.id] = made[key]
-        staged = Stages(wide, f"_y{len(made)}_{sims[0]}_")
-        signal = F.when(F.col("sim_id").isin(sims), compile_signal(ir, columns, keep=staged.keep)).otherwise(signal)
-        wide = staged.bars
+    wide, signals = signals_of([ir for ir, _ in by.values()], own, registry)
+    signal = F.lit(0)
+    for (_, sims), x in zip(by.values(), signals):
+        signal = F.when(F.col("sim_id").isin(sims), x).otherwise(signal)
     figures = evaluate(wide.withColumn("signals", F.array(signal)).select(*base, "signals"), config, ("run_id", "sim_id", "symbol"))
     return figures.drop("symbol", "combo_idx")
 

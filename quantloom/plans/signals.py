@@ -8,7 +8,6 @@ this is all a strategy is until it is executed.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
 from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
@@ -70,27 +69,48 @@ def bind(ir: StrategyIR, bars: DataFrame, registry: Registry | None = None) -> t
 
 
 class Stages:
-    """Bars that take up columns on the way, for windows over values that need a window themselves."""
+    """Columns that are made level by level: windows of a level look at columns of the levels below. Equal ones are made once."""
 
-    def __init__(self, bars: DataFrame, prefix: str = "_y"):
-        self.bars, self.prefix, self.names = bars, prefix, []
+    def __init__(self, prefix: str = "_y"):
+        self.prefix, self.names, self.levels = prefix, {}, []
 
-    def keep(self, value: Column) -> Column:
-        self.names.append(f"{self.prefix}{len(self.names)}")
-        self.bars = self.bars.withColumn(self.names[-1], value)
-        return F.col(self.names[-1])
+    def window(self, key: str, level: int, value: Column) -> Column:
+        """The column for a window over values of ``level`` windows within each other, known by its key."""
+        if key not in self.names:
+            self.names[key] = f"{self.prefix}{len(self.names)}"
+            self.levels += [{} for _ in range(level + 1 - len(self.levels))]
+            self.levels[level][self.names[key]] = value
+        return F.col(self.names[key])
 
+    def added(self, bars: DataFrame) -> DataFrame:
+        """Bars with all of these columns, one step a level."""
+        for columns in self.levels:
+            bars = bars.withColumns(columns)
+        return bars
 
-def compile_signal(ir: StrategyIR, columns: dict[str, str], keys: tuple[str, ...] = KEYS, keep: Callable[[Column], Column] | None = None) -> Column:
-    """1, -1 or 0 for each bar. ``keep`` makes a column of a value; only LAG and crossings within each other need it."""
 
-    def base(node: Node) -> Column:
-        """A number that a window goes over."""
-        if not any(n.name.upper() in ("LAG", "CROSSOVER", "CROSSUNDER") for n in ir.subtree(node.id).nodes if n.node_type == "operator"):
-            return number(node)
-        if keep is None:
-            raise StrategyError(f"{node.id} looks back within what looks back")
-        return keep(number(node))
+def compile_signal(ir: StrategyIR, columns: dict[str, str], keys: tuple[str, ...] = KEYS, stages: Stages | None = None) -> Column:
+    """1, -1 or 0 for each bar. ``stages`` takes up what looks back, to be added to the bars first; only LAG and crossings within each other need it."""
+
+    def depth(node: Node) -> int:
+        """How many windows lie within each other."""
+        inside = max((depth(n) for n in ir.next_of(node.id)), default=0)
+        return inside + (node.node_type == "operator" and node.name.upper() in ("LAG", "CROSSOVER", "CROSSUNDER"))
+
+    def told(node: Node) -> str:
+        """The subtree as text; the same for equal ones of all strategies that share columns."""
+        if node.node_type == "indicator":
+            return columns.get(node.id, "0")
+        return f"{node.node_type}.{node.name.upper()}{json.dumps(node.params, sort_keys=True)}({','.join(told(n) for n in ir.next_of(node.id))})"
+
+    def back(nodes: list[Node], x: Column, n: int) -> Column:
+        """A number made of some nodes, n bars ago."""
+        level = max(map(depth, nodes))
+        if stages is None:
+            if level:
+                raise StrategyError(f"{nodes[0].id} looks back within what looks back")
+            return lag(x, n, keys)
+        return stages.window(f"{n}:{'-'.join(map(told, nodes))}", level, lag(x, n, keys))
 
     def known(c: Column) -> Column:
         return F.coalesce(c, F.lit(False))
@@ -112,8 +132,8 @@ def compile_signal(ir: StrategyIR, columns: dict[str, str], keys: tuple[str, ...
             if name == "NEAR" and len(under) >= 2:
                 return known(nearly_equal(number(under[0]), number(under[1])))
             if name in ("CROSSOVER", "CROSSUNDER") and len(under) >= 2:
-                a, b = base(under[0]), base(under[1])
-                before = lag(a - b, 1, keys)
+                a, b = number(under[0]), number(under[1])
+                before = back(under[:2], a - b, 1)
                 return known((a > b) & (before <= 0) if name == "CROSSOVER" else (a < b) & (before >= 0))
             return F.lit(False)
         return known(number(node) != 0)
@@ -128,7 +148,7 @@ def compile_signal(ir: StrategyIR, columns: dict[str, str], keys: tuple[str, ...
             if name == "IF" and len(under) == 3:
                 return F.when(boolean(under[0]), number(under[1])).otherwise(number(under[2]))
             if name == "LAG" and under:
-                return lag(base(under[0]), int(node.params.get("period", 1)), keys)
+                return back(under[:1], number(under[0]), int(node.params.get("period", 1)))
             x = [number(n) for n in under] if name in ("ADD", "SUB", "MUL", "DIV", "SQRT", "LOG", "POW", "NEG") else []
             match name, len(x):
                 case "ADD", 2:
@@ -172,6 +192,6 @@ def with_signal(ir: StrategyIR, bars: DataFrame, registry: Registry | None = Non
     if problems := ir.validate():
         raise StrategyError("; ".join(problems))
     bound, columns = bind(ir, bars, registry)
-    staged = Stages(bound)
-    signal = compile_signal(ir, columns, keep=staged.keep)
-    return staged.bars.withColumn("signal", signal).select(*bars.columns, "signal")
+    stages = Stages()
+    signal = compile_signal(ir, columns, stages=stages)
+    return stages.added(bound).withColumn("signal", signal).select(*bars.columns, "signal")

@@ -379,6 +379,36 @@ def test_exponential_means_over_long_series(spark, period):
         assert np.allclose(f.dema, 2 * e - e.ewm(span=period, adjust=False).mean(), rtol=1e-8, equal_nan=True)
 
 
+def plan_of(frame):
+    return frame._jdf.queryExecution().analyzed().toString()
+
+
+def test_strategies_share_indicators_and_what_looks_back(spark):
+    """Six strategies over one mean plan the windows of one."""
+    t, ind, const = genetic.Tree, lambda n, p=0: genetic.Tree("IND", (), n, p), lambda x: genetic.Tree("CONST", (), "", x)
+    lagged = t("LAG", (ind("EMA", 14),), "", 2)
+    many = [genetic.to_ir(t("AND", (t("CROSSOVER", (ind("EMA", 14), lagged)), t("GT", (ind("RSI", 14), const(float(i))))))) for i in range(6)]
+    b = bars_of(spark, 100 + np.sin(np.arange(60)))
+    plans = [plan_of(generate.signals_of(x, b)[0].select("symbol", "ts", F.array(*generate.signals_of(x, b)[1]).alias("s"))) for x in (many[:1], many)]
+    wide = [generate.signals_of(x, b)[0].columns for x in (many[:1], many)]
+    assert wide[0] == wide[1] and plans[0].count("windowspecdefinition") == plans[1].count("windowspecdefinition") > 0
+    alone = [with_signal(ir, b).orderBy("ts").select("signal").collect() for ir in many]
+    frame, signals = generate.signals_of(many, b)
+    together = frame.select("ts", *(x.alias(f"s{i}") for i, x in enumerate(signals))).orderBy("ts").collect()
+    assert all([r[f"s{i}"] for r in together] == [r.signal for r in own] for i, own in enumerate(alone))
+
+
+def test_random_populations_equal_each_strategy_alone(spark):
+    rng = random.Random(11)
+    b = bars_of(spark, 100 + 10 * np.sin(np.arange(90) / 5))
+    names = ("SMA", "EMA", "RSI", "MOM", "BBANDS", "KAMA")
+    many = [genetic.to_ir(genetic.random_tree(rng, depth=4, indicators=names)) for _ in range(12)]
+    frame, signals = generate.signals_of(many, b)
+    together = frame.select("ts", *(x.alias(f"s{i}") for i, x in enumerate(signals))).orderBy("ts").collect()
+    for i, ir in enumerate(many):
+        assert [r[f"s{i}"] for r in together] == [r.signal for r in with_signal(ir, b).orderBy("ts").collect()], i
+
+
 def test_exponential_means_need_no_python(spark):
     b = bars_of(spark, range(1, 30))
     for f in (indicators.ema, indicators.macd, indicators.dema, indicators.tema, indicators.t3, indicators.trix, indicators.ppo, indicators.apo, indicators.keltner, indicators.adosc, indicators.kama):
