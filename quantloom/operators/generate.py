@@ -7,6 +7,7 @@ import json
 import random
 from collections.abc import Callable
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,10 +17,33 @@ from quantloom.operators.registry import Registry, default_registry
 from quantloom.operators.rules import RuleChain
 from quantloom.plans.ir import Edge, Node, StrategyIR
 from quantloom.plans.signals import Stages, bind, compile_signal
+from quantloom.schema import BARS
 
 Evaluate = Callable[[list[StrategyIR]], list[float]]
 
 
+BATCH = 12  # indicators that are added to each other's bars; more than that are computed side by side
+
+
+def with_indicators(nodes: list[Node], bars: DataFrame, registry: Registry) -> tuple[DataFrame, dict[str, str]]:
+    """As ``bind``, for any number of indicator nodes: more than ``BATCH`` go through plans of their own, side by side, and come together by symbol and time."""
+    there = {n.id: c for n in nodes for c in (n.name, f"IND_{n.name}") if c in bars.columns and "timeframe" not in n.params}
+    fresh = [n for n in nodes if n.id not in there]
+    if len(fresh) <= BATCH:
+        return bind(StrategyIR("all", nodes), bars, registry)
+    base = bars.select(*(c for c in bars.columns if c in BARS.names))
+    parts, places = [], {}
+    for at in range(0, len(fresh), BATCH):
+        bound, found = bind(StrategyIR("some", fresh[at : at + BATCH]), base, registry)
+        if own := sorted(set(found.values())):
+            places |= {i: (len(parts), own.index(c)) for i, c in found.items()}
+            parts.append(bound.select("symbol", "ts", F.lit(len(parts)).alias("_part"), F.array(*(F.col(c).cast("double") for c in own)).alias("_values")))
+    sides = reduce(DataFrame.unionByName, parts).groupBy("symbol", "ts").agg(*(F.max(F.when(F.col("_part") == i, F.col("_values"))).alias(f"_part{i}") for i in range(len(parts))))
+    columns = {node: f"_ind{k}" for k, node in enumerate(places)}
+    wide = bars.join(sides, ["symbol", "ts"]).select(*bars.columns, *(F.get(f"_part{i}", F.lit(j)).alias(columns[node]) for node, (i, j) in places.items()))
+    return wide, there | columns
+
+
 def signals_of(strategies: list[StrategyIR], bars: DataFrame, registry: Registry | None = None) -> tuple[DataFrame, list[Column]]:
     """Bars with what many strategies look at, and the signal of each.
 
@@ -30,7 +54,7 @@ def signals_of(strategies: list[StrategyIR], bars: DataFrame, registry: Registry
     for ir in strategies:
         for node in ir.indicators():
             wanted.setdefault((node.name, json.dumps(node.params, sort_keys=True)), replace(node, id=str(len(wanted))))
-    bound, columns = bind(StrategyIR("all", list(wanted.values())), bars, registry)
+    bound, columns = with_indicators(list(wanted.values()), bars, registry or default_registry())
     stages = Stages()
     own = [{n.id: columns[i] for n in ir.indicators() if (i := wanted[n.name, json.dumps(n.params, sort_keys=True)].id) in columns} for ir in strategies]
     signals = [compile_signal(ir, named, stages=stages) for ir, named in zip(strategies, own)]

@@ -398,7 +398,9 @@ def test_strategies_share_indicators_and_what_looks_back(spark):
     assert all([r[f"s{i}"] for r in together] == [r.signal for r in own] for i, own in enumerate(alone))
 
 
-def test_random_populations_equal_each_strategy_alone(spark):
+@pytest.mark.parametrize("batch", [3, 100])
+def test_random_populations_equal_each_strategy_alone(spark, batch, monkeypatch):
+    monkeypatch.setattr(generate, "BATCH", batch)
     rng = random.Random(11)
     b = bars_of(spark, 100 + 10 * np.sin(np.arange(90) / 5))
     names = ("SMA", "EMA", "RSI", "MOM", "BBANDS", "KAMA")
