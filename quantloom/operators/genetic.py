@@ -8,6 +8,7 @@ test (``b``) takes tests or numbers (``n``), a number takes numbers, or a test f
 from __future__ import annotations
 
 import random
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
@@ -156,19 +157,55 @@ def objectives(figures: DataFrame, complexity, cost: float = 0.001) -> DataFrame
     return figures.withColumns({"sharpe": F.col("sharpe_ratio") - less, "drawdown": -F.col("max_drawdown_pct") / 100 - less, "win": F.col("win_rate") - less})
 
 
+def front_numbers(points: np.ndarray) -> np.ndarray:
+    """Number of the front of each row, from 1; high values are good, and a missing one is the worst.
+
+    Different points come by falling first value, so only those before can beat one. Who beats a point in the other two of
+    three values is told by a front's staircase, in one bisection, and a point beaten in a front is beaten in
+    all fronts before, so its own is bisected too: n log n log n steps. More values than three are compared one by one.
+    """
+    points = np.where(np.isnan(points), -np.inf, points)
+    different, which = np.unique(points, axis=0, return_inverse=True)
+    ranked = different[::-1]
+    found = np.zeros(len(ranked), np.int64)
+    if points.shape[1] > 3:
+        members: list[list[np.ndarray]] = []
+        for i, p in enumerate(ranked):
+            found[i] = bisect_left(members, True, key=lambda own, p=p: not (np.array(own) >= p).all(1).any())
+            if found[i] == len(members):
+                members.append([])
+            members[found[i]].append(p)
+    else:
+        stairs: list[tuple[list[float], list[float]]] = []  # of each front: rising second values, falling third ones
+        padded = np.c_[ranked, np.zeros((len(ranked), 3 - ranked.shape[1]))]
+
+        def clear(stair: tuple[list[float], list[float]], y: float, z: float) -> bool:
+            at = bisect_left(stair[0], y)
+            return at == len(stair[0]) or stair[1][at] < z
+
+        for i, (_, y, z) in enumerate(padded.tolist()):
+            found[i] = at = bisect_left(stairs, True, key=lambda stair, y=y, z=z: clear(stair, y, z))
+            if at == len(stairs):
+                stairs.append(([], []))
+            ys, zs = stairs[at]
+            stop = bisect_right(ys, y)
+            start = stop
+            while start and zs[start - 1] <= z:
+                start -= 1
+            ys[start:stop], zs[start:stop] = [y], [z]
+    return found[::-1][which.ravel()] + 1
+
+
 def fronts(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Number of the front, from 1, and crowding distance of each row; high values are good."""
     n = len(points)
-    front, left, number = np.zeros(n, np.int64), np.arange(n), 0
-    while len(left):
-        number += 1
-        own = points[left]
-        beaten = np.array([((own >= x).all(1) & (own > x).any(1)).any() for x in own])
-        front[left[~beaten]] = number
-        left = left[beaten]
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0)
+    front = front_numbers(points)
+    number = int(front.max())
     crowd = np.zeros(n)
-    for f in range(1, number + 1):
-        own = np.flatnonzero(front == f)
+    by_front = np.argsort(front, kind="stable")
+    for own in np.split(by_front, np.searchsorted(front[by_front], np.arange(2, number + 1))):
         for x in points[own].T:
             order = np.argsort(x, kind="stable")
             ranked, gap = x[order], np.full(len(own), np.inf)

@@ -37,7 +37,8 @@ def simulations(trades: DataFrame, n: int) -> DataFrame:
     simulation after that; windows over ``SIMULATION`` need no other shuffle, and what is
     shuffled is a twentieth of the simulated trades. ``n`` is a parameter, so no join is needed.
     """
-    dealt = trades.withColumn("stretch", F.explode(F.sequence(F.lit(0), F.lit((n - 1) // STRETCH)))).repartition("run_id", "stretch")
+    dealt = trades.withColumn("stretch", F.explode(F.sequence(F.lit(0), F.lit((n - 1) // STRETCH))))
+    dealt = dealt.repartition(int(trades.sparkSession.conf.get("spark.sql.shuffle.partitions")), "run_id", "stretch")  # with a number, as few bytes here are many simulated trades later
     first = F.col("stretch") * STRETCH
     return dealt.withColumn("sim_id", F.explode(F.sequence(first, F.least(first + (STRETCH - 1), F.lit(n - 1)))))
 

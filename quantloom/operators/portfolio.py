@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quantloom.functions.math import hash_uniform
 from quantloom.operators.align import asof_join
@@ -15,11 +17,46 @@ def curve_returns(curves: DataFrame, key: str, value: str, order: str = "ts") ->
     return curves.select(key, order, (F.try_divide(F.col(value), F.lag(value).over(w)) - 1).alias("ret")).where("ret IS NOT NULL")
 
 
-def correlation(returns: DataFrame, key: str, order: str = "ts") -> DataFrame:
-    """Correlation and sample covariance of every two curves at the times both have."""
-    a, b = (returns.select(F.col(key).alias(f"{key}_{s}"), order, F.col("ret").alias(f"ret_{s}")) for s in "ab")
-    both = a.join(b, order).where(F.col(f"{key}_a") <= F.col(f"{key}_b"))
-    return both.groupBy(f"{key}_a", f"{key}_b").agg(F.corr("ret_a", "ret_b").alias("corr"), F.covar_samp("ret_a", "ret_b").alias("covar"), F.count("*").alias("n"))
+def correlation(returns: DataFrame, key: str, order: str = "ts", tile: int = 256, span: str = "year") -> DataFrame:
+    """Correlation and sample covariance of every two curves at the times both have; a curve has one return a time.
+
+    Curves are dealt into tiles of about ``tile``, time into panels of one ``span``. A task holds two tiles of one panel as matrices;
+    their products are the sums that each two curves need, and sums of panels add up. So a return is copied
+    once for each tile, not for each curve.
+    """
+    tiles = max(1, -(-returns.select(key).distinct().count() // tile))
+    centred = F.col("ret") - F.avg("ret").over(Window.partitionBy(key))  # covariances are the same, and sums stay small
+    rows = returns.where("ret IS NOT NULL").select(F.col(key).alias("key"), F.unix_micros(F.col(order).cast("timestamp")).alias("at"), F.date_trunc(span, order).alias("panel"), centred.cast("double").alias("x"))
+    dealt = rows.withColumn("tile", F.pmod(F.xxhash64("key"), F.lit(tiles)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
+    placed = dealt.withColumns({"a": F.least("tile", "other"), "b": F.greatest("tile", "other")}).select("panel", "a", "b", "tile", "key", "at", "x")
+    kind = returns.schema[key].dataType
+    sums = ("n", "sx", "sy", "sxx", "syy", "sxy")
+    schema = T.StructType([T.StructField("key_a", kind), T.StructField("key_b", kind), *(T.StructField(c, T.DoubleType()) for c in sums)])
+
+    def products(frame: pd.DataFrame) -> pd.DataFrame:
+        times, at = np.unique(frame["at"].to_numpy(), return_inverse=True)
+        sides = []
+        for number in (frame.a.iloc[0], frame.b.iloc[0]):
+            own = (frame.tile == number).to_numpy()
+            names, column = np.unique(frame.key.to_numpy()[own], return_inverse=True)
+            x, there = np.zeros((len(times), len(names))), np.zeros((len(times), len(names)))
+            x[at[own], column], there[at[own], column] = frame.x.to_numpy()[own], 1.0
+            sides.append((names, x, there))
+        (one, x, mx), (two, y, my) = sides
+        every = (mx.T @ my, x.T @ my, mx.T @ y, (x * x).T @ my, mx.T @ (y * y), x.T @ y)
+        i, j = np.nonzero(every[0])
+        same = frame.a.iloc[0] == frame.b.iloc[0]
+        i, j = (i[i <= j], j[i <= j]) if same else (i, j)
+        out = pd.DataFrame({"key_a": one[i], "key_b": two[j]} | {c: m[i, j] for c, m in zip(sums, every)})
+        turned = out.key_a > out.key_b
+        out.loc[turned, list(schema.names)] = out.loc[turned, ["key_b", "key_a", "n", "sy", "sx", "syy", "sxx", "sxy"]].to_numpy()
+        return out.astype(dict.fromkeys(sums, "float64"))
+
+    whole = placed.groupBy("panel", "a", "b").applyInPandas(products, schema).groupBy("key_a", "key_b").agg(*(F.sum(c).alias(c) for c in sums))
+    both, vx, vy = (F.col("n") * F.col(c) - F.col(p) * F.col(q) for c, p, q in (("sxy", "sx", "sy"), ("sxx", "sx", "sx"), ("syy", "sy", "sy")))
+    corr = F.when((vx > 0) & (vy > 0), both / F.sqrt(vx) / F.sqrt(vy))
+    covar = F.when(F.col("n") > 1, both / F.col("n") / (F.col("n") - 1))
+    return whole.select(F.col("key_a").alias(f"{key}_a"), F.col("key_b").alias(f"{key}_b"), corr.alias("corr"), covar.alias("covar"), F.col("n").cast("long").alias("n"))
 
 
 def inverse_volatility(returns: DataFrame, key: str) -> DataFrame:

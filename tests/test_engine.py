@@ -379,6 +379,51 @@ def test_exponential_means_over_long_series(spark, period):
         assert np.allclose(f.dema, 2 * e - e.ewm(span=period, adjust=False).mean(), rtol=1e-8, equal_nan=True)
 
 
+def plain_fronts(points):
+    front, left, number = np.zeros(len(points), int), np.arange(len(points)), 0
+    while len(left):
+        number += 1
+        own = points[left]
+        beaten = np.array([((own >= x).all(1) & (own > x).any(1)).any() for x in own])
+        front[left[~beaten]] = number
+        left = left[beaten]
+    return front
+
+
+@pytest.mark.parametrize("values", [1, 2, 3, 4])
+def test_fronts_equal_peeling_them_off(values):
+    rng = np.random.default_rng(values)
+    for n, levels in ((1, 3), (50, 3), (200, 8), (300, 1000)):
+        points = rng.integers(0, levels, (n, values)).astype(float)
+        assert (genetic.front_numbers(points) == plain_fronts(points)).all()
+    assert genetic.fronts(np.zeros((0, values)))[0].shape == (0,)
+    assert genetic.front_numbers(np.array([[1.0] * values, [np.nan] * values])).tolist() == [1, 2]
+
+
+def test_fronts_of_a_large_population(spark):
+    """A hundred thousand rows under one key."""
+    rows = spark.range(100_000).selectExpr("1 AS k", *(f"(id * {m} % 100003) / 100003.0 AS {c}" for c, m in (("x", 7919), ("y", 104729), ("z", 1299709))))
+    found = genetic.nsga2_ranks(rows, ["k"], ("x", "y", "z"))
+    got = found.agg(F.count("*").alias("n"), F.max("front").alias("last"), F.sum((F.col("front") == 1).cast("int")).alias("first")).first()
+    assert got.n == 100_000 and got.last > 20 and 0 < got.first < 5000
+
+
+def test_correlation_by_tiles(spark):
+    """Many tiles and panels, gaps, and curves that never meet."""
+    rng = np.random.default_rng(4)
+    names = [f"c{i}" for i in range(12)]
+    values = pd.DataFrame(rng.normal(size=(400, 12)) + rng.normal(size=(400, 1)), columns=names).where(rng.random((400, 12)) > 0.3)
+    values.loc[:199, "c0"], values.loc[200:, "c1"] = np.nan, np.nan
+    days = pd.Timestamp("2019-11-01") + pd.to_timedelta(range(400), "D")
+    long = values.assign(ts=days).melt("ts", var_name="k", value_name="ret").dropna()
+    for tile, span in ((3, "month"), (256, "year")):
+        found = {(r.k_a, r.k_b): r for r in portfolio.correlation(spark.createDataFrame(long), "k", tile=tile, span=span).collect()}
+        assert ("c0", "c1") not in found and len(found) == 12 * 13 // 2 - 1
+        for (a, b), r in found.items():
+            both = values[[a, b]].dropna() if a != b else values[[a]].dropna().assign(other=values[a])
+            assert a <= b and r.n == len(both) and abs(r["corr"] - both.corr().iloc[0, 1]) < 1e-9 and abs(r.covar - both.cov().iloc[0, 1]) < 1e-9
+
+
 def plan_of(frame):
     return frame._jdf.queryExecution().analyzed().toString()
 
