@@ -40,6 +40,7 @@ k AS (SELECT symbol, day + INTERVAL 1 DAY AS known, close AS dc, CASE WHEN count
 b AS (SELECT *, {roll('avg', 'close', 10)} AS m FROM bars)
 SELECT b.symbol, b.ts, CASE WHEN coalesce(dc > dm, false) AND coalesce(b.close > m, false) THEN 1 ELSE -1 END AS signal FROM b ASOF LEFT JOIN k ON k.symbol = b.symbol AND b.ts >= k.known"""
 
+ORACLES["feed_scan"] = f"WITH {DAILY} SELECT symbol, ts, {', '.join(map(r, ALL[:5]))} FROM bars WHERE symbol IN ('2-HIGH', '4-NOT SPECIFIED') AND ts >= TIMESTAMP '1994-02-10' AND ts < TIMESTAMP '1996-07-05'"
 CORRECTED = f"{DAILY}, fixed AS (SELECT * REPLACE (CASE WHEN day(ts) = 10 THEN close + 1 ELSE close END AS close, CASE WHEN day(ts) = 10 THEN high + 1 ELSE high END AS high) FROM bars)"
 ORACLES["store_upsert"] = f"WITH {CORRECTED} SELECT symbol, ts, {', '.join(map(r, ALL))}, 'D1' AS timeframe FROM fixed WHERE NOT (symbol = '2-HIGH' AND ts BETWEEN TIMESTAMP '1994-03-10' AND TIMESTAMP '1995-09-20')"
 ORACLES["store_tiers"] = f"""WITH {CORRECTED}, h AS (WITH {HOURLY} SELECT * FROM bars), late AS (SELECT f.* REPLACE (coalesce(b.close, f.close) AS close) FROM fixed f LEFT JOIN bars b ON b.symbol = f.symbol AND b.ts = f.ts AND f.ts BETWEEN TIMESTAMP '1992-05-01' AND TIMESTAMP '1992-06-30'),

@@ -150,7 +150,7 @@ def bar_slice(spark, d):
 @query
 def bar_feed(spark, d):
     """The same bars delivered symbol by symbol through the data source."""
-    spark.dataSource.register(connector.BarFeed)
+    connector.register(spark)
     read = spark.read.format("bar_feed").options(fetch="quantloom.sources.connector:ramp", symbols="S000,S001,S002,broken", start="2020-01-01", end="2020-02-29").load()
     return rounded(read.withColumn("ts", F.col("ts").cast("timestamp_ntz")))
 

@@ -10,7 +10,7 @@ from quantloom.plans.ir import Edge, Node, StrategyIR, cross_strategy
 from quantloom.plans.signals import with_signal
 from quantloom.queries import daily, hourly, query, rounded
 from quantloom.sources import bars as bar_sources
-from quantloom.sources import store
+from quantloom.sources import connector, store
 
 
 def corporate_events(spark, d) -> DataFrame:
@@ -119,3 +119,15 @@ def spp_latin(spark, d):
     """Moving-average strategies over a Latin hypercube of their periods, executed and summed up."""
     figures = search.permuted(hourly(spark, d), {"fast": ("int", 3, 15), "slow": ("int", 20, 50)}, 40)
     return rounded(portfolio.permutation_summary(figures, ["symbol"]), 3)
+
+
+@query
+def feed_scan(spark, d):
+    """Daily bars, kept by symbol, delivered by the data source; symbols and times of the query reach the feed."""
+    folder = store.scratch(spark)
+    daily(spark, d).repartition("symbol").sortWithinPartitions("symbol", "ts").write.partitionBy("symbol").parquet(folder)
+    connector.register(spark)
+    names = "1-URGENT,2-HIGH,3-MEDIUM,4-NOT SPECIFIED,5-LOW"
+    feed = spark.read.format("bar_feed").options(fetch="quantloom.sources.connector:stored_bars", path=folder, symbols=names, start="1992-01-01", end="2003-12-31", errors="fail").load()
+    asked = feed.where("symbol IN ('2-HIGH', '4-NOT SPECIFIED') AND ts >= TIMESTAMP'1994-02-10 00:00:00' AND ts < TIMESTAMP'1996-07-05 00:00:00'")
+    return rounded(asked.withColumn("ts", F.col("ts").cast("timestamp_ntz")))

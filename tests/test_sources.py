@@ -1,6 +1,7 @@
 """The data source, reference tables and result files."""
 
 import datetime as dt
+import pathlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def feed(spark, **options):
-    spark.dataSource.register(connector.BarFeed)
+    connector.register(spark)
     return spark.read.format("bar_feed").options(**{"fetch": "quantloom.sources.connector:ramp", "start": "2020-01-01", "end": "2020-01-10", **options}).load()
 
 
@@ -30,6 +31,46 @@ def test_feed_spreads_symbols_and_skips_failures(spark):
         feed(spark, symbols="x", errors="fail").count()
 
 
+def noted(symbol, start, end, path):
+    """A feed that notes what it is asked for."""
+    with open(f"{path}/{symbol}_{start}_{end}", "w"):
+        pass
+    return [(day, *[10.0 + int(symbol[1:])] * 4, 2000.0) for day, *_ in connector.ramp(symbol, start, end)]
+
+
+def noted_feed(tmp_path, **options):
+    return {"fetch": "tests.test_sources:noted", "path": str(tmp_path), "symbols": "S1,S2,S3", "start": "2020-01-01", "end": "2020-12-31", "errors": "fail", **options}
+
+
+def test_feed_is_asked_only_for_what_the_query_needs(spark, tmp_path, monkeypatch):
+    monkeypatch.setenv("PYTHONPATH", str(pathlib.Path(__file__).parent.parent))
+    connector.register(spark)
+    rows = spark.read.format("bar_feed").options(**noted_feed(tmp_path)).load()
+    found = rows.where("symbol IN ('S2', 'S3', 'S9') AND ts >= TIMESTAMP'2020-03-02 00:00:00' AND ts < TIMESTAMP'2020-03-07 00:00:00' AND close > 11.5").collect()
+    assert {(r.symbol, r.ts.day) for r in found} == {(s, d) for s in ("S2", "S3") for d in range(2, 7)}
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["S2_2020-03-01_2020-03-08", "S3_2020-03-01_2020-03-08"]
+    assert rows.where("symbol = 'S1' AND ts = TIMESTAMP'2020-05-04 00:00:00'").count() == 1
+    assert "S1_2020-05-03_2020-05-05" in {p.name for p in tmp_path.iterdir()}
+    assert rows.where("symbol = 'none'").count() == 0 and rows.where("symbol = 'S1' AND ts > TIMESTAMP'2021-06-01 00:00:00'").count() == 0
+    assert rows.where("volume > 1000 AND (symbol = 'S1' OR close > 12)").count() == 262 * 2
+
+
+def test_feed_streams_the_days_since_the_last_batch(spark, tmp_path):
+    connector.register(spark)
+    (tmp_path / "asked").mkdir()
+
+    def run(end):
+        rows = spark.readStream.format("bar_feed").options(**noted_feed(tmp_path / "asked", end=end, symbols="S1,S2")).load()
+        query = rows.writeStream.format("parquet").option("checkpointLocation", f"file://{tmp_path}/check").option("path", f"file://{tmp_path}/out").trigger(availableNow=True).start()
+        assert query.awaitTermination(120) and query.exception() is None
+        return spark.read.parquet(f"file://{tmp_path}/out").groupBy("symbol").count().collect()
+
+    assert {r.symbol: r["count"] for r in run("2020-01-10")} == {"S1": 8, "S2": 8}
+    assert {r.symbol: r["count"] for r in run("2020-01-20")} == {"S1": 14, "S2": 14}
+    assert {r.symbol: r["count"] for r in run("2020-01-20")} == {"S1": 14, "S2": 14}
+    assert sorted(p.name for p in (tmp_path / "asked").iterdir()) == [f"{s}_{days}" for s in ("S1", "S2") for days in ("2020-01-01_2020-01-10", "2020-01-11_2020-01-20")]
+
+
 def test_calendar(spark):
     holidays = spark.createDataFrame([(dt.date(2020, 1, 2),)], "day date")
     days = {r.day.day: (r.is_open, r.open_before and r.open_before.day) for r in reference.trade_calendar(spark, "2020-01-01", "2020-01-07", holidays).collect()}
