@@ -397,9 +397,9 @@ def apo(bars: DataFrame, fast: int = 12, slow: int = 26) -> DataFrame:
 
 def keltner(bars: DataFrame, period: int = 20, width: float = 2.0) -> DataFrame:
     """An exponential mean of typical prices, and two mean true ranges on either side."""
-    ranged = decayed(_stage(bars, {"_tr": _true_range()}, {"_atr": roll(F.avg, F.col("_tr"), period)}, drop=False), {"keltner_middle": (typical(), _rate(period))})
-    middle, reach = F.col("keltner_middle"), width * F.col("_atr")
-    return ranged.withColumns({"keltner_upper": middle + reach, "keltner_lower": middle - reach}).drop("_tr", "_atr")
+    ranged = decayed(_stage(bars, {"_tr": _true_range()}, {"_atr": roll(F.avg, F.col("_tr"), period)}, drop=False), {"_middle": (typical(), _rate(period))})
+    middle, reach = F.col("_middle"), width * F.col("_atr")
+    return ranged.withColumns({"keltner_upper": middle + reach, "keltner_middle": middle, "keltner_lower": middle - reach}).drop("_tr", "_atr", "_middle")
 
 
 def adosc(bars: DataFrame, fast: int = 3, slow: int = 10) -> DataFrame:

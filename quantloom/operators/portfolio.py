@@ -18,7 +18,7 @@ def curve_returns(curves: DataFrame, key: str, value: str, order: str = "ts") ->
 
 
 def correlation(returns: DataFrame, key: str, order: str = "ts", tile: int = 256, span: str = "year") -> DataFrame:
-    """Correlation and sample covariance of every two curves at the times both have; a curve has one return a time.
+    """Correlation and sample covariance of every two curves at the times both have (or numbers of bars); a curve has one return a time.
 
     Curves are dealt into tiles of about ``tile``, time into panels of one ``span``. A task holds two tiles of one panel as matrices;
     their products are the sums that each two curves need, and sums of panels add up. So a return is copied
@@ -26,7 +26,9 @@ def correlation(returns: DataFrame, key: str, order: str = "ts", tile: int = 256
     """
     tiles = max(1, -(-returns.select(key).distinct().count() // tile))
     centred = F.col("ret") - F.avg("ret").over(Window.partitionBy(key))  # covariances are the same, and sums stay small
-    rows = returns.where("ret IS NOT NULL").select(F.col(key).alias("key"), F.unix_micros(F.col(order).cast("timestamp")).alias("at"), F.date_trunc(span, order).alias("panel"), centred.cast("double").alias("x"))
+    timed = not isinstance(returns.schema[order].dataType, T.NumericType)
+    at, panel = (F.unix_micros(F.col(order).cast("timestamp")), F.date_trunc(span, order)) if timed else (F.col(order), F.floor(F.col(order) / 4096))
+    rows = returns.where("ret IS NOT NULL").select(F.col(key).alias("key"), at.alias("at"), panel.alias("panel"), centred.cast("double").alias("x"))
     dealt = rows.withColumn("tile", F.pmod(F.xxhash64("key"), F.lit(tiles)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
     placed = dealt.withColumns({"a": F.least("tile", "other"), "b": F.greatest("tile", "other")}).select("panel", "a", "b", "tile", "key", "at", "x")
     kind = returns.schema[key].dataType

@@ -238,12 +238,15 @@ class BarStore:
             found = self._read(self.files(version)).limit(0)
         return range_scan(found.where(F.col("timeframe") == timeframe), wanted, start, end).drop("tier")
 
+    def _rows(self) -> DataFrame:
+        return self.rows().drop("tier")
+
     def coverage(self) -> DataFrame:
-        return coverage(self.rows())
+        return coverage(self._rows())
 
     def last(self, symbol: str, timeframe: str, n: int) -> DataFrame:
         """The n latest bars."""
-        return self.rows().drop("tier").where((F.col("symbol") == symbol) & (F.col("timeframe") == timeframe)).orderBy(F.desc("ts")).limit(n)
+        return self._rows().where((F.col("symbol") == symbol) & (F.col("timeframe") == timeframe)).orderBy(F.desc("ts")).limit(n)
 
 
 def range_scan(bars: DataFrame, symbols: list[str], start: str, end: str) -> DataFrame:
