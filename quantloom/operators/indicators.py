@@ -281,7 +281,7 @@ def per_series(bars: DataFrame, outputs: list[str], f: Callable[[pd.DataFrame],
     return bars.groupBy(*keys).applyInPandas(run, schema)
 
 
-_REACH = 100.0  # what lies behind so much decay weighs less than 1e-43
+_REACH = 45.0  # what lies behind so much decay weighs less than 1e-19; in a block exponents stay small, and so their errors
 
 
 def decayed(bars: DataFrame, wanted: dict[str, tuple[Column, Column | float]]) -> DataFrame:
@@ -308,11 +308,12 @@ def decayed(bars: DataFrame, wanted: dict[str, tuple[Column, Column | float]]) -
         {f"_{n}_cum": F.sum(f"_{n}_lost").over(run) for n in rest},
         {f"_{n}_block": F.floor(col(n, "cum") / _REACH) for n in rest},
         {f"_{n}_next": F.lead(f"_{n}_block").over(w) for n in rest},
-        {f"_{n}_own": F.exp(_REACH * col(n, "block") - col(n, "cum")) * F.sum(col(n, "x") * F.exp(col(n, "cum") - _REACH * col(n, "block"))).over(block(n)) for n in rest},
-        {f"_{n}_end": F.last(F.when(col(n, "next") > col(n, "block"), F.struct(f"_{n}_own", f"_{n}_cum")), True).over(w.rowsBetween(Window.unboundedPreceding, -1)) for n in rest},
-        {n: col(n, "own") + F.coalesce(F.exp(col(n, "end")[f"_{n}_cum"] - col(n, "cum")) * col(n, "end")[f"_{n}_own"], F.lit(0.0)) for n in rest},
+        {f"_{n}_in": F.sum(f"_{n}_lost").over(block(n)) for n in rest},
+        {f"_{n}_own": F.exp(-col(n, "in")) * F.sum(col(n, "x") * F.exp(col(n, "in"))).over(block(n)) for n in rest},
+        {f"_{n}_end": F.last(F.when(col(n, "next") > col(n, "block"), col(n, "own")), True).over(w.rowsBetween(Window.unboundedPreceding, -1)) for n in rest},
+        {n: col(n, "own") + F.coalesce(F.exp(-col(n, "in")) * col(n, "end"), F.lit(0.0)) for n in rest},
     ]
-    return _stage(bars, *steps[:-1], steps[-1], drop=False).drop(*{f"_{n}_{what}" for n in rest for what in ("lost", "x", "cum", "block", "next", "own", "end")})
+    return _stage(bars, *steps[:-1], steps[-1], drop=False).drop(*{f"_{n}_{what}" for n in rest for what in ("lost", "x", "cum", "block", "next", "in", "own", "end")})
 
 
 def _rate(period: int) -> float:
