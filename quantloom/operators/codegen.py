@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import json
 import re
+from collections.abc import Iterator
 from pathlib import Path
 from string import Template
 
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+
 from quantloom.plans.ir import Node, StrategyError, StrategyIR
 
 TARGETS = ("pyspark", "pandas", "dsl")
@@ -105,3 +111,30 @@ def generate_to_file(ir: StrategyIR, path: str, target: str = "pyspark") -> Path
     out = Path(path)
     out.write_text(generate(ir, target), encoding="utf-8")
     return out
+
+
+def sources(strategies: DataFrame, ir: str = "ir", targets: tuple[str, ...] = TARGETS) -> DataFrame:
+    """The source of every strategy (JSON in column ``ir``) for every target, made in tasks: the other columns, ``fingerprint``, ``target``, ``source`` and ``error``.
+
+    A strategy that can't be read or isn't valid has an error and no source.
+    """
+    kept = [f for f in strategies.schema.fields if f.name != ir]
+    made = T.StructType.fromDDL("fingerprint string, target string, source string, error string").fields
+
+    def one(text: str | None, target: str) -> tuple:
+        try:
+            read = json.loads(text or "")
+            if not isinstance(read, dict):
+                raise StrategyError("no strategy")
+            strategy = StrategyIR.from_dict(read)
+            return strategy.fingerprint(), target, generate(strategy, target), None
+        except (ValueError, KeyError, TypeError, StrategyError) as e:
+            return None, target, None, type(e).__name__
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for target in targets:
+                rows = pd.DataFrame([one(x, target) for x in frame[ir]], columns=[f.name for f in made], index=frame.index, dtype=object)
+                yield pd.concat([frame.drop(columns=ir), rows], axis=1)
+
+    return strategies.mapInPandas(run, T.StructType(kept + made))

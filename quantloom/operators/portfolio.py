@@ -99,17 +99,20 @@ def weights_for(returns: DataFrame, key: str, goal: str = "max_sharpe", order: s
 def calmar_weights(returns: DataFrame, key: str, trials: int = 200, seed: int = 42, order: str = "ts") -> DataFrame:
     """trial, calmar, and per key the weight, of the mix with the highest total return over its deepest drawdown.
 
-    Trials are drawn by hashes, one group each; equal weights are trial 0. Mixes are rebalanced at every time.
+    Trials are drawn by hashes, one group each; equal weights are trial 0. Mixes are rebalanced at every time. Growth is added
+    up as logarithms, and gains are ranked by ``log_calmar``, so no growth is too large; it is null where a mix doesn't gain.
     """
     drawn = returns.select(key).distinct().withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials))))
     raw = F.when(F.col("trial") == 0, 1.0).otherwise(-F.ln(1e-12 + hash_uniform(seed, F.lit("weight"), F.col("trial"), F.col(key))))
     weights = drawn.withColumn("_raw", raw).withColumn("weight", F.col("_raw") / F.sum("_raw").over(Window.partitionBy("trial"))).drop("_raw")
     mixed = returns.join(weights, key).groupBy("trial", order).agg(F.sum(F.col("ret") * F.col("weight")).alias("ret"))
     w = Window.partitionBy("trial").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    grown = mixed.withColumn("equity", F.exp(F.sum(F.ln(1 + F.col("ret"))).over(w)))
-    fallen = grown.withColumn("fall", 1 - F.col("equity") / F.greatest(F.max("equity").over(w), F.lit(1.0)))
-    rated = fallen.groupBy("trial").agg(F.try_divide(F.max_by("equity", order) - 1, F.max("fall")).alias("calmar"))
-    best = rated.orderBy(F.desc(F.round("calmar", 9)), "trial").limit(1)
+    grown = mixed.withColumn("growth", F.sum(F.ln(1 + F.col("ret"))).over(w))
+    fallen = grown.withColumn("fall", 1 - F.exp(F.col("growth") - F.greatest(F.max("growth").over(w), F.lit(0.0))))
+    ends = fallen.groupBy("trial").agg(F.max_by("growth", order).alias("growth"), F.max("fall").alias("fall"))
+    gain = F.col("growth") + F.ln(1 - F.exp(-F.col("growth")))
+    rated = ends.select("trial", F.try_divide(F.exp("growth") - 1, F.col("fall")).alias("calmar"), F.when((F.col("growth") > 0) & (F.col("fall") > 0), gain - F.ln("fall")).alias("log_calmar"))
+    best = rated.orderBy(F.desc_nulls_last(F.round("log_calmar", 9)), F.desc(F.round("calmar", 9)), "trial").limit(1)
     return weights.join(best, "trial")
 
 

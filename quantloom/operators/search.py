@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import product
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions.windows import roll
@@ -38,6 +38,34 @@ def grid(spark: SparkSession, values: dict[str, list], most: int | None = None)
     return table if most is None or len(rows) <= most else table.orderBy(F.md5(F.col("combo_idx").cast("string").cast("binary"))).limit(most)
 
 
+def _points(whole: bool, lo: Column, hi: Column) -> Column:
+    """Up to five numbers from lo to hi, as an array."""
+    k = F.least(F.lit(5.0), hi - lo + 1).cast("int") if whole else F.when(lo.isNotNull() & hi.isNotNull(), 5)
+    points = F.transform(F.sequence(F.lit(0), k - 1), lambda i: lo + (hi - lo) * i / F.greatest(F.lit(1), k - 1))
+    return F.when(k > 0, F.transform(points, lambda x: x.cast("long").cast("double")) if whole else points)
+
+
+def grid_over(ranges: DataFrame, keys: list[str], space: Space, most: int | None = None) -> DataFrame:
+    """As ``grid``, with a grid for each row of ``ranges`` (one row a key), whose columns the space may name as ends: ("float", "lowest", "highest").
+
+    combo_idx counts from 0 in the order of the space, the last name fastest. A row with a null end, or whole numbers
+    that end before they begin, has no combinations. ``most`` keeps so many of each row's by a hash, a sample on purpose.
+    """
+    dims = []
+    for kind, *ends in space.values():
+        if kind == "categorical":
+            dims.append(F.array(*(F.lit(float(v)) for v in ends[0])))
+        else:
+            dims.append(_points(kind == "int", *(F.col(e).cast("double") if isinstance(e, str) else F.lit(float(e)) for e in ends)))
+    out = ranges.select(*keys, *(x.alias(f"_dim{i}") for i, x in enumerate(dims)), F.lit(0).alias("combo_idx"))
+    for i, name in enumerate(space):
+        out = out.select("*", F.posexplode(f"_dim{i}").alias("_at", name)).withColumn("combo_idx", F.col("combo_idx") * F.size(f"_dim{i}") + F.col("_at")).drop("_at", f"_dim{i}")
+    if most is None:
+        return out
+    w = Window.partitionBy(*keys).orderBy(F.md5(F.col("combo_idx").cast("string").cast("binary")))
+    return out.withColumn("_place", F.row_number().over(w)).where(F.col("_place") <= most).drop("_place")
+
+
 def detect_space(params: dict[str, float]) -> Space:
     """From half to twice and one more of every number."""
     return {k: ("int", max(1, v // 2), 2 * v + 1) if isinstance(v, int) else ("float", v * 0.5, v * 2 + 1) for k, v in params.items() if isinstance(v, (int, float)) and not isinstance(v, bool)}

@@ -639,11 +639,12 @@ ORACLES["overfitting_report"] = RETS + PBO + MOMENTS + f", x AS (SELECT pbo, {LO
 CHANGES = f"WITH {DAILY}, x AS (SELECT symbol, ts, close / nullif(lag(close) OVER ({S}), 0) - 1 AS ret FROM bars), rets AS (SELECT * FROM x WHERE ret IS NOT NULL)"
 ORACLES["corr_matrix"] = CHANGES + f" SELECT a.symbol AS symbol_a, b.symbol AS symbol_b, {r('corr(a.ret, b.ret)', 'corr')}, {r('covar_samp(a.ret, b.ret)', 'covar')}, count(*) AS n FROM rets a JOIN rets b USING (ts) WHERE a.symbol <= b.symbol GROUP BY ALL"
 ORACLES["risk_parity"] = CHANGES + f", v AS (SELECT symbol, stddev_samp(ret) AS vol FROM rets GROUP BY symbol) SELECT symbol, {r('vol')}, {r('1 / vol / sum(1 / vol) OVER ()', 'weight')} FROM v"
-ORACLES["calmar_weights"] = CHANGES + f""", y AS (SELECT symbol, ts, ln(1 + ret) / 50 AS ret FROM rets), d AS (SELECT symbol, i::INT AS trial FROM (SELECT DISTINCT symbol FROM y), range(41) g(i)),
+ORACLES["calmar_weights"] = CHANGES + f""", d AS (SELECT symbol, i::INT AS trial FROM (SELECT DISTINCT symbol FROM rets), range(41) g(i)),
 k AS (SELECT *, CASE WHEN trial = 0 THEN 1.0 ELSE -ln(1e-12 + {u("'weight'", "trial", "symbol")}) END AS raw FROM d), wt AS (SELECT symbol, trial, raw / sum(raw) OVER (PARTITION BY trial) AS weight FROM k),
-m AS (SELECT trial, ts, sum(ret * weight) AS ret FROM y JOIN wt USING (symbol) GROUP BY ALL), e AS (SELECT *, exp(sum(ln(1 + ret)) OVER o) AS equity FROM m WINDOW o AS (PARTITION BY trial ORDER BY ts ROWS UNBOUNDED PRECEDING)),
-f AS (SELECT *, 1 - equity / greatest(max(equity) OVER (PARTITION BY trial ORDER BY ts ROWS UNBOUNDED PRECEDING), 1.0) AS fall FROM e), c AS (SELECT trial, (arg_max(equity, ts) - 1) / nullif(max(fall), 0) AS calmar FROM f GROUP BY trial),
-best AS (SELECT * FROM c ORDER BY round(calmar, 9) DESC, trial LIMIT 1) SELECT trial, symbol, {r('weight')}, {r('calmar')} FROM wt JOIN best USING (trial)"""
+m AS (SELECT trial, ts, sum(ret * weight) AS ret FROM rets JOIN wt USING (symbol) GROUP BY ALL), e AS (SELECT *, sum(ln(1 + ret)) OVER o AS growth FROM m WINDOW o AS (PARTITION BY trial ORDER BY ts ROWS UNBOUNDED PRECEDING)),
+f AS (SELECT *, 1 - exp(growth - greatest(max(growth) OVER (PARTITION BY trial ORDER BY ts ROWS UNBOUNDED PRECEDING), 0.0)) AS fall FROM e), c AS (SELECT trial, arg_max(growth, ts) AS g, max(fall) AS fall FROM f GROUP BY trial),
+l AS (SELECT trial, g, fall, CASE WHEN g > 0 AND fall > 0 THEN g + ln(1 - exp(-g)) - ln(fall) END AS log_calmar FROM c),
+best AS (SELECT * FROM l ORDER BY round(log_calmar, 9) DESC NULLS LAST, CASE WHEN g <= 0 THEN round((exp(g) - 1) / nullif(fall, 0), 9) END DESC NULLS LAST, trial LIMIT 1) SELECT trial, symbol, {r('weight')}, {r('log_calmar')} FROM wt JOIN best USING (trial)"""
 ORACLES["portfolio_curve"] = CHANGES + f", m AS (SELECT ts, sum(ret * 0.2::DOUBLE) AS ret FROM rets GROUP BY ts) SELECT ts, {r('ret', digits=4)}, {r('sum(ln(1 + ret)) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING)', 'log_equity', 4)} FROM m"
 ORACLES["corrected_p_values"] = """WITH t AS (SELECT s_suppkey AS id, (s_suppkey * 37 % 101) / 5000.0::DOUBLE AS p_value FROM supplier), k AS (SELECT *, count(*) OVER () AS m, row_number() OVER (ORDER BY p_value, id) AS rk FROM t),
 h AS (SELECT *, p_value * m * list_sum(list_transform(range(1, m + 1), lambda i: 1.0::DOUBLE / i)) / rk AS raw FROM k)

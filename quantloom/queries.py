@@ -702,7 +702,7 @@ def risk_parity(spark, d):
 @query
 def calmar_weights(spark, d):
     r = portfolio.curve_returns(daily(spark, d), "symbol", "close")
-    return rounded(portfolio.calmar_weights(r.withColumn("ret", F.ln(1 + F.col("ret")) / 50), "symbol", 40))
+    return rounded(portfolio.calmar_weights(r, "symbol", 40).drop("calmar"))  # the growth itself is too large for decimals
 
 
 @query
@@ -876,7 +876,7 @@ def codegen_sources(spark, d):
     return spark.createDataFrame([(t, codegen.generate(ir, t)) for t in codegen.TARGETS], "target string, source string")
 
 
-from quantloom import oracles_market, queries_market  # noqa: E402, F401  they register themselves
+from quantloom import oracles_market, oracles_scenarios, queries_market, queries_scenarios  # noqa: E402, F401  they register themselves
 
 
 def queries() -> dict[str, Query]:

@@ -85,7 +85,13 @@ def random_walk_bars(spark: SparkSession, symbols: int, days: int, start: str =
     w = Window.partitionBy("symbol").orderBy("d")
     numbered = rows.withColumn("n", F.row_number().over(w)).where(F.col("n") <= days)
     step = F.when(F.col("n") == 1, 0.0).otherwise(drift + volatility * hash_normal(seed, F.lit("step"), F.col("symbol"), F.col("n")))
-    walked = numbered.withColumn("close", 100 * F.exp(F.sum(step).over(w.rowsBetween(Window.unboundedPreceding, 0))))
+    return _walk(numbered, F.lit(100.0), step, seed)
+
+
+def _walk(numbered: DataFrame, base: Column, step: Column, seed: int) -> DataFrame:
+    """Bars around closes that grow from ``base`` by exp(step) from day ``d`` (number ``n``) to day."""
+    w = Window.partitionBy("symbol").orderBy("d")
+    walked = numbered.withColumn("close", base * F.exp(F.sum(step).over(w.rowsBetween(Window.unboundedPreceding, 0))))
     u = lambda what: hash_uniform(seed, F.lit(what), F.col("symbol"), F.col("n"))
     opened = walked.withColumn("open", F.col("close") * (1 + 0.01 * (u("open") - 0.5)))
     ranged = opened.withColumns({"high": F.greatest("open", "close") * (1 + 0.01 * u("high")), "low": F.least("open", "close") * (1 - 0.01 * u("low")), "volume": 1e6 + F.floor(u("volume") * 49e6)})
@@ -93,6 +99,29 @@ def random_walk_bars(spark: SparkSession, symbols: int, days: int, start: str =
     return ranged.select("symbol", F.col("d").cast("timestamp_ntz").alias("ts"), "open", "high", "low", "close", F.col("volume").cast("double").alias("volume"), F.coalesce(change >= 0.095, F.lit(False)).alias("limit_up"), F.coalesce(change <= -0.095, F.lit(False)).alias("limit_down"), (u("suspended") < 0.01).alias("is_suspended"), F.lit(1.0).alias("adjustment_factor"))
 
 
+def ramps_over(bars: DataFrame, slope: float = 0.05) -> DataFrame:
+    """A ramp in place of each symbol's bars: over the business days from its first bar to its last, from its first close on."""
+    ends = bars.groupBy("symbol").agg(F.to_date(F.min("ts")).alias("first"), F.to_date(F.max("ts")).alias("last"), F.min_by("close", "ts").alias("base"))
+    days = ends.select("symbol", "first", "base", F.explode(F.sequence("first", "last")).alias("d")).where(F.dayofweek("d").between(2, 6))
+    n = F.datediff("d", "first")
+    base = F.col("base") + n * slope
+    return days.select("symbol", F.col("d").cast("timestamp_ntz").alias("ts"), base.alias("open"), (base + 0.5).alias("high"), (base - 0.5).alias("low"), (base + 0.1).alias("close"), (1000.0 + n * 10).alias("volume"))
+
+
+def random_walks_after(bars: DataFrame, days: int, seed: int = 42) -> DataFrame:
+    """Bars that go on after the last one of each symbol: a random walk over ``days`` business days with the mean and spread of its own log returns.
+
+    A symbol with fewer than three bars stays where it is.
+    """
+    w = Window.partitionBy("symbol").orderBy("ts")
+    changes = bars.select("symbol", "ts", "close", F.ln(F.try_divide("close", F.lag("close").over(w))).alias("change"))
+    known = changes.groupBy("symbol").agg(F.to_date(F.max("ts")).alias("last"), F.max_by("close", "ts").alias("base"), F.coalesce(F.avg("change"), F.lit(0.0)).alias("drift"), F.stddev_samp("change").alias("spread"))
+    day = F.explode(F.sequence(F.date_add("last", 1), F.date_add("last", days * 7 // 5 + 7)))
+    rows = known.select("symbol", "base", F.when(F.col("spread").isNull(), 0.0).otherwise(F.col("drift")).alias("drift"), F.coalesce("spread", F.lit(0.0)).alias("spread"), day.alias("d")).where(F.dayofweek("d").between(2, 6))
+    numbered = rows.withColumn("n", F.row_number().over(Window.partitionBy("symbol").orderBy("d"))).where(F.col("n") <= days)
+    return _walk(numbered, F.col("base"), F.col("drift") + F.col("spread") * hash_normal(seed, F.lit("step"), F.col("symbol"), F.col("n")), seed)
+
+
 def slice_bars(bars: DataFrame, first: int, last: int) -> DataFrame:
     """The bars of each symbol from position ``first`` up to, not including, ``last``; counted from 0."""
     at = F.row_number().over(Window.partitionBy("symbol").orderBy("ts")) - 1
