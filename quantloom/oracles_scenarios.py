@@ -1,9 +1,11 @@
-"""SQL twins of the queries over scenarios, and the two long recursions: an account of many symbols and the cycle measures."""
+"""SQL twins of the queries over scenarios, and the long ones: an account of many symbols, the cycle measures, a population of trees."""
 
 from __future__ import annotations
 
+from quantloom.operators.genetic import Tree
 from quantloom.operators.indicators import HILBERT
-from quantloom.oracles import _STEP, _WALK, ALL, B_COLUMNS, CROSS, DAILY, HOURLY, ORACLES, RETS, RULED, S, cdf, div, lag, r, staged
+from quantloom.oracles import _STEP, _WALK, ALL, B_COLUMNS, CROSS, DAILY, HOURLY, ORACLES, PLAIN_RULES, RETS, RULED, TR, S, cdf, div, execution, lag, metric_tables, r, roll, staged
+from quantloom.queries_scenarios import population
 
 ORACLES["ramps_over"] = f"""WITH {DAILY}, e AS (SELECT symbol, min(ts)::DATE AS first, max(ts)::DATE AS last, arg_min(close, ts) AS base FROM bars GROUP BY symbol),
 x AS (SELECT symbol, (first + i::INT)::TIMESTAMP AS ts, i AS n, base + i * 0.05::DOUBLE AS base FROM e, range(20000) g(i) WHERE first + i::INT <= last AND isodow(first + i::INT) <= 5)
@@ -132,3 +134,60 @@ h AS (SELECT *, (sine > lead_sine) <> coalesce(lag(sine > lead_sine) OVER ({S}),
 q AS (SELECT *, i - coalesce(max(CASE WHEN crossed THEN i END) OVER ({S} ROWS UNBOUNDED PRECEDING), 5) AS quiet FROM h),
 o AS (SELECT symbol, ts, soft AS ht_dcperiod, dc AS ht_dcphase, i1 AS ht_inphase, q1 AS ht_quadrature, sine AS ht_sine, lead_sine AS ht_leadsine, trend AS ht_trendline, CASE WHEN quiet < 0.5 * soft OR soft <> 0 AND step > 0.67::DOUBLE * 360 / soft AND step < 1.5::DOUBLE * 360 / soft THEN 0.0 ELSE 1.0 END AS ht_trendmode, mama, fama FROM q)
 SELECT symbol, ts, {', '.join(r(c) for c in HILBERT)} FROM bars LEFT JOIN o USING (symbol, ts)"""
+
+# -- a population: every different subtree is a column of the stage of its height
+
+_WORDS = {"GT": ">", "LT": "<", "GE": ">=", "LE": "<=", "ADD": "+", "SUB": "-", "MUL": "*"}
+_SERIES = {
+    "SMA": lambda n: roll("avg", "close", n), "STDDEV": lambda n: roll("stddev_pop", "close", n), "MOM": lambda n: f"(close - {lag('close', n)})", "ROC": lambda n: f"(100 * ({div('close', lag('close', n))} - 1))",
+    "ATR": lambda n: roll("avg", "tr", n), "WILLR": lambda n: f"(-100 * {div(roll('max', 'high', n) + ' - close', roll('max', 'high', n) + ' - ' + roll('min', 'low', n))})",
+}
+
+
+def height(t: Tree) -> int:
+    return 1 + max(map(height, t.kids), default=-1)
+
+
+def of_tree(t: Tree, names: dict[Tree, str]) -> str:
+    """The value of a tree over the columns of its subtrees."""
+    a, b, *_ = [*(names[k] for k in t.kids), "", ""]
+    if t.op == "IND":
+        return _SERIES[t.name](int(t.value))
+    if t.op in ("CONST", "TRUE", "FALSE"):
+        return f"{t.value!r}::DOUBLE" if t.op == "CONST" else t.op.lower()
+    if t.op in ("GT", "LT", "GE", "LE"):
+        return f"coalesce({a} {_WORDS[t.op]} {b}, false)"
+    if t.op in ("ADD", "SUB", "MUL"):
+        return f"({a} {_WORDS[t.op]} {b})"
+    return {
+        "AND": f"({a} AND {b})", "OR": f"({a} OR {b})", "NOT": f"(NOT {a})", "EQ": f"coalesce(abs({a} - {b}) < 1e-6, false)",
+        "CROSSOVER": f"coalesce({a} > {b} AND {lag(f'{a} - {b}')} <= 0, false)", "CROSSUNDER": f"coalesce({a} < {b} AND {lag(f'{a} - {b}')} >= 0, false)",
+        "IF": f"CASE WHEN {a} THEN {b} ELSE {names[t.kids[-1]]} END", "DIV": f"CASE WHEN abs({b}) > 1e-10 THEN {a} / nullif({b}, 0) ELSE 1.0 END", "SQRT": f"sqrt(abs({a}))", "LOG": f"ln(abs({a}) + 1e-10::DOUBLE)",
+        "POW": f"power(abs({a}), {b})", "NEG": f"(-{a})", "LAG": lag(a, int(t.value)),
+    }[t.op]
+
+
+def grown(trees: list[Tree]) -> tuple[list[dict[str, str]], dict[Tree, str]]:
+    """Stages of columns, and the column of every subtree."""
+    different: dict[Tree, None] = {}
+
+    def gather(t: Tree) -> None:
+        for k in t.kids:
+            gather(k)
+        different.setdefault(t)
+
+    for t in trees:
+        gather(t)
+    names = {t: f"t{i}" for i, t in enumerate(different)}
+    stages = [{} for _ in range(1 + max(map(height, different)))]
+    for t in different:
+        stages[height(t)][names[t]] = of_tree(t, names)
+    return stages, names
+
+
+_STAGES, _NAMES = grown(population())
+_VOTES = ", ".join(f"CASE WHEN {_NAMES[t]} THEN 1 ELSE -1 END" for t in population())
+ORACLES["gp_population_figures"] = staged([{"tr": TR}, *_STAGES, *PLAIN_RULES], HOURLY)[:-1] + f""",
+trials AS (SELECT symbol, ts, open, close, no_buy_reason, no_sell_reason, factor, unnest([{_VOTES}]) AS signal, unnest(range({len(population())}))::INT AS run_id FROM last),
+b AS (SELECT run_id || '|' || symbol AS key, row_number() OVER (PARTITION BY run_id, symbol ORDER BY ts) AS rn, {B_COLUMNS} FROM trials)""" + execution() + ", curve AS (SELECT key, rn - 1 AS bar_seq, equity FROM st WHERE rn > 0)" + metric_tables("curve", "key") + f"""
+SELECT split_part(key, '|', 1)::INT AS run_id, split_part(key, '|', 2) AS symbol, {', '.join(r(c, digits=4) for c in ('net_profit', 'total_return_pct', 'sharpe_ratio', 'max_drawdown_pct'))} FROM mx"""
