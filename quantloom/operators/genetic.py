@@ -87,6 +87,12 @@ def random_tree(rng: random.Random, kind: str = "b", depth: int = 3, indicators:
     return Tree(op, kids, "", rng.choice(LAGS) if op == "LAG" else 0)
 
 
+def random_population(size: int, seed: int, depth: int = 3, indicators: tuple[str, ...] = INDICATORS) -> list[Tree]:
+    """Tests that a first generation starts with; the same for the same seed."""
+    rng = random.Random(seed)
+    return [random_tree(rng, "b", depth, indicators) for _ in range(size)]
+
+
 _registry = default_registry()
 
 

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from quantloom.operators.genetic import Tree
+from quantloom.operators.genetic import Tree, random_population
 from quantloom.operators.indicators import HILBERT
 from quantloom.oracles import _STEP, _WALK, ALL, B_COLUMNS, CROSS, DAILY, HOURLY, ORACLES, PLAIN_RULES, RETS, RULED, TR, S, cdf, div, execution, lag, metric_tables, r, roll, staged
-from quantloom.queries_scenarios import population
 
 ORACLES["ramps_over"] = f"""WITH {DAILY}, e AS (SELECT symbol, min(ts)::DATE AS first, max(ts)::DATE AS last, arg_min(close, ts) AS base FROM bars GROUP BY symbol),
 x AS (SELECT symbol, (first + i::INT)::TIMESTAMP AS ts, i AS n, base + i * 0.05::DOUBLE AS base FROM e, range(20000) g(i) WHERE first + i::INT <= last AND isodow(first + i::INT) <= 5)
@@ -185,9 +184,10 @@ def grown(trees: list[Tree]) -> tuple[list[dict[str, str]], dict[Tree, str]]:
     return stages, names
 
 
-_STAGES, _NAMES = grown(population())
-_VOTES = ", ".join(f"CASE WHEN {_NAMES[t]} THEN 1 ELSE -1 END" for t in population())
+_TREES = random_population(40, 11, 3, tuple(_SERIES))
+_STAGES, _NAMES = grown(_TREES)
+_VOTES = ", ".join(f"CASE WHEN {_NAMES[t]} THEN 1 ELSE -1 END" for t in _TREES)
 ORACLES["gp_population_figures"] = staged([{"tr": TR}, *_STAGES, *PLAIN_RULES], HOURLY)[:-1] + f""",
-trials AS (SELECT symbol, ts, open, close, no_buy_reason, no_sell_reason, factor, unnest([{_VOTES}]) AS signal, unnest(range({len(population())}))::INT AS run_id FROM last),
+trials AS (SELECT symbol, ts, open, close, no_buy_reason, no_sell_reason, factor, unnest([{_VOTES}]) AS signal, unnest(range({len(_TREES)}))::INT AS run_id FROM last),
 b AS (SELECT run_id || '|' || symbol AS key, row_number() OVER (PARTITION BY run_id, symbol ORDER BY ts) AS rn, {B_COLUMNS} FROM trials)""" + execution() + ", curve AS (SELECT key, rn - 1 AS bar_seq, equity FROM st WHERE rn > 0)" + metric_tables("curve", "key") + f"""
 SELECT split_part(key, '|', 1)::INT AS run_id, split_part(key, '|', 2) AS symbol, {', '.join(r(c, digits=4) for c in ('net_profit', 'total_return_pct', 'sharpe_ratio', 'max_drawdown_pct'))} FROM mx"""

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import random
 
 from pyspark.sql import functions as F
 
@@ -67,14 +66,9 @@ def pbo_by_sharpe(spark, d):
     return rounded(overfitting.pbo_by_sharpe(strategy_returns(spark, d)))
 
 
-def population() -> list[genetic.Tree]:
-    """Forty random trees over indicators that SQL can repeat."""
-    rng = random.Random(11)
-    return [genetic.random_tree(rng, depth=3, indicators=("SMA", "STDDEV", "MOM", "ROC", "ATR", "WILLR")) for _ in range(40)]
-
-
 @query
 def gp_population_figures(spark, d):
     """The figures of a population: equal subtrees and equal trees once."""
-    figures = generate.evaluate_all([genetic.to_ir(t) for t in population()], hourly(spark, d))
+    trees = genetic.random_population(40, 11, 3, ("SMA", "STDDEV", "MOM", "ROC", "ATR", "WILLR"))
+    figures = generate.evaluate_all([genetic.to_ir(t) for t in trees], hourly(spark, d))
     return rounded(figures.select("run_id", "symbol", "net_profit", "total_return_pct", "sharpe_ratio", "max_drawdown_pct"), 4)
