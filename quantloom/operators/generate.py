@@ -64,11 +64,14 @@ def signals_of(strategies: list[StrategyIR], bars: DataFrame, registry: Registry
 def evaluate_all(strategies: list[StrategyIR], bars: DataFrame, config: BacktestConfig = BacktestConfig(), registry: Registry | None = None) -> DataFrame:
     """Figures of many strategies, run_id being the place in the list: equal indicators are computed once, equal strategies executed once."""
     wide = RuleChain().apply(bars)
-    different = {ir.fingerprint(): ir for ir in strategies}
-    places = {key: at for at, key in enumerate(different)}
+    keys = [ir.fingerprint() for ir in strategies]
+    different = dict(zip(keys, strategies))
+    runs: dict[str, list[int]] = {key: [] for key in different}
+    for i, key in enumerate(keys):
+        runs[key].append(i)
     with_all, signals = signals_of(list(different.values()), wide, registry or default_registry())
     figures = evaluate(with_all.select(*wide.columns, F.array(*signals).alias("signals")), config)
-    wanted = F.create_map(*(F.lit(x) for at in range(len(signals)) for x in (at, [i for i, ir in enumerate(strategies) if places[ir.fingerprint()] == at])))
+    wanted = F.expr(f"map({', '.join(f'{at}, array({", ".join(map(str, ids))})' for at, ids in enumerate(runs.values()))})")
     return figures.withColumn("run_id", F.explode(wanted[F.col("combo_idx")])).drop("combo_idx")
 
 
