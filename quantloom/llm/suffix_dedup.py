@@ -351,10 +351,9 @@ def covered_strings(rows: np.ndarray, doc_id: np.ndarray) -> np.ndarray:
     size = np.bincount(anchor)[anchor[by]]
     by, mask = by[size > 1], np.zeros(len(one), np.uint32)
     edges = np.flatnonzero(np.diff(anchor[by], prepend=-1))
-    for a, b in zip(cuts := edges[np.searchsorted(edges, np.arange(0, len(by), _REFINED))] if len(by) else [], [*cuts[1:], len(by)]):
+    at = np.unique(np.searchsorted(edges, np.arange(0, len(by), _REFINED)))  # the first bucket that begins there or later, if any does
+    for a, b in zip(cuts := edges[at[at < len(edges)]], [*cuts[1:], len(by)]):
         own = by[a:b]
-        if not len(own):
-            continue
         bucket, there = string_buckets(one[own]), _there(one[own])
         ids = np.broadcast_to(first[own, None], there.shape)
         least = np.full(int(bucket.max()) + 1, np.iinfo(np.int64).max)

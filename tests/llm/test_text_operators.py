@@ -240,6 +240,24 @@ def test_refined_buckets_are_equal_strings():
     assert len(np.unique(buckets)) == len({x for r in strings for x in r}) == len({(b, x) for r, q in zip(strings, buckets.tolist()) for x, b in zip(r, q)})
 
 
+def test_refinement_ends_in_a_bucket_wherever_it_is_cut(monkeypatch):
+    """The last bucket of a task may hold the last place at which contexts are taken together."""
+    import numpy as np
+
+    rng = np.random.default_rng(23)
+    rows = np.zeros((240, 80), np.uint8)
+    rows[:, :76] = rng.integers(97, 99, (9, 76))[rng.integers(0, 9, 240)]
+    rows[:, 26:50] = rng.integers(97, 100, (30, 24))[rng.integers(0, 30, 240)]
+    rows[:, 76], rows[:, 77] = 26, 50
+    ids, held = rng.permutation(240), defaultdict(list)
+    for i, s in itertools.product(range(240), range(27)):
+        held[s, rows[i, s : s + 50].tobytes()].append(int(ids[i]))
+    want = [sum(1 << s for s in range(27) if min(held[s, rows[i, s : s + 50].tobytes()]) < ids[i]) for i in range(240)]
+    for together in range(1, 241):
+        monkeypatch.setattr(suffix_dedup, "_REFINED", together)
+        assert suffix_dedup.covered_strings(rows, ids).tolist() == want
+
+
 def test_frequent_anchors_are_decided_string_by_string():
     """The path for anchors in very many contexts, in one block after the other without Spark."""
     import numpy as np
