@@ -52,7 +52,8 @@ def codegen_strategies(spark, d):
     ir = F.lit(text)
     for name, value in values.items():
         ir = F.replace(ir, F.lit(f'"{name}"'), value)
-    parts = bar_sources.read(spark, d, "part").select("p_partkey", F.when(key % 50 > 0, ir).otherwise(F.replace(ir, F.lit('"target": "low"'), F.lit('"target": "lost"'))).alias("ir"))
+    parts = bar_sources.read(spark, d, "part").select("p_partkey", "p_size").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))  # before the texts are made
+    parts = parts.select("p_partkey", F.when(key % 50 > 0, ir).otherwise(F.replace(ir, F.lit('"target": "low"'), F.lit('"target": "lost"'))).alias("ir"))
     return codegen.sources(parts, targets=("pandas", "dsl")).select("p_partkey", "target", "source", F.col("error").isNull().alias("valid"))
 
 

@@ -21,6 +21,17 @@ def bars_of(spark, closes):
     return spark.createDataFrame([(s, DAY + datetime.timedelta(hours=i), float(x)) for s, xs in closes.items() for i, x in enumerate(xs)], BARS)
 
 
+def test_sources_of_one_file_are_made_by_several_tasks(spark):
+    """However few partitions strategies lie in; equal ones have equal sources, bad ones their error."""
+    text = json.dumps(threshold_strategy("RSI", 30, 70).to_dict())
+    rows = [(i, (text, text.replace("30", "31"), "{", None)[i % 4]) for i in range(400)]
+    frame = spark.createDataFrame(rows, "id int, ir string").coalesce(1)
+    found = codegen.sources(frame, targets=("pandas", "dsl")).withColumn("task", F.spark_partition_id()).collect()
+    assert len(found) == 800 and len({r.task for r in found}) > 1
+    by = {(r.id % 4, r.target, r.source, r.error) for r in found}
+    assert len(by) == 8 and {(k, e) for k, _, x, e in by if x is None} == {(2, "JSONDecodeError"), (3, "JSONDecodeError")}
+
+
 def test_walks_go_on_from_the_last_close(spark):
     b = bars_of(spark, {"a": [10, 11, 10, 12], "few": [5, 6], "one": [7]})
     found = bar_sources.random_walks_after(b, 9).orderBy("symbol", "ts").collect()
