@@ -12,7 +12,8 @@ Counts of linked pairs are taken over the whole corpus without moving links: doc
 in blocks of about ``block_bytes`` of text, a block keeps every different part once, a dictionary
 of the pairs it met, and its links as numbers into that dictionary, and only dictionaries are
 shuffled. However frequent a pair, it stands once in each block's dictionary. Each block then meets
-its dictionary again, with the corpus' counts, by a cogroup that holds one block at a time.
+its dictionary again, with the corpus' counts, by a cogroup that holds one block at a time. Blocks
+lie in row groups of a few each, so memory doesn't hang on how many a task has.
 
 Defined cases: texts that are null, empty or whose tokens don't give back a space and the text, byte by
 byte, have no tokens: zeros and an empty string. Special tokens' strings inside texts are plain text. Rows with
@@ -36,6 +37,7 @@ from quantloom.llm.best_fit_packing import _tokenizer
 from quantloom.llm.common import shared_folder, small_batches
 
 BLOCK_BYTES = 4 << 20
+GROUP_BYTES = 16 << 20  # of a row group of the blocks' file; a task writes and reads one at a time
 PARTS_KEPT, LONG_PART, TOGETHER = 200_000, 200, 1000  # of a worker's table: parts, characters of one, parts encoded together
 MARK = "▁"
 SINGLE_SPACES, OTHER_SPACES = re.compile(r"(?<=\S) (?=\S)"), re.compile(r"\s | \s|^\s|\s\Z")
@@ -278,7 +280,9 @@ def alignments(docs: DataFrame, byte_level_path: str, piece_path: str, block_byt
 
     path = shared_folder(spark)
     blocks = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, BLOCK)
-    blocks.withColumn("block", F.monotonically_increasing_id()).write.parquet(path)
+    # a block is one row of megabytes: without a look at the size after each row, all blocks of a task would be held as one row group
+    few = {"parquet.block.size": GROUP_BYTES, "parquet.page.size.row.check.min": 1}
+    blocks.withColumn("block", F.monotonically_increasing_id()).write.options(**few).parquet(path)
     blocks, again = spark.read.parquet(path), spark.read.parquet(path)
 
     met = again.select("block", F.posexplode(F.arrays_zip("pair", "n")).alias("place", "own")).select("block", "place", "own.pair", "own.n")

@@ -120,3 +120,22 @@ def test_alignment_of_an_empty_table_and_null_ids(spark, libraries):
     out = found(token_alignment.alignments(spark.createDataFrame(rows, schema), BPE, PIECES))
     assert [r[0] for r in out] == [1, 1, None, None] and len({r[1:] for r in out if r[1]}) == 1
     assert out[-1][6] == 3 * out[-1][4] and out[0] == (1, 0, 0, 0, 0, 0, 0, "")
+
+
+def test_a_task_holds_few_blocks_at_a_time(spark, monkeypatch, tmp_path):
+    """One task's blocks lie in many row groups, so neither their writer nor their reader holds them all."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    rng = random.Random(6)
+    rows = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(400))) for i in range(60)]
+    monkeypatch.setattr(token_alignment, "GROUP_BYTES", 1 << 17)
+    monkeypatch.setattr(token_alignment, "shared_folder", lambda _: str(tmp_path / "blocks"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    found = {r.doc_id: r for r in token_alignment.alignments(docs, BPE, PIECES, 4000).collect()}
+    (file,) = glob.glob(f"{tmp_path}/blocks/*.parquet")
+    meta = pq.ParquetFile(file).metadata
+    assert meta.num_rows >= 20 and meta.num_row_groups >= 4 and max(meta.row_group(i).num_rows for i in range(meta.num_row_groups)) <= meta.num_rows // 3
+    monkeypatch.undo()
+    assert len(found) == 60 and found == {r.doc_id: r for r in token_alignment.alignments(docs, BPE, PIECES).collect()}
