@@ -66,43 +66,57 @@ def equity_metrics(equity: DataFrame, keys: list[str], order: str = "bar_seq", m
     return out.select(*keys, *(F.when(few, 0.0).otherwise(_or_zero(x)).alias(c) for c, x in figures.items()), *(more or {}))
 
 
-def fifo_round_trips(trades: DataFrame, keys: list[str]) -> DataFrame:
+def fifo_round_trips(trades: DataFrame, keys: list[str], span: str | None = None) -> DataFrame:
     """Sells matched with earlier buys, first in first out: one row per lot and sell that overlap.
 
-    Buys and sells of a symbol each cover a range of running share counts; they match where their
-    ranges overlap, which a range join in buckets of the running count finds. Both sides are cut
-    at the buckets' edges, so the join is on equal keys. What a sell asks for beyond the lots then
-    open is dropped for good: the most by which sells were ever ahead of buys is taken off the
-    sold count, so a later buy never meets an earlier sell. What is left unsold matches nothing.
+    Buys and sells of a symbol each cover a range of running share counts, gapless from 0; they match
+    where their ranges overlap. What a sell asks for beyond the lots then open is dropped for good: the
+    most by which sells were ever ahead of buys is taken off the sold count, so a later buy never meets
+    an earlier sell. What is left unsold matches nothing.
+
+    Counts run side by side over spans of a series, to which those of the spans before are added; only
+    one row a span goes through a series' task. ``span`` names a column that never falls (nulls first) as
+    trade_seq rises; without one, 65,536 numbers are a span. Ranges are then dealt to buckets of the
+    running count and swept there by where they begin: each meets the range of the other side that is
+    under way. A pair belongs to the bucket in which the later of both begins, so it is found once.
     """
-    w = Window.partitionBy(*keys, "symbol").orderBy("trade_seq")
+    series, size = [*keys, "symbol"], 1_000_000
+    buy, money = F.col("signal") > 0, F.col("shares") * F.col("price")
+    net = F.when(buy, money + F.col("commission") + F.col("slippage")).otherwise(money - F.col("commission") - F.col("slippage"))
+    lots = trades.where("shares > 0 AND signal != 0").dropna(subset=series)
+    lots = lots.select(*series, (F.col(span) if span else F.floor(F.col("trade_seq") / 65_536)).alias("_span"), "trade_seq", "ts", "shares", buy.alias("_buy"), net.alias("money"))
+
+    w = Window.partitionBy(*series, "_span").orderBy("trade_seq")
     run = w.rowsBetween(Window.unboundedPreceding, 0)
-    bought, sold = (F.sum(F.when(side, F.col("shares")).otherwise(0)).over(run) for side in (F.col("signal") > 0, F.col("signal") < 0))
-    net = F.when(F.col("signal") > 0, F.col("shares") * F.col("price") + F.col("commission") + F.col("slippage")).otherwise(F.col("shares") * F.col("price") - F.col("commission") - F.col("slippage"))
-    counted = trades.where("shares > 0").withColumns({"_bought": bought, "_sold": sold, "money": net})
-    dropped = counted.withColumn("_dropped", F.greatest(F.lit(0), F.max(F.col("_sold") - F.col("_bought")).over(run)))
-    before = F.coalesce(F.lag("_dropped").over(w), F.lit(0))
-    buy = F.col("signal") > 0
-    lo = F.when(buy, F.col("_bought")).otherwise(F.col("_sold") - before) - F.col("shares")
-    hi = F.when(buy, F.col("_bought")).otherwise(F.col("_sold") - F.col("_dropped"))
-    ranged = dropped.withColumns({"lo": lo, "hi": hi}).where("hi > lo")
-    size = 100_000
-    spread = ranged.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("lo") / size), F.floor((F.col("hi") - 1) / size))))
-    part = lambda side, prefix: spread.where(side).select(*keys, "symbol", "bucket", *(F.col(c).alias(f"{prefix}_{c}") for c in ("trade_seq", "lo", "hi", "shares", "money", "ts")))
-    both = part("signal > 0", "buy").join(part("signal < 0", "sell"), [*keys, "symbol", "bucket"])
-    edge = F.col("bucket") * size
-    low, high = F.greatest("buy_lo", "sell_lo", edge), F.least("buy_hi", "sell_hi", edge + size)
-    matched = both.withColumn("shares", high - low).where("shares > 0").groupBy(*keys, "symbol", "buy_trade_seq", "sell_trade_seq").agg(
-        F.sum("shares").alias("shares"), *(F.first(c).alias(c) for c in ("buy_shares", "buy_money", "sell_shares", "sell_money", "buy_ts", "sell_ts"))
-    )
-    cost = F.col("buy_money") * F.col("shares") / F.col("buy_shares")
-    proceeds = F.col("sell_money") * F.col("shares") / F.col("sell_shares")
-    return matched.select(*keys, "symbol", "buy_trade_seq", "sell_trade_seq", "buy_ts", "sell_ts", "shares", cost.alias("cost"), proceeds.alias("proceeds"), (proceeds - cost).alias("pnl"))
-
-
-def trade_metrics(trades: DataFrame, keys: list[str]) -> DataFrame:
+    bought, sold = (F.sum(F.when(side, F.col("shares")).otherwise(0)).over(run) for side in (F.col("_buy"), ~F.col("_buy")))
+    counted = lots.withColumns({"_bought": bought, "_sold": sold}).withColumn("_ahead", F.max(F.col("_sold") - F.col("_bought")).over(run))
+    counted = counted.withColumn("_ahead_before", F.lag("_ahead").over(w))
+
+    earlier = Window.partitionBy(*series).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)  # one row a span
+    spans = counted.groupBy(*series, "_span").agg(F.min("trade_seq").alias("_at"), F.max("_bought").alias("_b"), F.max("_sold").alias("_s"), F.max("_ahead").alias("_a"))
+    spans = spans.withColumns({f"{c}0": F.coalesce(F.sum(c).over(earlier), F.lit(0)) for c in ("_b", "_s")})
+    spans = spans.withColumn("_d0", F.greatest(F.lit(0), F.max(F.col("_s0") - F.col("_b0") + F.col("_a")).over(earlier))).select(*series, "_span", "_b0", "_s0", "_d0")
+    # a span that is null comes first, so nothing is before it
+    b0, s0, d0 = (F.coalesce(F.col(c), F.lit(0)) for c in ("_b0", "_s0", "_d0"))
+    before, dropped = (F.greatest(d0, s0 - b0 + F.col(c)) for c in ("_ahead_before", "_ahead"))  # greatest passes over a null
+    lo = F.when(F.col("_buy"), b0 + F.col("_bought")).otherwise(s0 + F.col("_sold") - before) - F.col("shares")
+    hi = F.when(F.col("_buy"), b0 + F.col("_bought")).otherwise(s0 + F.col("_sold") - dropped)
+    ranged = counted.join(spans, [*series, "_span"], "left").select(*series, "trade_seq", "ts", "shares", "_buy", "money", lo.alias("lo"), hi.alias("hi")).where("hi > lo")
+
+    spread = ranged.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("lo") / size), F.ceil(F.col("hi") / size) - 1)))
+    sweep = Window.partitionBy(*series, "bucket").orderBy("lo", "_buy").rowsBetween(Window.unboundedPreceding, 0)
+    lot = F.struct("trade_seq", "ts", "shares", "money", "hi")
+    met = spread.withColumns({side: F.last(F.when(own, lot), True).over(sweep) for side, own in (("_buyer", F.col("_buy")), ("_seller", ~F.col("_buy")))})
+    both = met.where(F.floor(F.col("lo") / size) == F.col("bucket")).withColumn("_met", F.least("_buyer.hi", "_seller.hi") - F.col("lo")).where("_buyer IS NOT NULL AND _seller IS NOT NULL AND _met > 0")
+    cost = F.col("_buyer.money") * F.col("_met") / F.col("_buyer.shares")
+    proceeds = F.col("_seller.money") * F.col("_met") / F.col("_seller.shares")
+    named = [F.col(f"{who}.{c}").alias(f"{side}_{c}") for c in ("trade_seq", "ts") for side, who in (("buy", "_buyer"), ("sell", "_seller"))]
+    return both.select(*series, *named, F.col("_met").alias("shares"), cost.alias("cost"), proceeds.alias("proceeds"), (proceeds - cost).alias("pnl"))
+
+
+def trade_metrics(trades: DataFrame, keys: list[str], span: str | None = None) -> DataFrame:
     """One row per run with fills: rates and means of the round trips, and the number of fills."""
-    trips = fifo_round_trips(trades, keys)
+    trips = fifo_round_trips(trades, keys, span)
     win, loss = F.col("pnl") > 0, F.col("pnl") <= 0
     one = trips.groupBy(*keys).agg(
         F.avg(F.when(win, 1.0).otherwise(0.0)).alias("wr"), F.sum(F.when(win, F.col("pnl")).otherwise(0.0)).alias("won"), F.sum(F.when(loss, -F.col("pnl")).otherwise(0.0)).alias("lost"),

@@ -498,27 +498,35 @@ def drawdown_islands(spark, d):
 
 
 def fills(spark, d):
-    """Fills that SQL can make too: line items as buys and sells, many lots a symbol; more is bought than sold."""
+    """Fills that SQL can make too: line items as buys and sells, many lots a symbol; more is bought than sold.
+
+    Numbered inside each symbol and day, side by side, after the number of fills before that day.
+    """
     line = bar_sources.read(spark, d, "lineitem")
-    w = Window.partitionBy("symbol").orderBy("ts", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "price")
-    t = line.select(F.concat("l_returnflag", "l_linestatus").alias("symbol"), F.col("l_shipdate").alias("ts"), "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", F.when(F.col("l_orderkey") % 3 == 0, -1).otherwise(1).alias("signal"), (F.col("l_quantity") * 100).cast("long").alias("shares"), tidy(F.col("l_extendedprice") / F.col("l_quantity") / 100, 4).alias("price"), F.col("l_tax").alias("commission"), F.col("l_discount").alias("slippage"))
-    return t.withColumn("trade_seq", F.row_number().over(w))
+    t = line.select(F.concat("l_returnflag", "l_linestatus").alias("symbol"), F.col("l_shipdate").alias("ts"), "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", tidy(F.col("l_extendedprice") / F.col("l_quantity") / 100, 4).alias("price"), F.col("l_tax").alias("commission"), F.col("l_discount").alias("slippage"))
+    # tax and discount last: whatever is read of the fills, they are dealt out by one and the same exchange
+    day = Window.partitionBy("symbol", "ts").orderBy("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "price", "commission", "slippage")
+    earlier = Window.partitionBy("symbol").orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)  # one row a day
+    days = t.groupBy("symbol", "ts").agg(F.count("*").alias("_n")).select("symbol", "ts", F.sum("_n").over(earlier).alias("_before"))
+    numbered = t.withColumn("_in_day", F.row_number().over(day)).join(days, ["symbol", "ts"], "left")
+    seq = (F.coalesce("_before", F.lit(0)) + F.col("_in_day")).cast("int")
+    return numbered.select("symbol", "ts", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", F.when(F.col("l_orderkey") % 3 == 0, -1).otherwise(1).alias("signal"), (F.col("l_quantity") * 100).cast("long").alias("shares"), "price", "commission", "slippage", seq.alias("trade_seq"))
 
 
 @query
 def fifo_round_trips(spark, d):
-    trips = metrics.fifo_round_trips(fills(spark, d), [])
+    trips = metrics.fifo_round_trips(fills(spark, d), [], "ts")
     return rounded(trips.select("symbol", "buy_trade_seq", "sell_trade_seq", F.col("shares").cast("long").alias("shares"), "cost", "proceeds", "pnl"), 4)
 
 
 @query
 def trade_metrics(spark, d):
-    return rounded(metrics.trade_metrics(fills(spark, d).withColumn("run_id", F.col("symbol")), ["run_id"]), 4)
+    return rounded(metrics.trade_metrics(fills(spark, d).withColumn("run_id", F.col("symbol")), ["run_id"], "ts"), 4)
 
 
 @query
 def pnl_histogram(spark, d):
-    trips = metrics.fifo_round_trips(fills(spark, d), [])
+    trips = metrics.fifo_round_trips(fills(spark, d), [], "ts")
     return rounded(metrics.pnl_histogram(trips.withColumn("pnl", tidy(F.col("pnl"), 4)), ["symbol"]), 2)
 
 

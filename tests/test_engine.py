@@ -314,6 +314,19 @@ def test_fifo_drops_what_sells_ask_for_beyond_open_lots(spark):
     assert found(rows) == queue_trips(rows)
 
 
+def test_fifo_counts_run_over_spans(spark):
+    """Counts, and what is dropped, pass from span to span and from bucket to bucket; a span that is null comes first."""
+    names = "symbol string, trade_seq long, signal int, shares long, price double, commission double, slippage double"
+    rng = np.random.default_rng(8)
+    for most in (30, 9_000):  # many lots a bucket, and lots across several
+        rows = [("AB"[int(rng.integers(2))], i * 5_000, int(rng.choice([1, -1], p=[0.52, 0.48])), int(rng.integers(1, most)) * 300, float(rng.integers(5, 50)), 1.5, 0.25) for i in range(500)]
+        trades = spark.createDataFrame(rows, names).withColumn("ts", F.lit(DAY)).withColumn("day", F.when(F.col("trade_seq") >= 60_000, F.floor(F.col("trade_seq") / 35_000)))
+        want = queue_trips(rows)
+        for span in (None, "day"):
+            found = metrics.fifo_round_trips(trades, [], span).collect()
+            assert sorted((r.symbol, r.buy_trade_seq, r.sell_trade_seq, r.shares, round(r.pnl, 6)) for r in found) == want and len(want) > 200
+
+
 # -- robustness and search
 
 
